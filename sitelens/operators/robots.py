@@ -36,7 +36,7 @@ def robots_sitemaps(content: Column) -> Column:
 def robots_min_delay(content: Column) -> Column:
     """Smallest Crawl-delay (integer prefix), null when there is none."""
     vals = F.transform(F.regexp_extract_all(content, F.lit(CRAWL_DELAY_RX), 1),
-                       lambda v: F.try_cast(v, "long"))
+                       lambda v: v.try_cast("long"))
     return F.array_min(vals)
 
 

@@ -146,9 +146,9 @@ def _urls(spark, sf):
     """Page urls plus every anchor resolved against its page (reference form)."""
     p = FX.pages(spark, sf)
     page_urls = p.select(F.col("url").alias("u"))
-    refs = p.select(F.concat(F.regexp_extract("url", FX.ORIGIN_RX, 1),
-                             F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), 1))).alias("u"))
-    return page_urls.unionByName(refs.select(U.pct_encode_nonascii(F.col("u")).alias("u")))
+    refs = p.select(F.regexp_extract("url", FX.ORIGIN_RX, 1).alias("o"),
+                    F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), 1)).alias("h"))
+    return page_urls.unionByName(refs.select(U.pct_encode_nonascii(F.concat("o", "h")).alias("u")))
 
 
 def q_u1(spark, sf):
@@ -343,7 +343,7 @@ def q_p3(spark, sf):
     assets = CR.crawl_assets(log, fetched, through_depth=0)
     path = scratch_dir(spark, "report")
     export_report_documents(spark, assets, state, path)
-    meta, rep_assets, queue, processed = read_report(spark, path)
+    meta, rep_assets, queue, processed = read_report(spark, path, layout="documents")
     hosts = CR.canonical_seeds(seeds).select("crawl_id", "target_host")
     more, _, _ = CR.resume_crawl(spark, queue, processed, fetched, hosts)
     new_assets = CR.crawl_assets(more, fetched)
