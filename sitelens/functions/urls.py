@@ -4,9 +4,11 @@ Native expressions cover URLs whose canonical form needs no parsing beyond
 splitting and encoding non-ASCII text (the overwhelming share of real links:
 root-relative paths, plain relative paths, clean absolute http(s) URLs).
 Everything else goes through an Arrow-batched pandas UDF around
-``sitelens.functions.whatwg``. Rows are routed with ``filter`` +
-``unionByName`` by the callers, never with ``when(cond, udf(...))``, because
-Spark evaluates a UDF inside ``when`` on rows where the condition is false.
+``sitelens.functions.whatwg``. Spark evaluates a Python UDF on every row of
+its projection, even inside ``when(cond, udf(x))``, so the routing feeds the
+UDF ``when(~cond, x)``: rows on the native path reach Python as nulls and
+cost nothing there, and the upstream plan runs once (a filter + union split
+would evaluate it once per branch).
 """
 
 from __future__ import annotations
@@ -113,11 +115,6 @@ def report_key_udf(url: pd.Series) -> pd.Series:
     return pd.Series([whatwg.report_key(u) for u in url], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def decode_uri_udf(url: pd.Series) -> pd.Series:
-    return pd.Series([whatwg.decode_uri(u) for u in url], dtype=object)
-
-
 def report_key_native_ok(url: Column) -> Column:
     """True where the report key is the URL itself (plus ``/`` for an empty path)."""
     # Non-ASCII path/query text is encoded by the parser and decoded again by
@@ -132,43 +129,64 @@ def report_key_native(url: Column) -> Column:
     return F.concat(host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
 
 
+def report_key(url) -> Column:
+    """``decodeURI(new URL(url).href)``; null where the URL does not parse."""
+    url = _c(url)
+    ok = report_key_native_ok(url)
+    return F.coalesce(F.when(ok, report_key_native(url)), report_key_udf(F.when(~ok, url)))
+
+
+def resolve(ref, base) -> Column:
+    """E2 for one reference: ``new URL(ref, base).href``; null where it throws."""
+    ref, base = _c(ref), _c(base)
+    ok = native_resolvable(ref, base)
+    return F.coalesce(F.when(ok, resolve_native(ref, base)), resolve_udf(F.when(~ok, ref), base))
+
+
+def _routed(df, flag, fast, slow_udf, slow_args, out_col):
+    """Add ``out_col``: ``fast`` where ``flag``, else the UDF (fed nulls on fast rows)."""
+    nat = F.col("_native")
+    args = [F.when(~nat, slow_args[0]), *slow_args[1:]]
+    return (df.withColumn("_native", flag)
+            .withColumn(out_col, F.when(nat, fast).otherwise(slow_udf(*args)))
+            .drop("_native"))
+
+
 def with_report_key(df, url_col: str, out_col: str):
-    """U1 on a DataFrame: native rows and UDF rows routed apart, then unioned."""
-    ok = report_key_native_ok(F.col(url_col))
-    fast = df.where(ok).withColumn(out_col, report_key_native(F.col(url_col)))
-    slow = df.where(~ok).withColumn(out_col, report_key_udf(F.col(url_col)))
-    return fast.unionByName(slow)
+    url = F.col(url_col)
+    return _routed(df, report_key_native_ok(url), report_key_native(url), report_key_udf, [url], out_col)
 
 
 def with_resolved(df, ref_col: str, base_col: str, out_col: str):
-    """E2 on exploded rows: native rows and UDF rows routed apart, then unioned."""
-    ok = native_resolvable(F.col(ref_col), F.col(base_col))
-    fast = df.where(ok).withColumn(out_col, resolve_native(F.col(ref_col), F.col(base_col)))
-    slow = df.where(~ok).withColumn(out_col, resolve_udf(F.col(ref_col), F.col(base_col)))
-    return fast.unionByName(slow)
+    ref, base = F.col(ref_col), F.col(base_col)
+    return _routed(df, native_resolvable(ref, base), resolve_native(ref, base), resolve_udf, [ref, base],
+                   out_col)
 
 
 _RESERVED_ESC_RX = r"%(2[346BCFbcf]|3[ABDFabdf]|40)"
 
 
-def decode_uri_native(href: Column) -> Column:
-    """ECMAScript decodeURI natively: escapes of reserved characters stay encoded
-    (case kept), ``+`` stays ``+``, a malformed escape or invalid UTF-8 gives null."""
+def _count(s: Column, sub: str) -> Column:
+    return (F.length(s) - F.length(F.replace(s, F.lit(sub), F.lit("")))) / len(sub)
+
+
+def decode_uri(href) -> Column:
+    """ECMAScript decodeURI, natively: escapes of reserved characters stay encoded
+    (case kept), ``+`` stays ``+``, a malformed escape or invalid UTF-8 gives null.
+
+    The JVM decoder replaces invalid UTF-8 with U+FFFD, so invalid input is
+    recognised by the output holding more U+FFFD than the input had, literal
+    or as the escape ``%EF%BF%BD``.
+    """
     href = _c(href)
     t = F.regexp_replace(href, _RESERVED_ESC_RX, "%25$1")
     t = F.regexp_replace(t, r"\+", "%2B")
     d = F.try_url_decode(t)
-    bad_utf8 = d.contains("\ufffd") & ~href.contains("\ufffd")
-    return F.when(~href.contains("%"), href).when(bad_utf8, F.lit(None).cast("string")).otherwise(d)
-
-
-def decode_uri_native_ok(href: Column) -> Column:
-    """True except where an escaped U+FFFD makes the invalid-UTF-8 test ambiguous."""
-    return F.coalesce(~href.rlike(r"(?i)%EF%BF%BD"), F.lit(False))
+    expected = _count(href, "\ufffd") + _count(F.upper(href), "%EF%BF%BD")
+    return (F.when(~href.contains("%"), href)
+            .when(_count(d, "\ufffd") > expected, F.lit(None).cast("string"))
+            .otherwise(d))
 
 
 def with_decoded(df, href_col: str, out_col: str):
-    ok = decode_uri_native_ok(F.col(href_col))
-    fast = df.where(ok).withColumn(out_col, decode_uri_native(F.col(href_col)))
-    slow = df.where(~ok).withColumn(out_col, decode_uri_udf(F.col(href_col)))
-    return fast.unionByName(slow)
+    return df.withColumn(out_col, decode_uri(href_col))

@@ -334,6 +334,16 @@ def report_key(url: str | None) -> str | None:
     return None if href is None else decode_uri(href)
 
 
+def pathname(href: str | None) -> str | None:
+    """``new URL(href).pathname`` of an already serialised URL."""
+    u = parse(href)
+    if u is None:
+        return None
+    if u.opaque is not None:
+        return u.opaque
+    return "".join("/" + s for s in u.path)
+
+
 def queue_key(href: str | None) -> str | None:
     """A resolved href with its fragment cleared."""
     if href is None:

@@ -1,15 +1,78 @@
-"""Asset rows from fetched responses (one narrow stage; body dropped at the end)."""
+"""Asset rows from fetched responses (one narrow stage; body dropped at the end).
+
+Everything is computed with native expressions for rows whose url and
+references need no more than splitting and encoding (``_nat``). The other rows
+go through one Arrow-batched UDF that finishes the row (report url, MIME
+guess, parser routing, reference resolution) from natively extracted inputs.
+Keeping a single Python stage matters: when two Python stages follow each
+other, Spark inlines every projection between them into the second stage,
+which would repeat the HTML tokenizing several times per row.
+"""
 
 from __future__ import annotations
 
+import html as _html
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelens.functions import content as C
+from sitelens.functions import mime as M
 from sitelens.functions import urls as U
+from sitelens.functions import whatwg
 from sitelens.operators import extract as E
 from sitelens.operators.responses import asset_kind, guess_mime, ok_responses
 
+_SLOW = T.StructType([
+    T.StructField("url", T.StringType()),
+    T.StructField("data_mime", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("references", T.ArrayType(T.StringType())),
+])
+
+
+def _py_mime_for_path(path: str | None) -> str | None:
+    if path is None:
+        return None
+    p = path.strip(" ").lower()
+    key = p if "." not in p else p.rsplit(".", 1)[1]
+    return M.EXTENSION_MIME.get(key)
+
+
+def _py_kind(mime: str, url: str) -> str:
+    if mime.startswith("text/html") or mime.startswith("application/xhtml+xml"):
+        return "html"
+    if mime.endswith("xml") and url.endswith("sitemap.xml"):
+        return "sitemap"
+    return "other"
+
+
+@F.pandas_udf(_SLOW)
+def _finish_slow_rows(final_url: pd.Series, media: pd.Series, html_refs: pd.Series,
+                      sitemap_refs: pd.Series) -> pd.DataFrame:
+    urls, mimes, kinds, refs = [], [], [], []
+    for fu, med, hr, sr in zip(final_url, media, html_refs, sitemap_refs):
+        if fu is None:
+            urls.append(None), mimes.append(None), kinds.append(None), refs.append(None)
+            continue
+        url = whatwg.report_key(fu)
+        href = whatwg.resolve(fu)
+        mime = med if med else (_py_mime_for_path(whatwg.pathname(href)) or M.DEFAULT_MIME)
+        kind = _py_kind(mime, url) if url is not None else "other"
+        raw = list(hr) if kind == "html" and hr is not None else \
+            list(sr) if kind == "sitemap" and sr is not None else []
+        out, seen = [], set()
+        if url is not None:
+            for r in raw:
+                v = whatwg.resolve(_html.unescape(r) if kind == "html" else r, url)
+                if v is not None and v not in seen:
+                    seen.add(v)
+                    out.append(v)
+        urls.append(url), mimes.append(mime), kinds.append(kind), refs.append(out)
+    return pd.DataFrame({"url": urls, "data_mime": mimes, "kind": kinds, "references": refs})
+
 
 def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[str] | None = None,
                  keep_body: bool = False) -> DataFrame:
@@ -22,25 +85,46 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
     """
     keep = keep or []
     ok = ok_responses(responses)
-    ok = U.with_report_key(ok, url_col, "url")
     ct = C.parse_content_type(F.col("content_type"))
-    a = ok.select(
-        *keep, "url", "body", "last_modified_hdr",
-        guess_mime(ct["media_type"], F.col("url")).alias("data_mime"),
-        ct["charset"].alias("charset"),
-        C.content_hash(F.col("body")).alias("hash"))
-    a = a.withColumn("kind", asset_kind(F.col("data_mime"), F.col("url")))
-    parsed = F.col("kind") != "other"
-    a = a.withColumn("text", F.when(parsed, C.decode_text(F.col("body"))))
-    a = a.withColumn("raw_refs", F.when(F.col("kind") == "html", E.html_raw_references(F.col("text")))
-                     .when(F.col("kind") == "sitemap", E.sitemap_raw_locs(F.col("text")))
-                     .otherwise(F.array().cast("array<string>")))
-    hdr = C.parse_date(F.col("last_modified_hdr"))
-    a = a.withColumn("last_modified", F.coalesce(
-        hdr, F.when(F.col("kind") == "html", E.html_meta_dates(F.col("text")))))
-    a = a.drop("text", "last_modified_hdr")
+    a = ok.select(*keep, F.col(url_col).alias("_fu"), "body", "last_modified_hdr",
+                  ct["media_type"].alias("_media"), ct["charset"].alias("charset"),
+                  C.content_hash(F.col("body")).alias("hash"))
+    fu = F.col("_fu")
+    a = a.withColumn("_url_ok", U.report_key_native_ok(fu))
+    a = a.withColumn("_url", F.when(F.col("_url_ok"), U.report_key_native(fu)))
+    a = a.withColumn("_mime", guess_mime(F.col("_media"), F.col("_url")))
+    a = a.withColumn("_kind", asset_kind(F.col("_mime"), F.col("_url")))
+    # rows whose url needs the full parser are parsed both ways; the UDF picks one
+    html = (F.col("_kind") == "html") | ~F.col("_url_ok")
+    sitemap = (F.col("_kind") == "sitemap") | ~F.col("_url_ok")
+    a = a.withColumn("_text", F.when(html | sitemap, C.decode_text(F.col("body"))))
+    a = a.withColumn("_tags", F.when(html, E.html_tags(F.col("_text"))))
+    a = a.withColumn("_html_refs", F.when(html, E.references_from_tags(F.col("_tags"))))
+    a = a.withColumn("_sm_refs", F.when(sitemap, E.sitemap_raw_locs(F.col("_text"))))
+    a = E.with_meta_date(a, "_tags", "_meta_date")
+    a = a.drop("_text", "_tags")
     if not keep_body:
         a = a.drop("body")
-    a = E.with_references(a, "raw_refs", "url", "references", unescape=F.col("kind") == "html")
-    return a.drop("raw_refs").select(*keep, "url", "last_modified", "data_mime", "charset", "hash",
-                                     "references", "kind", *(["body"] if keep_body else []))
+    raw = (F.when(F.col("_kind") == "html", F.col("_html_refs"))
+           .when(F.col("_kind") == "sitemap", F.col("_sm_refs"))
+           .otherwise(F.array().cast("array<string>")))
+    a = a.withColumn("_raw", raw)
+    base, is_html = F.col("_url"), F.col("_kind") == "html"
+    refs_ok = F.forall(F.col("_raw"), lambda r: U.native_resolvable(r, base) & (~is_html | ~r.contains("&")))
+    a = a.withColumn("_nat", F.col("_url_ok") & F.coalesce(refs_ok, F.lit(True)))
+    nat = F.col("_nat")
+    fast_refs = F.array_distinct(F.transform(F.col("_raw"), lambda r: U.resolve_native(r, base)))
+    a = a.withColumn("_slow", _finish_slow_rows(F.when(~nat, fu), F.col("_media"), F.col("_html_refs"),
+                                                F.col("_sm_refs")))
+    kind = F.when(nat, F.col("_kind")).otherwise(F.col("_slow.kind"))
+    a = a.select(
+        *keep,
+        F.when(nat, F.col("_url")).otherwise(F.col("_slow.url")).alias("url"),
+        F.coalesce(C.parse_date(F.col("last_modified_hdr")),
+                   F.when(kind == "html", F.col("_meta_date"))).alias("last_modified"),
+        F.when(nat, F.col("_mime")).otherwise(F.col("_slow.data_mime")).alias("data_mime"),
+        "charset", "hash",
+        F.when(nat, fast_refs).otherwise(F.col("_slow.references")).alias("references"),
+        kind.alias("kind"),
+        *(["body"] if keep_body else []))
+    return a

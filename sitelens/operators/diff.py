@@ -145,10 +145,12 @@ def line_changes(changes: DataFrame, content: DataFrame) -> DataFrame:
     all partitions.
     """
     b = _modified_bodies(changes, content)
-    old_lines = b.select("url", "ord", F.explode(F.split(_text("old_body"), "\n", -1)).alias("line"),
-                         F.lit(1).alias("o"), F.lit(0).alias("n"))
-    new_lines = b.select("url", "ord", F.explode(F.split(_text("new_body"), "\n", -1)).alias("line"),
-                         F.lit(0).alias("o"), F.lit(1).alias("n"))
+    # explode_outer + filter keeps Spark from inferring a size() > 0 filter
+    # and evaluating the split below the generator a second time
+    old_lines = b.select("url", "ord", F.explode_outer(F.split(_text("old_body"), "\n", -1)).alias("line"),
+                         F.lit(1).alias("o"), F.lit(0).alias("n")).where(F.col("line").isNotNull())
+    new_lines = b.select("url", "ord", F.explode_outer(F.split(_text("new_body"), "\n", -1)).alias("line"),
+                         F.lit(0).alias("o"), F.lit(1).alias("n")).where(F.col("line").isNotNull())
     return (old_lines.unionByName(new_lines)
             .groupBy("url", "ord", "line")
             .agg(F.sum("o").cast("long").alias("n_old"), F.sum("n").cast("long").alias("n_new"))

@@ -23,12 +23,11 @@ from sitelens.functions import whatwg
 from sitelens.functions.content import parse_date
 
 _COMMENT_RX = r"(?s)<!--.*?(?:-->|$)"
-_RAWTEXT_RX = r"(?is)(<(script|style|title|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>).*?(?:</\2\s*>|$)"
+_RAWTEXT_RX = r"(?is)(<(script|style|title|textarea)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>).*?(?:</\2\s*>|$)"
 _ATTR_RX = r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?"
 
 
-def _tags_rx(names: str) -> str:
-    return rf"(?i)<({names})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+_TAG_RX = r"(?i)<(?:script|img|a|meta)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 
 
 def tokenizable_html(text: Column) -> Column:
@@ -37,6 +36,17 @@ def tokenizable_html(text: Column) -> Column:
     return F.regexp_replace(t, _RAWTEXT_RX, "$1")
 
 
+def html_tags(text: Column) -> Column:
+    """ARRAY<STRUCT<name, attrs>> of the script, img, a and meta start tags, in document order.
+
+    One pass over the markup; later steps only look at the (short) tag texts.
+    """
+    tags = F.regexp_extract_all(tokenizable_html(text), F.lit(_TAG_RX), 0)
+    return F.transform(tags, lambda t: F.struct(
+        F.lower(F.regexp_extract(t, r"^<([A-Za-z]+)", 1)).alias("name"),
+        F.regexp_extract(t, r"(?s)^<[A-Za-z]+(.*)>$", 1).alias("attrs")))
+
+
 def _attr_value(attrs: Column, name: str) -> Column:
     """Value of the first attribute called ``name`` (case-insensitive), else null."""
     names = F.transform(F.regexp_extract_all(attrs, F.lit(_ATTR_RX), 1), lambda x: F.lower(x))
@@ -47,9 +57,14 @@ def _attr_value(attrs: Column, name: str) -> Column:
     return F.when(idx > 0, F.concat(F.element_at(dq, idx), F.element_at(sq, idx), F.element_at(uq, idx)))
 
 
-def _tag_attr_values(markup: Column, tag: str, attr: str) -> Column:
-    tags = F.regexp_extract_all(markup, F.lit(_tags_rx(tag)), 2)
-    return F.transform(tags, lambda a: _attr_value(a, attr))
+def _values(tags: Column, tag: str, attr: str) -> Column:
+    return F.transform(F.filter(tags, lambda t: t["name"] == tag), lambda t: _attr_value(t["attrs"], attr))
+
+
+def references_from_tags(tags: Column) -> Column:
+    """E1 on tokenized tags: script[src], then img[src], then a[href]; empty values skipped."""
+    allv = F.concat(_values(tags, "script", "src"), _values(tags, "img", "src"), _values(tags, "a", "href"))
+    return F.filter(allv, lambda v: v.isNotNull() & (v != ""))
 
 
 def html_raw_references(text: Column) -> Column:
@@ -57,11 +72,38 @@ def html_raw_references(text: Column) -> Column:
 
     Values are raw attribute text (entities not yet decoded).
     """
-    m = tokenizable_html(text)
-    allv = F.concat(_tag_attr_values(m, "script", "src"),
-                    _tag_attr_values(m, "img", "src"),
-                    _tag_attr_values(m, "a", "href"))
-    return F.filter(allv, lambda v: v.isNotNull() & (v != ""))
+    return references_from_tags(html_tags(text))
+
+
+def meta_metas(tags: Column) -> Column:
+    """ARRAY<STRUCT<name, property, content>> of the meta tags."""
+    return F.transform(F.filter(tags, lambda t: t["name"] == "meta"), lambda t: F.struct(
+        _attr_value(t["attrs"], "name").alias("name"), _attr_value(t["attrs"], "property").alias("property"),
+        _attr_value(t["attrs"], "content").alias("content")))
+
+
+def meta_date_content(metas: Column) -> Column:
+    """E3 choice by presence: content of meta[name=last-modified], else
+    meta[property=article:modified_time], else meta[property=article:published_time]."""
+    def first(pred):
+        return F.try_element_at(F.filter(metas, pred), F.lit(1))
+    chosen = F.coalesce(first(lambda m: m["name"] == "last-modified"),
+                        first(lambda m: m["property"] == "article:modified_time"),
+                        first(lambda m: m["property"] == "article:published_time"))
+    return chosen["content"]
+
+
+def parse_meta_date(content: Column) -> Column:
+    """E3 parse of the chosen content; empty or unparsable gives null (no fall-through)."""
+    return F.when(content != "", parse_date(_unescape_native(content)))
+
+
+def with_meta_date(df: DataFrame, tags_col: str, out_col: str) -> DataFrame:
+    """E3 on a DataFrame; the heavy pieces are materialized once as columns."""
+    return (df.withColumn("_metas", meta_metas(F.col(tags_col)))
+            .withColumn("_meta_content", meta_date_content(F.col("_metas")))
+            .withColumn(out_col, parse_meta_date(F.col("_meta_content")))
+            .drop("_metas", "_meta_content"))
 
 
 def html_meta_dates(text: Column) -> Column:
@@ -69,24 +111,10 @@ def html_meta_dates(text: Column) -> Column:
 
     ``meta[name=last-modified]`` first, else ``meta[property=article:modified_time]``,
     else ``meta[property=article:published_time]``; an unparsable or empty content
-    of the chosen element gives null without falling through.
+    of the chosen element gives null without falling through. (Column form; on
+    large inputs prefer :func:`with_meta_date`, which computes each piece once.)
     """
-    m = tokenizable_html(text)
-    tags = F.regexp_extract_all(m, F.lit(_tags_rx("meta")), 2)
-    metas = F.transform(tags, lambda a: F.struct(
-        _attr_value(a, "name").alias("name"), _attr_value(a, "property").alias("property"),
-        _attr_value(a, "content").alias("content")))
-
-    def first(pred):
-        return F.try_element_at(F.filter(metas, pred), F.lit(1))
-
-    lm = first(lambda s: s["name"] == "last-modified")
-    mod = first(lambda s: s["property"] == "article:modified_time")
-    pub = first(lambda s: s["property"] == "article:published_time")
-    chosen = F.coalesce(lm, mod, pub)
-    content = chosen["content"]
-    return F.when((content.isNull()) | (content == ""), F.lit(None).cast("string")).otherwise(
-        parse_date(_unescape_native(content)))
+    return parse_meta_date(meta_date_content(meta_metas(html_tags(text))))
 
 
 def _unescape_native(v: Column) -> Column:
@@ -142,18 +170,19 @@ def with_references(df: DataFrame, raw_col: str, base_col: str, out_col: str,
     """Resolve a row's raw references against its url; distinct, first position kept.
 
     Rows whose references are all natively resolvable (and, for HTML, free of
-    ``&``) are resolved by a JVM ``transform``; the others go to one
-    Arrow-batched UDF call per row. References that cannot be resolved are
+    ``&``) are resolved by a JVM ``transform``; the others go through one
+    Arrow-batched UDF (which sees native rows as nulls). References that cannot be resolved are
     skipped (count in ``bad_refs`` is raw minus resolved).
     """
     raw, base = F.col(raw_col), F.col(base_col)
     un = unescape if isinstance(unescape, Column) else F.lit(unescape)
     native_ok = F.forall(raw, lambda r: U.native_resolvable(r, base) & (~un | ~r.contains("&")))
     native_ok = F.coalesce(native_ok, F.lit(True)) & base.isNotNull()
-    fast = df.where(native_ok).withColumn(
-        out_col, F.array_distinct(F.transform(raw, lambda r: U.resolve_native(r, base))))
-    slow = df.where(~native_ok).withColumn(out_col, _resolve_all_udf(raw, base, un))
-    return fast.unionByName(slow)
+    fast = F.array_distinct(F.transform(raw, lambda r: U.resolve_native(r, base)))
+    nat = F.col("_native")
+    slow = _resolve_all_udf(F.when(~nat, raw), base, un)
+    return df.withColumn("_native", native_ok).withColumn(
+        out_col, F.when(nat, fast).otherwise(slow)).drop("_native")
 
 
 def link_edges(assets: DataFrame, src_col: str = "url", refs_col: str = "references",
@@ -164,7 +193,10 @@ def link_edges(assets: DataFrame, src_col: str = "url", refs_col: str = "referen
     queue key (fragment cleared) and ``dst_key`` the report key (decoded).
     """
     keep = keep or []
+    # posexplode_outer + filter: a plain generator makes Spark infer
+    # size(refs) > 0 and push it below the projection that computes refs,
+    # which would evaluate the whole reference extraction a second time.
     e = assets.select(*keep, F.col(src_col).alias("src"),
-                      F.posexplode(F.col(refs_col)).alias("pos", "dst"))
+                      F.posexplode_outer(F.col(refs_col)).alias("pos", "dst")).where(F.col("dst").isNotNull())
     e = e.withColumn("dst_queue", U.strip_fragment(F.col("dst")))
     return U.with_decoded(e, "dst_queue", "dst_key")

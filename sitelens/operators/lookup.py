@@ -23,8 +23,15 @@ def encoded_path(path: Column) -> Column:
 
 
 def path_index(assets: DataFrame) -> DataFrame:
-    """V1: pathname -> (hash, data_mime) of the last asset with that path (host and query ignored)."""
-    a = assets.select("ord", "hash", "data_mime", encoded_path(U.url_path(F.col("url"))).alias("path"))
+    """V1: pathname -> (hash, data_mime) of the last asset with that path (host and query ignored).
+
+    The key is made non-nullable (a url that does not parse gives ''; no request
+    has an empty pathname): for a nullable derived key Spark infers an
+    ``isnotnull`` filter on the joining side and pushes it down to the scan,
+    which would evaluate the whole key expression a second time there.
+    """
+    a = assets.select("ord", "hash", "data_mime",
+                      F.coalesce(encoded_path(U.url_path(F.col("url"))), F.lit("")).alias("path"))
     return (a.groupBy("path").agg(F.max_by(F.struct("hash", "data_mime"), F.col("ord")).alias("v"))
             .select("path", "v.hash", "v.data_mime"))
 
@@ -36,7 +43,7 @@ def resolve_requests(requests: DataFrame, assets: DataFrame, content: DataFrame)
     application/octet-stream when the asset's MIME is null or empty.
     """
     idx = path_index(assets)
-    req = requests.withColumn("_p", encoded_path(F.col("path")))
+    req = requests.withColumn("_p", F.coalesce(encoded_path(F.col("path")), F.lit("")))
     stored = content.select(F.col("hash").alias("_h"), F.lit(True).alias("_stored")).dropDuplicates(["_h"])
     j = (req.join(idx.withColumnRenamed("path", "_p"), "_p", "left")
          .join(stored, F.col("hash") == F.col("_h"), "left"))

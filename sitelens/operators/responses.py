@@ -30,29 +30,37 @@ def asset_kind(mime: Column, url: Column) -> Column:
 
 
 def _last_by_request(responses: DataFrame) -> DataFrame:
-    """One response per request url (the latest ``ord`` when a url was fetched twice)."""
-    cols = [c for c in responses.columns if c not in ("request_url", "ord")]
-    payload = F.struct(F.col("ord"), *[F.col(c) for c in cols])
-    return (responses.groupBy("request_url").agg(F.max_by(payload, F.col("ord")).alias("r"))
+    """Slim view: one (status, location) per request url, the latest ``ord`` winning.
+
+    Only these four small columns are shuffled; bodies stay where they are.
+    """
+    return (responses.groupBy("request_url")
+            .agg(F.max_by(F.struct("ord", "status", "location"), F.col("ord")).alias("r"))
             .select("request_url", "r.*"))
 
 
-def resolve_redirects(requests: DataFrame, responses: DataFrame, limit: int = REDIRECT_LIMIT,
-                      statuses: tuple[int, ...] = (301,), checkpoint: bool = True) -> DataFrame:
+def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
+                      limit: int = REDIRECT_LIMIT, statuses: tuple[int, ...] = (301,),
+                      checkpoint: bool = True) -> DataFrame:
     """Follow redirects for every request, at most ``limit`` requests each.
 
-    ``requests`` has ``request_url`` (other columns are carried). Only the
-    (usually small) redirect slice of ``responses`` takes part in the hop loop;
-    the full table is joined once at the end. Each hop joins the still-active
-    chains, cuts lineage with a reliable checkpoint, and the loop stops early
-    when no chain is active (one ``isEmpty`` per hop).
-
-    Output adds: final_url (raw value of the last Location followed), hops,
-    outcome in {ok, status, redirect_limit, bad_location, missing}, and the
-    final response's columns (status, content_type, last_modified_hdr, body, ord
-    as ``response_ord``).
+    ``requests`` (default: every request url of ``responses``) has
+    ``request_url``; other columns are carried. Works on slim columns only:
+    the hop loop joins the still-active chains with the redirect slice, cuts
+    lineage with a reliable checkpoint per hop and stops early when no chain is
+    active (one ``isEmpty`` per hop). A relative Location is requested as is
+    and fails (``bad_location``); after ``limit`` requests the chain ends
+    without data (``redirect_limit``), whatever the last Location says.
+
+    Output: request columns + final_url (raw value of the last Location
+    followed), hops, outcome in {ok, status, redirect_limit, bad_location,
+    missing}, status and ``response_ord`` of the final response. Bodies are
+    attached by joining ``response_ord``/``final_url`` where needed (see
+    ``sitelens.plans.crawl.fetched_table``).
     """
     resp = _last_by_request(responses)
+    if requests is None:
+        requests = resp.select("request_url")
     redirects = (resp.where(F.col("status").isin(*statuses) & F.col("location").isNotNull()
                             & (F.col("location") != ""))
                  .select(F.col("request_url").alias("cur"), F.col("location").alias("next")))
@@ -65,11 +73,9 @@ def resolve_redirects(requests: DataFrame, responses: DataFrame, limit: int = RE
             .withColumn("hops", F.lit(i + 1))
         absolute = F.col("cur").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
         if i + 1 < limit:
-            # a relative Location is requested as is and fails (reference behaviour)
             bad = moved.where(~absolute).withColumn("flag", F.lit("bad_location"))
             active = moved.where(absolute)
         else:
-            # the limit is reached whatever the last Location says
             bad = moved.where(F.lit(False)).withColumn("flag", F.lit("bad_location"))
             active = moved
         done_i = stop.unionByName(bad)
@@ -82,9 +88,7 @@ def resolve_redirects(requests: DataFrame, responses: DataFrame, limit: int = RE
     finals = active.withColumn("flag", F.lit("redirect_limit"))
     for part in done_parts:
         finals = finals.unionByName(part)
-    final_resp = resp.select(
-        F.col("request_url").alias("cur"), F.col("ord").alias("response_ord"), "status",
-        "content_type", "last_modified_hdr", "body")
+    final_resp = resp.select(F.col("request_url").alias("cur"), F.col("ord").alias("response_ord"), "status")
     out = finals.join(final_resp, "cur", "left")
     outcome = (F.when(F.col("flag").isNotNull(), F.col("flag"))
                .when(F.col("status").isNull(), F.lit("missing"))
@@ -92,7 +96,7 @@ def resolve_redirects(requests: DataFrame, responses: DataFrame, limit: int = RE
                .otherwise(F.lit("status")))
     keep_resp = F.col("flag").isNull()
     return out.select(
-        *[c for c in requests.columns],
-        F.col("cur").alias("final_url"), "hops", outcome.alias("outcome"),
-        *[F.when(keep_resp, F.col(c)).alias(c) for c in
-          ("response_ord", "status", "content_type", "last_modified_hdr", "body")])
+        *requests.columns,
+        F.col("cur").alias("final_url"), F.col("hops").cast("int").alias("hops"), outcome.alias("outcome"),
+        F.when(keep_resp, F.col("status")).alias("status"),
+        F.when(keep_resp, F.col("response_ord")).alias("response_ord"))

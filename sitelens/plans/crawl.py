@@ -4,7 +4,7 @@ Every response is processed once, up front, in one narrow stage (redirects,
 asset columns, references; the body is dropped), giving a slim ``fetched``
 table and an ``edges`` table keyed by request url. The crawl is then a
 level-synchronous loop of joins over slim tables: frontier ⋈ edges → enqueue
-filters → dedup against the seen-set → FIFO rank. Each level is written to
+filters → dedup against the seen-set (FIFO keys). Each level is written to
 the shared checkpoint folder and read back, so lineage never grows and a lost
 executor only costs the current level. Many crawls (one per ``crawl_id``)
 advance together. One small action per level decides whether to stop.
@@ -20,24 +20,35 @@ from pyspark.sql import functions as F
 from sitelens.functions import urls as U
 from sitelens.operators.assets import build_assets
 from sitelens.operators.extract import link_edges
-from sitelens.operators.frontier import fifo_rank, filter_asset_mime, new_frontier, skip_reason
+from sitelens.operators.frontier import filter_asset_mime, skip_reason
 from sitelens.operators.responses import resolve_redirects
 from sitelens.session import scratch_dir
 
 
-def fetched_table(responses: DataFrame) -> DataFrame:
-    """Per request url: redirect outcome plus the asset columns of its final response."""
-    req = responses.select("request_url").distinct()
-    r = resolve_redirects(req, responses)
-    ok = build_assets(r.where(F.col("outcome") == "ok"), url_col="final_url",
-                      keep=["request_url", "final_url", "hops", "outcome"])
-    failed = r.where(F.col("outcome") != "ok").select(
+def fetched_table(responses: DataFrame, persist: bool = True) -> DataFrame:
+    """Per request url: redirect outcome plus the asset columns of its final response.
+
+    Every 2xx response is parsed once (``build_assets`` on its own url); the
+    redirect chains (slim) then point each request at its final response, so
+    bodies never move through a shuffle. Two requests ending at one response
+    share its asset row (reference behaviour). ``persist`` checkpoints the slim
+    result, which the crawl loop reads once per level.
+    """
+    chains = resolve_redirects(responses)
+    src = responses.withColumns({"final_url": F.col("request_url"), "_src_url": F.col("request_url"),
+                                 "_src_ord": F.col("ord")})
+    assets = build_assets(src, keep=["_src_url", "_src_ord"])
+    ok = chains.where(F.col("outcome") == "ok")
+    fetched_ok = ok.join(assets, (ok.final_url == assets._src_url) & (ok.response_ord == assets._src_ord)) \
+        .drop("_src_url", "_src_ord", "status", "response_ord")
+    failed = chains.where(F.col("outcome") != "ok").select(
         "request_url", "final_url", "hops", "outcome",
         *[F.lit(None).cast(t).alias(c) for c, t in (
             ("url", "string"), ("last_modified", "string"), ("data_mime", "string"),
             ("charset", "string"), ("hash", "string"), ("references", "array<string>"),
             ("kind", "string"))])
-    return ok.unionByName(failed)
+    out = fetched_ok.unionByName(failed)
+    return out.checkpoint(eager=True) if persist else out
 
 
 def fetched_edges(fetched: DataFrame) -> DataFrame:
@@ -54,9 +65,9 @@ def canonical_seeds(seeds: DataFrame) -> DataFrame:
 
 
 def _write_level(df: DataFrame, state: str, level: int) -> int:
+    """Persist one level (crawl_id, url, target_host, key) and record its size."""
     path = f"{state}/levels/level={level}"
-    df.select("crawl_id", "url", "target_host", "parent_rank", "pos", "rank") \
-        .write.mode("overwrite").parquet(path)
+    df.select("crawl_id", "url", "target_host", "key").write.mode("overwrite").parquet(path)
     spark = df.sparkSession
     n = spark.read.parquet(path).count()
     spark.createDataFrame([(level, n)], "level int, n long").write.mode("overwrite").parquet(
@@ -68,6 +79,18 @@ def _levels(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(f"{state}/levels")
 
 
+def _first_discovery(cand: DataFrame) -> DataFrame:
+    """F6 with FIFO keys: one row per (crawl_id, url), the smallest key wins.
+
+    A url's key is its discoverer's key followed by its position in the
+    discoverer's references. Within one level all keys have the same length,
+    so lexicographic key order is exactly the order a FIFO queue would give
+    (parent first, then reference position) - no per-level global sort.
+    """
+    return (cand.groupBy("crawl_id", "target_host", "url")
+            .agg(F.min("key").alias("key")))
+
+
 def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: int,
                mimes: Sequence[str] = (), include: str | None = None, exclude: str | None = None,
                max_levels: int | None = None) -> bool:
@@ -77,15 +100,13 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
         if max_levels is not None and level - start_level >= max_levels:
             return False
         cur = spark.read.parquet(f"{state}/levels/level={level}")
-        proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"),
-                          F.col("rank").alias("parent_rank"))
+        proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"), "key")
         cand = proc.join(edges, "request_url").select(
-            "crawl_id", "target_host", F.col("dst_queue").alias("url"), "parent_rank", "pos")
+            "crawl_id", "target_host", F.col("dst_queue").alias("url"),
+            F.concat(F.col("key"), F.array(F.col("pos").cast("int"))).alias("key"))
         cand = cand.where(skip_reason(F.col("url"), F.col("target_host"), mimes, include, exclude).isNull())
         seen = _levels(spark, state).select("crawl_id", "url")
-        nf = new_frontier(cand.withColumn("crawl_id", F.col("crawl_id")), seen)
-        hosts = cur.select("crawl_id", "target_host").distinct()
-        nf = fifo_rank(nf).join(hosts, "crawl_id")
+        nf = _first_discovery(cand).join(seen, ["crawl_id", "url"], "left_anti")
         n = _write_level(nf, state, level + 1)
         level += 1
         if n == 0:
@@ -100,34 +121,40 @@ def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (
 
     ``seeds``: crawl_id, seed. ``robots`` (optional): crawl_id, content; its
     sitemaps join level 0 without filters (B5). ``frontier_log`` has
-    crawl_id, url (queue key), depth, rank.
+    crawl_id, url (queue key), depth, key (FIFO order within the depth).
     """
     spark = fetched.sparkSession
     state = state or scratch_dir(spark, "crawl")
     s = canonical_seeds(seeds)
-    lvl0 = s.select("crawl_id", "url", F.lit(0).cast("long").alias("parent_rank"), F.lit(0).alias("pos"))
+    lvl0 = s.select("crawl_id", "target_host", "url", F.array(F.lit(0)).alias("key"))
     if robots is not None:
         from sitelens.operators.robots import robots_sitemaps
         sm = robots.select("crawl_id", F.posexplode(robots_sitemaps(F.col("content"))).alias("p", "url"))
-        lvl0 = lvl0.unionByName(sm.select("crawl_id", "url", F.lit(0).cast("long").alias("parent_rank"),
-                                          (F.col("p") + 1).alias("pos")))
-    lvl0 = fifo_rank(new_frontier(lvl0, None)).join(s.select("crawl_id", "target_host"), "crawl_id")
-    _write_level(lvl0, state, 0)
-    edges = fetched_edges(fetched).checkpoint(eager=True)
+        sm = sm.join(s.select("crawl_id", "target_host"), "crawl_id")
+        lvl0 = lvl0.unionByName(sm.select("crawl_id", "target_host", "url",
+                                          F.array((F.col("p") + 1).cast("int")).alias("key")))
+    _write_level(_first_discovery(lvl0), state, 0)
+    edges = fetched_edges(fetched)
     finished = run_levels(spark, edges, state, 0, mimes, include, exclude, max_levels)
     return frontier_log(spark, state), state, finished
 
 
 def frontier_log(spark: SparkSession, state: str) -> DataFrame:
-    return _levels(spark, state).select("crawl_id", "url", F.col("level").alias("depth"), "rank")
+    return _levels(spark, state).select("crawl_id", "url", F.col("level").alias("depth"), "key")
+
+
+def ranked_log(log: DataFrame) -> DataFrame:
+    """F8 over a whole crawl log: dense 1-based ``rank`` per (crawl, depth) in FIFO order."""
+    from sitelens.operators.ranking import ordinal_within
+    return ordinal_within(log, ["crawl_id", "depth"], ["key", "url"], out="rank")
 
 
 def crawl_assets(frontier: DataFrame, fetched: DataFrame, report_mimes: Sequence[str] = (),
                  through_depth: int | None = None) -> DataFrame:
-    """Report rows of processed urls (ok fetches passing F10), in (depth, rank) order keys."""
+    """Report rows of processed urls (ok fetches passing F10), ordered by (depth, key)."""
     f = frontier if through_depth is None else frontier.where(F.col("depth") <= through_depth)
     a = f.join(fetched.where(F.col("outcome") == "ok"), f.url == fetched.request_url).drop("request_url")
-    a = a.select("crawl_id", "depth", "rank", fetched.url.alias("url"), "last_modified", "data_mime",
+    a = a.select("crawl_id", "depth", "key", fetched.url.alias("url"), "last_modified", "data_mime",
                  "charset", "hash", "references")
     return filter_asset_mime(a, report_mimes)
 
@@ -151,20 +178,18 @@ def resume_crawl(spark: SparkSession, queue: DataFrame, processed: DataFrame, fe
                  exclude: str | None = None) -> tuple[DataFrame, str, bool]:
     """Continue from a saved queue (crawl_id, url, rank) and seen-set (crawl_id, url).
 
-    The queue becomes level 0 (FIFO order kept by its rank); ``processed`` only
-    blocks urls (F7). Depths of the continuation count from the queue.
+    The queue becomes level 0 (FIFO order kept through its rank); ``processed``
+    only blocks urls (F7). Depths of the continuation count from the queue.
     """
     state = scratch_dir(spark, "resume")
-    q = queue.select("crawl_id", "url", F.col("rank").cast("long").alias("parent_rank"),
-                     F.lit(0).alias("pos"), F.col("rank").cast("long").alias("rank"))
-    q = q.join(target_hosts, "crawl_id")
+    q = queue.join(target_hosts, "crawl_id").select(
+        "crawl_id", "target_host", "url", F.array(F.col("rank").cast("int")).alias("key"))
     _write_level(q, state, 0)
     blocked = processed.join(queue.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
     blk = blocked.join(target_hosts, "crawl_id").select(
-        "crawl_id", "url", "target_host", F.lit(0).cast("long").alias("parent_rank"),
-        F.lit(0).alias("pos"), F.lit(0).cast("long").alias("rank"))
+        "crawl_id", "url", "target_host", F.array(F.lit(0)).alias("key"))
     blk.write.mode("overwrite").parquet(f"{state}/levels/level=-1")
-    edges = fetched_edges(fetched).checkpoint(eager=True)
+    edges = fetched_edges(fetched)
     finished = run_levels(spark, edges, state, 0, mimes, include, exclude, None)
     log = frontier_log(spark, state).where(F.col("depth") >= 0)
     return log, state, finished

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators.ranking import ordinal_within
+from sitelens.session import spread
 
 ORIGIN_RX = r"^(https?://[^/?#]+)"
 HOST_RX = r"^https?://([^/?#]+)"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def _noframe(url: Column) -> Column:
@@ -76,12 +77,22 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return hashed(a.unionByName(a_dup)), hashed(b.unionByName(b_dup))
 
 
+_HOSTED: dict[tuple[str, str], DataFrame] = {}
+
+
 def hosted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with host and their 1-based rank inside the host (by page_id)."""
-    p = pages(spark, sf_dir).select(
-        "page_id", _noframe(F.col("url")).alias("url"), "html",
-        F.regexp_extract("url", HOST_RX, 1).alias("host"))
-    return ordinal_within(p, ["host"], ["page_id"], out="rn")
+    """Pages with host and their 1-based rank inside the host (by page_id).
+
+    The ranked table is checkpointed by ``ordinal_within``; it is kept per
+    session and folder so the derivations below share one computation.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HOSTED:
+        p = pages(spark, sf_dir).select(
+            "page_id", _noframe(F.col("url")).alias("url"), "html",
+            F.regexp_extract("url", HOST_RX, 1).alias("host"))
+        _HOSTED[key] = ordinal_within(p, ["host"], ["page_id"], out="rn").checkpoint(eager=True)
+    return _HOSTED[key]
 
 
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +100,7 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Expressed as three equi-joins on (host, rank) instead of one OR join.
     """
-    h = hosted_pages(spark, sf_dir).select("host", "rn", "url").cache()
+    h = hosted_pages(spark, sf_dir).select("host", "rn", "url")
     parts = []
     for pos, rel in enumerate([F.col("rn") * 2, F.col("rn") * 2 + 1, F.col("rn") - 1]):
         src = h.select("host", F.col("url").alias("src"), rel.alias("crn"), F.col("rn").alias("src_rn"))

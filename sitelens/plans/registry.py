@@ -83,10 +83,8 @@ def q_d9(spark, sf):
 # --- response columns --------------------------------------------------------
 
 def q_r1(spark, sf):
-    resp = FX.redirect_responses(spark, sf)
-    r = resolve_redirects(resp.select("request_url"), resp)
-    return r.select("request_url", "final_url", F.col("hops").cast("int").alias("hops"), "outcome",
-                    F.col("status"))
+    r = resolve_redirects(FX.redirect_responses(spark, sf))
+    return r.select("request_url", "final_url", "hops", "outcome", "status")
 
 
 def q_r2(spark, sf):
@@ -337,7 +335,7 @@ def q_p2(spark, sf):
 def q_p3(spark, sf):
     from sitelens.session import scratch_dir
     from sitelens.sources.report import export_report_documents, read_report
-    fetched = CR.fetched_table(FX.crawl_responses(spark, sf)).checkpoint(eager=True)
+    fetched = CR.fetched_table(FX.crawl_responses(spark, sf))
     seeds = FX.seeds(spark, sf).select(F.col("seed").alias("crawl_id"), "seed")
     log, state, finished = CR.crawl_closure(fetched, seeds, max_levels=1)
     assets = CR.crawl_assets(log, fetched, through_depth=0)

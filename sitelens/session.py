@@ -59,3 +59,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/sitelens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin the rows over at least ``defaultParallelism`` tasks when the
+    scan yields fewer partitions (e.g. a single-row-group file feeding CPU-heavy
+    per-row work). A large input already has many splits and is left alone,
+    so no shuffle is added there."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

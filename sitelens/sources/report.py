@@ -77,7 +77,7 @@ def export_report_documents(spark: SparkSession, assets: DataFrame, state: str,
                             settings: dict[str, str] | None = None, max_assets: int = 1_000_000) -> None:
     """S2 (document layout) for the crawls in ``assets`` and the crawl ``state`` folder.
 
-    Assets are ordered by (depth, rank). An unfinished crawl gets ``queue``
+    Assets are ordered by (depth, key). An unfinished crawl gets ``queue``
     (pending urls in order) and ``processed`` (all seen urls, pending ones
     included); a finished one gets ``finished`` only.
     """
@@ -89,13 +89,13 @@ def export_report_documents(spark: SparkSession, assets: DataFrame, state: str,
     last = spark.read.parquet(f"{state}/progress").agg(F.max("level")).first()[0]
     lv = _levels(spark, state).where(F.col("level") >= 0)
     q = (lv.where(F.col("level") == last).groupBy("crawl_id")
-         .agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("q"))
+         .agg(F.array_sort(F.collect_list(F.struct("key", "url"))).alias("q"))
          .select("crawl_id", F.transform("q", lambda s: s["url"]).alias("queue")))
     seen = lv.groupBy("crawl_id").agg(F.array_sort(F.collect_list(
-        F.struct("level", "rank", "url"))).alias("s")).select(
+        F.struct("level", "key", "url"))).alias("s")).select(
         "crawl_id", F.transform("s", lambda s: s["url"]).alias("processed"))
     a = (assets.groupBy("crawl_id")
-         .agg(F.array_sort(F.collect_list(F.struct("depth", "rank", *[F.col(c) for c in ASSET_COLUMNS])))
+         .agg(F.array_sort(F.collect_list(F.struct("depth", "key", *[F.col(c) for c in ASSET_COLUMNS])))
               .alias("a"))
          .select("crawl_id", F.transform("a", lambda s: F.struct(*[s[c].alias(c) for c in ASSET_COLUMNS]))
                  .alias("assets")))
