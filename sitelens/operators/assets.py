@@ -86,38 +86,45 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
     keep = keep or []
     ok = ok_responses(responses)
     ct = C.parse_content_type(F.col("content_type"))
-    a = ok.select(*keep, F.col(url_col).alias("_fu"), "body", "last_modified_hdr",
-                  ct["media_type"].alias("_media"), ct["charset"].alias("charset"),
-                  C.content_hash(F.col("body")).alias("hash"))
     fu = F.col("_fu")
-    a = a.withColumn("_url_ok", U.report_key_native_ok(fu))
-    a = a.withColumn("_url", F.when(F.col("_url_ok"), U.report_key_native(fu)))
-    a = a.withColumn("_mime", guess_mime(F.col("_media"), F.col("_url")))
-    a = a.withColumn("_kind", asset_kind(F.col("_mime"), F.col("_url")))
-    # rows whose url needs the full parser are parsed both ways; the UDF picks one
+    # stage 1: response columns and the natively canonical url
+    a = ok.select(*keep, F.col(url_col).alias("_fu"), "body", "last_modified_hdr",
+                  ct.alias("_ct"), C.content_hash(F.col("body")).alias("hash"))
+    a = a.select(*keep, "_fu", "body", "last_modified_hdr", "hash", F.col("_ct.media_type").alias("_media"),
+                 F.col("_ct.charset").alias("charset"), U.report_key_native_ok(fu).alias("_url_ok"))
+    url = F.when(F.col("_url_ok"), U.report_key_native(fu))
+    a = a.select("*", url.alias("_url"))
+    mime = guess_mime(F.col("_media"), F.col("_url"))
+    a = a.select("*", mime.alias("_mime"))
+    # stage 2: parser routing; rows whose url needs the full parser are parsed both ways
+    a = a.select("*", asset_kind(F.col("_mime"), F.col("_url")).alias("_kind"))
     html = (F.col("_kind") == "html") | ~F.col("_url_ok")
     sitemap = (F.col("_kind") == "sitemap") | ~F.col("_url_ok")
-    a = a.withColumn("_text", F.when(html | sitemap, C.decode_text(F.col("body"))))
-    a = a.withColumn("_tags", F.when(html, E.html_tags(F.col("_text"))))
-    a = a.withColumn("_html_refs", F.when(html, E.references_from_tags(F.col("_tags"))))
-    a = a.withColumn("_sm_refs", F.when(sitemap, E.sitemap_raw_locs(F.col("_text"))))
-    a = E.with_meta_date(a, "_tags", "_meta_date")
-    a = a.drop("_text", "_tags")
-    if not keep_body:
-        a = a.drop("body")
+    a = a.select(*[c for c in a.columns if c != "body"],
+                 F.when(html | sitemap, C.decode_text(F.col("body"))).alias("_text"),
+                 *(["body"] if keep_body else []))
+    a = a.select("*", F.when(html, E.html_tags(F.col("_text"))).alias("_tags"))
+    a = a.select(*[c for c in a.columns if c not in ("_text", "_tags")],
+                 F.when(html, E.references_from_tags(F.col("_tags"))).alias("_html_refs"),
+                 F.when(sitemap, E.sitemap_raw_locs(F.col("_text"))).alias("_sm_refs"),
+                 F.when(html, E.meta_metas(F.col("_tags"))).alias("_metas"))
+    a = a.select(*[c for c in a.columns if c != "_metas"],
+                 E.meta_date_content(F.col("_metas")).alias("_meta_content"))
     raw = (F.when(F.col("_kind") == "html", F.col("_html_refs"))
            .when(F.col("_kind") == "sitemap", F.col("_sm_refs"))
            .otherwise(F.array().cast("array<string>")))
-    a = a.withColumn("_raw", raw)
+    a = a.select(*[c for c in a.columns if c != "_meta_content"],
+                 E.parse_meta_date(F.col("_meta_content")).alias("_meta_date"), raw.alias("_raw"))
+    # stage 3: references natively where possible, one UDF stage for the rest
     base, is_html = F.col("_url"), F.col("_kind") == "html"
     refs_ok = F.forall(F.col("_raw"), lambda r: U.native_resolvable(r, base) & (~is_html | ~r.contains("&")))
-    a = a.withColumn("_nat", F.col("_url_ok") & F.coalesce(refs_ok, F.lit(True)))
+    a = a.select("*", (F.col("_url_ok") & F.coalesce(refs_ok, F.lit(True))).alias("_nat"))
     nat = F.col("_nat")
     fast_refs = F.array_distinct(F.transform(F.col("_raw"), lambda r: U.resolve_native(r, base)))
-    a = a.withColumn("_slow", _finish_slow_rows(F.when(~nat, fu), F.col("_media"), F.col("_html_refs"),
-                                                F.col("_sm_refs")))
+    a = a.select("*", _finish_slow_rows(F.when(~nat, fu), F.col("_media"), F.col("_html_refs"),
+                                        F.col("_sm_refs")).alias("_slow"))
     kind = F.when(nat, F.col("_kind")).otherwise(F.col("_slow.kind"))
-    a = a.select(
+    return a.select(
         *keep,
         F.when(nat, F.col("_url")).otherwise(F.col("_slow.url")).alias("url"),
         F.coalesce(C.parse_date(F.col("last_modified_hdr")),
@@ -127,4 +134,3 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
         F.when(nat, fast_refs).otherwise(F.col("_slow.references")).alias("references"),
         kind.alias("kind"),
         *(["body"] if keep_body else []))
-    return a

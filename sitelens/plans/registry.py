@@ -206,9 +206,13 @@ def q_e5(spark, sf):
     return e.select("page_id", "src", F.col("pos").cast("int").alias("pos"), "dst", "dst_key")
 
 
-def _assets(spark, sf):
+def _assets(spark, sf, persist: bool = False):
+    """P1 over the FX1 responses. ``persist`` stands for the canonical assets
+    table: consumers read the checkpointed slim rows instead of re-planning
+    the extraction inside their own joins."""
     r = FX.responses(spark, sf).withColumn("final_url", F.col("request_url"))
-    return build_assets(r, keep=["ord"])
+    a = build_assets(r, keep=["ord"])
+    return a.checkpoint(eager=True) if persist else a
 
 
 def q_p1(spark, sf):
@@ -285,7 +289,7 @@ def q_f9(spark, sf):
 
 
 def q_f10(spark, sf):
-    return FR.filter_asset_mime(_assets(spark, sf), REPORT_MIMES).select("ord", "url", "data_mime")
+    return FR.filter_asset_mime(_assets(spark, sf, True), REPORT_MIMES).select("ord", "url", "data_mime")
 
 
 def q_f11(spark, sf):
@@ -371,7 +375,7 @@ def q_t1(spark, sf):
 def q_s1(spark, sf):
     from sitelens.session import scratch_dir
     from sitelens.sources.report import read_report, write_report
-    a = _assets(spark, sf).withColumn("crawl_id", F.lit("snapshot-1"))
+    a = _assets(spark, sf, True).withColumn("crawl_id", F.lit("snapshot-1"))
     path = scratch_dir(spark, "report-lines")
     write_report(a.select("crawl_id", "ord", "url", "last_modified", "data_mime", "charset", "hash",
                           "references"), path)
@@ -415,14 +419,14 @@ def _lookup_requests(spark, sf):
 
 def q_v1(spark, sf):
     from sitelens.operators.lookup import path_index
-    return path_index(_assets(spark, sf)).select("path", "hash", "data_mime")
+    return path_index(_assets(spark, sf, True)).select("path", "hash", "data_mime")
 
 
 def q_v2(spark, sf):
     from sitelens.operators.lookup import resolve_requests
     a, b = FX.snapshots(spark, sf)
     content = a.select("hash", F.col("body").cast("binary").alias("body")).dropDuplicates(["hash"])
-    assets = _assets(spark, sf)
+    assets = _assets(spark, sf, True)
     return resolve_requests(_lookup_requests(spark, sf), assets, content).select(
         "path", "status", "content_type", "hash")
 

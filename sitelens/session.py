@@ -36,6 +36,10 @@ def get_spark(master: str | None = None, partitions: int | None = None,
         .config("spark.driver.memory", os.environ.get("SITELENS_DRIVER_MEM", "16g"))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    event_dir = os.environ.get("SITELENS_EVENT_LOG")
+    if event_dir:  # stage/task timings for profiling, written to a scratch folder
+        builder = (builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
+                   .config("spark.eventLog.compress", "false"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
