@@ -12,6 +12,7 @@ which would repeat the HTML tokenizing several times per row.
 from __future__ import annotations
 
 import html as _html
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,53 +85,68 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
     resolved are skipped instead of dropping the page.
     """
     keep = keep or []
+    x = _exprs()
     ok = ok_responses(responses)
-    ct = C.parse_content_type(F.col("content_type"))
-    fu = F.col("_fu")
     # stage 1: response columns and the natively canonical url
-    a = ok.select(*keep, F.col(url_col).alias("_fu"), "body", "last_modified_hdr",
-                  ct.alias("_ct"), C.content_hash(F.col("body")).alias("hash"))
-    a = a.select(*keep, "_fu", "body", "last_modified_hdr", "hash", F.col("_ct.media_type").alias("_media"),
-                 F.col("_ct.charset").alias("charset"), U.report_key_native_ok(fu).alias("_url_ok"))
-    url = F.when(F.col("_url_ok"), U.report_key_native(fu))
-    a = a.select("*", url.alias("_url"))
-    mime = guess_mime(F.col("_media"), F.col("_url"))
-    a = a.select("*", mime.alias("_mime"))
+    a = ok.select(*keep, F.col(url_col).alias("_fu"), "body", "last_modified_hdr", x["ct"], x["hash"])
+    a = a.select(*keep, "_fu", "body", "last_modified_hdr", "hash", x["media"], x["charset"], x["url_ok"])
+    a = a.select("*", x["url"])
+    a = a.select("*", x["mime"])
     # stage 2: parser routing; rows whose url needs the full parser are parsed both ways
-    a = a.select("*", asset_kind(F.col("_mime"), F.col("_url")).alias("_kind"))
+    a = a.select("*", x["kind"])
+    a = a.select(*[c for c in a.columns if c != "body"], x["text"], *(["body"] if keep_body else []))
+    a = a.select("*", x["tags"])
+    a = a.select(*[c for c in a.columns if c not in ("_text", "_tags")], x["html_refs"], x["sm_refs"], x["metas"])
+    a = a.select(*[c for c in a.columns if c != "_metas"], x["meta_content"])
+    a = a.select(*[c for c in a.columns if c != "_meta_content"], x["meta_date"], x["raw"])
+    # stage 3: references natively where possible, one UDF stage for the rest
+    a = a.select("*", x["nat"])
+    a = a.select("*", x["slow"])
+    return a.select(*keep, *x["final"], *(["body"] if keep_body else []))
+
+
+@lru_cache(maxsize=1)
+def _exprs() -> dict:
+    """The pipeline's column expressions. They refer only to the pipeline's own
+    column names, so they are built once per process: building them costs
+    thousands of calls into the JVM, analysing them costs nothing extra."""
+    x = {}
+    fu = F.col("_fu")
+    x["ct"] = C.parse_content_type(F.col("content_type")).alias("_ct")
+    x["hash"] = C.content_hash(F.col("body")).alias("hash")
+    x["media"] = F.col("_ct.media_type").alias("_media")
+    x["charset"] = F.col("_ct.charset").alias("charset")
+    x["url_ok"] = U.report_key_native_ok(fu).alias("_url_ok")
+    x["url"] = F.when(F.col("_url_ok"), U.report_key_native(fu)).alias("_url")
+    x["mime"] = guess_mime(F.col("_media"), F.col("_url")).alias("_mime")
+    x["kind"] = asset_kind(F.col("_mime"), F.col("_url")).alias("_kind")
     html = (F.col("_kind") == "html") | ~F.col("_url_ok")
     sitemap = (F.col("_kind") == "sitemap") | ~F.col("_url_ok")
-    a = a.select(*[c for c in a.columns if c != "body"],
-                 F.when(html | sitemap, C.decode_text(F.col("body"))).alias("_text"),
-                 *(["body"] if keep_body else []))
-    a = a.select("*", F.when(html, E.html_tags(F.col("_text"))).alias("_tags"))
-    a = a.select(*[c for c in a.columns if c not in ("_text", "_tags")],
-                 F.when(html, E.references_from_tags(F.col("_tags"))).alias("_html_refs"),
-                 F.when(sitemap, E.sitemap_raw_locs(F.col("_text"))).alias("_sm_refs"),
-                 F.when(html, E.meta_metas(F.col("_tags"))).alias("_metas"))
-    a = a.select(*[c for c in a.columns if c != "_metas"],
-                 E.meta_date_content(F.col("_metas")).alias("_meta_content"))
-    raw = (F.when(F.col("_kind") == "html", F.col("_html_refs"))
-           .when(F.col("_kind") == "sitemap", F.col("_sm_refs"))
-           .otherwise(F.array().cast("array<string>")))
-    a = a.select(*[c for c in a.columns if c != "_meta_content"],
-                 E.parse_meta_date(F.col("_meta_content")).alias("_meta_date"), raw.alias("_raw"))
-    # stage 3: references natively where possible, one UDF stage for the rest
+    x["text"] = F.when(html | sitemap, C.decode_text(F.col("body"))).alias("_text")
+    x["tags"] = F.when(html, E.html_tags(F.col("_text"))).alias("_tags")
+    x["html_refs"] = F.when(html, E.references_from_tags(F.col("_tags"))).alias("_html_refs")
+    x["sm_refs"] = F.when(sitemap, E.sitemap_raw_locs(F.col("_text"))).alias("_sm_refs")
+    x["metas"] = F.when(html, E.meta_metas(F.col("_tags"))).alias("_metas")
+    x["meta_content"] = E.meta_date_content(F.col("_metas")).alias("_meta_content")
+    x["meta_date"] = E.parse_meta_date(F.col("_meta_content")).alias("_meta_date")
+    x["raw"] = (F.when(F.col("_kind") == "html", F.col("_html_refs"))
+                .when(F.col("_kind") == "sitemap", F.col("_sm_refs"))
+                .otherwise(F.array().cast("array<string>"))).alias("_raw")
     base, is_html = F.col("_url"), F.col("_kind") == "html"
     refs_ok = F.forall(F.col("_raw"), lambda r: U.native_resolvable(r, base) & (~is_html | ~r.contains("&")))
-    a = a.select("*", (F.col("_url_ok") & F.coalesce(refs_ok, F.lit(True))).alias("_nat"))
+    x["nat"] = (F.col("_url_ok") & F.coalesce(refs_ok, F.lit(True))).alias("_nat")
     nat = F.col("_nat")
+    x["slow"] = _finish_slow_rows(F.when(~nat, fu), F.col("_media"), F.col("_html_refs"),
+                                  F.col("_sm_refs")).alias("_slow")
     fast_refs = F.array_distinct(F.transform(F.col("_raw"), lambda r: U.resolve_native(r, base)))
-    a = a.select("*", _finish_slow_rows(F.when(~nat, fu), F.col("_media"), F.col("_html_refs"),
-                                        F.col("_sm_refs")).alias("_slow"))
     kind = F.when(nat, F.col("_kind")).otherwise(F.col("_slow.kind"))
-    return a.select(
-        *keep,
+    x["final"] = [
         F.when(nat, F.col("_url")).otherwise(F.col("_slow.url")).alias("url"),
         F.coalesce(C.parse_date(F.col("last_modified_hdr")),
                    F.when(kind == "html", F.col("_meta_date"))).alias("last_modified"),
         F.when(nat, F.col("_mime")).otherwise(F.col("_slow.data_mime")).alias("data_mime"),
-        "charset", "hash",
+        F.col("charset"), F.col("hash"),
         F.when(nat, fast_refs).otherwise(F.col("_slow.references")).alias("references"),
         kind.alias("kind"),
-        *(["body"] if keep_body else []))
+    ]
+    return x

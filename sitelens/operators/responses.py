@@ -78,11 +78,11 @@ def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
         else:
             bad = moved.where(F.lit(False)).withColumn("flag", F.lit("bad_location"))
             active = moved
-        done_i = stop.unionByName(bad)
+        # finished chains hang off the previous (checkpointed) hop, so their
+        # lineage is one join deep; only the active set needs cutting
+        done_parts.append(stop.unionByName(bad))
         if checkpoint:
             active = active.checkpoint(eager=True)
-            done_i = done_i.checkpoint(eager=True)
-        done_parts.append(done_i)
         if active.isEmpty():
             break
     finals = active.withColumn("flag", F.lit("redirect_limit"))
