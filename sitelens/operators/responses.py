@@ -64,6 +64,9 @@ def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
     redirects = (resp.where(F.col("status").isin(*statuses) & F.col("location").isNotNull()
                             & (F.col("location") != ""))
                  .select(F.col("request_url").alias("cur"), F.col("location").alias("next")))
+    if checkpoint:
+        # materialized once: otherwise every hop would re-scan and re-shuffle the log
+        redirects = redirects.checkpoint(eager=True)
     active = requests.withColumn("cur", F.col("request_url")).withColumn("hops", F.lit(0))
     done_parts = []
     for i in range(limit):

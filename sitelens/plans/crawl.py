@@ -13,6 +13,7 @@ advance together. One small action per level decides whether to stop.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +52,20 @@ def fetched_table(responses: DataFrame, persist: bool = True) -> DataFrame:
     return out.checkpoint(eager=True) if persist else out
 
 
-def fetched_edges(fetched: DataFrame) -> DataFrame:
-    """request_url, pos, dst_queue for every reference of every fetched asset."""
+def fetched_edges(fetched: DataFrame, persist: bool = True) -> DataFrame:
+    """request_url, pos, dst_queue for every reference of every fetched asset.
+
+    ``persist`` hash-partitions the edges by ``request_url`` (the per-level join
+    key) into ``spark.sql.shuffle.partitions`` parts and checkpoints them; the
+    checkpoint keeps that partitioning, so the level joins shuffle only the
+    (small) frontier side, or broadcast it.
+    """
     e = link_edges(fetched.where(F.col("outcome") == "ok"), src_col="url", keep=["request_url"])
-    return e.select("request_url", "pos", "dst_queue")
+    e = e.select("request_url", "pos", "dst_queue")
+    if not persist:
+        return e
+    n = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return e.repartition(n, "request_url").checkpoint(eager=True)
 
 
 def canonical_seeds(seeds: DataFrame) -> DataFrame:
@@ -79,38 +90,81 @@ def _levels(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(f"{state}/levels")
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _first_discovery(cand: DataFrame) -> DataFrame:
     """F6 with FIFO keys: one row per (crawl_id, url), the smallest key wins.
 
     A url's key is its discoverer's key followed by its position in the
     discoverer's references. Within one level all keys have the same length,
     so lexicographic key order is exactly the order a FIFO queue would give
-    (parent first, then reference position) - no per-level global sort.
+    (parent first, then reference position) - no per-level global sort. The
+    aggregate is partial before its shuffle, so a url linked from every page
+    costs one row per task.
+    """
+    return (cand.groupBy("crawl_id", "url")
+            .agg(F.min("key").alias("key"), F.first("target_host").alias("target_host")))
+
+
+@contextmanager
+def _static_plan(spark: SparkSession):
+    """Plan one materialization without AQE. An adaptive plan reports unknown
+    output partitioning, so a checkpoint taken under AQE forgets that it is
+    hash-partitioned; taken without, the partitioning is kept."""
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def _seen_part(df: DataFrame, n: int) -> DataFrame:
+    """A level's (crawl_id, url) hash-partitioned into ``n`` parts and checkpointed.
+
+    The checkpoint keeps the partitioning, so later anti joins against it
+    shuffle only the new frontier (whose aggregate is already partitioned the
+    same way), never the seen-set.
     """
-    return (cand.groupBy("crawl_id", "target_host", "url")
-            .agg(F.min("key").alias("key")))
+    with _static_plan(df.sparkSession):
+        return df.select("crawl_id", "url").repartition(n, "crawl_id", "url").checkpoint(eager=True)
 
 
 def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: int,
                mimes: Sequence[str] = (), include: str | None = None, exclude: str | None = None,
                max_levels: int | None = None) -> bool:
-    """Advance the crawl stored under ``state`` from ``start_level``; True when finished."""
+    """Advance the crawl stored under ``state`` from ``start_level``; True when finished.
+
+    Seen urls are kept as one co-partitioned checkpoint per level (built once
+    from the stored levels, then one per new level). Each new frontier is
+    anti-joined against those parts in turn: the seen-set is scanned, not
+    shuffled, so the work per level stays proportional to the new frontier.
+    """
+    n = _partitions(spark)
+    stored = _levels(spark, state)
+    parts = [_seen_part(stored.where(F.col("level") <= start_level), n)]
     level = start_level
+    cur = spark.read.parquet(f"{state}/levels/level={level}")
     while True:
         if max_levels is not None and level - start_level >= max_levels:
             return False
-        cur = spark.read.parquet(f"{state}/levels/level={level}")
         proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"), "key")
         cand = proc.join(edges, "request_url").select(
             "crawl_id", "target_host", F.col("dst_queue").alias("url"),
             F.concat(F.col("key"), F.array(F.col("pos").cast("int"))).alias("key"))
         cand = cand.where(skip_reason(F.col("url"), F.col("target_host"), mimes, include, exclude).isNull())
-        seen = _levels(spark, state).select("crawl_id", "url")
-        nf = _first_discovery(cand).join(seen, ["crawl_id", "url"], "left_anti")
-        n = _write_level(nf, state, level + 1)
+        nf = _first_discovery(cand)
+        for part in parts:
+            nf = nf.join(part, ["crawl_id", "url"], "left_anti")
+        nf = nf.checkpoint(eager=True)
+        count = _write_level(nf, state, level + 1)
         level += 1
-        if n == 0:
+        if count == 0:
             return True
+        parts.append(_seen_part(nf, n))
+        cur = nf
 
 
 def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (),
@@ -133,7 +187,7 @@ def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (
         sm = sm.join(s.select("crawl_id", "target_host"), "crawl_id")
         lvl0 = lvl0.unionByName(sm.select("crawl_id", "target_host", "url",
                                           F.array((F.col("p") + 1).cast("int")).alias("key")))
-    _write_level(_first_discovery(lvl0), state, 0)
+    _write_level(_first_discovery(lvl0).select("crawl_id", "url", "target_host", "key"), state, 0)
     edges = fetched_edges(fetched)
     finished = run_levels(spark, edges, state, 0, mimes, include, exclude, max_levels)
     return frontier_log(spark, state), state, finished
