@@ -63,7 +63,12 @@ def parse_date(text: Column) -> Column:
         F.try_to_timestamp(http, F.lit("d MMM yyyy HH:mm:ss Z")),
         F.try_to_timestamp(http, F.lit("d MMM yyyy HH:mm Z")))
     iso_ok = s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-    iso_ts = F.when(iso_ok, F.try_to_timestamp(F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    # zone-less input is made explicitly UTC, so the session time zone never matters
+    iso = F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    iso = (F.when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00:00Z")))
+           .when(~iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.concat(iso, F.lit("Z")))
+           .otherwise(iso))
+    iso_ts = F.when(iso_ok, F.try_to_timestamp(iso))
     return _iso(F.coalesce(iso_ts, http_ts))
 
 

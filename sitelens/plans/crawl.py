@@ -249,6 +249,20 @@ def resume_crawl(spark: SparkSession, queue: DataFrame, processed: DataFrame, fe
     return log, state, finished
 
 
+def save_crawl_content(responses: DataFrame, assets: DataFrame, store: str) -> DataFrame:
+    """S3 for a crawl: store the bodies of reported assets (F10-passing, hashed).
+
+    Assets are slim, so the bodies are taken from the responses by a semi join
+    on the hash; assets rejected by the report MIME filter are not stored, and a
+    report-only crawl simply does not call this.
+    """
+    from sitelens.functions.content import content_hash
+    from sitelens.sources.store import save_content
+    hashes = assets.where(F.col("hash").isNotNull()).select("hash").distinct()
+    r = responses.withColumn("hash", content_hash(F.col("body")))
+    return save_content(r.join(hashes, "hash", "left_semi"), store)
+
+
 def merge_settings(stored, current, override=None):
     """Stored settings win over current ones unless ``override``; keys missing
     from the stored map keep the current value (map columns)."""

@@ -43,7 +43,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
           .otherwise(F.lit(None).cast("string")))
     m3 = _pid() % 3
     ts = F.timestamp_seconds(F.lit(1577836800) + _pid() * 3607)
-    hdr = (F.when(m3 == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    utc = F.to_utc_timestamp(ts, F.current_timezone())   # UTC wall clock whatever the session zone
+    hdr = (F.when(m3 == 0, F.concat(F.date_format(utc, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
            .when(m3 == 2, F.lit("not a date")))
     return p.select(
         "page_id", F.lit(1).alias("snapshot_id"), _pid().alias("ord"),

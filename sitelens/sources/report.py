@@ -29,18 +29,32 @@ _META_LINE = T.StructType([T.StructField("crawl_id", T.StringType()), *META.fiel
 
 
 def write_report(assets: DataFrame, path: str, meta: DataFrame | None = None,
-                 queue: DataFrame | None = None, processed: DataFrame | None = None) -> None:
-    """S2 (canonical): asset rows, and optionally meta/queue/processed, as JSON lines."""
-    assets.select("crawl_id", "ord", *ASSET_COLUMNS).write.mode("overwrite").json(f"{path}/assets")
+                 queue: DataFrame | None = None, processed: DataFrame | None = None,
+                 fmt: str = "json") -> None:
+    """S2 (canonical): asset rows, and optionally meta/queue/processed tables.
+
+    ``fmt="json"`` writes JSON lines (interchange); ``fmt="parquet"`` writes
+    Parquet with the assets partitioned by ``snapshot_id`` when that column is
+    present (storage). Both are splittable and have no size limit.
+    """
+    def out(df, name, partition=None):
+        w = df.write.mode("overwrite")
+        if fmt == "parquet":
+            (w.partitionBy(partition) if partition else w).parquet(f"{path}/{name}")
+        else:
+            w.json(f"{path}/{name}")
+    cols = ["crawl_id", "ord", *ASSET_COLUMNS] + (["snapshot_id"] if "snapshot_id" in assets.columns else [])
+    out(assets.select(*cols), "assets", "snapshot_id" if "snapshot_id" in assets.columns else None)
     if meta is not None:
-        meta.write.mode("overwrite").json(f"{path}/meta")
+        out(meta, "meta")
     if queue is not None:
-        queue.select("crawl_id", "url", "rank").write.mode("overwrite").json(f"{path}/queue")
+        out(queue.select("crawl_id", "url", "rank"), "queue")
     if processed is not None:
-        processed.select("crawl_id", "url").write.mode("overwrite").json(f"{path}/processed")
+        out(processed.select("crawl_id", "url"), "processed")
 
 
-def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_line: bool = False):
+def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_line: bool = False,
+                fmt: str = "json"):
     """(meta, assets, queue, processed) DataFrames.
 
     ``layout="lines"`` reads the canonical folder; ``layout="documents"`` reads
@@ -49,15 +63,18 @@ def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_lin
     is the document's ``meta.url``.
     """
     if layout == "lines":
-        assets = spark.read.schema(_ASSET_LINE).json(f"{path}/assets")
+        def rd(schema, name):
+            r = spark.read.schema(schema) if fmt == "json" else spark.read
+            return r.json(f"{path}/{name}") if fmt == "json" else r.parquet(f"{path}/{name}")
+        assets = rd(_ASSET_LINE, "assets")
         meta_s = _META_LINE
         try:
-            meta = spark.read.schema(meta_s).json(f"{path}/meta")
+            meta = rd(meta_s, "meta")
         except Exception:
             meta = spark.createDataFrame([], meta_s)
         try:
-            queue = spark.read.schema("crawl_id string, url string, rank long").json(f"{path}/queue")
-            processed = spark.read.schema("crawl_id string, url string").json(f"{path}/processed")
+            queue = rd("crawl_id string, url string, rank long", "queue")
+            processed = rd("crawl_id string, url string", "processed")
         except Exception:
             queue = spark.createDataFrame([], "crawl_id string, url string, rank long")
             processed = spark.createDataFrame([], "crawl_id string, url string")

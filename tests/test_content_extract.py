@@ -98,3 +98,15 @@ def test_build_assets_rows(spark):
     s = got["https://h.com/sitemap.xml"]
     assert s.kind == "sitemap" and s.references == ["https://h.com/rel", "https://o.org/z"]
     assert got["https://h.com/~user/p"].references == ["https://h.com/~user/q"]   # decodeURI(%7E) = ~
+
+
+def test_dates_ignore_session_time_zone(spark):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows = ["2024-01-02", "2024-01-02T03:04:05", "2024-01-02T03:04:05+02:00", "Sun, 06 Nov 1994 08:49:37 GMT"]
+        got = spark.createDataFrame([(r,) for r in rows], "d string").select(C.parse_date("d").alias("x")).collect()
+        assert [g.x for g in got] == ["2024-01-02T00:00:00.000Z", "2024-01-02T03:04:05.000Z",
+                                      "2024-01-02T01:04:05.000Z", "1994-11-06T08:49:37.000Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)

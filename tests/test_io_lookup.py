@@ -85,3 +85,17 @@ def test_entry_contract(spark):
     assert df.count() >= 0 and "change_type" in df.columns
     qs, sql = se.queries(), se.oracle_sql()
     assert set(sql) <= set(qs) and set(qs) - set(sql) == {"d8_content_patches"}
+
+
+def test_report_parquet_and_crawl_store(spark, tmp_dir):
+    from sitelens.plans import crawl as CR
+    a = spark.createDataFrame([("c", 0, "https://h/", None, "text/html", None, "h", [], 1)],
+                              "crawl_id string, ord long, url string, last_modified string, data_mime string, "
+                              "charset string, hash string, references array<string>, snapshot_id int")
+    write_report(a, f"{tmp_dir}/pq", fmt="parquet")
+    _, back, _, _ = read_report(spark, f"{tmp_dir}/pq", fmt="parquet")
+    assert back.first().snapshot_id == 1 and back.count() == 1
+    resp = spark.createDataFrame([(200, b"kept"), (200, b"filtered")], "status int, body binary")
+    kept = resp.where("body = cast('kept' as binary)").select(F.sha2("body", 256).alias("hash"))
+    added = CR.save_crawl_content(resp, kept, f"{tmp_dir}/store")
+    assert [bytes(r.body) for r in added.collect()] == [b"kept"]
