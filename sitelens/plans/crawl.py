@@ -158,12 +158,17 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
         nf = _first_discovery(cand)
         for part in parts:
             nf = nf.join(part, ["crawl_id", "url"], "left_anti")
-        nf = nf.checkpoint(eager=True)
+        # planned statically: the level comes out hash-partitioned on
+        # (crawl_id, url) and its checkpoint keeps that, so it serves directly
+        # as the next seen part (edges are pre-partitioned, so the join with
+        # the frontier still shuffles only the frontier)
+        with _static_plan(spark):
+            nf = nf.checkpoint(eager=True)
         count = _write_level(nf, state, level + 1)
         level += 1
         if count == 0:
             return True
-        parts.append(_seen_part(nf, n))
+        parts.append(nf.select("crawl_id", "url"))
         cur = nf
 
 
