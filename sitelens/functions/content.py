@@ -85,3 +85,7 @@ def decode_text(body: Column) -> Column:
     """
     txt = F.make_valid_utf8(_c(body).cast("string"))
     return F.regexp_replace(txt, r"^\x{FEFF}", "")
+
+
+# SURVEY §2 name for R5 (the same parser serves HTTP headers and HTML metas)
+parse_http_date = parse_date

@@ -200,3 +200,28 @@ def link_edges(assets: DataFrame, src_col: str = "url", refs_col: str = "referen
                       F.posexplode_outer(F.col(refs_col)).alias("pos", "dst")).where(F.col("dst").isNotNull())
     e = e.withColumn("dst_queue", U.strip_fragment(F.col("dst")))
     return U.with_decoded(e, "dst_queue", "dst_key")
+
+
+# --- DataFrame-level names of SURVEY §2 ------------------------------------------
+
+def extract_references(df: DataFrame, text_col: str = "text", out_col: str = "raw_refs") -> DataFrame:
+    """E1 on a DataFrame: adds the raw references of an HTML text column."""
+    return df.withColumn(out_col, html_raw_references(F.col(text_col)))
+
+
+def resolve_references(df: DataFrame, raw_col: str = "raw_refs", base_col: str = "url",
+                       out_col: str = "references") -> DataFrame:
+    """E2 on a DataFrame (see :func:`with_references`)."""
+    return with_references(df, raw_col, base_col, out_col)
+
+
+def html_last_modified(df: DataFrame, text_col: str = "text", out_col: str = "last_modified") -> DataFrame:
+    """E3 on a DataFrame: tokenizes once, then picks and parses the meta date."""
+    return with_meta_date(df.withColumn("_tags", html_tags(F.col(text_col))), "_tags", out_col).drop("_tags")
+
+
+def sitemap_references(df: DataFrame, text_col: str = "text", base_col: str = "url",
+                       out_col: str = "references") -> DataFrame:
+    """E4 on a DataFrame: sitemap locs resolved against the sitemap's url."""
+    d = df.withColumn("_locs", sitemap_raw_locs(F.col(text_col)))
+    return with_references(d, "_locs", base_col, out_col, unescape=False).drop("_locs")
