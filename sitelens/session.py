@@ -52,7 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None) \
         or sc.getConf().get(_CKPT_KEY, None)
     if not current:
-        current = tempfile.mkdtemp(prefix="sitelens-ckpt-")
+        master = sc.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: iterative jobs "
+                               "(crawl levels, redirect hops) write their state there")
+        current = tempfile.mkdtemp(prefix="sitelens-ckpt-")   # local mode only (tests)
         spark.conf.set(_CKPT_KEY, current)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
