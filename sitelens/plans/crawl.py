@@ -105,7 +105,7 @@ def _first_discovery(cand: DataFrame) -> DataFrame:
     costs one row per task.
     """
     return (cand.groupBy("crawl_id", "url")
-            .agg(F.min("key").alias("key"), F.first("target_host").alias("target_host")))
+            .agg(F.min("key").alias("key"), F.min("target_host").alias("target_host")))
 
 
 @contextmanager

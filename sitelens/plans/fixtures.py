@@ -58,8 +58,24 @@ def _snap_lm() -> Column:
         F.lit("2024-05-"), F.lpad((_pid() % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00.000Z")))
 
 
+_SNAPS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """FX2: two snapshots with removed, added, modified and duplicate urls."""
+    """FX2: two snapshots with removed, added, modified and duplicate urls.
+
+    Snapshots stand for stored reports, so they are materialized once per
+    session and folder (checkpointed with their hash) and shared by the diff
+    queries instead of being re-derived in every branch of every plan.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPS:
+        a, b = _derive_snapshots(spark, sf_dir)
+        _SNAPS[key] = (a.checkpoint(eager=True), b.checkpoint(eager=True))
+    return _SNAPS[key]
+
+
+def _derive_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = pages(spark, sf_dir).select("page_id", _noframe(F.col("url")).alias("url"), "html")
     a = p.where(_pid() % 11 != 4).select(_pid().alias("ord"), "url", F.col("html").alias("body"),
                                          _snap_lm().alias("last_modified"))
