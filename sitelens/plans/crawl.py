@@ -75,15 +75,21 @@ def canonical_seeds(seeds: DataFrame) -> DataFrame:
                     U.url_host(F.col("_href")).alias("target_host"))
 
 
-def _write_level(df: DataFrame, state: str, level: int) -> int:
-    """Persist one level (crawl_id, url, target_host, key) and record its size."""
+def _write_level(df: DataFrame, state: str, level: int, materialized: bool = False) -> int:
+    """Persist one level (crawl_id, url, target_host, key); returns its size.
+
+    ``materialized`` means ``df`` is a checkpoint, so counting it is a cheap
+    read of that checkpoint rather than of the written files.
+    """
     path = f"{state}/levels/level={level}"
     df.select("crawl_id", "url", "target_host", "key").write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    n = spark.read.parquet(path).count()
-    spark.createDataFrame([(level, n)], "level int, n long").write.mode("overwrite").parquet(
-        f"{state}/progress/level={level}")
-    return n
+    return df.count() if materialized else df.sparkSession.read.parquet(path).count()
+
+
+def _write_progress(spark: SparkSession, state: str, counts: list[tuple[int, int]]) -> None:
+    """Record level sizes (one small write per run, not per level)."""
+    if counts:
+        spark.createDataFrame(counts, "level int, n long").write.mode("append").parquet(f"{state}/progress")
 
 
 def _levels(spark: SparkSession, state: str) -> DataFrame:
@@ -147,29 +153,34 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
     parts = [_seen_part(stored.where(F.col("level") <= start_level), n)]
     level = start_level
     cur = spark.read.parquet(f"{state}/levels/level={level}")
-    while True:
-        if max_levels is not None and level - start_level >= max_levels:
-            return False
-        proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"), "key")
-        cand = proc.join(edges, "request_url").select(
-            "crawl_id", "target_host", F.col("dst_queue").alias("url"),
-            F.concat(F.col("key"), F.array(F.col("pos").cast("int"))).alias("key"))
-        cand = cand.where(skip_reason(F.col("url"), F.col("target_host"), mimes, include, exclude).isNull())
-        nf = _first_discovery(cand)
-        for part in parts:
-            nf = nf.join(part, ["crawl_id", "url"], "left_anti")
-        # planned statically: the level comes out hash-partitioned on
-        # (crawl_id, url) and its checkpoint keeps that, so it serves directly
-        # as the next seen part (edges are pre-partitioned, so the join with
-        # the frontier still shuffles only the frontier)
-        with _static_plan(spark):
-            nf = nf.checkpoint(eager=True)
-        count = _write_level(nf, state, level + 1)
-        level += 1
-        if count == 0:
-            return True
-        parts.append(nf.select("crawl_id", "url"))
-        cur = nf
+    counts: list[tuple[int, int]] = []
+    try:
+        while True:
+            if max_levels is not None and level - start_level >= max_levels:
+                return False
+            proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"), "key")
+            cand = proc.join(edges, "request_url").select(
+                "crawl_id", "target_host", F.col("dst_queue").alias("url"),
+                F.concat(F.col("key"), F.array(F.col("pos").cast("int"))).alias("key"))
+            cand = cand.where(skip_reason(F.col("url"), F.col("target_host"), mimes, include, exclude).isNull())
+            nf = _first_discovery(cand)
+            for part in parts:
+                nf = nf.join(part, ["crawl_id", "url"], "left_anti")
+            # planned statically: the level comes out hash-partitioned on
+            # (crawl_id, url) and its checkpoint keeps that, so it serves directly
+            # as the next seen part (edges are pre-partitioned, so the join with
+            # the frontier still shuffles only the frontier)
+            with _static_plan(spark):
+                nf = nf.checkpoint(eager=True)
+            count = _write_level(nf, state, level + 1, materialized=True)
+            level += 1
+            counts.append((level, count))
+            if count == 0:
+                return True
+            parts.append(nf.select("crawl_id", "url"))
+            cur = nf
+    finally:
+        _write_progress(spark, state, counts)
 
 
 def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (),
@@ -192,7 +203,8 @@ def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (
         sm = sm.join(s.select("crawl_id", "target_host"), "crawl_id")
         lvl0 = lvl0.unionByName(sm.select("crawl_id", "target_host", "url",
                                           F.array((F.col("p") + 1).cast("int")).alias("key")))
-    _write_level(_first_discovery(lvl0).select("crawl_id", "url", "target_host", "key"), state, 0)
+    n0 = _write_level(_first_discovery(lvl0).select("crawl_id", "url", "target_host", "key"), state, 0)
+    _write_progress(spark, state, [(0, n0)])
     edges = fetched_edges(fetched)
     finished = run_levels(spark, edges, state, 0, mimes, include, exclude, max_levels)
     return frontier_log(spark, state), state, finished
@@ -243,7 +255,7 @@ def resume_crawl(spark: SparkSession, queue: DataFrame, processed: DataFrame, fe
     state = scratch_dir(spark, "resume")
     q = queue.join(target_hosts, "crawl_id").select(
         "crawl_id", "target_host", "url", F.array(F.col("rank").cast("int")).alias("key"))
-    _write_level(q, state, 0)
+    _write_progress(spark, state, [(0, _write_level(q, state, 0))])
     blocked = processed.join(queue.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
     blk = blocked.join(target_hosts, "crawl_id").select(
         "crawl_id", "url", "target_host", F.array(F.lit(0)).alias("key"))
