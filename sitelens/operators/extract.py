@@ -12,6 +12,7 @@ entity decoding or the full URL algorithm (see ``with_references``).
 from __future__ import annotations
 
 import html as _html
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -174,15 +175,27 @@ def with_references(df: DataFrame, raw_col: str, base_col: str, out_col: str,
     Arrow-batched UDF (which sees native rows as nulls). References that cannot be resolved are
     skipped (count in ``bad_refs`` is raw minus resolved).
     """
+    if isinstance(unescape, Column):
+        flag, fast, slow = _resolution_exprs(raw_col, base_col, unescape)
+    else:
+        flag, fast, slow = _cached_resolution_exprs(raw_col, base_col, bool(unescape))
+    return df.withColumn("_native", flag).withColumn(
+        out_col, F.when(F.col("_native"), fast).otherwise(slow)).drop("_native")
+
+
+def _resolution_exprs(raw_col: str, base_col: str, unescape: Column):
     raw, base = F.col(raw_col), F.col(base_col)
-    un = unescape if isinstance(unescape, Column) else F.lit(unescape)
-    native_ok = F.forall(raw, lambda r: U.native_resolvable(r, base) & (~un | ~r.contains("&")))
+    native_ok = F.forall(raw, lambda r: U.native_resolvable(r, base) & (~unescape | ~r.contains("&")))
     native_ok = F.coalesce(native_ok, F.lit(True)) & base.isNotNull()
     fast = F.array_distinct(F.transform(raw, lambda r: U.resolve_native(r, base)))
-    nat = F.col("_native")
-    slow = _resolve_all_udf(F.when(~nat, raw), base, un)
-    return df.withColumn("_native", native_ok).withColumn(
-        out_col, F.when(nat, fast).otherwise(slow)).drop("_native")
+    slow = _resolve_all_udf(F.when(~F.col("_native"), raw), base, unescape)
+    return native_ok, fast, slow
+
+
+@lru_cache(maxsize=64)
+def _cached_resolution_exprs(raw_col: str, base_col: str, unescape: bool):
+    """Column expressions depend only on the column names: built once per process."""
+    return _resolution_exprs(raw_col, base_col, F.lit(unescape))
 
 
 def link_edges(assets: DataFrame, src_col: str = "url", refs_col: str = "references",

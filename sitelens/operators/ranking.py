@@ -20,7 +20,8 @@ def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    out: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add ``out``: position (1..n) of each row within its group, by ``order_cols``.
 
-    The order must be total within a group (include a unique tie-breaker).
+    The order must be total within a group (include a unique tie-breaker) and
+    the group keys non-null (the offsets are joined back on them).
     The numbered rows are checkpointed once so both uses read the same
     partitioning, which keeps the ids deterministic under task retries.
     """
