@@ -142,3 +142,26 @@ def test_merge_settings(spark):
                                "stored map<string,string>, current map<string,string>, o boolean")
     got = df.select(CR.merge_settings(F.col("stored"), F.col("current"), F.col("o")).alias("m")).collect()
     assert got[0].m == {"autosave": "60", "delay": "100"} and got[1].m == {"delay": "500"}
+
+
+def test_crawl_filters_and_robots_seeds(spark):
+    def page(links):
+        return "".join(f'<a href="{l}">l</a>' for l in links).encode()
+    rows = [
+        ("https://h.com/", 200, None, "text/html", page(["/a.png", "/b.html", "/c.weird", "/x/skip"])),
+        ("https://h.com/b.html", 200, None, "text/html", page([])),
+        ("https://h.com/c.weird", 200, None, "text/html", page([])),
+        ("https://h.com/a.png", 200, None, "image/png", b"png"),
+        ("https://other.org/sitemap.xml", 200, None, "application/xml",
+         b"<urlset><url><loc>https://h.com/from-sitemap.png</loc></url></urlset>"),
+    ]
+    fetched = CR.fetched_table(_responses(spark, rows))
+    seeds = spark.createDataFrame([("c", "https://h.com/")], "crawl_id string, seed string")
+    robots = spark.createDataFrame([("c", "Sitemap: https://other.org/sitemap.xml\n")], "crawl_id string, content string")
+    log, _, fin = CR.crawl_closure(fetched, seeds, mimes=["text/html"], exclude="/x/", robots=robots)
+    got = {(r.url, r.depth) for r in log.collect()}
+    # the off-host sitemap is seeded (filters bypassed); its same-host .png link is then filtered by MIME;
+    # .png rejected (known, not listed), unknown extension passes, /x/ excluded
+    assert got == {("https://h.com/", 0), ("https://other.org/sitemap.xml", 0),
+                   ("https://h.com/b.html", 1), ("https://h.com/c.weird", 1)}
+    assert fin
