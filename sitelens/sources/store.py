@@ -1,12 +1,14 @@
 """Content-addressed body store (S3 sink, S4 read).
 
-Table ``(prefix, hash, body)`` partitioned by ``prefix = substr(hash, 1, 2)``;
-one row per hash. Adding is ``dropDuplicates(hash)`` (partial, before the
+Table ``(prefix, hash, body, batch)`` partitioned by ``prefix = substr(hash, 1, 2)``;
+one row per hash; ``batch`` names the save that added it. Adding is ``dropDuplicates(hash)`` (partial, before the
 shuffle) then an anti join against what is stored, then an append.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -24,9 +26,10 @@ def read_store(spark: SparkSession, store: str) -> DataFrame | None:
 def save_content(responses: DataFrame, store: str) -> DataFrame:
     """S3: store bodies of 2xx responses not yet stored; returns the rows added.
 
-    ``responses`` needs status and body (hash is computed when absent). The
-    added set is checkpointed before the append so the returned rows do not
-    change once they are in the store.
+    ``responses`` needs status and body (hash is computed when absent). Each
+    call appends under its own ``batch`` id, so the rows it added are read back
+    from the store itself: every body is written once, and what is returned
+    does not change when later calls add more.
     """
     spark = responses.sparkSession
     r = responses.where(F.col("status").between(200, 299) & F.col("body").isNotNull())
@@ -36,9 +39,9 @@ def save_content(responses: DataFrame, store: str) -> DataFrame:
     existing = read_store(spark, store)
     if existing is not None:
         new = new.join(existing.select("prefix", "hash"), ["prefix", "hash"], "left_anti")
-    new = new.checkpoint(eager=True)
-    new.write.mode("append").partitionBy("prefix").parquet(store)
-    return new.select("hash", "body")
+    batch = uuid.uuid4().hex
+    new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("prefix").parquet(store)
+    return spark.read.parquet(store).where(F.col("batch") == batch).select("hash", "body")
 
 
 def load_content(keys: DataFrame, store: str, hash_col: str = "hash") -> DataFrame:
