@@ -96,6 +96,9 @@ def _levels(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.parquet(f"{state}/levels")
 
 
+_MAX_SEEN_PARTS = 8
+
+
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -178,6 +181,13 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
             if count == 0:
                 return True
             parts.append(nf.select("crawl_id", "url"))
+            if len(parts) > _MAX_SEEN_PARTS:
+                # compaction: one shuffle of the seen-set every few levels keeps the
+                # number of anti joins (and the plan) bounded on deep crawls
+                merged = parts[0]
+                for part in parts[1:]:
+                    merged = merged.unionByName(part)
+                parts = [_seen_part(merged, n)]
             cur = nf
     finally:
         _write_progress(spark, state, counts)
