@@ -93,6 +93,44 @@ EXTENSION_MIME = {
     "avi": "video/x-msvideo",
     "mpeg": "video/mpeg",
     "mpg": "video/mpeg",
+    "3gp": "video/3gpp",
+    "mkv": "video/x-matroska",
+    "flv": "video/x-flv",
+    "wmv": "video/x-ms-wmv",
+    "mid": "audio/midi",
+    "midi": "audio/midi",
+    "opus": "audio/ogg",
+    "heic": "image/heic",
+    "jxl": "image/jxl",
+    "psd": "image/vnd.adobe.photoshop",
+    "djvu": "image/vnd.djvu",
+    "jar": "application/java-archive",
+    "swf": "application/x-shockwave-flash",
+    "ps": "application/postscript",
+    "eps": "application/postscript",
+    "ai": "application/postscript",
+    "bz2": "application/x-bzip2",
+    "xz": "application/x-xz",
+    "apk": "application/vnd.android.package-archive",
+    "dmg": "application/x-apple-diskimage",
+    "iso": "application/x-iso9660-image",
+    "sh": "application/x-sh",
+    "csh": "application/x-csh",
+    "tex": "application/x-tex",
+    "pl": "application/x-perl",
+    "sql": "application/sql",
+    "toml": "application/toml",
+    "gpx": "application/gpx+xml",
+    "kml": "application/vnd.google-earth.kml+xml",
+    "kmz": "application/vnd.google-earth.kmz",
+    "srt": "application/x-subrip",
+    "ods": "application/vnd.oasis.opendocument.spreadsheet",
+    "odp": "application/vnd.oasis.opendocument.presentation",
+    "vtt": "text/vtt",
+    "java": "text/x-java-source",
+    "c": "text/x-c",
+    "h": "text/x-c",
+    "cpp": "text/x-c",
 }
 
 
