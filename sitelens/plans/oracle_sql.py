@@ -280,11 +280,6 @@ SQL["e4_sitemap_references"] = f"""WITH s AS (
     CASE WHEN page_id % 6 IN (3, 4) THEN []::VARCHAR[] ELSE {resolved('url', 'html')} END AS r
   FROM pages)
 SELECT request_url, CAST(len(r) AS INTEGER) AS n_refs, array_to_string(r, {NL}) AS refs FROM s"""
-SQL["e5_link_edges"] = f"""WITH e AS ({_E2}),
-x AS (SELECT page_id, url, r, generate_subscripts(r, 1) AS i FROM e)
-SELECT page_id, url AS src, CAST(i - 1 AS INTEGER) AS pos, r[i] AS dst,
-  {origin('url')} || '' || substr(r[i], length({origin('url')}) + 1) AS dst_pct_unused, i AS _i
-FROM x"""
 # dst_key is the decoded form: origin || raw href, recovered from the raw list at the same position
 SQL["e5_link_edges"] = f"""WITH e AS (
   SELECT page_id, split_part(url, '#', 1) AS url,
