@@ -165,3 +165,29 @@ def test_crawl_filters_and_robots_seeds(spark):
     assert got == {("https://h.com/", 0), ("https://other.org/sitemap.xml", 0),
                    ("https://h.com/b.html", 1), ("https://h.com/c.weird", 1)}
     assert fin
+
+
+def test_seen_parts_are_not_reshuffled(spark):
+    """Scale property of the crawl loop: anti joins against the co-partitioned
+    seen parts exchange only the new frontier, never the seen-set."""
+    from sitelens.plans.crawl import _first_discovery, _seen_part, _static_plan
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        seen = spark.range(2000).select((F.col("id") % 7).cast("string").alias("crawl_id"),
+                                        F.col("id").cast("string").alias("url"))
+        parts = [_seen_part(seen, n), _seen_part(seen.limit(50), n)]
+        cand = spark.range(1000).select((F.col("id") % 7).cast("string").alias("crawl_id"),
+                                        (F.col("id") * 3).cast("string").alias("url"),
+                                        F.lit("h").alias("target_host"), F.array(F.lit(1)).alias("key"))
+        nf = _first_discovery(cand)
+        for p in parts:
+            nf = nf.join(p, ["crawl_id", "url"], "left_anti")
+        with _static_plan(spark):
+            plan = nf._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1, plan
+            want = {(str(i % 7), str(i * 3)) for i in range(1000)} - {(str(i % 7), str(i)) for i in range(2000)}
+            assert nf.count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
