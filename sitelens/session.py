@@ -17,6 +17,16 @@ from pyspark.sql import SparkSession
 _CKPT_KEY = "spark.checkpoint.dir"
 
 
+def _default_driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: 60% of physical memory, 2-16 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "8g"
+    gib = int(total * 0.6) >> 30
+    return f"{max(2, min(16, gib))}g"
+
+
 def get_spark(master: str | None = None, partitions: int | None = None,
               app: str = "sitelens") -> SparkSession:
     """Session with UTC time, AQE (coalescing + skew join) and no UI."""
@@ -33,7 +43,7 @@ def get_spark(master: str | None = None, partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SITELENS_DRIVER_MEM", "16g"))
+        .config("spark.driver.memory", os.environ.get("SITELENS_DRIVER_MEM", _default_driver_memory()))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     event_dir = os.environ.get("SITELENS_EVENT_LOG")
