@@ -108,8 +108,8 @@ def change_listing(changes: DataFrame) -> DataFrame:
 def change_summary(changes: DataFrame) -> DataFrame:
     """One row per change type with its count (zero when absent).
 
-    All three counts zero is the "no differences" answer. The type list is a
-    three-row literal, so joining it is a broadcast of a fixed-size table.
+    All three counts zero is the "no differences" answer. The counts have at
+    most three rows (one per change type), so broadcasting them is bounded.
     """
     spark = changes.sparkSession
     types = spark.createDataFrame([(t,) for t in CHANGE_TYPES], "change_type string")
