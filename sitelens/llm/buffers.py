@@ -102,9 +102,14 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span [start, end): polynomial over coded bytes, from prefix sums."""
-    up, down = _powers(buf.size + 1)
-    total = np.zeros(buf.size + 1, _U)
-    np.cumsum(_BYTE_CODE[buf] * up[:-1], out=total[1:])
+    return code_span_hashes(_BYTE_CODE[buf], starts, ends)
+
+
+def code_span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run codes[start:end], of any lengths."""
+    up, down = _powers(codes.size + 1)
+    total = np.zeros(codes.size + 1, _U)
+    np.cumsum(codes * up[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h ^ (ends - starts).astype(_U))
 
@@ -137,12 +142,12 @@ def byte_codes(buf: np.ndarray) -> np.ndarray:
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     """Index of the leftmost minimum of each window of ``w`` consecutive values. The index replaces the
-    low bits of each value, so that one running minimum carries it (the order uses the high bits)."""
+    low 32 bits of each value, so that one running minimum carries it: the order is that of the high 32
+    bits, then of position, and so the same wherever equal values stand."""
     n = x.size - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = max(1, int(x.size - 1).bit_length())
-    low = _U((1 << bits) - 1)
+    low = _U(0xFFFFFFFF)
     best, m = (x & ~low) | np.arange(x.size, dtype=_U), 1
     while 2 * m <= w:
         best = np.minimum(best[:-m], best[m:])

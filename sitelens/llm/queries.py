@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelens.llm.exact_dedup import exact_dedup
+from sitelens.llm.relative_lz import relative_lz_dedup
+from sitelens.llm.suffix_radix import repeated_spans
 from sitelens.llm.url_filter import CONTRACT_RULES, filter_urls
 
 
@@ -20,4 +23,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), CONTRACT_RULES, id_col="page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_url_filter)}
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relative_lz_dedup(table(spark, sf_dir, "documents"), length=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_spans(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op6_url_filter, op10_suffix_radix)}
