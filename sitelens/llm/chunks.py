@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from sitelens.llm.buffers import text_column
 
 CHUNK_BYTES = 1 << 20
-CHUNK_ROWS = 1 << 15
+ROW_BITS = 15
+CHUNK_ROWS = 1 << ROW_BITS      # (chunk, row) fits one long: 24 bits of partition, 24 of chunks in it, 15 of rows
+SEQ_BITS = 24
 NULL_ID = np.iinfo(np.int64).min   # sorts before every id; returned as null
 PACKED = "chunk long, n_bytes long, ids binary, lens binary, z binary"
 _PACKED_ARROW = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()),
@@ -42,7 +44,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, seq = TaskContext.get().partitionId() << 32, 0
+        base, seq = TaskContext.get().partitionId() << SEQ_BITS, 0
         press = zstandard.ZstdCompressor(level=3)
         ids: list[np.ndarray] = []
         lens: list[np.ndarray] = []
