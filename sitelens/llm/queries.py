@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.llm.bagminhash import near_duplicates
 from sitelens.llm.exact_dedup import exact_dedup
 from sitelens.llm.relative_lz import relative_lz_dedup
 from sitelens.llm.suffix_radix import repeated_spans
@@ -28,10 +29,14 @@ def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op6_url_filter, op10_suffix_radix)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op6_url_filter, op7_bagminhash, op10_suffix_radix)}
