@@ -107,11 +107,16 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def code_span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run codes[start:end], of any lengths."""
+    total, down = span_sums(codes)
+    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(_U))
+
+
+def span_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix sums, scale): the run [a, b) hashes to mix((sums[b] - sums[a]) * scale[a] ^ (b - a))."""
     up, down = _powers(codes.size + 1)
     total = np.zeros(codes.size + 1, _U)
     np.cumsum(codes * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ (ends - starts).astype(_U))
+    return total, down
 
 
 def window_hashes(codes: np.ndarray, k: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.bagminhash import near_duplicates
 from sitelens.llm.exact_dedup import exact_dedup
 from sitelens.llm.relative_lz import relative_lz_dedup
+from sitelens.llm.sentencepiece_viterbi import encode_checked
 from sitelens.llm.suffix_radix import repeated_spans
 from sitelens.llm.url_filter import CONTRACT_RULES, filter_urls
 
@@ -33,10 +34,15 @@ def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_checked(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op6_url_filter, op7_bagminhash, op10_suffix_radix)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op6_url_filter, op7_bagminhash, op8_sentencepiece,
+                                      op10_suffix_radix)}
