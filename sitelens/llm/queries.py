@@ -10,6 +10,7 @@ from sitelens.llm.exact_dedup import exact_dedup
 from sitelens.llm.relative_lz import relative_lz_dedup
 from sitelens.llm.sentencepiece_viterbi import encode_checked
 from sitelens.llm.suffix_radix import repeated_spans
+from sitelens.llm.toxicity import held_out, toxicity_scores, train
 from sitelens.llm.url_filter import CONTRACT_RULES, filter_urls
 
 
@@ -21,6 +22,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), CONTRACT_RULES, id_col="page_id")
 
@@ -44,5 +51,5 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op6_url_filter, op7_bagminhash, op8_sentencepiece,
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op4_toxicity, op6_url_filter, op7_bagminhash, op8_sentencepiece,
                                       op10_suffix_radix)}
