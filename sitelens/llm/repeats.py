@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 
 from sitelens.llm import chunks as C
@@ -145,23 +146,40 @@ def local_firsts(hi, lo, ids, row, pos):
     return order[starts], cls
 
 
-_ENTRY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("id", "<i8"), ("row", "<i4"), ("pos", "<i4"), ("idx", "<i4")])
+def pack_columns(*cols: np.ndarray) -> bytes:
+    """Integer columns, byte plane by byte plane, zstd-compressed: ids and places within a chunk differ in few bytes."""
+    planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in cols]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack_columns(blob: bytes, n: int, count: int) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, 8 * n * count))
+    planes = np.frombuffer(raw, np.uint8).reshape(count, 8, n)
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
+
+
+def _owner_order(hi, lo, owners):
+    own = C.owner_of((hi ^ lo) * _U(0x9E3779B97F4A7C15), owners)
+    return own, np.argsort(own, kind="stable")
 
 
 def ask_first(kind, chunk, hi, lo, ids, row, pos, owners):
-    """Requests about the distinct (hi, lo) with their first place in this chunk."""
+    """Requests about the distinct (hi, lo) with their first place in this chunk. Keys are sent as 64 and 32 bits."""
     pick, _ = local_firsts(hi, lo, ids, row, pos)
-    e = np.empty(pick.size, _ENTRY)
-    for name, v in (("hi", hi), ("lo", lo), ("id", ids), ("row", row), ("pos", pos)):
-        e[name] = v[pick]
-    e["idx"] = np.arange(pick.size)
-    own = C.owner_of((e["hi"] ^ e["lo"]) * _U(0x9E3779B97F4A7C15), owners)
-    order = np.argsort(own, kind="stable")
+    own, order = _owner_order(hi[pick], lo[pick], owners)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(own[order])) + 1, [own.size]]) if own.size else np.zeros(1, int)
-    return [(int(own[order[a]]), chunk, kind, e[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+    out = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        k = pick[order[a:b]]
+        out.append((int(own[order[a]]), chunk, kind, np.array([a, b - a], "<i8").tobytes() + hi[k].tobytes()
+                    + (lo[k] >> _U(32)).astype("<u4").tobytes() + pack_columns(ids[k], row[k], pos[k])))
+    return out
 
 
-_SOURCE = np.dtype([("idx", "<i4"), ("id", "<i8"), ("pos", "<i4"), ("chunk", "<i8"), ("row", "<i4")])
+def _first_entries(blob):
+    a, n = (int(x) for x in np.frombuffer(blob, "<i8", 2))
+    return (a, np.frombuffer(blob, "<u8", n, 16), np.frombuffer(blob, "<u4", n, 16 + 8 * n),
+            *unpack_columns(blob[16 + 12 * n:], n, 3))
 
 
 def answer_first(rows, kind: str, sources: bool):
@@ -169,29 +187,45 @@ def answer_first(rows, kind: str, sources: bool):
     rows = [r for r in rows if r[1] == kind]
     if not rows:
         return []
-    parts = [np.frombuffer(blob, _ENTRY) for _, _, blob in rows]
-    e = np.concatenate(parts)
-    chunk = np.repeat(np.array([r[0] for r in rows], np.int64), [p.size for p in parts])
-    order, starts = order_runs(e["hi"], e["lo"], e["id"], chunk, e["row"], e["pos"])
-    sizes = np.diff(np.append(starts, order.size))
+    parts = [_first_entries(blob) for _, _, blob in rows]
+    sizes = [p[1].size for p in parts]
+    hi, lo, ids, row, pos = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    chunk = np.repeat(np.array([r[0] for r in rows], np.int64), sizes)
+    order, starts = order_runs(hi, lo, ids, chunk, row, pos)
     src = np.empty(order.size, np.int64)
-    src[order] = np.repeat(order[starts], sizes)     # the first place of each entry's class
+    src[order] = np.repeat(order[starts], np.diff(np.append(starts, order.size)))   # the first place of each entry's key
     later = src != np.arange(src.size)
     out, i = [], 0
-    for (c, _, _), p in zip(rows, parts):
-        mine = np.flatnonzero(later[i:i + p.size])
-        if mine.size:
+    for (c, _, _), p, n in zip(rows, parts, sizes):
+        mine = later[i:i + n]
+        if mine.any():
+            blob = np.array([p[0], n], "<i8").tobytes() + np.packbits(mine).tobytes()
             if sources:
-                s = np.empty(mine.size, _SOURCE)
-                f = src[i + mine]
-                s["idx"], s["id"], s["pos"], s["chunk"], s["row"] = p["idx"][mine], e["id"][f], e["pos"][f], chunk[f], e["row"][f]
-                out.append((c, kind, s.tobytes()))
-            else:
-                out.append((c, kind, np.ascontiguousarray(p["idx"][mine]).tobytes()))
-        i += p.size
+                f = src[i:i + n][mine]
+                blob += pack_columns(ids[f], pos[f], chunk[f], row[f])
+            out.append((c, kind, blob))
+        i += n
     return out
 
 
+_SOURCE = np.dtype([("id", "<i8"), ("pos", "<i8"), ("chunk", "<i8"), ("row", "<i8")])
+
+
+def read_first(blobs, hi, lo, owners, sources: np.ndarray | None = None) -> np.ndarray:
+    """Which of the distinct (hi, lo) occur earlier elsewhere; their places are written into ``sources``."""
+    _, order = _owner_order(hi, lo, owners)
+    far = np.zeros(hi.size, bool)
+    for blob in blobs:
+        a, n = (int(x) for x in np.frombuffer(blob, "<i8", 2))
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, 16), count=n).astype(bool)
+        k = order[a:a + n][bits]
+        far[k] = True
+        if sources is not None:
+            for name, col in zip(("id", "pos", "chunk", "row"), unpack_columns(blob[16 + (n + 7) // 8:], k.size, 4)):
+                sources[name][k] = col
+    return far
+
+
 # --- round 2: has a gram several contexts? ----------------------------------------------------------
 
 _SPREAD = np.dtype([("gram", "<u8"), ("lo", "<u8"), ("hi", "<u8"), ("idx", "<i4")])
@@ -255,6 +289,7 @@ class Repeats:
     def __init__(self, packed: DataFrame, tokenise, T: int, g: int, sources: bool = False):
         self.tokenise, self.T, self.g, self.sources = tokenise, T, g, sources
         owners = C.owner_count(packed, 32 << 20)
+        self.owners = owners
         self.packed, me = packed, self._carried()
 
         def grams(chunk, data, _):
@@ -285,7 +320,7 @@ class Repeats:
     def _carried(self) -> "Repeats":
         """What the tasks need of this object (not its DataFrames)."""
         me = object.__new__(Repeats)
-        me.tokenise, me.T, me.g, me.sources = self.tokenise, self.T, self.g, self.sources
+        me.tokenise, me.T, me.g, me.sources, me.owners = self.tokenise, self.T, self.g, self.sources, self.owners
         return me
 
     def repeated(self, data, got):
@@ -303,16 +338,11 @@ class Repeats:
         earlier[pick] = False                      # later places in this chunk have theirs before them
         source = None
         if self.sources:
-            src = np.empty(pick.size, _SOURCE)
-            src["idx"], src["id"], src["pos"], src["chunk"], src["row"] = np.arange(pick.size), ids[an.row[pick]], \
+            source = np.empty(pick.size, _SOURCE)
+            source["id"], source["pos"], source["chunk"], source["row"] = ids[an.row[pick]], \
                 (an.at - first[an.row])[pick], -1, an.row[pick]     # chunk -1: this one
-            far = np.zeros(pick.size, bool)
-            for blob in got.get("context", ()):
-                s = np.frombuffer(blob, _SOURCE)
-                src[s["idx"]], far[s["idx"]] = s, True
-            source = src[cls]
-        else:
-            far = index_mask(got.get("context", ()), pick.size)
+        far = read_first(got.get("context", ()), an.gram[pick], ctx[pick], self.owners, source)
+        source = source[cls] if source is not None else None
         earlier |= far[cls]
         uniq, inv = np.unique(an.gram, return_inverse=True)
         several = index_mask(got.get("spread", ()), uniq.size)[inv]
@@ -338,7 +368,7 @@ class Repeats:
         pick, cls = local_firsts(gram, w, ids[row], row, p - first[row])
         again = np.ones(p.size, bool)
         again[pick] = False
-        again |= index_mask(got.get("window", ()), pick.size)[cls]
+        again |= read_first(got.get("window", ()), gram[pick], w[pick], self.owners)[cls]
         i = np.flatnonzero(res.earlier)
         whole = spread_ranges(res.an.lo[i], res.an.hi[i] - res.an.lo[i] + 1)
         return ids, codes, first, res, np.sort(np.concatenate([whole, p[again]]))
