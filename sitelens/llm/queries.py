@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.bagminhash import near_duplicates
 from sitelens.llm.exact_dedup import exact_dedup
+from sitelens.llm.learned_partitions import nearest
 from sitelens.llm.relative_lz import relative_lz_dedup
 from sitelens.llm.sentencepiece_viterbi import encode_checked
 from sitelens.llm.suffix_radix import repeated_spans
@@ -45,6 +46,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_checked(table(spark, sf_dir, "documents"))
 
 
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
@@ -52,4 +57,4 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op4_toxicity, op6_url_filter, op7_bagminhash, op8_sentencepiece,
-                                      op10_suffix_radix)}
+                                      op9_learned_partitions, op10_suffix_radix)}
