@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.bagminhash import near_duplicates
 from sitelens.llm.exact_dedup import exact_dedup
 from sitelens.llm.learned_partitions import nearest
+from sitelens.llm.pii_boost import find_pii
+from sitelens.llm.pii_boost import train as train_pii
 from sitelens.llm.relative_lz import relative_lz_dedup
 from sitelens.llm.sentencepiece_viterbi import encode_checked
 from sitelens.llm.suffix_radix import repeated_spans
@@ -19,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = find_pii(docs, train_pii(docs))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,5 +64,5 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_relative_lz, op4_toxicity, op6_url_filter, op7_bagminhash, op8_sentencepiece,
+QUERIES = {f.__name__: f for f in (op1_pii_boost, op2_exact_dedup, op3_relative_lz, op4_toxicity, op6_url_filter, op7_bagminhash, op8_sentencepiece,
                                       op9_learned_partitions, op10_suffix_radix)}
