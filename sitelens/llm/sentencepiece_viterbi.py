@@ -114,6 +114,8 @@ class Encoder:
         keys = code_span_hashes(_char_codes(flat), ends - self.length, ends)
         order = np.argsort(keys)
         self.keys, self.key_sym = keys[order], order
+        self.maybe = np.zeros(1 << 20, bool)       # leading 20 bits of the keys: most probes end here
+        self.maybe[(keys >> _U(44)).astype(np.int64)] = True
         self.lengths = np.unique(self.length)
         self.n_pieces = len(self.text)
         chars = np.unique(flat)
@@ -172,10 +174,11 @@ class Encoder:
             for w in self.lengths[(self.lengths > 1) & (self.lengths <= i)]:
                 a, b = base + i - w, base + i
                 h = mix((total[b] - total[a]) * down[a] ^ _U(w))
-                at = np.minimum(np.searchsorted(self.keys, h), self.keys.size - 1)
-                k = np.flatnonzero(self.keys[at] == h)
-                if k.size:
-                    s = self.key_sym[at[k]]
+                k = np.flatnonzero(self.maybe[(h >> _U(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, h[k]), self.keys.size - 1)
+                hit = self.keys[at] == h[k]
+                if hit.any():
+                    k, s = k[hit], self.key_sym[at[hit]]
                     ok = self.length[s] == w
                     cand.append((int(w), k[ok], s[ok]))
             w = np.concatenate([np.full(k.size, x) for x, k, _ in cand])
@@ -356,10 +359,25 @@ class _Merger:
         self.spell = [np.array([char[c] for c in t], np.int64) for t in enc.text]
         # pieces that merging ever makes out of their own characters
         self._whole = np.zeros(enc.n_pieces, bool)
+        self.left, self.right = np.full(self.n, -1, np.int64), np.full(self.n, -1, np.int64)    # of the last merge
         for L in enc.lengths:
             g = np.flatnonzero(enc.length == L)
-            self._whole[g] = [r == [k] for k, r in zip(g, self.merge(np.stack([self.spell[k] for k in g])))]
-        self.seen_key, self.seen_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+            rows = np.stack([self.spell[k] for k in g])
+            self._whole[g] = [r == [k] for k, r in zip(g, self.merge(rows))]
+            if L > 1:
+                whole = np.flatnonzero(self._whole[g])
+                self.left[g[whole]], self.right[g[whole]] = self.last[whole].T
+        # priority of each symbol's last merge; single characters come before all
+        rank = np.unique(-enc.score, return_inverse=True)[1]
+        self.rank = np.full(self.n, -1, np.int64)
+        self.rank[:enc.n_pieces] = np.where(enc.length > 1, rank, -1)
+        self.ordered = np.ones(self.n, bool)    # every merge comes after those of its parts
+        for L in enc.lengths[enc.lengths > 1]:
+            g = np.flatnonzero(enc.length == L)
+            g = g[self.left[g] >= 0]
+            a, b = self.left[g], self.right[g]
+            self.ordered[g] = self.ordered[a] & self.ordered[b] & (np.maximum(self.rank[a], self.rank[b]) < self.rank[g])
+        self.seen_key, self.seen_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def merge(self, rows: np.ndarray) -> list[list[int]]:
         """Final symbols of each row: again and again the best-scored neighbouring pair, leftmost first."""
@@ -368,6 +386,7 @@ class _Merger:
         size = np.full(n, width)
         live = np.arange(n)
         score = self.enc.score
+        self.last = np.full((n, 2), -1, np.int64)       # the symbols of each row's last merge
         while live.size and rows.shape[1] > 1:
             left, right = rows[live, :-1], rows[live, 1:]
             key = np.where(right >= 0, left * self.n + right, -1)
@@ -379,6 +398,7 @@ class _Merger:
             if not live.size:
                 break
             moved = rows[live]
+            self.last[live] = np.column_stack([moved[np.arange(live.size), j], moved[np.arange(live.size), j + 1]])
             col = np.arange(rows.shape[1])[None, :]
             shifted = np.concatenate([moved[:, 1:], np.full((live.size, 1), -1)], axis=1)
             moved = np.where(col > j[:, None], shifted, moved)
@@ -392,34 +412,64 @@ class _Merger:
 
     def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of a and b ends with just a beside b (a = -1: nothing before)."""
-        key = a * self.n + b
         ok = np.ones(a.size, bool)
         ask = np.flatnonzero((a >= 0) & (a != self.enc.other) & (b != self.enc.other))
         if ask.size == 0:
             return ok
-        uniq, inv = np.unique(key[ask], return_inverse=True)
-        at = np.minimum(np.searchsorted(self.seen_key, uniq), max(0, self.seen_key.size - 1))
-        known = self.seen_key[at] == uniq if self.seen_key.size else np.zeros(uniq.size, bool)
-        new = uniq[~known]
-        if new.size:
-            x, y = new // self.n, new % self.n
-            spelt = [np.concatenate([self._chars(int(p)), self._chars(int(q))]) for p, q in zip(x, y)]
-            lens = np.array([t.size for t in spelt])
-            good = np.zeros(new.size, bool)
-            for L in np.unique(lens):
-                g = np.flatnonzero(lens == L)
-                good[g] = [r == [int(x[k]), int(y[k])] for k, r in zip(g, self.merge(np.stack([spelt[k] for k in g])))]
-            if self.seen_key.size > 1 << 22:
-                self.seen_key, self.seen_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-            keys = np.concatenate([self.seen_key, new])
-            order = np.argsort(keys)
-            self.seen_key, self.seen_ok = keys[order], np.concatenate([self.seen_ok, good])[order]
-            at = np.searchsorted(self.seen_key, uniq)
-            if (self.seen_key[np.minimum(at, self.seen_key.size - 1)] != uniq).any():   # the memory was cleared
-                return self.stays(a, b)
-        ok[ask] = self.seen_ok[at][inv]
+        key = a[ask] * self.n + b[ask]
+        slot = (mix(key.astype(_U)) >> _U(44)).astype(np.int64)
+        unknown = self.seen_key[slot] != key
+        if unknown.any():
+            new, inv = np.unique(key[unknown], return_inverse=True)
+            good = self._judge(new)
+            at = (mix(new.astype(_U)) >> _U(44)).astype(np.int64)
+            self.seen_key[at], self.seen_ok[at] = new, good    # one pair per slot: the last one stays
+            out = self.seen_ok[slot]
+            out[unknown] = good[inv]
+            # a known pair may have lost its slot just now, but not its answer
+            kept = ~unknown
+            out[kept] = np.where(self.seen_key[slot[kept]] == key[kept], out[kept], self._judge_again(key[kept], slot[kept]))
+            ok[ask] = out
+        else:
+            ok[ask] = self.seen_ok[slot]
         return ok
 
+    def _judge(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs of pieces stay apart. If every merge comes after those of its parts, undoing the two pieces'
+        merges from the last on shows whether a merge across the border would have come first (on equal scores
+        the one further left does); otherwise the pair's characters are merged."""
+        x, y = keys // self.n, keys % self.n
+        good, plain = np.ones(keys.size, bool), self.ordered[x] & self.ordered[y]
+        odd = np.flatnonzero(~plain)
+        spelt = [np.concatenate([self._chars(int(x[k])), self._chars(int(y[k]))]) for k in odd]
+        lens = np.array([t.size for t in spelt])
+        for L in np.unique(lens):
+            g = np.flatnonzero(lens == L)
+            good[odd[g]] = [r == [int(x[k]), int(y[k])] for k, r in zip(odd[g], self.merge(np.stack([spelt[i] for i in g])))]
+        live, limit = np.flatnonzero(plain), np.full(keys.size, np.iinfo(np.int64).max)
+        while live.size:
+            key = x[live] * self.n + y[live]
+            at = np.minimum(np.searchsorted(self.pair, key), self.pair.size - 1)
+            crossed = (self.pair[at] == key) & (self.rank[self.into[at]] < limit[live])
+            good[live[crossed]] = False
+            live = live[~crossed]
+            rx, ry = self.rank[x[live]], self.rank[y[live]]
+            more = (rx >= 0) | (ry >= 0)
+            live, rx, ry = live[more], rx[more], ry[more]
+            first = rx > ry
+            limit[live] = np.where(first, rx, ry + 1)
+            x[live[first]] = self.right[x[live[first]]]
+            y[live[~first]] = self.left[y[live[~first]]]
+        return good
+
+    def _judge_again(self, keys, slot) -> np.ndarray:
+        lost = self.seen_key[slot] != keys
+        out = np.zeros(keys.size, bool)
+        if lost.any():
+            uniq, inv = np.unique(keys[lost], return_inverse=True)
+            out[lost] = self._judge(uniq)[inv]
+        return out
+
     def _chars(self, s: int) -> np.ndarray:
         return self.spell[s] if s < self.enc.n_pieces else np.array([s], np.int64)
 
@@ -473,7 +523,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         enc = _per_worker(_ENCODERS, Encoder, shared.value)
         for batch in batches:
             buf, offs = text_column(batch.column(1))
-            for a, b in blocks(offs, 1 << 25):
+            for a, b in blocks(offs, 1 << 22):
                 ids, cut = enc.encode(buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["id", "ids"])
@@ -511,7 +561,7 @@ def encode_checked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         mark = chr(SPACE).encode()
         for batch in batches:
             buf, offs = text_column(batch.column(1))
-            for a, b in blocks(offs, 1 << 25):
+            for a, b in blocks(offs, 1 << 22):
                 raw, o = buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
                 ids, cut = enc.encode(raw, o)
                 whole = raw.tobytes()
