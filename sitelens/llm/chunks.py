@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,19 @@ ROW_BITS = 15
 CHUNK_ROWS = 1 << ROW_BITS      # (chunk, row) fits one long: 24 bits of partition, 24 of chunks in it, 15 of rows
 SEQ_BITS = 24
 NULL_ID = np.iinfo(np.int64).min   # sorts before every id; returned as null
-PACKED = "chunk long, n_bytes long, ids binary, lens binary, z binary"
+PACKED = "chunk long, n_bytes long, ids binary, lens binary, z binary, rest binary"
 _PACKED_ARROW = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()),
-                           ("lens", pa.binary()), ("z", pa.binary())])
+                           ("lens", pa.binary()), ("z", pa.binary()), ("rest", pa.binary())])
+_NO_TEXT = "__text_is_null"
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         chunk_bytes: int = CHUNK_BYTES, partitions: int | None = None) -> DataFrame:
-    """Chunk rows of ``df``, checkpointed and hash-partitioned by chunk."""
+         chunk_bytes: int = CHUNK_BYTES, partitions: int | None = None, carry: bool = False) -> DataFrame:
+    """Chunk rows of ``df``, checkpointed and hash-partitioned by chunk. With ``carry`` the other columns travel in
+    the chunk too, for ``keep_rows``."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"),
+                     *([F.col(c) for c in df.columns if c != text_col] + [F.col(text_col).isNull().alias(_NO_TEXT)] if carry else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -49,6 +53,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids: list[np.ndarray] = []
         lens: list[np.ndarray] = []
         parts: list[np.ndarray] = []
+        rest: list[pa.RecordBatch] = []
         size = rows_held = 0
 
         def flush():
@@ -57,8 +62,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.array([base + seq], pa.int64()), pa.array([size], pa.int64()),
                 pa.array([np.concatenate(ids).tobytes()], pa.binary()),
                 pa.array([np.concatenate(lens).astype(np.int64).tobytes()], pa.binary()),
-                pa.array([press.compress(np.concatenate(parts).tobytes())], pa.binary())], schema=_PACKED_ARROW)
-            ids.clear(), lens.clear(), parts.clear()
+                pa.array([press.compress(np.concatenate(parts).tobytes())], pa.binary()),
+                pa.array([press.compress(_to_ipc(rest)) if carry else None], pa.binary())], schema=_PACKED_ARROW)
+            ids.clear(), lens.clear(), parts.clear(), rest.clear()
             seq, size, rows_held = seq + 1, 0, 0
             return out
 
@@ -73,6 +79,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ids.append(key[a:b])
                     lens.append(np.diff(offs[a:b + 1]))
                     parts.append(buf[offs[a]:offs[b]].copy())
+                    if carry:
+                        rest.append(pa.RecordBatch.from_arrays(batch.columns[2:], batch.schema.names[2:]).slice(a, b - a))
                     size += int(offs[b] - offs[a])
                     rows_held += b - a
                 if b < n:
@@ -91,6 +99,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def _to_ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as w:
+        w.write_table(pa.Table.from_batches(batches).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, bytes, offsets) of one chunk row."""
     ids = np.frombuffer(row["ids"], np.int64)
@@ -124,13 +139,16 @@ def by_owner(hashes: np.ndarray, owners: int) -> Iterator[tuple[int, int, int]]:
 
 
 def visit(packed: DataFrame, fn: Callable[[tuple, dict[str, list[bytes]]], pa.Table], schema: str,
-          replies: DataFrame | None = None) -> DataFrame:
+          replies: DataFrame | None = None, carried: bool = False) -> DataFrame:
     """``fn(chunk id, (ids, bytes, offsets), replies)`` for every chunk. ``replies`` has columns
-    (chunk, kind, blob); the function gets them as {kind: [blob, ...]} in no order."""
+    (chunk, kind, blob); the function gets them as {kind: [blob, ...]} in no order, with ``carried`` also the chunk's
+    other columns under "rest"."""
 
     def one(row: dict) -> tuple:
         return row["chunk"], unpack(row)
 
+    packed = packed if carried else packed.drop("rest")
+
     if replies is None:
         def over(batches):
             for batch in batches:
@@ -144,6 +162,8 @@ def visit(packed: DataFrame, fn: Callable[[tuple, dict[str, list[bytes]]], pa.Ta
         for kind, blob in zip(right.column("kind").to_pylist(), right.column("blob").to_pylist()):
             got.setdefault(kind, []).append(blob)
         (row,) = left.to_pylist()   # chunk ids are unique
+        if carried:
+            got["rest"] = [row["rest"]]
         return fn(*one(row), got)
 
     return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
@@ -175,3 +195,23 @@ def exchange(requests: DataFrame, fn: Callable[[list[tuple[int, str, bytes]]], l
         return reply_table(fn(rows))
 
     return requests.groupBy("owner").applyInArrow(own, REPLY).checkpoint(True)
+
+
+def keep_rows(packed: DataFrame, dropped: DataFrame, like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``like`` (packed with ``carry``) without those at the places ``dropped`` (chunk, pos), all columns
+    as they were."""
+    names = like.columns
+    drops = dropped.select("chunk", F.lit("drop").alias("kind"), F.col("pos").cast("string").cast("binary").alias("blob"))
+
+    def emit(chunk, data, got):
+        ids, buf, offs = data
+        keep = np.ones(ids.size, bool)
+        keep[[int(b) for b in got.get("drop", ())]] = False
+        rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(got["rest"][0])).read_all()
+        text = pa.LargeStringArray.from_buffers(ids.size, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(buf.tobytes()))
+        null = rest.column(_NO_TEXT).combine_chunks()
+        text = pc.if_else(null, pa.scalar(None, pa.large_string()), text).cast(pa.string())
+        cols = [text if c == text_col else rest.column(c) for c in names]
+        return pa.table(cols, names=names).filter(pa.array(keep))
+
+    return visit(packed, emit, like.schema, drops, carried=True)

@@ -105,7 +105,17 @@ def _answer(rows):
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (see the module docstring).
     ``fingerprint_bits`` below 64 only makes collisions more likely; results do not depend on it."""
-    packed = C.pack(df, id_col, text_col)
+    out = _decide(C.pack(df, id_col, text_col), fingerprint_bits)
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns."""
+    packed = C.pack(df, id_col, text_col, carry=True)
+    return C.keep_rows(packed, _decide(packed, 64).where("not kept"), df, text_col)
+
+
+def _decide(packed: DataFrame, fingerprint_bits: int) -> DataFrame:
     owners = C.owner_count(packed, 256 << 20)
 
     def ask(chunk, data, _):
@@ -153,11 +163,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def decide(members: DataFrame, key: list[str]) -> DataFrame:
         best = members.groupBy(*key).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
         return members.join(best, key).select(
-            "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+            "chunk", "pos", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
             ((F.col("chunk") == F.col("best.chunk")) & (F.col("pos") == F.col("best.pos"))).alias("kept"), "text_sha256")
 
     single = rows.where("fp is null").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        "chunk", "pos", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     out = single.unionByName(decide(rows.join(verified.where("one_text"), "fp", "left_semi"), ["fp"]))
     collided = verified.where("not one_text").select("fp")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.bagminhash import near_duplicates
 from sitelens.llm.exact_dedup import exact_dedup
 from sitelens.llm.learned_partitions import nearest
+from sitelens.llm.mixing import mixing_rates
 from sitelens.llm.pii_boost import find_pii
 from sitelens.llm.pii_boost import train as train_pii
 from sitelens.llm.relative_lz import relative_lz_dedup
@@ -37,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), CONTRACT_RULES, id_col="page_id")
 
@@ -64,5 +69,6 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_boost, op2_exact_dedup, op3_relative_lz, op4_toxicity, op6_url_filter, op7_bagminhash, op8_sentencepiece,
-                                      op9_learned_partitions, op10_suffix_radix)}
+QUERIES = {f.__name__: f for f in (
+    op1_pii_boost, op2_exact_dedup, op3_relative_lz, op4_toxicity, op5_mixing, op6_url_filter, op7_bagminhash,
+    op8_sentencepiece, op9_learned_partitions, op10_suffix_radix)}

@@ -155,3 +155,20 @@ def toxicity_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
                                              ["i", "score", "predicted"])
 
     return rows.mapInArrow(run, f"i {key}, score double, predicted int").withColumnRenamed("i", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.toxic, model.ordinary)
+        for b in batches:
+            buf, offs = text_column(b.column(at))
+            raw = buf.tobytes()
+            s = score_texts(model, scorer, [raw[x:y] for x, y in zip(offs[:-1], offs[1:])])
+            yield b.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
