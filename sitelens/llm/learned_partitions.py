@@ -7,7 +7,8 @@
    needs for a recall of ``target_recall``, and all rows there are ranked by their exact inner product in double precision.
 
 Parts are searched in blocks of bounded size, of rows and of queries alike, so neither a part with a third of all rows
-nor one that all queries go to lands in one task; each block returns its best rows per query only. Equal vectors are one
+nor one that all queries go to lands in one task. A block returns at most its ``k + 1`` best rows per query, and of
+these only the ones that reach the query's (k + 1)-th best score in the sample. Equal vectors are one
 class: it is indexed once, with its ``k + 1`` smallest ids (more can never be among the k nearest, ties going to the
 smaller id), and queries with equal vectors are answered once.
 
@@ -130,12 +131,20 @@ def fit_router(x: np.ndarray, parts: int, k: int, target_recall: float, seed: in
     return r
 
 
+def _bound(q: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k nearest other rows certainly reach: the (k + 1)-th best in the sample (one may be the row itself)."""
+    if len(seen) <= k:
+        return np.full(len(q), -np.inf)
+    s = np.partition(q @ seen.T, len(seen) - k - 1, axis=1)[:, len(seen) - k - 1]
+    return s - 1e-12 * (1 + np.abs(s))
+
+
 def _matrix(col: pa.ListArray, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
-            sample: int = SAMPLE, rows_per_part: int = ROWS_PER_PART, target_recall: float = 0.98,
+            sample: int = SAMPLE, rows_per_part: int = ROWS_PER_PART, target_recall: float = 0.95,
             probes: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every row for which ``is_query`` (an expression
     over ``vec_id``) holds, itself excluded."""
@@ -160,7 +169,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     n = classes.count()
     parts = int(np.clip(n // rows_per_part, 1, min(MAX_PARTS, sample // 32)))
     picked = classes.orderBy(F.xxhash64("cls"), "cls").select("v").limit(sample).collect()   # bounded by `sample`
-    router = fit_router(np.array([r.v for r in picked], float), parts, k, target_recall)
+    seen = np.array([r.v for r in picked], float)
+    router = fit_router(seen, parts, k, target_recall)
     visits = probes or router.probes
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +180,17 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            top = router.top(_matrix(b.column(1), dim), visits)
-            take = pa.array(np.repeat(np.arange(b.num_rows), top.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(top.ravel(), pa.int32())],
-                                             ["cls", "v", "part"])
+            q = _matrix(b.column(1), dim)
+            bound = np.concatenate([_bound(q[a:a + 1024], seen, k) for a in range(0, len(q), 1024)] or [np.zeros(0)])
+            top = router.top(q, visits)
+            take = np.repeat(np.arange(b.num_rows), top.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)),
+                                              pa.array(top.ravel(), pa.int32()), pa.array(bound[take])], ["cls", "v", "part", "bound"])
 
     kept = classes.select("cls", "v")
     asked = kept.join(queries.select("cls").distinct(), "cls", "left_semi")
     indexed = kept.mapInArrow(index, "cls long, v array<double>, part int")
-    routed = asked.mapInArrow(route, "cls long, v array<double>, part int")
+    routed = asked.mapInArrow(route, "cls long, v array<double>, part int, bound double")
     # blocks per part, from at most MAX_PARTS counts
     count_i = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}
     count_q = {r.part: r["count"] for r in routed.groupBy("part").count().collect()}
@@ -190,7 +202,7 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     def salted(side: DataFrame, mine: str, other: str) -> DataFrame:
         """Rows with their own block number, once for each block of the other side."""
         j = side.join(F.broadcast(sizes), "part")
-        return j.select("cls", "v", "part", F.pmod(F.xxhash64("cls"), F.col(mine)).cast("int").alias(mine),
+        return j.select(*side.columns, F.pmod(F.xxhash64("cls"), F.col(mine)).cast("int").alias(mine),
                         F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -198,16 +210,18 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
         if left.num_rows and right.num_rows:
             ids = left.column("cls").to_numpy()
             x, q = (_matrix(t.column("v").combine_chunks(), dim) for t in (left, right))
-            qid, parts_ = right.column("cls").to_numpy(), ([], [], [])
+            qid, bound, parts_ = right.column("cls").to_numpy(), right.column("bound").to_numpy(), ([], [], [])
             top = min(len(x), k + 9)
             for a in range(0, len(q), 512):
                 s = q[a:a + 512] @ x.T
                 best = np.argpartition(-s, top - 1, axis=1)[:, :top]
                 exact = (q[a:a + 512][:, None, :] * x[best]).sum(axis=2)    # a sum that depends on the two vectors only
                 order = np.lexsort((ids[best], -exact), axis=1)[:, :k + 1]
-                parts_[0].append(np.repeat(qid[a:a + 512], order.shape[1]))
-                parts_[1].append(np.take_along_axis(ids[best], order, 1).ravel())
-                parts_[2].append(np.take_along_axis(exact, order, 1).ravel())
+                score = np.take_along_axis(exact, order, 1)
+                good = score >= bound[a:a + 512, None]
+                parts_[0].append(np.broadcast_to(qid[a:a + 512, None], good.shape)[good])
+                parts_[1].append(np.take_along_axis(ids[best], order, 1)[good])
+                parts_[2].append(score[good])
             out = [np.concatenate(p) for p in parts_]
         return pa.table({"q": pa.array(out[0], pa.int64()), "cls": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
