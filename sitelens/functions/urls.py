@@ -25,7 +25,17 @@ _SCHEME_RX = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # space, quotes, angle brackets, backtick, braces, backslash.
 _SAFE_RX = r"^[^\x00-\x20\"'<>`{}\\]*$"
 _DOT_SEGMENT_RX = r"(?i)(^|/)(\.|%2e){1,2}(/|$|\?|#)|%2e"
-_CLEAN_ABS_RX = r"^https?://[a-z0-9\-]+(\.[a-z0-9\-]+)*(?=[/?#]|$)"
+# A host that canonicalisation leaves alone: ASCII labels, no number last (an IPv4 address), no punycode.
+_HOST = (r"(?!(?:[a-z0-9\-]+\.)*(?:[0-9]+|0x[0-9a-f]*)(?:[/?#:]|$))(?!(?:[a-z0-9\-]+\.)*xn--)"
+         r"[a-z0-9\-]+(?:\.[a-z0-9\-]+)*")
+_CLEAN_ABS_RX = rf"^https?://{_HOST}(?=[/?#]|$)"
+_ABS_RX = rf"(?i)^https?://{_HOST}(?=[/?#]|$)"
+_NET_PATH_RX = rf"(?i)^//{_HOST}(?=[/?#]|$)"
+_BASE_RX = rf"^(?:http://{_HOST}(?::(?!80(?:[/?#]|$))[1-9][0-9]{{0,3}})?|https://{_HOST}(?::(?!443(?:[/?#]|$))[1-9][0-9]{{0,3}})?)(?=[/?#]|$)"
+# Schemes without an authority keep their rest; only controls and non-ASCII text would be encoded there.
+_OPAQUE_RX = r"(?i)^(?!(?:https?|ftp|wss?|file):)[a-z][a-z0-9+.\-]*:(?!/)[^\x00-\x20\x7f?#]*$"
+_OPAQUE_QUERY_RX = r"(?i)^(?!(?:https?|ftp|wss?|file):)[a-z][a-z0-9+.\-]*:(?!/)[^\x00-\x20\x7f\"'<>`{}\\]*$"
+_OUTER_SPACE_RX = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 
 def _c(c) -> Column:
@@ -75,31 +85,46 @@ def url_path(url: Column) -> Column:
 
 def native_resolvable(ref: Column, base: Column) -> Column:
     """True where :func:`resolve_native` equals the full algorithm."""
-    safe = ref.rlike(_SAFE_RX) & base.rlike(_SAFE_RX) & ~ref.rlike(_DOT_SEGMENT_RX)
-    base_ok = base.rlike(_CLEAN_ABS_RX) & ~base.rlike(_DOT_SEGMENT_RX)
-    has_scheme = ref.rlike(_SCHEME_RX)
-    abs_ok = has_scheme & ref.rlike(_CLEAN_ABS_RX)
-    rel_ok = ~has_scheme & ~ref.startswith("//") & (ref != "")
-    return F.coalesce(safe & ((abs_ok) | (rel_ok & base_ok)), F.lit(False))
+    ref = F.regexp_replace(ref, _OUTER_SPACE_RX, "")
+    opaque = ref.rlike(_OPAQUE_RX) | ref.rlike(_OPAQUE_QUERY_RX)
+    absolute = ref.rlike(_ABS_RX)
+    base_ok = base.rlike(_BASE_RX) & base.rlike(_SAFE_RX) & ~base.rlike(_DOT_SEGMENT_RX)
+    relative = ~ref.rlike(_SCHEME_RX) & (ref != "") & (~ref.startswith("//") | ref.rlike(_NET_PATH_RX))
+    return F.coalesce(opaque | (ref.rlike(_SAFE_RX) & (absolute | (relative & base_ok))), F.lit(False))
+
+
+def _fold_dots(path: Column) -> Column:
+    """A path without its dot segments (``.``, ``..`` and their escapes)."""
+    closed = F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}$"), F.concat(path, F.lit("/"))).otherwise(path)
+    kept = F.aggregate(
+        F.split(F.substring(closed, 2, 1 << 30), "/", -1), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x.rlike(r"(?i)^(?:\.|%2e){2}$"), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(x.rlike(r"(?i)^(?:\.|%2e)$"), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
 def resolve_native(ref: Column, base: Column) -> Column:
     """``new URL(ref, base).href`` for values where :func:`native_resolvable` holds."""
+    ref = F.regexp_replace(ref, _OUTER_SPACE_RX, "")
     origin = url_origin(base)
     base_path = F.regexp_extract(base, r"^[^:]+://[^/?#]*([^?#]*)", 1)
     base_pq = F.regexp_extract(base, r"^[^:]+://[^/?#]*([^#]*)", 1)
     base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
     base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
     base_path = F.when(base_path == "", F.lit("/")).otherwise(base_path)
-    abs_host = F.regexp_extract(ref, _CLEAN_ABS_RX, 0)
-    abs_rest = F.substring(ref, F.length(abs_host) + 1, 1 << 30)
-    abs_rest = F.when(abs_rest.startswith("/"), abs_rest).otherwise(F.concat(F.lit("/"), abs_rest))
-    raw = (F.when(ref.rlike(_SCHEME_RX), F.concat(abs_host, abs_rest))
-           .when(ref.startswith("/"), F.concat(origin, ref))
-           .when(ref.startswith("?"), F.concat(origin, base_path, ref))
-           .when(ref.startswith("#"), F.concat(origin, base_pq, ref))
-           .otherwise(F.concat(origin, base_dir, ref)))
-    return pct_encode_nonascii(raw)
+    base_pq = F.when(base_pq.startswith("/"), base_pq).otherwise(F.concat(F.lit("/"), base_pq))
+    full = (F.when(ref.rlike(_SCHEME_RX), ref)
+            .when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"^[a-z]+:", 0), ref))
+            .when(ref.startswith("/"), F.concat(origin, ref))
+            .when(ref.startswith("?"), F.concat(origin, base_path, ref))
+            .when(ref.startswith("#"), F.concat(origin, base_pq, ref))
+            .otherwise(F.concat(origin, base_dir, ref)))
+    head = F.lower(F.regexp_extract(full, r"(?i)^https?://[^/?#]*", 0))
+    path = F.regexp_extract(full, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    tail = F.regexp_extract(full, r"^[^?#]*(.*)$", 1)
+    opaque = F.concat(F.lower(F.regexp_extract(ref, _SCHEME_RX, 0)), F.regexp_replace(ref, _SCHEME_RX, ""))
+    return pct_encode_nonascii(F.when(head == "", opaque).otherwise(F.concat(head, _fold_dots(path), tail)))
 
 
 @F.pandas_udf(T.StringType())
@@ -116,37 +141,37 @@ def report_key_udf(url: pd.Series) -> pd.Series:
 
 
 def report_key_native_ok(url: Column) -> Column:
-    """True where the report key is the URL itself (plus ``/`` for an empty path)."""
+    """True where :func:`report_key_native` equals the full algorithm."""
     # Non-ASCII path/query text is encoded by the parser and decoded again by
-    # decodeURI, so it round-trips; a '%' or a non-ASCII host does not.
-    return F.coalesce(url.rlike(_CLEAN_ABS_RX) & url.rlike(_SAFE_RX)
-                      & ~url.rlike(_DOT_SEGMENT_RX) & ~url.contains("%"), F.lit(False))
+    # decodeURI, so it round-trips without an escape; a non-ASCII host does not.
+    return F.coalesce(url.rlike(_CLEAN_ABS_RX) & url.rlike(_SAFE_RX) & ~url.rlike(_DOT_SEGMENT_RX), F.lit(False))
 
 
 def report_key_native(url: Column) -> Column:
     host = F.regexp_extract(url, _CLEAN_ABS_RX, 0)
     rest = F.substring(url, F.length(host) + 1, 1 << 30)
-    return F.concat(host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+    href = F.concat(host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+    return F.when(url.contains("%"), decode_uri(pct_encode_nonascii(href))).otherwise(href)
 
 
 def report_key(url) -> Column:
     """``decodeURI(new URL(url).href)``; null where the URL does not parse."""
     url = _c(url)
     ok = report_key_native_ok(url)
-    return F.coalesce(F.when(ok, report_key_native(url)), report_key_udf(F.when(~ok, url)))
+    return F.when(ok, report_key_native(url)).otherwise(report_key_udf(F.when(~ok, url)))
 
 
 def resolve(ref, base) -> Column:
     """E2 for one reference: ``new URL(ref, base).href``; null where it throws."""
     ref, base = _c(ref), _c(base)
     ok = native_resolvable(ref, base)
-    return F.coalesce(F.when(ok, resolve_native(ref, base)), resolve_udf(F.when(~ok, ref), base))
+    return F.when(ok, resolve_native(ref, base)).otherwise(resolve_udf(F.when(~ok, ref), F.when(~ok, base)))
 
 
 def _routed(df, flag, fast, slow_udf, slow_args, out_col):
     """Add ``out_col``: ``fast`` where ``flag``, else the UDF (fed nulls on fast rows)."""
     nat = F.col("_native")
-    args = [F.when(~nat, slow_args[0]), *slow_args[1:]]
+    args = [F.when(~nat, a) for a in slow_args]
     return (df.withColumn("_native", flag)
             .withColumn(out_col, F.when(nat, fast).otherwise(slow_udf(*args)))
             .drop("_native"))

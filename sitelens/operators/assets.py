@@ -1,9 +1,10 @@
 """Asset rows from fetched responses (one narrow stage; body dropped at the end).
 
-Everything is computed with native expressions for rows whose url and
-references need no more than splitting and encoding (``_nat``). The other rows
-go through one Arrow-batched UDF that finishes the row (report url, MIME
-guess, parser routing, reference resolution) from natively extracted inputs.
+Everything is computed with native expressions where the url needs no more
+than splitting and encoding (``_url_ok``), and so is each single reference
+that does not. The rest (whole rows with other urls, single references
+elsewhere) goes through one Arrow-batched UDF fed from natively extracted
+inputs, null wherever there is nothing to do.
 Keeping a single Python stage matters: when two Python stages follow each
 other, Spark inlines every projection between them into the second stage,
 which would repeat the HTML tokenizing several times per row.
@@ -11,7 +12,6 @@ which would repeat the HTML tokenizing several times per row.
 
 from __future__ import annotations
 
-import html as _html
 from functools import lru_cache
 
 import pandas as pd
@@ -51,12 +51,15 @@ def _py_kind(mime: str, url: str) -> str:
 
 
 @F.pandas_udf(_SLOW)
-def _finish_slow_rows(final_url: pd.Series, media: pd.Series, html_refs: pd.Series,
-                      sitemap_refs: pd.Series) -> pd.DataFrame:
+def _finish_slow_rows(final_url: pd.Series, media: pd.Series, html_refs: pd.Series, sitemap_refs: pd.Series,
+                      rest: pd.Series, base: pd.Series, unescape: pd.Series) -> pd.DataFrame:
+    """Rows whose url needs the full parser are finished here (first four arguments); of the others only the single
+    references that do (last three), answered in their order. All arguments are null where nothing is to be done."""
     urls, mimes, kinds, refs = [], [], [], []
-    for fu, med, hr, sr in zip(final_url, media, html_refs, sitemap_refs):
+    for fu, med, hr, sr, rs, b, un in zip(final_url, media, html_refs, sitemap_refs, rest, base, unescape):
         if fu is None:
-            urls.append(None), mimes.append(None), kinds.append(None), refs.append(None)
+            urls.append(None), mimes.append(None), kinds.append(None)
+            refs.append(None if rs is None else [whatwg.resolve(E.unescape_attribute(r) if un else r, b) for r in rs])
             continue
         url = whatwg.report_key(fu)
         href = whatwg.resolve(fu)
@@ -67,7 +70,7 @@ def _finish_slow_rows(final_url: pd.Series, media: pd.Series, html_refs: pd.Seri
         out, seen = [], set()
         if url is not None:
             for r in raw:
-                v = whatwg.resolve(_html.unescape(r) if kind == "html" else r, url)
+                v = whatwg.resolve(E.unescape_attribute(r) if kind == "html" else r, url)
                 if v is not None and v not in seen:
                     seen.add(v)
                     out.append(v)
@@ -100,7 +103,8 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
     a = a.select(*[c for c in a.columns if c != "_metas"], x["meta_content"])
     a = a.select(*[c for c in a.columns if c != "_meta_content"], x["meta_date"], x["raw"])
     # stage 3: references natively where possible, one UDF stage for the rest
-    a = a.select("*", x["nat"])
+    a = a.select("*", x["prep"])
+    a = a.select("*", x["rest"])
     a = a.select("*", x["slow"])
     return a.select(*keep, *x["final"], *(["body"] if keep_body else []))
 
@@ -132,13 +136,14 @@ def _exprs() -> dict:
     x["raw"] = (F.when(F.col("_kind") == "html", F.col("_html_refs"))
                 .when(F.col("_kind") == "sitemap", F.col("_sm_refs"))
                 .otherwise(F.array().cast("array<string>"))).alias("_raw")
-    base, is_html = F.col("_url"), F.col("_kind") == "html"
-    refs_ok = F.forall(F.col("_raw"), lambda r: U.native_resolvable(r, base) & (~is_html | ~r.contains("&")))
-    x["nat"] = (F.col("_url_ok") & F.coalesce(refs_ok, F.lit(True))).alias("_nat")
-    nat = F.col("_nat")
-    x["slow"] = _finish_slow_rows(F.when(~nat, fu), F.col("_media"), F.col("_html_refs"),
-                                  F.col("_sm_refs")).alias("_slow")
-    fast_refs = F.array_distinct(F.transform(F.col("_raw"), lambda r: U.resolve_native(r, base)))
+    base, is_html, nat = F.col("_url"), F.col("_kind") == "html", F.col("_url_ok")
+    x["prep"] = F.when(nat, E.prepared_references(F.col("_raw"), base, is_html)).alias("_prep")
+    x["rest"] = E.rest_of(F.col("_prep")).alias("_rest")
+    has = F.col("_rest").isNotNull()
+    x["slow"] = _finish_slow_rows(F.when(~nat, fu), F.when(~nat, F.col("_media")), F.when(~nat, F.col("_html_refs")),
+                                  F.when(~nat, F.col("_sm_refs")), F.col("_rest"), F.when(has, base),
+                                  F.when(has, is_html)).alias("_slow")
+    fast_refs = E.merged_references(F.col("_prep"), F.col("_rest"), F.col("_slow.references"))
     kind = F.when(nat, F.col("_kind")).otherwise(F.col("_slow.kind"))
     x["final"] = [
         F.when(nat, F.col("_url")).otherwise(F.col("_slow.url")).alias("url"),

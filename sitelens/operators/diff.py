@@ -155,68 +155,3 @@ def line_changes(changes: DataFrame, content: DataFrame) -> DataFrame:
             .groupBy("url", "ord", "line")
             .agg(F.sum("o").cast("long").alias("n_old"), F.sum("n").cast("long").alias("n_new"))
             .where(F.col("n_old") != F.col("n_new")))
-
-
-# Fixed value: the separator line that opens a two-file patch.
-PATCH_SEPARATOR = "=" * 67
-NO_EOL = "\\ No newline at end of file"
-
-
-def unified_patch(old_name: str, new_name: str, a: str, b: str, context: int = 4) -> str:
-    """Two-file unified patch: separator, ---/+++ names, hunks whose headers
-    always carry both counts (a zero-length range starts one line lower), and a
-    no-newline marker after a file's last line when it lacks one. Per-pair
-    helper; difflib only aligns the lines."""
-    import difflib
-
-    al, bl = a.splitlines(keepends=True), b.splitlines(keepends=True)
-    out = [PATCH_SEPARATOR, f"--- {old_name}", f"+++ {new_name}"]
-
-    def emit(prefix, lines, start, total):
-        for k, line in enumerate(lines):
-            out.append(prefix + line.rstrip("\r\n") if line.endswith("\n") else prefix + line)
-            if start + k == total - 1 and not line.endswith("\n"):
-                out.append(NO_EOL)
-
-    for group in difflib.SequenceMatcher(None, al, bl, autojunk=False).get_grouped_opcodes(context):
-        i1, i2, j1, j2 = group[0][1], group[-1][2], group[0][3], group[-1][4]
-        old_start = i1 + 1 if i2 > i1 else i1
-        new_start = j1 + 1 if j2 > j1 else j1
-        out.append(f"@@ -{old_start},{i2 - i1} +{new_start},{j2 - j1} @@")
-        for tag, x1, x2, y1, y2 in group:
-            if tag == "equal":
-                emit(" ", al[x1:x2], x1, len(al))
-                continue
-            if tag in ("replace", "delete"):
-                emit("-", al[x1:x2], x1, len(al))
-            if tag in ("replace", "insert"):
-                emit("+", bl[y1:y2], y1, len(bl))
-    return "\n".join(out) + "\n"
-
-
-def content_patches(changes: DataFrame, content: DataFrame, reverse: bool = False,
-                    context: int = 4) -> DataFrame:
-    """Unified text patch (old -> new) per modified row, one row per pair.
-
-    ``reverse=True`` reproduces the reference's argument order (new body
-    first). Each pair is diffed inside its own task; bodies are selected down
-    to the pair before the Python hand-off.
-    """
-    import pandas as pd
-
-    b = _modified_bodies(changes, content).select(
-        "url", "ord", "old_hash", "new_hash",
-        _text("old_body").alias("old_text"), _text("new_body").alias("new_text"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                a, z = row.old_text or "", row.new_text or ""
-                fa, fz = f"assets/{row.old_hash}", f"assets/{row.new_hash}"
-                if reverse:
-                    a, z, fa, fz = z, a, fz, fa
-                out.append(unified_patch(fa, fz, a, z, context))
-            yield pd.DataFrame({"url": pdf["url"], "ord": pdf["ord"], "patch": out})
-
-    return b.mapInPandas(run, "url string, ord long, patch string")

@@ -1,18 +1,19 @@
 """Reference extraction (E1-E5) as column expressions.
 
-HTML is tokenized with JVM regular expressions, not a DOM: comments are cut
-out, the content of raw-text elements (script, style, title, textarea) is
-skipped while their start tags stay, start tags are matched with quote-aware
-attribute syntax, and attributes are split in order so the first of a
-duplicated attribute wins. All of it stays in whole-stage generated code or
-JVM higher-order functions; Python runs only for rows whose links need
-entity decoding or the full URL algorithm (see ``with_references``).
+HTML is tokenized with one JVM regular expression in document order, not a
+DOM: comments, raw-text elements, tags with quoted attributes and
+declarations are alternatives of one pattern, so whichever starts first wins;
+attributes are split in order, so the first of a duplicated attribute wins.
+All of it stays in JVM expressions; Python sees only single references that
+need other entities or the full URL algorithm (see ``with_references``).
 """
 
 from __future__ import annotations
 
 import html as _html
+import re
 from functools import lru_cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,39 +24,42 @@ from sitelens.functions import urls as U
 from sitelens.functions import whatwg
 from sitelens.functions.content import parse_date
 
-_COMMENT_RX = r"(?s)<!--.*?(?:-->|$)"
-_RAWTEXT_RX = r"(?is)(<(script|style|title|textarea)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>).*?(?:</\2\s*>|$)"
-_ATTR_RX = r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?"
-
-
-_TAG_RX = r"(?i)<(?:script|img|a|meta)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-
-
-def tokenizable_html(text: Column) -> Column:
-    """Markup with comments removed and raw-text element content skipped."""
-    t = F.regexp_replace(text, _COMMENT_RX, "")
-    return F.regexp_replace(t, _RAWTEXT_RX, "$1")
+# One attribute: a name, and a value in double quotes, in single quotes or bare.
+_ATTR_RX = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+_ATTRS_RX = rf"(?:[\s/]++|{_ATTR_RX})*+"
+# Elements whose content is text: their content is no markup.
+_RAWTEXT = "script|style|title|textarea|xmp|iframe|noembed|noframes"
+# Constructs in document order, the first one that starts wins: comment, raw-text element (its start tag and content),
+# any other start tag with its attributes, end tag, declaration.
+_TOKEN_RX = (r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+             rf"|<({_RAWTEXT})(?=[\s/>]){_ATTRS_RX}>.*?(?:</\1(?=[\s/>])|\z)"
+             rf"|<[a-z][^\s/>]*+{_ATTRS_RX}>"
+             r"|</?[a-z!?][^>]*+>")
+_WANTED_RX = r"(?i)^<(?:script|img|a|meta)(?=[\s/>])"
+_START_TAG_RX = rf"(?is)^<[a-z][^\s/>]*+{_ATTRS_RX}>"
+_TAG_PARTS_RX = r"(?s)^<[A-Za-z][^\s/>]*+(.*)>$"
 
 
 def html_tags(text: Column) -> Column:
     """ARRAY<STRUCT<name, attrs>> of the script, img, a and meta start tags, in document order.
 
-    One pass over the markup; later steps only look at the (short) tag texts.
+    One pass over the markup; later steps only look at the (short) tag texts. ``attrs`` holds the
+    attributes in order, one text each.
     """
-    tags = F.regexp_extract_all(tokenizable_html(text), F.lit(_TAG_RX), 0)
-    return F.transform(tags, lambda t: F.struct(
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN_RX), 0)
+    tags = F.transform(F.filter(tokens, lambda t: t.rlike(_WANTED_RX)), lambda t: F.regexp_extract(t, _START_TAG_RX, 0))
+    return F.transform(F.filter(tags, lambda t: t != ""), lambda t: F.struct(
         F.lower(F.regexp_extract(t, r"^<([A-Za-z]+)", 1)).alias("name"),
-        F.regexp_extract(t, r"(?s)^<[A-Za-z]+(.*)>$", 1).alias("attrs")))
+        F.regexp_extract_all(F.regexp_extract(t, _TAG_PARTS_RX, 1), F.lit(_ATTR_RX), 0).alias("attrs")))
 
 
 def _attr_value(attrs: Column, name: str) -> Column:
     """Value of the first attribute called ``name`` (case-insensitive), else null."""
-    names = F.transform(F.regexp_extract_all(attrs, F.lit(_ATTR_RX), 1), lambda x: F.lower(x))
-    dq = F.regexp_extract_all(attrs, F.lit(_ATTR_RX), 2)
-    sq = F.regexp_extract_all(attrs, F.lit(_ATTR_RX), 3)
-    uq = F.regexp_extract_all(attrs, F.lit(_ATTR_RX), 4)
-    idx = F.array_position(names, name).cast("int")
-    return F.when(idx > 0, F.concat(F.element_at(dq, idx), F.element_at(sq, idx), F.element_at(uq, idx)))
+    own = F.filter(attrs, lambda a: a.rlike(rf"(?i)^{name}\s*(?:=|$)"))
+    first = F.try_element_at(own, F.lit(1))
+    value = F.regexp_extract(first, r"(?s)^[^=]*=\s*(.*)$", 1)
+    return F.when(value.rlike(r"(?s)^\".*\"$|^'.*'$") & (F.length(value) > 1),
+                  F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def _values(tags: Column, tag: str, attr: str) -> Column:
@@ -118,29 +122,66 @@ def html_meta_dates(text: Column) -> Column:
     return parse_meta_date(meta_date_content(meta_metas(html_tags(text))))
 
 
+_PLAIN_ENTITY_RX = r"&(?:amp|lt|gt|quot|apos|#0*39|#[xX]0*27);"
+# An ampersand that the attribute rule may change: a numeric reference, or a name not followed by "=" (a name without
+# ";" stays as it is before "=" or a letter or digit).
+_OTHER_ENTITY_RX = r"&(?:#|[A-Za-z][A-Za-z0-9]*+(?!=))"
+
+
 def _unescape_native(v: Column) -> Column:
     """Decode the five markup entities natively (values with others use Python)."""
     v = F.regexp_replace(v, "&lt;", "<")
     v = F.regexp_replace(v, "&gt;", ">")
     v = F.regexp_replace(v, "&quot;", "\"")
-    v = F.regexp_replace(v, "&#0*39;|&apos;", "'")
+    v = F.regexp_replace(v, "&(?:#0*39|#[xX]0*27|apos);", "'")
     return F.regexp_replace(v, "&amp;", "&")
 
 
-_SITEMAP_ROOT_RX = r"^\s*(<\?xml[^>]*\?>\s*)?(<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<urlset[\s>]"
+def _entities_native(v: Column) -> Column:
+    """True where :func:`_unescape_native` equals the attribute rule."""
+    return ~v.contains("&") | ~F.regexp_replace(v, _PLAIN_ENTITY_RX, " ").rlike(_OTHER_ENTITY_RX)
+
+
+_ENTITY = re.compile(r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*;?))")
+
+
+def unescape_attribute(value: str) -> str:
+    """Character references of an attribute value: a name without ``;`` that is followed by ``=``, a letter or a digit
+    stays as it is."""
+    def one(m: re.Match) -> str:
+        if m[3] is None:
+            return _html.unescape(m[0] if m[0].endswith(";") else m[0] + ";")
+        name = m[3]
+        if name.endswith(";") and name in html5:
+            return html5[name]
+        for end in range(len(name.rstrip(";")), 0, -1):     # the longest name that is known without ";"
+            if name[:end] in html5:
+                after = name[end:end + 1] or value[m.end():m.end() + 1]
+                if after == "=" or after.isalnum() and after.isascii():
+                    return m[0]
+                return html5[name[:end]] + name[end:]
+        return m[0]
+    return _ENTITY.sub(one, value)
+
+
+_SITEMAP_ROOT_RX = (r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>\s*)*+"
+                    r"<urlset(?=[\s/>])")
 
 
 def sitemap_raw_locs(text: Column) -> Column:
-    """``urlset/url/loc`` values of a sitemap document (XML-parsed, entities decoded).
+    """``urlset/url/loc`` values of a sitemap document (entities and CDATA decoded).
 
-    A malformed document yields no values (the parser is permissive, so the
-    job never fails); a document whose root is not ``urlset`` yields none.
+    Instructions, comments and a document type may stand before the root; a document whose root is not ``urlset``
+    yields none. Complete ``url`` entries of a truncated document are kept (the first ``loc`` of each).
     """
-    parsed = F.from_xml(text, "url ARRAY<STRUCT<loc: STRING>>", {"mode": "PERMISSIVE"})
-    locs = F.transform(F.coalesce(parsed["url"], F.array().cast("array<struct<loc:string>>")),
-                       lambda u: js_trim_loc(u["loc"]))
-    locs = F.filter(locs, lambda v: v.isNotNull() & (v != ""))
-    return F.when(text.rlike(_SITEMAP_ROOT_RX), locs).otherwise(F.array().cast("array<string>"))
+    body = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", "")
+    entries = F.regexp_extract_all(body, F.lit(r"(?s)<url(?:\s[^>]*)?>(.*?)</url\s*>"), 1)
+    locs = F.transform(entries, lambda e: F.regexp_extract(e, r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>", 1))
+    locs = F.transform(locs, lambda v: js_trim_loc(F.when(
+        v.rlike(r"(?s)^\s*<!\[CDATA\["), F.regexp_replace(v, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))
+        .otherwise(_unescape_native(v))))
+    return F.when(text.rlike(_SITEMAP_ROOT_RX), F.filter(locs, lambda v: v != "")).otherwise(
+        F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def js_trim_loc(v: Column) -> Column:
@@ -150,46 +191,60 @@ def js_trim_loc(v: Column) -> Column:
 # --- resolution of raw references (E2) --------------------------------------
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _resolve_all_udf(raw: pd.Series, base: pd.Series, unescape: pd.Series) -> pd.Series:
+def _resolve_rest_udf(rest: pd.Series, base: pd.Series, unescape: pd.Series) -> pd.Series:
+    """Resolved values of the references the native path does not cover, in their order."""
     out = []
-    for refs, b, un in zip(raw, base, unescape):
-        if refs is None:
-            out.append(None)
-            continue
-        seen, res = set(), []
-        for r in refs:
-            v = whatwg.resolve(_html.unescape(r) if un else r, b)
-            if v is not None and v not in seen:
-                seen.add(v)
-                res.append(v)
-        out.append(res)
+    for refs, b, un in zip(rest, base, unescape):
+        out.append(None if refs is None else [whatwg.resolve(unescape_attribute(r) if un else r, b) for r in refs])
     return pd.Series(out, dtype=object)
 
 
+def prepared_references(raw: Column, base: Column, unescape: Column) -> Column:
+    """ARRAY<STRUCT<r, v>>: each raw reference with its natively resolved value, null where the full algorithm is needed."""
+    def one(r):
+        v = F.when(unescape, _unescape_native(r)).otherwise(r)
+        ok = (~unescape | _entities_native(r)) & U.native_resolvable(v, base)
+        return F.struct(r.alias("r"), F.when(ok, U.resolve_native(v, base)).alias("v"))
+    return F.transform(raw, one)
+
+
+def rest_of(prepared: Column) -> Column:
+    """Distinct raw references left for the full algorithm; null if there are none (the usual case)."""
+    rest = F.array_distinct(F.transform(F.filter(prepared, lambda x: x["v"].isNull()), lambda x: x["r"]))
+    return F.when(F.size(rest) > 0, rest)
+
+
+def merged_references(prepared: Column, rest: Column, resolved: Column) -> Column:
+    """Resolved references in document order, distinct, first position kept; unresolvable ones are skipped."""
+    values = F.transform(prepared, lambda x: F.coalesce(
+        x["v"], F.try_element_at(resolved, F.array_position(rest, x["r"]).cast("int"))))
+    return F.array_distinct(F.filter(F.when(rest.isNull(), F.transform(prepared, lambda x: x["v"])).otherwise(values),
+                                     lambda v: v.isNotNull()))
+
+
 def with_references(df: DataFrame, raw_col: str, base_col: str, out_col: str,
-                    unescape: Column | bool = True) -> DataFrame:
+                    unescape: Column | bool = True, bad_refs: str | None = None) -> DataFrame:
     """Resolve a row's raw references against its url; distinct, first position kept.
 
-    Rows whose references are all natively resolvable (and, for HTML, free of
-    ``&``) are resolved by a JVM ``transform``; the others go through one
-    Arrow-batched UDF (which sees native rows as nulls). References that cannot be resolved are
-    skipped (count in ``bad_refs`` is raw minus resolved).
+    Routing is per reference: each one that needs no more than splitting, dot-segment folding and encoding is resolved by
+    a JVM ``transform``; only the remaining ones (and nulls for rows without any) reach one Arrow-batched UDF.
+    References that cannot be resolved are skipped; ``bad_refs`` names a column for their number.
     """
     if isinstance(unescape, Column):
-        flag, fast, slow = _resolution_exprs(raw_col, base_col, unescape)
+        prep, slow = _resolution_exprs(raw_col, base_col, unescape)
     else:
-        flag, fast, slow = _cached_resolution_exprs(raw_col, base_col, bool(unescape))
-    return df.withColumn("_native", flag).withColumn(
-        out_col, F.when(F.col("_native"), fast).otherwise(slow)).drop("_native")
+        prep, slow = _cached_resolution_exprs(raw_col, base_col, bool(unescape))
+    out = (df.withColumn("_prep", prep).withColumn("_rest", rest_of(F.col("_prep"))).withColumn("_res", slow)
+           .withColumn(out_col, merged_references(F.col("_prep"), F.col("_rest"), F.col("_res"))))
+    if bad_refs:
+        out = out.withColumn(bad_refs, F.coalesce(F.size(F.filter("_res", lambda v: v.isNull())), F.lit(0)))
+    return out.drop("_prep", "_rest", "_res")
 
 
 def _resolution_exprs(raw_col: str, base_col: str, unescape: Column):
-    raw, base = F.col(raw_col), F.col(base_col)
-    native_ok = F.forall(raw, lambda r: U.native_resolvable(r, base) & (~unescape | ~r.contains("&")))
-    native_ok = F.coalesce(native_ok, F.lit(True)) & base.isNotNull()
-    fast = F.array_distinct(F.transform(raw, lambda r: U.resolve_native(r, base)))
-    slow = _resolve_all_udf(F.when(~F.col("_native"), raw), base, unescape)
-    return native_ok, fast, slow
+    raw, base, rest = F.col(raw_col), F.col(base_col), F.col("_rest")
+    has = rest.isNotNull()
+    return prepared_references(raw, base, unescape), _resolve_rest_udf(rest, F.when(has, base), F.when(has, unescape))
 
 
 @lru_cache(maxsize=64)

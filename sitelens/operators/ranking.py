@@ -26,7 +26,8 @@ def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     partitioning, which keeps the ids deterministic under task retries.
     """
     keys = [*group_cols, *order_cols]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     s = s.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     s = s.withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))

@@ -46,9 +46,9 @@ def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
 
     ``requests`` (default: every request url of ``responses``) has
     ``request_url``; other columns are carried. Works on slim columns only:
-    the hop loop joins the still-active chains with the redirect slice, cuts
-    lineage with a reliable checkpoint per hop and stops early when no chain is
-    active (one ``isEmpty`` per hop). A relative Location is requested as is
+    the hop loop joins the still-active chains (of the redirecting urls) with the
+    redirect slice, checkpoints each hop once and splits it afterwards, and stops
+    early when no chain is active (one ``isEmpty`` per hop). A relative Location is requested as is
     and fails (``bad_location``); after ``limit`` requests the chain ends
     without data (``redirect_limit``), whatever the last Location says.
 
@@ -59,40 +59,46 @@ def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
     ``sitelens.plans.crawl.fetched_table``).
     """
     resp = _last_by_request(responses)
-    if requests is None:
-        requests = resp.select("request_url")
-    redirects = (resp.where(F.col("status").isin(*statuses) & F.col("location").isNotNull()
-                            & (F.col("location") != ""))
-                 .select(F.col("request_url").alias("cur"), F.col("location").alias("next")))
+    is_redirect = F.col("status").isin(*statuses) & F.col("location").isNotNull() & (F.col("location") != "")
     if checkpoint:
         # materialized once: otherwise every hop would re-scan and re-shuffle the log
-        redirects = redirects.checkpoint(eager=True)
-    active = requests.withColumn("cur", F.col("request_url")).withColumn("hops", F.lit(0))
-    done_parts = []
+        resp = resp.checkpoint(eager=True)
+    redirects = resp.where(is_redirect).select(F.col("request_url").alias("cur"), F.col("location").alias("next"))
+    known = F.coalesce(is_redirect, F.lit(False))
+    if requests is None:
+        # a request's own response says whether it redirects: only redirecting ones enter the loop
+        requests = resp.select("request_url")
+        first = resp.where(~known).select(
+            "request_url", F.col("request_url").alias("cur"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("flag"),
+            F.col("ord").alias("response_ord"), "status")
+        step = resp.where(known).select("request_url", F.col("request_url").alias("cur"), F.lit(0).alias("hops"),
+                                        F.col("location").alias("next"))
+    else:
+        first = None
+        step = requests.withColumn("cur", F.col("request_url")).withColumn("hops", F.lit(0)).join(redirects, "cur", "left")
+    ended = []
     for i in range(limit):
-        step = active.join(redirects, "cur", "left")
-        stop = step.where(F.col("next").isNull()).drop("next").withColumn("flag", F.lit(None).cast("string"))
-        moved = step.where(F.col("next").isNotNull()).withColumn("cur", F.col("next")).drop("next") \
-            .withColumn("hops", F.lit(i + 1))
+        if checkpoint and (i or first is None):
+            step = step.checkpoint(eager=True)      # split below without planning the hop's join again
+        ended.append(step.where(F.col("next").isNull()).drop("next").withColumn("flag", F.lit(None).cast("string")))
+        moved = (step.where(F.col("next").isNotNull()).withColumn("cur", F.col("next")).drop("next")
+                 .withColumn("hops", F.lit(i + 1)))
         absolute = F.col("cur").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-        if i + 1 < limit:
-            bad = moved.where(~absolute).withColumn("flag", F.lit("bad_location"))
-            active = moved.where(absolute)
-        else:
-            bad = moved.where(F.lit(False)).withColumn("flag", F.lit("bad_location"))
-            active = moved
-        # finished chains hang off the previous (checkpointed) hop, so their
-        # lineage is one join deep; only the active set needs cutting
-        done_parts.append(stop.unionByName(bad))
-        if checkpoint:
-            active = active.checkpoint(eager=True)
-        if active.isEmpty():
+        if i + 1 == limit:
+            ended.append(moved.withColumn("flag", F.lit("redirect_limit")))
+            break
+        ended.append(moved.where(~absolute).withColumn("flag", F.lit("bad_location")))
+        active = moved.where(absolute)
+        if checkpoint and active.isEmpty():
             break
-    finals = active.withColumn("flag", F.lit("redirect_limit"))
-    for part in done_parts:
+        step = active.join(redirects, "cur", "left")
+    finals = ended[0]
+    for part in ended[1:]:
         finals = finals.unionByName(part)
     final_resp = resp.select(F.col("request_url").alias("cur"), F.col("ord").alias("response_ord"), "status")
     out = finals.join(final_resp, "cur", "left")
+    if first is not None:
+        out = out.unionByName(first)
     outcome = (F.when(F.col("flag").isNotNull(), F.col("flag"))
                .when(F.col("status").isNull(), F.lit("missing"))
                .when(F.col("status").between(200, 299), F.lit("ok"))

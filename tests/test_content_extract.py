@@ -26,6 +26,17 @@ def test_dates(spark):
                                   "2024-01-02T03:04:05.500Z", None, None]
 
 
+def test_date_forms_of_the_js_parser(spark):
+    cases = {"Sun Nov  6 08:49:37 1994": "1994-11-06T08:49:37.000Z", "May 5, 2024": "2024-05-05T00:00:00.000Z",
+             "2024-05": "2024-05-01T00:00:00.000Z", "2024": "2024-01-01T00:00:00.000Z", "06 Nov 1994": "1994-11-06T00:00:00.000Z",
+             "2024/05/06": "2024-05-06T00:00:00.000Z", "Sun Nov 06 1994 08:49:37 GMT+0000": "1994-11-06T08:49:37.000Z",
+             "Sun Nov 06 1994 08:49:37 GMT+0200 (Central European Time)": "1994-11-06T06:49:37.000Z", "5/6/2024 7:08": "2024-05-06T07:08:00.000Z",
+             "6 November 1994 08:49 +0100": "1994-11-06T07:49:00.000Z", "Thu, 31 Feb 2020 00:00:00 GMT": None, "Nov 1994 x": None, "May": None,
+             "2024-13": None, "Mon, 06 Nov 49 08:49:37 UTC": "2049-11-06T08:49:37.000Z"}
+    got = spark.createDataFrame([(r,) for r in cases], "d string").select("d", C.parse_date("d").alias("x")).collect()
+    assert {g.d: g.x for g in got} == cases
+
+
 def test_hash_and_decode(spark):
     df = spark.createDataFrame([(b"",), (b"\xef\xbb\xbfhi",), (b"a\xffb",), (None,)], "b binary")
     got = df.select(C.content_hash("b").alias("h"), C.decode_text("b").alias("t")).collect()
@@ -70,7 +81,71 @@ def test_sitemaps(spark):
     ]
     got = spark.createDataFrame([(d,) for d in docs], "t string").select(
         E.sitemap_raw_locs(F.col("t")).alias("l")).collect()
-    assert [g.l for g in got] == [["https://h/a", "https://h/b?x=1&y=2"], ["https://h/only"], [], [], []]
+    # the reference's parser does not validate: complete entries of a truncated document count
+    assert [g.l for g in got] == [["https://h/a", "https://h/b?x=1&y=2"], ["https://h/only"], ["https://h/a"], [], []]
+
+
+def test_sitemap_prologues(spark):
+    body = "<urlset xmlns='x'><!-- <url><loc>https://h/no</loc></url> -->\n<url>\n <loc>https://h/a</loc><image:image><image:loc>https://h/i</image:loc></image:image></url><url><loc><![CDATA[https://h/b?x=1&y=2]]></loc></url></urlset>"
+    docs = ['<?xml version="1.0"?>\n<?xml-stylesheet type="text/xsl" href="/s.xsl"?>\n' + body,
+            '<?xml version="1.0"?><!-- a\nb -->\n<!DOCTYPE urlset>' + body, "\n" + body, "<p>" + body, None]
+    got = spark.createDataFrame([(d,) for d in docs], "t string").select(E.sitemap_raw_locs(F.col("t")).alias("l")).collect()
+    want = ["https://h/a", "https://h/b?x=1&y=2"]
+    assert [g.l for g in got] == [want, want, want, [], None]
+
+
+def test_the_first_construct_in_document_order_wins(spark):
+    docs = {
+        '<script>var s="<!--";</script><a href="/a">x</a><a href="/b">y</a>': ["/a", "/b"],
+        '<a title="<!--" href="/a">x</a><a href="/b">y</a>': ["/a", "/b"],
+        "<div data-t=\"<a href='/ghost'>\"><a href='/a'>": ["/a"],
+        "<p title='a > b'><a href=/a>1</a></p title=\"<a href=/ghost>\">": ["/a"],
+        "<!--> <a href='/a'> <!-- <a href='/no'> --!> <a href='/b'>": ["/a", "/b"],
+        "<iframe><a href='/no'></iframe><style><a href='/no'></style ><a\nhref\n=\n'/a'>": ["/a"],
+        "a < b <a href='/a' href='/dup' HREF='/dup2'><a data-href='/no'><a href><a href=''>": ["/a"],
+        "<SCRIPT SRC='/s.js'></SCRIPT><img/src='/i.png'/><a href='/x'": ["/s.js", "/i.png"],
+        "<abbr href='/no'><article href='/no'><a href='/a'>": ["/a"],
+    }
+    got = spark.createDataFrame([(d,) for d in docs], "h string").select("h", E.html_raw_references(F.col("h")).alias("r")).collect()
+    assert {g.h: g.r for g in got} == docs
+
+
+def test_entities_follow_the_attribute_rule(spark):
+    cases = {"/x?a=1&section=2&copy=3&region=4": "/x?a=1&section=2&copy=3&region=4", "/x?a=1&amp;b=2": "/x?a=1&b=2",
+             "/x?a&copy;b": "/x?a©b", "/x?a&copy": "/x?a©", "/x?a&copyb": "/x?a&copyb", "/x?a&notit;": "/x?a&notit;",
+             "/x&#47;y": "/x/y", "/x&#x2f;y": "/x/y", "/x?&&=&1": "/x?&&=&1", "/x?q=&quot;a&quot;": '/x?q="a"', "/&eacute;&eacute=": "/é&eacute="}
+    assert {k: E.unescape_attribute(k) for k in cases} == cases
+    df = spark.createDataFrame([(list(cases), "https://h.com/d/p.html")], "raw array<string>, base string")
+    got = E.with_references(df, "raw", "base", "references").first().references
+    from sitelens.functions import whatwg
+    want = list(dict.fromkeys(whatwg.resolve(v, "https://h.com/d/p.html") for v in cases.values()))
+    assert got == want
+
+
+WILD = ["mailto:x@y.z", "tel:+1555", "javascript:void(0)", "JavaScript:alert('x')", "//cdn.example.org/a/../b", "../up?x=1#f", "./here", "a/b/../c", "..", ".",
+        "../../..", "/a/./b/%2e%2E/c", "?q", "#f", "/x y", " /trim ", "HTTP://EXAMPLE.com/A/../B", "https://h.com:8080/x", "http://1.2.3.4/x", "//[::1]/x",
+        "/caf\u00e9?q=\u00fc", "data:text/plain,hi", "/q?a='b'", "\\\\evil", "x:y/../z", "mailto:a@b?subject=x%20y", "//h.com", "https://xn--bcher-kva.ch/",
+        "http://", "///x", "https:/one", "https:rel", "/a//b/..//c", "a\tb", "", "x/%zz"]
+
+
+def test_native_resolution_equals_the_full_algorithm(spark):
+    from sitelens.functions import urls as U
+    from sitelens.functions import whatwg
+    bases = ["https://h.com/d/p.html?q=1", "http://h.com/", "https://h.com", "https://h.com:8443/a/b", "http://H.com/", "https://h.com/x/../y", "https://münchen.de/"]
+    df = spark.createDataFrame([(r, b) for r in WILD for b in bases], "r string, b string")
+    got = df.select("r", "b", U.native_resolvable(F.col("r"), F.col("b")).alias("ok"), U.resolve_native(F.col("r"), F.col("b")).alias("v")).collect()
+    assert {(g.r, g.b): g.v for g in got if g.ok} == {(g.r, g.b): whatwg.resolve(g.r, g.b) for g in got if g.ok}
+    assert sum(g.ok for g in got if g.b == bases[0]) >= 22      # ordinary links stay on the JVM
+
+
+def test_few_rows_of_an_ordinary_page_reach_python(spark):
+    """Routing is per reference: a page of ordinary links needs no Python, and one odd link does not take the others along."""
+    ordinary = ["/a", "b.html", "../c", "//cdn.example.org/x.js", "mailto:a@b.c", "tel:1", "javascript:void(0)", "/x?a=1&amp;b=2&section=3", "https://o.org/z#f"]
+    df = spark.createDataFrame([(ordinary, "https://h.com/d/p.html"), (ordinary + ["/odd path"], "https://h.com/d/p.html")], "raw array<string>, base string")
+    rest = df.select(E.rest_of(E.prepared_references(F.col("raw"), F.col("base"), F.lit(True))).alias("x")).collect()
+    assert [r.x for r in rest] == [None, ["/odd path"]]
+    out = E.with_references(df, "raw", "base", "references", bad_refs="bad").collect()
+    assert out[1].references == out[0].references + ["https://h.com/odd%20path"] and out[0].bad == 0
 
 
 def test_build_assets_rows(spark):
