@@ -8,6 +8,9 @@ generated code with no join.
 
 from __future__ import annotations
 
+import mimetypes
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,6 +137,24 @@ EXTENSION_MIME = {
 }
 
 
+def load_registry(path: str | None = None) -> None:
+    """Add the types of the standard library's registry and of a registry file (``mime.types`` format: a type and its
+    extensions a line; by default the one ``SITELENS_MIME_TYPES`` names). The pairs above and earlier ones are kept.
+    A deployment that has the full public registry as such a file gets it by naming it; on the driver only."""
+    found = {k.lstrip("."): v for k, v in sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items())}
+    path = path or os.environ.get("SITELENS_MIME_TYPES")
+    if path:
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                kind, *exts = line.split("#", 1)[0].split() or [""]
+                found |= {e.lower(): kind for e in exts if e.lower() not in found}
+    for ext, kind in found.items():
+        EXTENSION_MIME.setdefault(ext, kind)
+
+
+load_registry()
+
+
 def _map_literal() -> Column:
     # one SQL map literal: a single call to build, instead of two per entry
     pairs = ", ".join(f"'{k}', '{v}'" for k, v in EXTENSION_MIME.items())

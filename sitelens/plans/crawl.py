@@ -23,7 +23,7 @@ from sitelens.operators.assets import build_assets
 from sitelens.operators.extract import link_edges
 from sitelens.operators.frontier import filter_asset_mime, skip_reason
 from sitelens.operators.responses import resolve_redirects
-from sitelens.session import scratch_dir
+from sitelens.session import list_folders, path_exists, scratch_dir
 
 
 def fetched_table(responses: DataFrame, persist: bool = True) -> DataFrame:
@@ -86,10 +86,10 @@ def _write_level(df: DataFrame, state: str, level: int, materialized: bool = Fal
     return df.count() if materialized else df.sparkSession.read.parquet(path).count()
 
 
-def _write_progress(spark: SparkSession, state: str, counts: list[tuple[int, int]]) -> None:
-    """Record level sizes (one small write per run, not per level)."""
-    if counts:
-        spark.createDataFrame(counts, "level int, n long").write.mode("append").parquet(f"{state}/progress")
+def last_level(spark: SparkSession, state: str) -> int:
+    """The last level whose write was committed: what a crawl goes on from, also after its driver was killed."""
+    found = [int(n.split("=")[1]) for n in list_folders(spark, f"{state}/levels") if n.startswith("level=")]
+    return max(n for n in found if path_exists(spark, f"{state}/levels/level={n}/_SUCCESS"))
 
 
 def _levels(spark: SparkSession, state: str) -> DataFrame:
@@ -156,41 +156,36 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
     parts = [_seen_part(stored.where(F.col("level") <= start_level), n)]
     level = start_level
     cur = spark.read.parquet(f"{state}/levels/level={level}")
-    counts: list[tuple[int, int]] = []
-    try:
-        while True:
-            if max_levels is not None and level - start_level >= max_levels:
-                return False
-            proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"), "key")
-            cand = proc.join(edges, "request_url").select(
-                "crawl_id", "target_host", F.col("dst_queue").alias("url"),
-                F.concat(F.col("key"), F.array(F.col("pos").cast("int"))).alias("key"))
-            cand = cand.where(skip_reason(F.col("url"), F.col("target_host"), mimes, include, exclude).isNull())
-            nf = _first_discovery(cand)
-            for part in parts:
-                nf = nf.join(part, ["crawl_id", "url"], "left_anti")
-            # planned statically: the level comes out hash-partitioned on
-            # (crawl_id, url) and its checkpoint keeps that, so it serves directly
-            # as the next seen part (edges are pre-partitioned, so the join with
-            # the frontier still shuffles only the frontier)
-            with _static_plan(spark):
-                nf = nf.checkpoint(eager=True)
-            count = _write_level(nf, state, level + 1, materialized=True)
-            level += 1
-            counts.append((level, count))
-            if count == 0:
-                return True
-            parts.append(nf.select("crawl_id", "url"))
-            if len(parts) > _MAX_SEEN_PARTS:
-                # compaction: one shuffle of the seen-set every few levels keeps the
-                # number of anti joins (and the plan) bounded on deep crawls
-                merged = parts[0]
-                for part in parts[1:]:
-                    merged = merged.unionByName(part)
-                parts = [_seen_part(merged, n)]
-            cur = nf
-    finally:
-        _write_progress(spark, state, counts)
+    while True:
+        if max_levels is not None and level - start_level >= max_levels:
+            return False
+        proc = cur.select("crawl_id", "target_host", F.col("url").alias("request_url"), "key")
+        cand = proc.join(edges, "request_url").select(
+            "crawl_id", "target_host", F.col("dst_queue").alias("url"),
+            F.concat(F.col("key"), F.array(F.col("pos").cast("int"))).alias("key"))
+        cand = cand.where(skip_reason(F.col("url"), F.col("target_host"), mimes, include, exclude).isNull())
+        nf = _first_discovery(cand)
+        for part in parts:
+            nf = nf.join(part, ["crawl_id", "url"], "left_anti")
+        # planned statically: the level comes out hash-partitioned on
+        # (crawl_id, url) and its checkpoint keeps that, so it serves directly
+        # as the next seen part (edges are pre-partitioned, so the join with
+        # the frontier still shuffles only the frontier)
+        with _static_plan(spark):
+            nf = nf.checkpoint(eager=True)
+        count = _write_level(nf, state, level + 1, materialized=True)
+        level += 1
+        if count == 0:
+            return True
+        parts.append(nf.select("crawl_id", "url"))
+        if len(parts) > _MAX_SEEN_PARTS:
+            # compaction: one shuffle of the seen-set every few levels keeps the
+            # number of anti joins (and the plan) bounded on deep crawls
+            merged = parts[0]
+            for part in parts[1:]:
+                merged = merged.unionByName(part)
+            parts = [_seen_part(merged, n)]
+        cur = nf
 
 
 def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (),
@@ -213,8 +208,7 @@ def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (
         sm = sm.join(s.select("crawl_id", "target_host"), "crawl_id")
         lvl0 = lvl0.unionByName(sm.select("crawl_id", "target_host", "url",
                                           F.array((F.col("p") + 1).cast("int")).alias("key")))
-    n0 = _write_level(_first_discovery(lvl0).select("crawl_id", "url", "target_host", "key"), state, 0)
-    _write_progress(spark, state, [(0, n0)])
+    _write_level(_first_discovery(lvl0).select("crawl_id", "url", "target_host", "key"), state, 0)
     edges = fetched_edges(fetched)
     finished = run_levels(spark, edges, state, 0, mimes, include, exclude, max_levels)
     return frontier_log(spark, state), state, finished
@@ -231,13 +225,30 @@ def ranked_log(log: DataFrame) -> DataFrame:
 
 
 def crawl_assets(frontier: DataFrame, fetched: DataFrame, report_mimes: Sequence[str] = (),
-                 through_depth: int | None = None) -> DataFrame:
-    """Report rows of processed urls (ok fetches passing F10), ordered by (depth, key)."""
+                 through_depth: int | None = None, snapshot_id: int | None = None) -> DataFrame:
+    """Report rows of processed urls (ok fetches passing F10), ordered by (depth, key).
+
+    With ``snapshot_id`` the rows also get it and ``ord``, their 0-based place in that
+    order within the crawl: what ``write_report``, the diff and the archive lookup take.
+    """
     f = frontier if through_depth is None else frontier.where(F.col("depth") <= through_depth)
     a = f.join(fetched.where(F.col("outcome") == "ok"), f.url == fetched.request_url).drop("request_url")
     a = a.select("crawl_id", "depth", "key", fetched.url.alias("url"), "last_modified", "data_mime",
                  "charset", "hash", "references")
-    return filter_asset_mime(a, report_mimes)
+    a = filter_asset_mime(a, report_mimes)
+    if snapshot_id is None:
+        return a
+    from sitelens.operators.ranking import ordinal_within
+    ranked = ordinal_within(a, ["crawl_id"], ["depth", "key", "url"], out="_rank")
+    return ranked.withColumns({"ord": F.col("_rank").cast("long") - 1, "snapshot_id": F.lit(snapshot_id)}).drop("_rank")
+
+
+def continue_crawl(spark: SparkSession, state: str, fetched: DataFrame, mimes: Sequence[str] = (),
+                   include: str | None = None, exclude: str | None = None,
+                   max_levels: int | None = None) -> tuple[DataFrame, bool]:
+    """Go on from a state folder (of a run that was stopped, or whose driver died) at its last committed level."""
+    finished = run_levels(spark, fetched_edges(fetched), state, last_level(spark, state), mimes, include, exclude, max_levels)
+    return frontier_log(spark, state), finished
 
 
 def crawl_state(spark: SparkSession, state: str) -> DataFrame:
@@ -246,8 +257,8 @@ def crawl_state(spark: SparkSession, state: str) -> DataFrame:
     Levels up to the last one are processed; the last written level is the
     queue (empty when the crawl finished).
     """
-    last = spark.read.parquet(f"{state}/progress").agg(F.max("level")).first()[0]
-    lv = _levels(spark, state).where(F.col("level") >= 0)
+    last = last_level(spark, state)
+    lv = _levels(spark, state).where((F.col("level") >= 0) & (F.col("level") <= last))
     return (lv.groupBy("crawl_id").agg(
         F.sum(F.when(F.col("level") == F.lit(last), 1).otherwise(0)).cast("long").alias("n_queue"),
         F.count(F.lit(1)).cast("long").alias("n_seen"))
@@ -260,12 +271,15 @@ def resume_crawl(spark: SparkSession, queue: DataFrame, processed: DataFrame, fe
     """Continue from a saved queue (crawl_id, url, rank) and seen-set (crawl_id, url).
 
     The queue becomes level 0 (FIFO order kept through its rank); ``processed``
-    only blocks urls (F7). Depths of the continuation count from the queue.
+    only blocks urls (F7). Depths of the continuation count from the queue. A
+    report without a queue (finished, or empty) is refused.
     """
+    if queue.isEmpty():
+        raise ValueError("nothing to resume: the report is finished or has an empty queue")
     state = scratch_dir(spark, "resume")
     q = queue.join(target_hosts, "crawl_id").select(
         "crawl_id", "target_host", "url", F.array(F.col("rank").cast("int")).alias("key"))
-    _write_progress(spark, state, [(0, _write_level(q, state, 0))])
+    _write_level(q, state, 0)
     blocked = processed.join(queue.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
     blk = blocked.join(target_hosts, "crawl_id").select(
         "crawl_id", "url", "target_host", F.array(F.lit(0)).alias("key"))

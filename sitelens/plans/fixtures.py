@@ -157,6 +157,13 @@ def crawl_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     body.cast("binary").alias("body")))
 
 
+def changed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl's responses at a later date: bodies of pages with page_id % 7 = 0 have changed."""
+    r = crawl_responses(spark, sf_dir)
+    return r.withColumn("body", F.when(F.col("ord") % 7 == 0, F.concat("body", F.lit("<!-- v2 -->").cast("binary")))
+                        .otherwise(F.col("body")))
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One crawl per host, seeded with the host's first page."""
     h = hosted_pages(spark, sf_dir)
@@ -262,3 +269,44 @@ def meta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit("")))
     html = F.regexp_replace("html", "<head>", F.concat(F.lit("<head>"), meta))
     return p.select("page_id", _noframe(F.col("url")).alias("url"), html.alias("html"))
+
+
+def wild_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX7: every page with a block of hostile markup and of the link forms real pages hold.
+
+    Comment openers in a script and in an attribute, tags inside attribute
+    values, script and image references, parent, network-path, opaque-scheme
+    and query-only links, unescaped ``&section=`` and escaped ``&amp;``.
+    """
+    p = pages(spark, sf_dir)
+    pid = _pid().cast("string")
+    parts = ['<script src="/s', pid, '.js"></script><script>var s="<!--";</script>',
+             "<div data-t=\"<a href='/ghost", pid, "'>\">x</div><!-- <a href=\"/no", pid, '"> -->',
+             '<img alt="a > b" src=/i', pid, '.png><a title="<!--" href="/t', pid, '">t</a>',
+             '<A HREF="../up', pid, '?a=1&section=2&copy=3&region=4" href="/dup">u</A>',
+             '<a href="//cdn.example.org/x/../', pid, '">c</a><a href="mailto:u', pid, '@example.com">m</a>',
+             "<a href='tel:+1555", pid, "'>p</a><a href=\"javascript:void(0)\">j</a>",
+             '<a href="/q?x=1&amp;y=', pid, '">q</a><a\nhref = "./d/./e', pid, '#f">d</a><a href="?n=', pid, '">n</a>',
+             "<textarea><a href='/no'></textarea><title><a href='/no'></title>"]
+    block = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    anchors = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), 1),
+                                       lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), "\n")
+    return p.select("page_id", _noframe(F.col("url")).alias("url"),
+                    F.concat(F.lit("<html><body>"), block, anchors, F.lit("</body></html>")).alias("html"))
+
+
+def wild_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX7 sitemaps: style-sheet instruction, comments over several lines, a document type, CDATA, truncated ends (page_id % 5)."""
+    p = pages(spark, sf_dir)
+    origin, m5 = F.regexp_extract("url", ORIGIN_RX, 1), _pid() % 5
+    hrefs = F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), 1)
+    entries = F.array_join(F.transform(hrefs, lambda h: F.concat(
+        F.lit("<url>\n<loc>"), F.when(m5 == 3, F.concat(F.lit("<![CDATA["), origin, h, F.lit("]]>"))).otherwise(F.concat(origin, h)),
+        F.lit("</loc>\n<image:image><image:loc>/no</image:loc></image:image></url>"))), "")
+    head = (F.when(m5 == 0, F.lit('<?xml-stylesheet type="text/xsl" href="/s.xsl"?>\n'))
+            .when(m5 == 1, F.lit("<!-- made by\n hand -->\n")).when(m5 == 2, F.lit("<!DOCTYPE urlset>\n")).otherwise(F.lit("")))
+    tail = F.when(m5 == 4, F.lit("<url><loc>/cut")).otherwise(F.lit("</urlset>"))
+    body = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), head,
+                    F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entries, tail)
+    return p.select("page_id", F.concat(origin, F.lit("/"), _pid().cast("string"), F.lit("/sitemap.xml")).alias("request_url"),
+                    body.cast("binary").alias("body"))

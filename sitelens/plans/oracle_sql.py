@@ -143,17 +143,22 @@ offhost AS (
   WHERE n.host <> h.host),
 cands AS (SELECT host, src, dst, pos FROM graph UNION ALL SELECT host, src, dst, pos FROM offhost)"""
 
+def _reach(name: str, extra: str = "TRUE") -> str:
+    """Urls reached from the seeds with their least depth: a recursion keyed by (crawl, url) that stops when no new key appears."""
+    return f"""{name} AS (WITH RECURSIVE r(crawl_id, host, url, depth) USING KEY (crawl_id, url) AS (
+    SELECT crawl_id, host, crawl_id, 0 FROM seeds
+    UNION
+    SELECT r.crawl_id, r.host, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url
+      LEFT JOIN recurring.r AS k ON k.crawl_id = r.crawl_id AND k.url = e.dst
+    WHERE {host('e.dst')} = r.host AND k.url IS NULL AND {extra})
+  SELECT crawl_id, url, depth FROM r)"""
+
+
 CLOSURE = GRAPH + f""",
 own AS (SELECT url AS src, unnest({resolved('url', 'html')}) AS dst FROM hosted),
 edges AS (SELECT src, dst FROM cands UNION ALL SELECT src, dst FROM own),
 seeds AS (SELECT url AS crawl_id, host FROM ranked WHERE rn = 1),
-reach AS (SELECT crawl_id, url, min(d) AS depth FROM (
-  WITH RECURSIVE r(crawl_id, host, url, d) AS (
-    SELECT crawl_id, host, crawl_id, 0 FROM seeds
-    UNION
-    SELECT r.crawl_id, r.host, e.dst, r.d + 1 FROM r JOIN edges e ON e.src = r.url
-    WHERE {host('e.dst')} = r.host AND r.d < 64)
-  SELECT * FROM r) GROUP BY crawl_id, url)"""
+{_reach("reach")}"""
 
 ROBOTS = f"""robots AS (
   SELECT page_id, {origin('url')} || '/robots.txt' AS robots_url,
@@ -277,7 +282,32 @@ FROM pages"""
 SQL["e4_sitemap_references"] = f"""WITH s AS (
   SELECT page_id, {origin('url')} || '/' || CAST(page_id AS VARCHAR)
            || CASE WHEN page_id % 6 = 2 THEN '/feed.xml' ELSE '/sitemap.xml' END AS request_url,
-    CASE WHEN page_id % 6 IN (3, 4) THEN []::VARCHAR[] ELSE {resolved('url', 'html')} END AS r
+    CASE WHEN page_id % 6 = 4 THEN []::VARCHAR[] ELSE {resolved('url', 'html')} END AS r
+  FROM pages)
+SELECT request_url, CAST(len(r) AS INTEGER) AS n_refs, array_to_string(r, {NL}) AS refs FROM s"""
+# FX7: the page's own anchors after a block of hostile markup and ordinary link forms; expected values are built from the
+# page's url by string functions, independently of the tokenizer and resolver
+_DIR = "regexp_replace(regexp_extract(split_part(url, '#', 1), '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+_WILD = f"""w AS (SELECT page_id, split_part(url, '#', 1) AS url, {origin('url')} AS o, split_part(url, ':', 1) AS sc,
+    CASE WHEN {_DIR} = '' THEN '/' ELSE {_DIR} END AS dir, CAST(page_id AS VARCHAR) AS p, {hrefs('html')} AS h FROM pages),
+wraw AS (SELECT *, list_concat(['/s' || p || '.js', '/i' || p || '.png', '/t' || p, '../up' || p || '?a=1&section=2&copy=3&region=4',
+    '//cdn.example.org/x/../' || p, 'mailto:u' || p || '@example.com', 'tel:+1555' || p, 'javascript:void(0)', '/q?x=1&amp;y=' || p,
+    './d/./e' || p || '#f', '?n=' || p], h) AS raw FROM w),
+wres AS (SELECT *, list_concat([o || '/s' || p || '.js', o || '/i' || p || '.png', o || '/t' || p,
+    o || CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END || 'up' || p || '?a=1&section=2&copy=3&region=4',
+    sc || '://cdn.example.org/' || p, 'mailto:u' || p || '@example.com', 'tel:+1555' || p, 'javascript:void(0)',
+    o || '/q?x=1&y=' || p, o || dir || 'd/e' || p || '#f', split_part(split_part(url, '?', 1), '#', 1)
+      || CASE WHEN regexp_matches(url, '^https?://[^/?#]*/') THEN '' ELSE '/' END || '?n=' || p],
+    list_transform(h, lambda x: {pct("o || x")})) AS res FROM wraw)"""
+SQL["e1_html_references_wild"] = (f"WITH {_WILD} SELECT page_id, CAST(len(raw) AS INTEGER) AS n_refs, "
+                                  f"array_to_string(raw, {NL}) AS refs FROM wraw")
+SQL["e2_resolve_references_wild"] = (f"WITH {_WILD} SELECT page_id, CAST(len({distinct_ordered('res')}) AS INTEGER) AS n_refs, "
+                                     f"array_to_string({distinct_ordered('res')}, {NL}) AS refs FROM wres")
+SQL["p1_build_assets_wild"] = (f"WITH {_WILD} SELECT page_id, url, 'text/html' AS data_mime, "
+                               f"CAST(len({distinct_ordered('res')}) AS INTEGER) AS n_refs, "
+                               f"array_to_string({distinct_ordered('res')}, {NL}) AS refs FROM wres")
+SQL["e4_sitemap_prologues"] = f"""WITH s AS (
+  SELECT page_id, {origin('url')} || '/' || CAST(page_id AS VARCHAR) || '/sitemap.xml' AS request_url, {resolved('url', 'html')} AS r
   FROM pages)
 SELECT request_url, CAST(len(r) AS INTEGER) AS n_refs, array_to_string(r, {NL}) AS refs FROM s"""
 # dst_key is the decoded form: origin || raw href, recovered from the raw list at the same position
@@ -360,7 +390,18 @@ SQL["t1_stream_assets"] = (f"WITH {ASSETS} SELECT ord, url, data_mime, charset,
                            "CAST(len(refs_l) AS INTEGER) AS n_refs FROM assets3")
 SQL["s1_read_report"] = (f"WITH {ASSETS} SELECT ord, url, last_modified, data_mime, charset, hash, "
                          "CAST(len(refs_l) AS INTEGER) AS n_refs FROM assets3")
-SQL["s2_write_report"] = SQL["s1_read_report"]
+SQL["s2_write_report"] = f"""WITH {RANKED}
+SELECT 'https://' || host AS crawl_id, CAST(rn - 1 AS BIGINT) AS ord, url,
+  CASE WHEN rn % 3 <> 0 THEN sha256(html) END AS hash,
+  CASE WHEN length(host) % 2 = 0 AND rn <= 2 THEN CAST(rn AS BIGINT) END AS queue_rank
+FROM ranked"""
+SQL["c1_crawl_report_diff"] = f"""WITH {CLOSURE},
+{_reach("reach2", f"NOT regexp_matches(e.dst, '{EXCLUDE_RX}')")},
+page AS (SELECT url, max(page_id) AS page_id FROM hosted GROUP BY url),
+a AS (SELECT r.url, p.page_id FROM reach r JOIN page p ON p.url = r.url),
+b AS (SELECT r.url, p.page_id FROM reach2 r JOIN page p ON p.url = r.url)
+SELECT 'modified' AS change_type, url FROM b WHERE page_id % 7 = 0
+UNION ALL SELECT 'removed', url FROM a WHERE url NOT IN (SELECT url FROM b)"""
 SQL["s3_save_content"] = f"""WITH {SNAPS}
 SELECT DISTINCT hash, CAST(strlen(body) AS BIGINT) AS n_bytes FROM sb WHERE hash NOT IN (SELECT hash FROM sa)"""
 SQL["s4_load_content"] = f"""WITH {SNAPS}, ha AS (SELECT DISTINCT hash, body FROM sa)

@@ -72,10 +72,6 @@ def _content(spark, sf):
         b.select("hash", F.col("body").cast("binary").alias("body"))).dropDuplicates(["hash"])
 
 
-def q_d8(spark, sf):
-    return D.content_patches(_changes(spark, sf), _content(spark, sf))
-
-
 def q_d9(spark, sf):
     return D.line_changes(_changes(spark, sf), _content(spark, sf))
 
@@ -187,6 +183,33 @@ def q_e2(spark, sf):
                     _joined(F.col("references")).alias("refs"))
 
 
+def q_e1_wild(spark, sf):
+    r = FX.wild_pages(spark, sf).select("page_id", E.html_raw_references(F.col("html")).alias("raw"))
+    return r.select("page_id", F.size("raw").cast("int").alias("n_refs"), _joined(F.col("raw")).alias("refs"))
+
+
+def q_e2_wild(spark, sf):
+    r = FX.wild_pages(spark, sf).select("page_id", "url", E.html_raw_references(F.col("html")).alias("raw"))
+    r = E.with_references(r, "raw", "url", "references")
+    return r.select("page_id", F.size("references").cast("int").alias("n_refs"), _joined(F.col("references")).alias("refs"))
+
+
+def q_p1_wild(spark, sf):
+    r = FX.wild_pages(spark, sf).select(
+        "page_id", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("string").alias("last_modified_hdr"), F.col("html").cast("binary").alias("body"))
+    a = build_assets(r, keep=["page_id"])
+    return a.select("page_id", "url", "data_mime", F.size("references").cast("int").alias("n_refs"),
+                    _joined(F.col("references")).alias("refs"))
+
+
+def q_e4_prologues(spark, sf):
+    s = FX.wild_sitemaps(spark, sf)
+    s = s.select("request_url", E.sitemap_raw_locs(C.decode_text(F.col("body"))).alias("raw"))
+    r = E.with_references(s, "raw", "request_url", "references", unescape=False)
+    return r.select("request_url", F.size("references").cast("int").alias("n_refs"), _joined(F.col("references")).alias("refs"))
+
+
 def q_e3(spark, sf):
     p = FX.meta_pages(spark, sf)
     return p.select("page_id", E.html_meta_dates(F.col("html")).alias("last_modified"))
@@ -384,7 +407,51 @@ def q_s1(spark, sf):
                          F.size("references").cast("int").alias("n_refs"))
 
 
-q_s2 = q_s1
+def _report_documents(spark, sf):
+    """One report document per host as the reference writes them: an asset per page in page order, null hashes,
+    an empty reference list; every second report unfinished, with a queue."""
+    h = FX.hosted_pages(spark, sf)
+    asset = F.struct(F.col("url"), F.lit(None).cast("string").alias("last_modified"), F.lit("text/html").alias("data_mime"),
+                     F.lit(None).cast("string").alias("charset"),
+                     F.when(F.col("rn") % 3 != 0, F.sha2(F.col("html").cast("binary"), 256)).alias("hash"),
+                     F.array().cast("array<string>").alias("references"))
+    docs = h.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rn", asset.alias("a")))).alias("l"))
+    part = F.length("host") % 2 == 0
+    urls = F.transform("l", lambda x: x["a"]["url"])
+    meta = F.struct(F.concat(F.lit("https://"), "host").alias("url"), F.lit("2024-01-01T00:00:00.000Z").alias("started"),
+                    F.when(~part, F.lit("2024-01-02T00:00:00.000Z")).alias("finished"),
+                    F.when(part, F.slice(urls, 1, 2)).alias("queue"), F.when(part, urls).alias("processed"),
+                    F.lit("1").alias("version"), F.create_map(F.lit("delay"), F.lit("500")).alias("settings"))
+    return docs.select(F.transform("l", lambda x: x["a"]).alias("assets"), meta.alias("meta"))
+
+
+def q_s2(spark, sf):
+    """Pretty-printed report documents, one per file, read back as multi-line JSON: assets in array order."""
+    from sitelens.session import scratch_dir
+    from sitelens.sources.report import read_report
+    path = scratch_dir(spark, "report-docs")
+    docs = _report_documents(spark, sf)
+    text = docs.select(F.to_json(F.struct("assets", "meta"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    text.withColumn("k", F.xxhash64("value")).repartition("k").write.partitionBy("k").text(path)
+    _, assets, queue, _ = read_report(spark, f"{path}/*/*.txt", layout="documents", multi_line=True)
+    queued = queue.select("crawl_id", "url", F.col("rank").alias("queue_rank"))
+    return assets.join(queued, ["crawl_id", "url"], "left").select("crawl_id", "ord", "url", "hash", "queue_rank")
+
+
+def q_c1(spark, sf):
+    """Two crawls (the second with an exclude filter, over partly changed bodies), written as reports, read and diffed."""
+    from sitelens.session import scratch_dir
+    from sitelens.sources.report import read_report, write_report
+    sides = []
+    for snap, (rows, kw) in enumerate([(FX.crawl_responses(spark, sf), {}), (FX.changed_responses(spark, sf), {"exclude": EXCLUDE_RX})]):
+        fetched = CR.fetched_table(rows)
+        seeds = FX.seeds(spark, sf).select(F.col("seed").alias("crawl_id"), "seed")
+        log, _, _ = CR.crawl_closure(fetched, seeds, **kw)
+        path = scratch_dir(spark, f"report-{snap}")
+        write_report(CR.crawl_assets(log, fetched, snapshot_id=snap), path, fmt="parquet")
+        sides.append(read_report(spark, path, fmt="parquet")[1])
+    d = D.diff_snapshots(*[s.select("ord", "url", "hash", "last_modified") for s in sides])
+    return d.select("change_type", "url")
 
 
 def q_s3(spark, sf):
@@ -439,7 +506,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d5_diff_snapshots": q_d5,
     "d6_change_listing": q_d6,
     "d7_change_summary": q_d7,
-    "d8_content_patches": q_d8,
     "d9_line_changes": q_d9,
     "r1_resolve_redirects": q_r1,
     "r2_ok_responses": q_r2,
@@ -451,6 +517,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r8_asset_kind": q_r8,
     "s1_read_report": q_s1,
     "s2_write_report": q_s2,
+    "c1_crawl_report_diff": q_c1,
     "s3_save_content": q_s3,
     "s4_load_content": q_s4,
     "s5_read_responses": q_s5,
@@ -461,6 +528,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "u5_mime_for_path": q_u5,
     "e1_html_references": q_e1,
     "e2_resolve_references": q_e2,
+    "e1_html_references_wild": q_e1_wild,
+    "e2_resolve_references_wild": q_e2_wild,
+    "e4_sitemap_prologues": q_e4_prologues,
+    "p1_build_assets_wild": q_p1_wild,
     "e3_html_last_modified": q_e3,
     "e4_sitemap_references": q_e4,
     "e5_link_edges": q_e5,

@@ -108,6 +108,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/sitelens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by the file system that Spark uses for it (other errors are raised)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+
+
 def spread(df, min_partitions: int | None = None):
     """Round-robin the rows over at least ``defaultParallelism`` tasks when the
     scan yields fewer partitions (e.g. a single-row-group file feeding CPU-heavy

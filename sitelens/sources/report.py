@@ -5,10 +5,8 @@ Canonical layout (splittable, any size): a folder with JSON-lines tables
 ``queue`` (crawl_id, url, rank) and ``processed`` (crawl_id, url).
 
 Document layout (the reference's interchange format): one JSON document per
-crawl, ``{"assets": [...], "meta": {...}}``. A document is one record, so
-building it gathers a whole crawl into one row; the export therefore checks
-the largest crawl against ``max_assets`` and points to the canonical layout
-beyond it.
+crawl, ``{"assets": [...], "meta": {...}}``. A document is one record by
+definition, so writing one puts a crawl into one row; nothing else here does.
 """
 
 from __future__ import annotations
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.schemas import ASSET, ASSET_COLUMNS, META, REPORT
+from sitelens.session import path_exists
 
 VERSION = "sitelens-0.1"
 
@@ -67,17 +66,12 @@ def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_lin
             r = spark.read.schema(schema) if fmt == "json" else spark.read
             return r.json(f"{path}/{name}") if fmt == "json" else r.parquet(f"{path}/{name}")
         assets = rd(_ASSET_LINE, "assets")
-        meta_s = _META_LINE
-        try:
-            meta = rd(meta_s, "meta")
-        except Exception:
-            meta = spark.createDataFrame([], meta_s)
-        try:
-            queue = rd("crawl_id string, url string, rank long", "queue")
-            processed = rd("crawl_id string, url string", "processed")
-        except Exception:
-            queue = spark.createDataFrame([], "crawl_id string, url string, rank long")
-            processed = spark.createDataFrame([], "crawl_id string, url string")
+        def optional(schema, name):
+            """A table that may be absent; an error on one that is there is raised."""
+            return rd(schema, name) if path_exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
+        meta = optional(_META_LINE, "meta")
+        queue = optional("crawl_id string, url string, rank long", "queue")
+        processed = optional("crawl_id string, url string", "processed")
         return meta, assets, queue, processed
     docs = spark.read.schema(REPORT).option("multiLine", multi_line).json(path)
     docs = docs.withColumn("crawl_id", F.col("meta.url"))
@@ -91,19 +85,18 @@ def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_lin
 
 
 def export_report_documents(spark: SparkSession, assets: DataFrame, state: str, path: str,
-                            settings: dict[str, str] | None = None, max_assets: int = 1_000_000) -> None:
-    """S2 (document layout) for the crawls in ``assets`` and the crawl ``state`` folder.
+                            settings: dict[str, str] | None = None) -> None:
+    """S2 (document layout) for every crawl in the crawl ``state`` folder, whether or not it reported an asset.
 
     Assets are ordered by (depth, key). An unfinished crawl gets ``queue``
     (pending urls in order) and ``processed`` (all seen urls, pending ones
-    included); a finished one gets ``finished`` only.
+    included); a finished one gets ``finished`` only. The interchange format is one
+    JSON document per crawl, so each crawl is one row; ``write_report`` stores
+    crawls of any size in splittable tables.
     """
-    from sitelens.plans.crawl import _levels
-    largest = assets.groupBy("crawl_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_assets:
-        raise ValueError(f"a crawl has {largest} assets; use write_report (canonical layout)")
+    from sitelens.plans.crawl import _levels, last_level
     now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + "000Z"
-    last = spark.read.parquet(f"{state}/progress").agg(F.max("level")).first()[0]
+    last = last_level(spark, state)
     lv = _levels(spark, state).where(F.col("level") >= 0)
     q = (lv.where(F.col("level") == last).groupBy("crawl_id")
          .agg(F.array_sort(F.collect_list(F.struct("key", "url"))).alias("q"))
@@ -119,8 +112,8 @@ def export_report_documents(spark: SparkSession, assets: DataFrame, state: str,
     st = settings or {}
     settings_col = F.create_map(*[x for k, v in st.items() for x in (F.lit(k), F.lit(v))]) if st \
         else F.create_map().cast("map<string,string>")
-    doc = (a.join(q, "crawl_id", "left").join(seen, "crawl_id", "left")
-           .select(F.col("assets"), F.struct(
+    doc = (seen.join(q, "crawl_id", "left").join(a, "crawl_id", "left")
+           .select(F.coalesce("assets", F.array()).alias("assets"), F.struct(
                F.col("crawl_id").alias("url"), F.lit(now).alias("started"),
                F.when(F.col("queue").isNull(), F.lit(now)).alias("finished"),
                F.col("queue"), F.when(F.col("queue").isNotNull(), F.col("processed")).alias("processed"),

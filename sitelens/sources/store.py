@@ -1,7 +1,8 @@
 """Content-addressed body store (S3 sink, S4 read).
 
 Table ``(prefix, hash, body, batch)`` partitioned by ``prefix = substr(hash, 1, 2)``;
-one row per hash; ``batch`` names the save that added it. Adding is ``dropDuplicates(hash)`` (partial, before the
+one row per hash; ``batch`` (a partition column too, so reading a save's rows back touches only its own files) names
+the save that added it. Adding is ``dropDuplicates(hash)`` (partial, before the
 shuffle) then an anti join against what is stored, then an append.
 """
 
@@ -11,16 +12,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from sitelens.functions.content import content_hash
+from sitelens.session import path_exists
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(store)
-    except AnalysisException:
-        return None
+    """The stored rows; None if nothing has been stored yet (any other error is raised)."""
+    return spark.read.parquet(store) if path_exists(spark, store) else None
 
 
 def save_content(responses: DataFrame, store: str) -> DataFrame:
@@ -38,9 +37,10 @@ def save_content(responses: DataFrame, store: str) -> DataFrame:
     new = r.select("hash", "body").dropDuplicates(["hash"]).withColumn("prefix", F.substring("hash", 1, 2))
     existing = read_store(spark, store)
     if existing is not None:
-        new = new.join(existing.select("prefix", "hash"), ["prefix", "hash"], "left_anti")
+        # on the hash alone, which both sides are partitioned by already: bodies are shuffled once
+        new = new.join(existing.select("hash"), "hash", "left_anti")
     batch = uuid.uuid4().hex
-    new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("prefix").parquet(store)
+    new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("prefix", "batch").parquet(store)
     return spark.read.parquet(store).where(F.col("batch") == batch).select("hash", "body")
 
 

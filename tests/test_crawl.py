@@ -191,3 +191,55 @@ def test_seen_parts_are_not_reshuffled(spark):
             assert nf.count() == len(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_going_on_from_a_state_folder_equals_an_uninterrupted_crawl(spark):
+    import os
+    fetched = CR.fetched_table(_site(spark))
+    seeds = spark.createDataFrame([("https://h.com/", "https://h.com/")], "crawl_id string, seed string")
+    full, _, _ = CR.crawl_closure(fetched, seeds)
+    want = {(r.url, r.depth) for r in full.collect()}
+    for cut in (0, 1, 2):
+        _, state, _ = CR.crawl_closure(fetched, seeds, max_levels=cut)
+        last = CR.last_level(spark, state)
+        assert last == cut
+        # a level whose write was not committed does not count
+        os.makedirs(f"{state.removeprefix('file:')}/levels/level={last + 1}")
+        assert CR.last_level(spark, state) == last
+        log, finished = CR.continue_crawl(spark, state, fetched)
+        assert finished and {(r.url, r.depth) for r in log.collect()} == want
+        assert CR.crawl_state(spark, state).first().finished
+
+
+def test_nothing_to_resume_is_refused(spark):
+    import pytest
+    queue = spark.createDataFrame([], "crawl_id string, url string, rank long")
+    seen = spark.createDataFrame([("c", "https://h.com/")], "crawl_id string, url string")
+    hosts = spark.createDataFrame([("c", "h.com")], "crawl_id string, target_host string")
+    with pytest.raises(ValueError):
+        CR.resume_crawl(spark, queue, seen, CR.fetched_table(_site(spark)), hosts)
+
+
+def test_a_crawl_without_a_reported_asset_is_exported(spark, tmp_dir):
+    rows = [("https://a.com/", 200, None, "text/html", b"x"), ("https://b.com/", 404, None, None, None)]
+    fetched = CR.fetched_table(_responses(spark, rows))
+    seeds = spark.createDataFrame([(u, u) for u in ("https://a.com/", "https://b.com/")], "crawl_id string, seed string")
+    log, state, _ = CR.crawl_closure(fetched, seeds)
+    export_report_documents(spark, CR.crawl_assets(log, fetched), state, f"{tmp_dir}/docs")
+    meta, assets, _, _ = read_report(spark, f"{tmp_dir}/docs", layout="documents")
+    assert {r.url for r in meta.collect()} == {"https://a.com/", "https://b.com/"} and assets.count() == 1
+
+
+def test_crawl_assets_go_into_a_report_and_a_diff(spark, tmp_dir):
+    from sitelens.operators.diff import diff_snapshots
+    from sitelens.operators.lookup import path_index
+    from sitelens.sources.report import write_report
+    fetched = CR.fetched_table(_site(spark))
+    seeds = spark.createDataFrame([("https://h.com/", "https://h.com/")], "crawl_id string, seed string")
+    log, _, _ = CR.crawl_closure(fetched, seeds)
+    a = CR.crawl_assets(log, fetched, snapshot_id=3)
+    order = [r.url for r in a.orderBy("depth", "key").collect()]
+    assert [(r.ord, r.url) for r in a.orderBy("ord").collect()] == list(enumerate(order))
+    write_report(a, f"{tmp_dir}/rep", fmt="parquet")
+    back = read_report(spark, f"{tmp_dir}/rep", fmt="parquet")[1]
+    assert diff_snapshots(a, back).count() == 0 and path_index(back).count() == len(order)

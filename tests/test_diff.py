@@ -75,13 +75,3 @@ def test_summary_and_lines(spark):
     content = spark.createDataFrame([("h1", b"a\nb\nb\n"), ("h2", b"a\nb\nc\n")], "hash string, body binary")
     lines = {(r.line, r.n_old, r.n_new) for r in D.line_changes(ch, content).collect()}
     assert lines == {("b", 2, 1), ("c", 0, 1)}
-    patch = D.content_patches(ch, content).first().patch
-    assert patch == ("=" * 67 + "\n--- assets/h1\n+++ assets/h2\n@@ -1,3 +1,3 @@\n a\n b\n-b\n+c\n")
-    rev = D.content_patches(ch, content, reverse=True).first().patch
-    assert rev.splitlines()[1] == "--- assets/h2"
-
-
-def test_patch_format_edges():
-    assert D.unified_patch("o", "n", "x\ny", "x\nz").splitlines()[3:] == [
-        "@@ -1,2 +1,2 @@", " x", "-y", "\\ No newline at end of file", "+z", "\\ No newline at end of file"]
-    assert D.unified_patch("o", "n", "", "new\n").splitlines()[3:] == ["@@ -0,0 +1,1 @@", "+new"]
