@@ -46,36 +46,44 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 _TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
 _ZONE = r"(z|(?:gmt|utc|ut)(?:[+-]\d{2}:?\d{2})?|[+-]\d{2}:?\d{2})"
-# Forms of a date text after the weekday: (pattern, groups of year, month, day, time, zone; 0 where there is none).
+# Forms of a date text after the weekday, rewritten to year|month|day|time|zone.
 _DATE_FORMS = [
-    (rf"^(\d{{1,2}})[ -]{_MON}[ -](\d{{4}}|\d{{2}})(?: {_TIME})?(?: ?{_ZONE})?$", (3, 2, 1, 4, 5)),   # 06 Nov 1994 08:49:37 GMT
-    (rf"^{_MON} (\d{{1,2}}) {_TIME} (\d{{4}})$", (4, 1, 2, 3, 0)),                                     # Nov 6 08:49:37 1994
-    (rf"^{_MON} (\d{{1,2}}) (\d{{4}})(?: {_TIME})?(?: ?{_ZONE})?$", (3, 1, 2, 4, 5)),                   # Nov 06 1994 08:49:37 GMT+0000
-    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?: {_TIME})?(?: ?{_ZONE})?$", (1, 2, 3, 4, 5)),              # 2024/05/06
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: {_TIME})?(?: ?{_ZONE})?$", (3, 1, 2, 4, 5)),              # 5/6/2024
+    (rf"^(\d{{1,2}})[ -]{_MON}[ -](\d{{4}}|\d{{2}})(?: {_TIME})?(?: ?{_ZONE})?$", "$3|$2|$1|$4|$5"),   # 06 Nov 1994 08:49:37 GMT
+    (rf"^{_MON} (\d{{1,2}}) {_TIME} (\d{{4}})$", "$4|$1|$2|$3|"),                                       # Nov 6 08:49:37 1994
+    (rf"^{_MON} (\d{{1,2}}) (\d{{4}})(?: {_TIME})?(?: ?{_ZONE})?$", "$3|$1|$2|$4|$5"),                  # Nov 06 1994 08:49:37 GMT+0000
+    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?: {_TIME})?(?: ?{_ZONE})?$", "$1|$2|$3|$4|$5"),              # 2024/05/06
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: {_TIME})?(?: ?{_ZONE})?$", "$3|$1|$2|$4|$5"),              # 5/6/2024
 ]
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used (a lambda variable)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _canonical_date(s: Column) -> Column:
     """ISO text of the first form that matches, else null."""
     s = F.regexp_replace(s, r"(?i)^(?:sun|mon|tue|wed|thu|fri|sat)[a-z]*\.?,?\s+", "")
     s = F.regexp_replace(F.regexp_replace(s, r"\s*\([^)]*\)\s*$", ""), r",", " ")
     s = F.lower(F.regexp_replace(s, r"\s+", " "))
-    out = F.lit(None).cast("string")
-    for pattern, (y, m, d, t, z) in reversed(_DATE_FORMS):
-        part = lambda g: F.regexp_extract(s, pattern, g) if g else F.lit("")  # noqa: B023, E731
-        year, month, time, zone = part(y), part(m), part(t), F.regexp_replace(part(z), "^(?:gmt|utc|ut|z)", "")
+    for pattern, parts in _DATE_FORMS:
+        s = F.regexp_replace(s, pattern, parts)     # a text that has been rewritten matches no later form
+
+    def build(p):
+        year, month, day, time = p[0], p[1], p[2], p[3]
+        zone = F.regexp_replace(p[4], "^(?:gmt|utc|ut|z)", "")
         # two-digit years: 50-99 -> 19xx, 00-49 -> 20xx (as the JS parser does)
         year = F.when(F.length(year) == 2, F.concat(F.when(year >= "50", F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
-        named = F.instr(F.lit(_MONTHS), F.substring(month, 1, 3))
-        month = F.when(month.rlike("^[0-9]"), month).otherwise(((named + 2) / 3).cast("int").cast("string"))
+        named = ((F.instr(F.lit(_MONTHS), F.substring(month, 1, 3)) + 2) / 3).cast("int").cast("string")
+        month = F.when(month.rlike("^[0-9]"), month).otherwise(named)
         time = F.when(time == "", F.lit("00:00:00")).otherwise(F.concat(
             F.lpad(F.regexp_extract(time, r"^(\d+)", 1), 2, "0"), F.regexp_extract(time, r"^\d+(:.*)$", 1),
             F.when(time.rlike(r"^\d+:\d+$"), F.lit(":00")).otherwise(F.lit(""))))
         zone = F.when(zone == "", F.lit("Z")).otherwise(F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
-        text = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0"), F.lit("T"), time, zone)
-        out = F.when(s.rlike(pattern), text).otherwise(out)
-    return out
+        return F.when(F.size(p) == 5, F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"),
+                                               F.lit("T"), time, zone))
+
+    return _once(F.split(s, r"\|", -1), build)
 
 
 def parse_date(text: Column) -> Column:
@@ -86,16 +94,17 @@ def parse_date(text: Column) -> Column:
     month alone) and date-times. A text without a zone is read as UTC
     (documented narrowing of the JS parser, which reads some forms as local time).
     """
-    s = js_trim(_c(text))
-    iso_ok = s.rlike(r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$")
-    # zone-less input is made explicitly UTC, so the session time zone never matters
-    iso = F.regexp_replace(s, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
-    iso = (F.when(F.length(iso) == 4, F.concat(iso, F.lit("-01-01T00:00:00Z")))
-           .when(F.length(iso) == 7, F.concat(iso, F.lit("-01T00:00:00Z")))
-           .when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00:00Z")))
-           .when(~iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.concat(iso, F.lit("Z")))
-           .otherwise(iso))
-    return _iso(F.try_to_timestamp(F.when(iso_ok, iso).otherwise(_canonical_date(s))))
+    def iso(s):
+        v = F.regexp_replace(s, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+        # zone-less input is made explicitly UTC, so the session time zone never matters
+        return (F.when(F.length(s) == 4, F.concat(s, F.lit("-01-01T00:00:00Z")))
+                .when(F.length(s) == 7, F.concat(s, F.lit("-01T00:00:00Z")))
+                .when(F.length(s) == 10, F.concat(s, F.lit("T00:00:00Z")))
+                .when(s.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), v).otherwise(F.concat(s, F.lit("Z"))))
+
+    iso_rx = r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
+    return _once(js_trim(_c(text)), lambda s: _iso(F.try_to_timestamp(
+        F.when(s.rlike(iso_rx), iso(s)).otherwise(_canonical_date(s)))))
 
 
 def content_hash(body: Column) -> Column:
