@@ -11,9 +11,10 @@ shingle for long texts.
 Signatures are cut into bands. Band hashes go to owners, who name each bucket's leader (its first row); every member is
 verified exactly (multiset overlap of shingles) against the leaders of its buckets, in the member's chunk: a
 leader's text travels once per chunk, however many members are there. Links between members are then implied,
-except in buckets whose members still lie in several classes: there every member outside the leader's class is
-sent to the bucket's chunks and verified against all members of other classes. So no pair of a bucket stays
-undecided, no pairs are listed, and a bucket with a third of all rows costs one text per chunk.
+except in buckets whose members still lie in several classes: there every member outside the leader's class sends a
+sketch (a byte per component) to the bucket's chunks, and where it agrees with members of other classes about as often
+as a pair at the threshold must, the text follows and is verified. So no pair of a bucket stays undecided, pairs are
+listed only where sketches agree, and a bucket with a third of all rows costs one text per chunk.
 
 Shingles are five consecutive words ``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one shingle. Texts
 without words are similar to nothing. Classes are the connected components of similarity >= threshold; null texts
@@ -104,14 +105,28 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def bands_of(buf, offs, bands: int, rows: int) -> np.ndarray:
+def signature_parts(buf, offs, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket keys, sketch) of every text: the sketch keeps one byte of each component."""
     row, item, count = shingle_bags(buf, offs)
-    n, out = offs.size - 1, []
+    n, keys, sketch = offs.size - 1, [np.zeros((0, bands), _U)], [np.zeros((0, bands * rows), np.uint8)]
     for a in range(0, n, 1024):
         b = min(n, a + 1024)
         i, j = np.searchsorted(row, (a, b))
-        out.append(band_hashes(bag_signatures(row[i:j] - a, item[i:j], count[i:j], b - a, bands * rows), bands, rows))
-    return np.concatenate(out) if out else np.zeros((0, bands), _U)
+        sig = bag_signatures(row[i:j] - a, item[i:j], count[i:j], b - a, bands * rows)
+        keys.append(band_hashes(sig, bands, rows))
+        sketch.append((mix(sig.view(_U)) >> _U(56)).astype(np.uint8))
+    return np.concatenate(keys), np.concatenate(sketch)
+
+
+def _read_parts(blob: bytes, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // (bands * 8 + bands * rows)
+    return (np.frombuffer(blob, _U, n * bands).reshape(n, bands),
+            np.frombuffer(blob, np.uint8, offset=n * bands * 8).reshape(n, bands * rows))
+
+
+def least_agreement(threshold: float, m: int) -> int:
+    """Sketch bytes that a pair at the threshold agrees in, less 6.5 standard deviations."""
+    return max(0, int(m * threshold - 6.5 * (m * threshold * (1 - threshold)) ** 0.5))
 
 
 def _node(chunk, row):
@@ -177,60 +192,59 @@ def _lookup(sorted_keys, values, missing=-1):
 # --- exact verification ------------------------------------------------------------------------------
 
 def _similar(h1, c1, h2, c2, threshold) -> bool:
-    n1, n2 = int(c1.sum()), int(c2.sum())
-    if min(n1, n2) < threshold * max(n1, n2):
+    """Weighted Jaccard similarity of two bags (sorted distinct hashes and counts) >= threshold."""
+    if h1.size == 0 or h2.size == 0:
         return False
-    both, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
-    low = int(np.minimum(c1[i], c2[j]).sum())
-    return low >= threshold * (n1 + n2 - low) - 1e-9
+    if h1.size > h2.size:
+        h1, c1, h2, c2 = h2, c2, h1, c1
+    at = np.minimum(np.searchsorted(h2, h1), h2.size - 1)
+    both = h2[at] == h1
+    low = int(np.minimum(c1[both], c2[at[both]]).sum())
+    return low >= threshold * (int(c1.sum()) + int(c2.sum()) - low) - 1e-9
+
+
+_PAIR = np.dtype([("row", "<i4"), ("node", "<i8")])
 
 
-def _compare(chunk, data, got, bands, rows, threshold, labels=None):
-    """Links between the texts sent here and this chunk's rows that share a bucket with them (and a different
-    label, if labels are given)."""
+def _verify(chunk, data, got, threshold) -> np.ndarray:
+    """Links that join the classes of the asked pairs (row of this chunk, node): each other text is here or was sent once."""
     ids, buf, offs = data
-    mine = np.frombuffer(got["bands"][0], _U).reshape(-1, bands) if "bands" in got else bands_of(buf, offs, bands, rows)
-    sent: dict[int, bytes] = {}
-    for blob in got.get("text", ()):
-        sent[int(np.frombuffer(blob, "<i8", 1)[0])] = blob[8:]
-    leads = _leads(got)
-    if labels is None:   # leaders in this very chunk need not be sent
-        for node in np.unique(leads["leader"][(leads["leader"] >> C.ROW_BITS) == chunk]):
-            row = int(node & (C.CHUNK_ROWS - 1))
-            sent[int(node)] = buf[offs[row]:offs[row + 1]].tobytes()
-    if not sent:
+    pairs = np.concatenate([np.frombuffer(b, _PAIR) for b in got.get("pair", ())] or [np.zeros(0, _PAIR)])
+    sent = {int(np.frombuffer(b, "<i8", 1)[0]): b[8:] for b in got.get("text", ())}
+    for node in np.unique(pairs["node"][pairs["node"] >> C.ROW_BITS == chunk]):
+        r = int(node & (C.CHUNK_ROWS - 1))
+        sent[int(node)] = buf[offs[r]:offs[r + 1]].tobytes()
+    if not pairs.size:
         return np.zeros((0, 2), np.int64)
-    nodes = np.array(sorted(sent), np.int64)
+    nodes = np.unique(pairs["node"])
     ybuf = np.frombuffer(b"".join(sent[int(x)] for x in nodes), np.uint8)
     yoffs = np.concatenate([[0], np.cumsum([len(sent[int(x)]) for x in nodes])])
-    yrow, yitem, ycount = shingle_bags(ybuf, yoffs)
-    yb = bands_of(ybuf, yoffs, bands, rows)
-    # pairs (text sent, own row) that share a bucket
-    xh, xr = mine.ravel(), np.repeat(np.arange(mine.shape[0]), bands)
-    yh, yr = yb.ravel(), np.repeat(np.arange(nodes.size), bands)
-    keep = (xh != 0) & np.isin(xh, yh)
-    xh, xr = xh[keep], xr[keep]
-    order = np.argsort(xh, kind="stable")
-    xh, xr = xh[order], xr[order]
-    lo, hi = np.searchsorted(xh, yh, "left"), np.searchsorted(xh, yh, "right")
-    if not xr.size:
-        return np.zeros((0, 2), np.int64)
-    xrows = np.unique(xr)
-    sub = np.concatenate([[0], np.cumsum(offs[xrows + 1] - offs[xrows])])
-    xrow, xitem, xcount = shingle_bags(buf[spread_ranges(offs[xrows], offs[xrows + 1] - offs[xrows])], sub)
-    xcut, ycut = np.searchsorted(xrow, np.arange(xrows.size + 1)), np.searchsorted(yrow, np.arange(nodes.size + 1))
-    links = []
-    for y in range(nodes.size):     # one text sent at a time: its partners here, never all pairs at once
-        a, b = y * bands, (y + 1) * bands
-        part = np.unique(np.concatenate([xr[i:j] for i, j in zip(lo[a:b], hi[a:b])]))
-        for x in part:
-            node = int(_node(chunk, int(x)))
-            if node == nodes[y] or (labels is not None and labels[0][x] == labels[1].get(int(nodes[y]))):
-                continue
-            k = int(np.searchsorted(xrows, x))
-            if _similar(xitem[xcut[k]:xcut[k + 1]], xcount[xcut[k]:xcut[k + 1]], yitem[ycut[y]:ycut[y + 1]],
-                        ycount[ycut[y]:ycut[y + 1]], threshold):
-                links.append((node, int(nodes[y])))
+    xrows = np.unique(pairs["row"]).astype(np.int64)
+    lens = offs[xrows + 1] - offs[xrows]
+    bags = []
+    for raw, cut, n in ((ybuf, yoffs, nodes.size), (buf[spread_ranges(offs[xrows], lens)], np.concatenate([[0], np.cumsum(lens)]), xrows.size)):
+        row, item, count = shingle_bags(raw, cut)
+        bags.append((item, count, np.searchsorted(row, np.arange(n + 1))))
+    (yi, yc, yat), (xi, xc, xat) = bags
+    py, px = np.searchsorted(nodes, pairs["node"]), np.searchsorted(xrows, pairs["row"])
+    ny, nx = (np.add.reduceat(np.append(c, 0), at[:-1]) * (np.diff(at) > 0) for c, at in ((yc, yat), (xc, xat)))
+    fits = np.minimum(ny[py], nx[px]) >= threshold * np.maximum(ny[py], nx[px])
+    links, root = [], {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    for i in np.flatnonzero(fits):
+        y, x = py[i], px[i]
+        a, b = int(_node(chunk, int(pairs["row"][i]))), int(pairs["node"][i])
+        if (ra := find(a)) == (rb := find(b)):
+            continue        # already in one class by links found here: only a spanning forest is reported
+        if _similar(xi[xat[x]:xat[x + 1]], xc[xat[x]:xat[x + 1]], yi[yat[y]:yat[y + 1]], yc[yat[y]:yat[y + 1]], threshold):
+            links.append((a, b))
+            root[max(ra, rb)] = min(ra, rb)
     return np.array(links, np.int64).reshape(-1, 2)
 
 
@@ -238,8 +252,20 @@ def _link_table(links):
     return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
 
+def _pair_table(chunk, row, node) -> pa.Table:
+    e = np.empty(row.size, _PAIR)
+    e["row"], e["node"] = row, node
+    return C.reply_table([(chunk, "pair", np.unique(e).tobytes())] if e.size else [])
+
+
 # --- the operator ---------------------------------------------------------------------------------------
 
+def _little_endian(col: str):
+    """A long as eight bytes."""
+    big = F.unhex(F.lpad(F.hex(col), 16, "0"))
+    return F.concat(*[F.substring(big, i, 1) for i in range(8, 0, -1)])
+
+
 def _texts(packed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text bytes) of the named rows; nodes are distinct."""
     asked = nodes.select(F.shiftright("node", C.ROW_BITS).alias("chunk"), F.lit("node").alias("kind"),
@@ -257,76 +283,92 @@ def _texts(packed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _send(packed: DataFrame, wants: DataFrame) -> DataFrame:
     """Reply rows with the texts wanted: ``wants`` has distinct (node, chunk), the chunk to send to."""
-    long = F.unhex(F.lpad(F.hex("node"), 16, "0"))
-    little = F.reverse(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(long, i, F.lit(1))))
     texts = _texts(packed, wants.select("node").distinct())
     return (wants.join(texts, "node")
-            .select("chunk", F.lit("text").alias("kind"), F.concat(F.concat(*[little[i] for i in range(8)]), "text").alias("blob")))
+            .select("chunk", F.lit("text").alias("kind"), F.concat(_little_endian("node"), "text").alias("blob")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                     bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id of its class), class_size, kept (one row of each class:
     the one with that id)."""
-    packed = C.pack(df, id_col, text_col)
+    out = _decide(C.pack(df, id_col, text_col), threshold, bands, band_rows)
+    return out.select("doc_id", "class_id", "class_size", "kept")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay (one per class), with all their columns."""
+    packed = C.pack(df, id_col, text_col, carry=True)
+    out = _decide(packed, threshold, BANDS, BAND_ROWS).where("not kept")
+    return C.keep_rows(packed, out.select(F.shiftright("node", C.ROW_BITS).alias("chunk"),
+                                          F.col("node").bitwiseAND(C.CHUNK_ROWS - 1).alias("pos")), df, text_col)
+
+
+def _decide(packed: DataFrame, threshold: float, bands: int, band_rows: int) -> DataFrame:
+    """(node, doc_id, class_id, class_size, kept) of every row packed."""
     owners = C.owner_count(packed, 64 << 20)
 
+    m = bands * band_rows
+    agree = least_agreement(threshold, m)
+
     def ask(chunk, data, _):
-        b = bands_of(data[1], data[2], bands, band_rows)
-        return C.request_table([(-1, chunk, "bands", b.tobytes())] + _bucket_requests(chunk, b, owners))
+        keys, sketch = signature_parts(data[1], data[2], bands, band_rows)
+        return C.request_table([(-1, chunk, "bands", keys.tobytes() + sketch.tobytes())] + _bucket_requests(chunk, keys, owners))
 
     asked = C.visit(packed, ask, C.REQUEST).checkpoint(True)
     own = asked.where("kind = 'bands'").select("chunk", "kind", "blob")
     lead = C.exchange(asked.where("kind = 'bucket'"), _bucket_answers)
 
+    def by_chunk(fn, schema):
+        def run(table: pa.Table) -> pa.Table:
+            got: dict[str, list] = {}
+            for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
+                got.setdefault(kind, []).append(blob)
+            return fn(int(table.column("chunk")[0].as_py()), got)
+        return lambda rows: rows.groupBy("chunk").applyInArrow(run, schema)
+
+    def places_of(got):
+        """(bucket, row, leader) of the chunk's places in shared buckets."""
+        keys, _ = _read_parts(got["bands"][0], bands, band_rows)
+        leads = _leads(got)
+        at = _lookup(leads["hash"], keys.ravel())
+        k = np.flatnonzero(at >= 0)
+        return keys.ravel()[k], k // bands, leads["leader"][at[k]]
+
+    def lead_pairs(chunk, got):
+        _, row, leader = places_of(got)
+        other = _node(chunk, row) != leader
+        return _pair_table(chunk, row[other], leader[other])
+
     def wanted(batches):
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                node = np.unique(np.frombuffer(blob, _LEAD)["leader"])
+                node = np.unique(np.frombuffer(blob, _PAIR)["node"])
                 node = node[(node >> C.ROW_BITS) != chunk]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.full(node.size, chunk), pa.int64())],
                                                  ["node", "chunk"])
 
-    wants = lead.select("chunk", "blob").mapInArrow(wanted, "node long, chunk long").distinct()
-
-    def first_links(chunk, data, got):
-        return _link_table(_compare(chunk, data, got, bands, band_rows, threshold))
+    def verified(pairs: DataFrame) -> DataFrame:
+        wants = pairs.select("chunk", "blob").mapInArrow(wanted, "node long, chunk long").distinct()
+        return C.visit(packed, lambda chunk, data, got: _link_table(_verify(chunk, data, got, threshold)), "a long, b long",
+                       _send(packed, wants).unionByName(pairs)).checkpoint(True)
 
-    replies = _send(packed, wants).unionByName(own).unionByName(lead)
-    links = C.visit(packed, first_links, "a long, b long", replies).checkpoint(True)
+    links = verified(by_chunk(lead_pairs, C.REPLY)(own.unionByName(lead)).checkpoint(True))
     labels = connected_components(links)
 
-    def label_map(got):
-        s = np.array([[int(x) for x in b.split()] for b in got.get("label", ())], np.int64).reshape(-1, 2)
-        return s
-
-    def own_labels(chunk, got, n):
-        mine = _node(chunk, np.arange(n, dtype=np.int64))
-        s = label_map(got)
-        mine[s[:, 0] & (C.CHUNK_ROWS - 1)] = s[:, 1]
-        return mine
-
     label_rows = labels.select(F.shiftright("node", C.ROW_BITS).alias("chunk"), F.lit("label").alias("kind"),
                                F.concat_ws(" ", "node", "label").cast("binary").alias("blob"))
     facts = own.unionByName(lead).unionByName(label_rows)
-    spread = np.dtype([("hash", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("head", "<i8")])
+    spread = np.dtype([("hash", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("head", "<i8"), ("n", "<i8")])
 
     def members(chunk, got):
-        """(bucket, row, label, leader) of this chunk's places in shared buckets."""
-        b = np.frombuffer(got["bands"][0], _U).reshape(-1, bands)
-        leads = _leads(got)
-        at = _lookup(leads["hash"], b.ravel())
-        k = np.flatnonzero(at >= 0)
-        row = k // bands
-        return b.ravel()[k], row, own_labels(chunk, got, b.shape[0])[row], leads["leader"][at[k]]
-
-    def by_chunk(fn, schema):
-        def run(table: pa.Table) -> pa.Table:
-            got: dict[str, list] = {}
-            for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-                got.setdefault(kind, []).append(blob)
-            return fn(int(table.column("chunk")[0].as_py()), got)
-        return lambda rows: rows.groupBy("chunk").applyInArrow(run, schema)
+        """(bucket, row, label, leader) of the chunk's places in shared buckets."""
+        h, row, leader = places_of(got)
+        label = _node(chunk, np.arange(_read_parts(got["bands"][0], bands, band_rows)[0].shape[0], dtype=np.int64))
+        for b in got.get("label", ()):
+            node, root = b.split()
+            label[int(node) & (C.CHUNK_ROWS - 1)] = int(root)
+        return h, row, label[row], leader
 
     def ask_classes(chunk, got):
         h, row, label, leader = members(chunk, got)
@@ -335,24 +377,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if s.size else np.zeros(0, np.int64)
         e = np.empty(starts.size, spread)
         if s.size:
-            e["hash"], e["lo"], e["hi"] = s[starts], label[order[starts]], label[order[np.append(starts[1:], s.size) - 1]]
-            head = np.full(h.size, -1, np.int64)
-            is_head = _node(chunk, row) == leader
-            head[is_head] = label[is_head]
+            ends = np.append(starts[1:], s.size)
+            e["hash"], e["lo"], e["hi"], e["n"] = s[starts], label[order[starts]], label[order[ends - 1]], ends - starts
+            head = np.where(_node(chunk, row) == leader, label, -1)
             e["head"] = np.maximum.reduceat(head[order], starts)   # the leader's label, if it is here
         return C.request_table([(o, chunk, "class", e[a:b].tobytes()) for o, a, b in C.by_owner(e["hash"], owners)])
 
     def answer_classes(rows):
+        """Buckets of three or more members in several classes (of two members, one was verified against the other)."""
         parts = [np.frombuffer(blob, spread) for _, _, blob in rows]
         e = np.concatenate(parts)
         order = np.argsort(e["hash"], kind="stable")
         h = e["hash"][order]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         several = np.minimum.reduceat(e["lo"][order], starts) != np.maximum.reduceat(e["hi"][order], starts)
-        head = np.maximum.reduceat(e["head"][order], starts)
+        several &= np.add.reduceat(e["n"][order], starts) > 2
         size = np.diff(np.append(starts, h.size))
         hit, who = np.empty(h.size, bool), np.empty(h.size, np.int64)
-        hit[order], who[order] = np.repeat(several, size), np.repeat(head, size)
+        hit[order], who[order] = np.repeat(several, size), np.repeat(np.maximum.reduceat(e["head"][order], starts), size)
         out, i = [], 0
         for (c, _, _), p in zip(rows, parts):
             k = np.flatnonzero(hit[i:i + p.size])
@@ -365,33 +407,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     opened = C.exchange(by_chunk(ask_classes, C.REQUEST)(facts), answer_classes)
     if not opened.isEmpty():
-        def outsiders(chunk, got):
-            """Every place in an open bucket: (bucket, chunk, node or -1): the node if it is outside the leader's class."""
+        facts = facts.unionByName(opened)
+
+        def open_places(chunk, got):
             h, row, label, _ = members(chunk, got)
             o = np.concatenate([np.frombuffer(b, _LEAD) for b in got.get("open", ())] or [np.zeros(0, _LEAD)])
             o = o[np.argsort(o["hash"])]
             at = _lookup(o["hash"], h)
             k = np.flatnonzero(at >= 0)
-            out = k[label[k] != o["leader"][at[k]]]
-            held = np.unique(h[k])
-            return pa.table({"bucket": pa.array(np.concatenate([h[out], held]).view(np.int64), pa.int64()),
-                             "node": pa.array(np.concatenate([_node(chunk, row[out]), np.full(held.size, -1)]), pa.int64()),
-                             "label": pa.array(np.concatenate([label[out], np.full(held.size, -1)]), pa.int64()),
-                             "chunk": pa.array(np.full(out.size + held.size, chunk), pa.int64())})
-
-        places = by_chunk(outsiders, "bucket long, node long, label long, chunk long")(facts.unionByName(opened)).checkpoint(True)
-        posts = places.where("node >= 0").select("bucket", "node", "label")
-        wants2 = posts.join(places.where("node < 0").select("bucket", "chunk"), "bucket").select("node", "label", "chunk").distinct()
-        sent_labels = wants2.select("chunk", F.lit("sent").alias("kind"), F.concat_ws(" ", "node", "label").cast("binary").alias("blob"))
-
-        def more_links(chunk, data, got):
-            pairs = [b.split() for b in got.get("sent", ())]
-            theirs = {int(a): int(b) for a, b in pairs}
-            return _link_table(_compare(chunk, data, got, bands, band_rows, threshold,
-                                        (own_labels(chunk, got, data[0].size), theirs)))
-
-        replies2 = _send(packed, wants2.select("node", "chunk")).unionByName(facts).unionByName(sent_labels)
-        more = C.visit(packed, more_links, "a long, b long", replies2).checkpoint(True)
+            return h[k], row[k], label[k], o["leader"][at[k]]
+
+        def outsiders(chunk, got):
+            """Places in open buckets outside the leader's class (with their sketch, once per row), and which
+            buckets this chunk has members of (node -1)."""
+            h, row, label, head = open_places(chunk, got)
+            _, sketch = _read_parts(got["bands"][0], bands, band_rows)
+            out = np.flatnonzero(label != head)
+            held = np.unique(h)
+            rows, first = np.unique(row[out], return_index=True)
+            none, n = np.full(held.size, -1), out.size
+            return pa.table({
+                "bucket": pa.array(np.concatenate([h[out], held, np.zeros(rows.size, _U)]).view(np.int64), pa.int64()),
+                "node": pa.array(np.concatenate([_node(chunk, row[out]), none, _node(chunk, rows)]), pa.int64()),
+                "chunk": pa.array(np.full(n + held.size + rows.size, chunk), pa.int64()),
+                "sketch": pa.array([None] * (n + held.size) + [np.int64(label[out][f]).tobytes() + sketch[r].tobytes()
+                                                               for r, f in zip(rows, first)], pa.binary())})
+
+        places = by_chunk(outsiders, "bucket long, node long, chunk long, sketch binary")(facts).checkpoint(True)
+        posts, held = places.where("node >= 0 and sketch is null"), places.where("node < 0")
+        visits = posts.select("bucket", "node").join(held.select("bucket", "chunk"), "bucket").select("node", "chunk").distinct()
+        sketches = visits.join(places.where("sketch is not null").select("node", "sketch"), "node") \
+            .select("chunk", F.lit("sketch").alias("kind"), F.concat(_little_endian("node"), "sketch").alias("blob"))
+
+        def sketch_pairs(chunk, got):
+            """Own rows of open buckets that agree with a visiting sketch of another class in enough components."""
+            _, row, label, _ = open_places(chunk, got)
+            row, first = np.unique(row, return_index=True)
+            label, (_, sketch) = label[first], _read_parts(got["bands"][0], bands, band_rows)
+            mine, node = sketch[row], _node(chunk, row)
+            out_r, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b in got.get("sketch", ()):
+                y, other = (int(v) for v in np.frombuffer(b, "<i8", 2))
+                same = (mine == np.frombuffer(b, np.uint8, m, 16)).sum(axis=1)
+                k = np.flatnonzero((same >= agree) & (label != other) & (node != y))
+                out_r.append(row[k])
+                out_n.append(np.full(k.size, y))
+            return _pair_table(chunk, np.concatenate(out_r), np.concatenate(out_n))
+
+        more = verified(by_chunk(sketch_pairs, C.REPLY)(facts.unionByName(sketches)).checkpoint(True))
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
 
@@ -407,6 +470,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = rows.join(labels, "node")
     best = linked.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("best"), F.count(F.lit(1)).alias("size"))
     return mine.join(best, "label", "left").select(
-        "doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
+        "node", "doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("best.node") == F.col("node"), F.lit(True)).alias("kept"))
