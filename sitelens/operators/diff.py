@@ -123,14 +123,6 @@ def has_differences(changes: DataFrame) -> bool:
     return not changes.isEmpty()
 
 
-def _modified_bodies(changes: DataFrame, content: DataFrame) -> DataFrame:
-    mod = changes.where(F.col("change_type") == "modified").select(
-        "url", "ord", "old_hash", "new_hash")
-    c_old = content.select(F.col("hash").alias("old_hash"), F.col("body").alias("old_body"))
-    c_new = content.select(F.col("hash").alias("new_hash"), F.col("body").alias("new_body"))
-    return mod.join(c_old, "old_hash", "left").join(c_new, "new_hash", "left")
-
-
 def _text(col: str) -> Column:
     from sitelens.functions.content import decode_text
     return decode_text(F.col(col))
@@ -144,14 +136,15 @@ def line_changes(changes: DataFrame, content: DataFrame) -> DataFrame:
     shuffle, and the key includes the line, so one large document spreads over
     all partitions.
     """
-    b = _modified_bodies(changes, content)
+    side = F.explode(F.array(F.struct(F.col("old_hash").alias("hash"), F.lit(0).alias("new")),
+                             F.struct(F.col("new_hash").alias("hash"), F.lit(1).alias("new"))))
+    rows = changes.where(F.col("change_type") == "modified").select("url", "ord", side.alias("s"))
+    rows = rows.select("url", "ord", F.col("s.hash").alias("hash"), F.col("s.new").alias("new"))
+    bodies = rows.join(content.select("hash", "body"), "hash")      # both sides in one join; a missing body has no lines
     # explode_outer + filter keeps Spark from inferring a size() > 0 filter
     # and evaluating the split below the generator a second time
-    old_lines = b.select("url", "ord", F.explode_outer(F.split(_text("old_body"), "\n", -1)).alias("line"),
-                         F.lit(1).alias("o"), F.lit(0).alias("n")).where(F.col("line").isNotNull())
-    new_lines = b.select("url", "ord", F.explode_outer(F.split(_text("new_body"), "\n", -1)).alias("line"),
-                         F.lit(0).alias("o"), F.lit(1).alias("n")).where(F.col("line").isNotNull())
-    return (old_lines.unionByName(new_lines)
+    lines = bodies.select("url", "ord", "new", F.explode_outer(F.split(_text("body"), "\n", -1)).alias("line"))
+    return (lines.where(F.col("line").isNotNull())
             .groupBy("url", "ord", "line")
-            .agg(F.sum("o").cast("long").alias("n_old"), F.sum("n").cast("long").alias("n_new"))
+            .agg(F.sum(1 - F.col("new")).cast("long").alias("n_old"), F.sum("new").cast("long").alias("n_new"))
             .where(F.col("n_old") != F.col("n_new")))

@@ -338,7 +338,7 @@ d AS (SELECT src, dst,
 SELECT src, dst, skip_reason IS NULL AS keep, skip_reason FROM d"""
 _FRONT = GRAPH + """,
 lc AS (SELECT host AS crawl_id, dst AS url, CAST(src_rn AS BIGINT) AS parent_rank, pos FROM graph),
-seen AS (SELECT host AS crawl_id, url FROM ranked WHERE rn <= 3),
+seen AS (SELECT host AS crawl_id, url FROM ranked QUALIFY rn * 2 <= count(*) OVER (PARTITION BY host)),
 firsts AS (SELECT crawl_id, url, parent_rank, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY crawl_id, url ORDER BY parent_rank, pos) AS k FROM lc) WHERE k = 1),
 nf AS (SELECT * FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.crawl_id = f.crawl_id AND s.url = f.url))"""

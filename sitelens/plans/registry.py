@@ -280,8 +280,10 @@ def _level_cands(spark, sf):
 
 
 def _seen(spark, sf):
+    """A crawl that is half through: the first half of every host's pages has been seen."""
     h = FX.hosted_pages(spark, sf)
-    return h.where(F.col("rn") <= 3).select(F.col("host").alias("crawl_id"), "url")
+    n = h.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return h.join(n, "host").where(F.col("rn") * 2 <= F.col("n")).select(F.col("host").alias("crawl_id"), "url")
 
 
 def q_f6(spark, sf):
