@@ -36,6 +36,7 @@ from sitelens.llm.repeats import order_runs
 
 _U = np.uint64
 SHINGLE = 5
+CHUNK_BYTES = 4 << 20        # larger chunks than elsewhere: a text is sent once per chunk
 BANDS, BAND_ROWS = 40, 6     # a pair at similarity 0.8 shares a bucket with probability 1 - 5e-6
 
 
@@ -125,8 +126,9 @@ def _read_parts(blob: bytes, bands: int, rows: int) -> tuple[np.ndarray, np.ndar
 
 
 def least_agreement(threshold: float, m: int) -> int:
-    """Sketch bytes that a pair at the threshold agrees in, less 6.5 standard deviations."""
-    return max(0, int(m * threshold - 6.5 * (m * threshold * (1 - threshold)) ** 0.5))
+    """Sketch bytes that a pair at the threshold agrees in, less 5 standard deviations (missed with probability 3e-7, less
+    than a pair that shares no band)."""
+    return max(0, int(m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5))
 
 
 def _node(chunk, row):
@@ -292,13 +294,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id of its class), class_size, kept (one row of each class:
     the one with that id)."""
-    out = _decide(C.pack(df, id_col, text_col), threshold, bands, band_rows)
+    out = _decide(C.pack(df, id_col, text_col, CHUNK_BYTES), threshold, bands, band_rows)
     return out.select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay (one per class), with all their columns."""
-    packed = C.pack(df, id_col, text_col, carry=True)
+    packed = C.pack(df, id_col, text_col, CHUNK_BYTES, carry=True)
     out = _decide(packed, threshold, BANDS, BAND_ROWS).where("not kept")
     return C.keep_rows(packed, out.select(F.shiftright("node", C.ROW_BITS).alias("chunk"),
                                           F.col("node").bitwiseAND(C.CHUNK_ROWS - 1).alias("pos")), df, text_col)
@@ -418,38 +420,47 @@ def _decide(packed: DataFrame, threshold: float, bands: int, band_rows: int) ->
             return h[k], row[k], label[k], o["leader"][at[k]]
 
         def outsiders(chunk, got):
-            """Places in open buckets outside the leader's class (with their sketch, once per row), and which
-            buckets this chunk has members of (node -1)."""
+            """Who goes visiting where. Open buckets whose leaders are of one class (``head``) are visited as one: a group of
+            near copies shares dozens. Rows outside some leader's class post themselves to the heads of all their open
+            buckets (their sketch follows once per row). Node -1 says that this chunk has members under a head, worth a visit
+            by nodes above ``low``: all, if one of them goes nowhere itself, else those above its smallest."""
             h, row, label, head = open_places(chunk, got)
             _, sketch = _read_parts(got["bands"][0], bands, band_rows)
-            out = np.flatnonzero(label != head)
-            held = np.unique(h)
-            rows, first = np.unique(row[out], return_index=True)
-            none, n = np.full(held.size, -1), out.size
+            out = np.isin(row, row[label != head])
+            posts = np.unique(np.column_stack([head[out], row[out]]), axis=0).reshape(-1, 2)
+            rows, held = np.unique(row[out]), np.unique(head)
+            n = len(posts)
+            low = np.full(held.size, np.iinfo(np.int64).max)
+            np.minimum.at(low, np.searchsorted(held, head), np.where(out, _node(chunk, row), -1))
+            mine = dict(zip(row.tolist(), label.tolist()))
             return pa.table({
-                "bucket": pa.array(np.concatenate([h[out], held, np.zeros(rows.size, _U)]).view(np.int64), pa.int64()),
-                "node": pa.array(np.concatenate([_node(chunk, row[out]), none, _node(chunk, rows)]), pa.int64()),
+                "head": pa.array(np.concatenate([posts[:, 0], held, np.zeros(rows.size, np.int64)]), pa.int64()),
+                "node": pa.array(np.concatenate([_node(chunk, posts[:, 1]), np.full(held.size, -1), _node(chunk, rows)]), pa.int64()),
                 "chunk": pa.array(np.full(n + held.size + rows.size, chunk), pa.int64()),
-                "sketch": pa.array([None] * (n + held.size) + [np.int64(label[out][f]).tobytes() + sketch[r].tobytes()
-                                                               for r, f in zip(rows, first)], pa.binary())})
+                "low": pa.array(np.concatenate([np.zeros(n, np.int64), low, np.zeros(rows.size, np.int64)]), pa.int64()),
+                "sketch": pa.array([None] * (n + held.size) + [np.int64(mine[r]).tobytes() + sketch[r].tobytes()
+                                                               for r in rows.tolist()], pa.binary())})
 
-        places = by_chunk(outsiders, "bucket long, node long, chunk long, sketch binary")(facts).checkpoint(True)
+        places = by_chunk(outsiders, "head long, node long, chunk long, low long, sketch binary")(facts).checkpoint(True)
         posts, held = places.where("node >= 0 and sketch is null"), places.where("node < 0")
-        visits = posts.select("bucket", "node").join(held.select("bucket", "chunk"), "bucket").select("node", "chunk").distinct()
+        visits = (posts.select("head", "node").join(held.select("head", "chunk", "low"), "head")
+                  .where("low < node").select("node", "chunk").distinct())
         sketches = visits.join(places.where("sketch is not null").select("node", "sketch"), "node") \
             .select("chunk", F.lit("sketch").alias("kind"), F.concat(_little_endian("node"), "sketch").alias("blob"))
 
         def sketch_pairs(chunk, got):
             """Own rows of open buckets that agree with a visiting sketch of another class in enough components."""
-            _, row, label, _ = open_places(chunk, got)
+            _, row, label, head = open_places(chunk, got)
+            visits = row[label != head]
             row, first = np.unique(row, return_index=True)
+            visits = np.isin(row, visits)       # rows that go visiting themselves: of two such, the larger node does
             label, (_, sketch) = label[first], _read_parts(got["bands"][0], bands, band_rows)
             mine, node = sketch[row], _node(chunk, row)
             out_r, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for b in got.get("sketch", ()):
                 y, other = (int(v) for v in np.frombuffer(b, "<i8", 2))
                 same = (mine == np.frombuffer(b, np.uint8, m, 16)).sum(axis=1)
-                k = np.flatnonzero((same >= agree) & (label != other) & (node != y))
+                k = np.flatnonzero((same >= agree) & (label != other) & (node != y) & ~(visits & (node > y)))
                 out_r.append(row[k])
                 out_n.append(np.full(k.size, y))
             return _pair_table(chunk, np.concatenate(out_r), np.concatenate(out_n))
