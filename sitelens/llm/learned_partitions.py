@@ -8,7 +8,8 @@
 
 Parts are searched in blocks of bounded size, of rows and of queries alike, so neither a part with a third of all rows
 nor one that all queries go to lands in one task. A block returns at most its ``k + 1`` best rows per query, and of
-these only the ones that reach the query's (k + 1)-th best score in the sample. Equal vectors are one
+these only the ones that reach the query's (k + 1)-th best score among the sample's rows in the parts it goes to; a query
+whose parts hold no ``k + 1`` rows goes to further ones. So a list is short only if the table is. Equal vectors are one
 class: it is indexed once, with its ``k + 1`` smallest ids (more can never be among the k nearest, ties going to the
 smaller id), and queries with equal vectors are answered once.
 
@@ -131,12 +132,17 @@ def fit_router(x: np.ndarray, parts: int, k: int, target_recall: float, seed: in
     return r
 
 
-def _bound(q: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
-    """A score that the k nearest other rows certainly reach: the (k + 1)-th best in the sample (one may be the row itself)."""
+def _bound(q: np.ndarray, seen: np.ndarray, home: np.ndarray, goes: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k nearest other rows of the parts a query goes to (``goes``: query by part) certainly reach: the
+    (k + 1)-th best of the sample's rows there (one may be the row itself), -inf if there are fewer."""
     if len(seen) <= k:
         return np.full(len(q), -np.inf)
-    s = np.partition(q @ seen.T, len(seen) - k - 1, axis=1)[:, len(seen) - k - 1]
-    return s - 1e-12 * (1 + np.abs(s))
+    s = q @ seen.T
+    s[~goes[:, home]] = -np.inf
+    s.partition(len(seen) - k - 1, axis=1)
+    # less what a sum in another order can differ by
+    slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(seen, axis=1).max()
+    return s[:, len(seen) - k - 1] - slack
 
 
 def _matrix(col: pa.ListArray, dim: int) -> np.ndarray:
@@ -172,6 +178,11 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     seen = np.array([r.v for r in picked], float)
     router = fit_router(seen, parts, k, target_recall)
     visits = probes or router.probes
+    # the sample's rows and their parts; a row between two parts may be indexed under either and sets no bound
+    logits = np.sort(router.logits(seen), axis=1)
+    clear = logits[:, -1] - logits[:, -2] > 1e-9 * (1 + np.abs(logits[:, -1])) if logits.shape[1] > 1 else np.full(len(seen), True)
+    seen = seen[clear]
+    home = router.top(seen, 1)[:, 0]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,18 +192,23 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = _matrix(b.column(1), dim)
-            bound = np.concatenate([_bound(q[a:a + 1024], seen, k) for a in range(0, len(q), 1024)] or [np.zeros(0)])
-            top = router.top(q, visits)
-            take = np.repeat(np.arange(b.num_rows), top.shape[1])
+            top = router.top(q, held.size)
+            # parts in order until they hold k + 1 rows, and at least `visits` of them
+            enough = (np.cumsum(held[top], axis=1) <= k).sum(axis=1) + 1
+            take, place = np.nonzero(np.arange(held.size) < np.maximum(enough, visits)[:, None])
+            goes = np.zeros(top.shape, bool)
+            goes[take, top[take, place]] = True
+            bound = np.concatenate([_bound(q[a:a + 512], seen, home, goes[a:a + 512], k) for a in range(0, len(q), 512)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)),
-                                              pa.array(top.ravel(), pa.int32()), pa.array(bound[take])], ["cls", "v", "part", "bound"])
+                                              pa.array(top[take, place], pa.int32()), pa.array(bound[take])], ["cls", "v", "part", "bound"])
 
     kept = classes.select("cls", "v")
     asked = kept.join(queries.select("cls").distinct(), "cls", "left_semi")
     indexed = kept.mapInArrow(index, "cls long, v array<double>, part int")
+    count_i = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}   # at most MAX_PARTS counts
+    held = np.array([count_i.get(p, 0) for p in range(logits.shape[1])])
     routed = asked.mapInArrow(route, "cls long, v array<double>, part int, bound double")
-    # blocks per part, from at most MAX_PARTS counts
-    count_i = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}
+    # blocks per part
     count_q = {r.part: r["count"] for r in routed.groupBy("part").count().collect()}
     plan = [(p, -(-c // block), -(-count_q[p] // block)) for p, c in count_i.items() if p in count_q]
     if not plan:
@@ -218,7 +234,7 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
                 exact = (q[a:a + 512][:, None, :] * x[best]).sum(axis=2)    # a sum that depends on the two vectors only
                 order = np.lexsort((ids[best], -exact), axis=1)[:, :k + 1]
                 score = np.take_along_axis(exact, order, 1)
-                good = score >= bound[a:a + 512, None]
+                good = ~(score < bound[a:a + 512, None])
                 parts_[0].append(np.broadcast_to(qid[a:a + 512, None], good.shape)[good])
                 parts_[1].append(np.take_along_axis(ids[best], order, 1)[good])
                 parts_[2].append(score[good])

@@ -65,3 +65,31 @@ def test_ties_copies_and_invalid_vectors(spark):
     assert by == {q: [v for v, _ in w] for q, w in want.items()}
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest(df.where("vec_id = 100"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def clustered(n, seed):
+    rnd = np.random.default_rng(seed)
+    return rnd.normal(size=(40, 16))[rnd.integers(0, 40, n)] + rnd.normal(0, 0.6, (n, 16))
+
+
+@pytest.mark.parametrize("n", [3100, 6000, 8192])
+def test_every_query_gets_all_its_rows_at_production_parameters(spark, n):
+    x = clustered(n, n)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    got = nearest(df, F.col("vec_id") % 20 == 0).collect()
+    want = brute(np.arange(n), x, range(0, n, 20), 20)
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    short = [q for q in want if sorted(by.get(q, {})) != list(range(1, 21))]
+    hits = sum(len(set(by.get(q, {}).values()) & {v for v, _ in w}) for q, w in want.items())
+    print("short", len(short), "of", len(want), "recall", hits / (20 * len(want)))
+    assert not short and hits >= 0.9 * 20 * len(want)
+
+
+def test_few_rows_in_the_probed_parts_send_a_query_further(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(400, 8)) * 0.05 + np.where(np.arange(400) < 390, 4, -4)[:, None] * np.eye(8)[0]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") >= 390, rows_per_part=10, sample=400, probes=1).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {q: 20 for q in range(390, 400)}
