@@ -93,3 +93,15 @@ def test_few_rows_in_the_probed_parts_send_a_query_further(spark):
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     got = nearest(df, F.col("vec_id") >= 390, rows_per_part=10, sample=400, probes=1).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {q: 20 for q in range(390, 400)}
+
+
+def test_the_target_recall_is_reached_at_production_parameters(spark):
+    x = clustered(3100, 3100)   # the sample is the whole table, so the target holds for its rows exactly
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    by = {}
+    for r in nearest(df, F.col("vec_id") >= 0).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    near = neighbour_graph(x, 20)
+    hits = sum(len(by[q] & set(near[q].tolist())) for q in range(3100))
+    print("recall", hits / (20 * 3100))
+    assert hits >= 0.98 * 20 * 3100
