@@ -7,7 +7,7 @@ difference of the two lengths says how much of it only the toxic dictionary know
 a window without toxic words comes out (almost) alike, whatever its language.
 
 Mean, maximum, mean of the three largest and the shares of windows beyond two lengths go through a logistic
-calibration. Dictionaries and calibration are fitted on a bounded sample of labelled rows: at most ``max_rows``
+calibration, whose intercept is that of the labels' own class ratio. Dictionaries and calibration are fitted on a bounded sample of labelled rows: at most ``max_rows``
 per class, texts of at most ``max_bytes`` (parameters); one half makes the dictionaries, the other calibrates. All
 windows of every whole text are scored. Ids are used only to choose rows to learn from.
 
@@ -86,8 +86,9 @@ class Scorer:
         return [a.mean(), a[0], a[:3].mean(), (a >= 2).mean(), (a >= 3).mean()]
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
-    """Half of each class makes the dictionaries, the other half the calibration."""
+def fit(toxic: list[bytes], ordinary: list[bytes], offset: float = 0.0) -> Model | None:
+    """Half of each class makes the dictionaries, the other half the calibration. ``offset`` is added to the intercept: the
+    log of the ordinary class's share in the sample over the toxic one's."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
     td, od = dictionaries(toxic[::2], ordinary[::2])
@@ -105,6 +106,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    w[0] += offset
     return Model(td, od, w, centre, scale)
 
 
@@ -132,12 +134,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picks = [lab.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(max_rows) for y in (0, 1)]
     chosen = picks[0].unionByName(picks[1])     # at most 2 * max_rows ids: small enough to broadcast
     got = sorted(rows.join(F.broadcast(chosen), "i").collect(), key=lambda r: (r.y, r.i, r.t))   # bounded likewise
+    # the calibration holds for the classes as they are labelled, not as they were capped
+    share = {r.y: min(1.0, max_rows / r["count"]) for r in lab.groupBy("y").count().collect()}
     last = None
     for r in got:
         if r.i != last and len(texts[r.y]) < max_rows:   # repeated rows of one id count once
             texts[r.y].append(bytes(r.t))
         last = r.i
-    return fit(texts[1], texts[0])
+    return fit(texts[1], texts[0], float(np.log(share.get(0, 1.0) / share.get(1, 1.0))))
 
 
 def toxicity_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

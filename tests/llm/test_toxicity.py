@@ -76,3 +76,14 @@ def test_insults_are_found_in_the_test_tables(spark):
     caught = [p[0] >= 0.5 for p in pairs if p[1]]
     print("caught", sum(caught) / len(caught), "clean flagged", sum(clean) / len(clean), "auc", auc(pairs))
     assert sum(caught) / len(caught) > 0.85 and sum(clean) / len(clean) < 0.02
+
+
+def test_scores_do_not_depend_on_the_cap(spark):
+    rows = [(i, t, int(i % 8 == 3)) for i, t, y in made(1600, 2) if not y]     # labels that the texts say nothing of
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    true = sum(y for *_, y in rows) / len(rows)
+    for cap in (60, 2000):
+        got = [r.score for r in toxicity_scores(df, train(df, lab, max_rows=cap)).collect()]
+        print("cap", cap, "mean score", sum(got) / len(got), "share", true)
+        assert abs(sum(got) / len(got) - true) < 0.05
