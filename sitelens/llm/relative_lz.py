@@ -1,12 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by window hashes, with relative Lempel-Ziv factors reported beside it.
 
-Every document is factored from left to right against the indexed blocks of all documents (``repeats``: a block is
+What is removed is decided by the repeated windows of ``repeats`` alone; the factors add none to them, and passages shorter than
+an anchor's context have no factor. Every document is factored from left to right against the indexed blocks of all documents (``repeats``: a block is
 the reach of an anchor gram of words, held at its owner with the place of its first occurrence). A factor copies the
 longest stretch that runs on in one source: consecutive anchors whose blocks occur earlier in the same document at
-the same distance. Factors of ``length`` words or more are duplicate spans as they stand. A repeated window may
-also lie across a factor's boundary (its two halves were copied from different sources, or it ends inside a block);
-those windows are looked up one by one. Together they give exactly the words covered by a window of ``length`` words
-that also starts earlier (smaller id, or same document and earlier start), judged on the input.
+the same distance. The spans are
+exactly the words covered by a window of ``length`` words that also starts earlier (smaller id, or same document and
+earlier start), judged on the input.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null texts have no words; documents shorter than ``length`` words stay
 whole; repeated rows of one id are ordered by their place.
