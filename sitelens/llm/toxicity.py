@@ -133,14 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(F.octet_length("t") <= max_bytes)
     picks = [lab.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(max_rows) for y in (0, 1)]
     chosen = picks[0].unionByName(picks[1])     # at most 2 * max_rows ids: small enough to broadcast
-    got = sorted(rows.join(F.broadcast(chosen), "i").collect(), key=lambda r: (r.y, r.i, r.t))   # bounded likewise
+    one = rows.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))   # repeated rows of one id count once
+    got = sorted(one.collect(), key=lambda r: (r.y, r.i))   # bounded likewise
     # the calibration holds for the classes as they are labelled, not as they were capped
     share = {r.y: min(1.0, max_rows / r["count"]) for r in lab.groupBy("y").count().collect()}
-    last = None
     for r in got:
-        if r.i != last and len(texts[r.y]) < max_rows:   # repeated rows of one id count once
-            texts[r.y].append(bytes(r.t))
-        last = r.i
+        texts[r.y].append(bytes(r.t))
     return fit(texts[1], texts[0], float(np.log(share.get(0, 1.0) / share.get(1, 1.0))))
 
 

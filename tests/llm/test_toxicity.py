@@ -87,3 +87,15 @@ def test_scores_do_not_depend_on_the_cap(spark):
         got = [r.score for r in toxicity_scores(df, train(df, lab, max_rows=cap)).collect()]
         print("cap", cap, "mean score", sum(got) / len(got), "share", true)
         assert abs(sum(got) / len(got) - true) < 0.05
+
+
+def test_a_repeated_id_sends_one_text_to_the_driver(spark, monkeypatch):
+    rows = made(120, 3)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, f"copy {k}") for k in range(400)], "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sent, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    assert train(df, lab) is not None
+    texts = [r for got in sent for r in got if "t" in r.__fields__]
+    print("texts sent", len(texts))
+    assert len(texts) == len({r.i for r in texts}) > 50 and next(r.t for r in texts if r.i == 1) == min(t.encode() for t in [rows[1][1], *(f"copy {k}" for k in range(400))])
