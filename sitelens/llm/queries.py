@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm.bagminhash import near_duplicates
+from sitelens.llm.conversation_repair import damage, repair_report
 from sitelens.llm.exact_dedup import exact_dedup
 from sitelens.llm.learned_partitions import nearest
 from sitelens.llm.mixing import mixing_rates
@@ -69,6 +70,11 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damage(conversations))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_boost, op2_exact_dedup, op3_relative_lz, op4_toxicity, op5_mixing, op6_url_filter, op7_bagminhash,
-    op8_sentencepiece, op9_learned_partitions, op10_suffix_radix)}
+    op8_sentencepiece, op9_learned_partitions, op10_suffix_radix, op13_conversation_repair)}
