@@ -32,4 +32,12 @@ SQL = {
              m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
                    FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)""",
+    "op12_norm_sorted_topk": r"""
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS y
+                   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+             s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id,
+                          CAST(coalesce(list_sum(list_transform(list_zip(q.y, c.y), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+             t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM t WHERE rank <= 5""",
 }

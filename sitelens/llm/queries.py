@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sitelens.llm.bagminhash import near_duplicates
 from sitelens.llm.conversation_repair import damage, repair_report
 from sitelens.llm.exact_dedup import exact_dedup
+from sitelens.llm.feast_whitening import whitened_components
 from sitelens.llm.learned_partitions import nearest
 from sitelens.llm.mixing import mixing_rates
+from sitelens.llm.norm_sorted_topk import top_products
 from sitelens.llm.pii_boost import find_pii
 from sitelens.llm.pii_boost import train as train_pii
 from sitelens.llm.relative_lz import relative_lz_dedup
@@ -70,6 +72,14 @@ def op10_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_report(conversations, damage(conversations))
@@ -77,4 +87,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii_boost, op2_exact_dedup, op3_relative_lz, op4_toxicity, op5_mixing, op6_url_filter, op7_bagminhash,
-    op8_sentencepiece, op9_learned_partitions, op10_suffix_radix, op13_conversation_repair)}
+    op8_sentencepiece, op9_learned_partitions, op10_suffix_radix,
+    op11_feast_whitening, op12_norm_sorted_topk, op13_conversation_repair)}
