@@ -1,17 +1,22 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The *ordinary* dictionary holds the words that cover most of the ordinary text; the *toxic* dictionary holds
-the same, preceded by the words that toxic texts repeat and ordinary ones do not (share of texts times log ratio of
-shares). A text is cut into overlapping windows of bytes; each is compressed with either dictionary, and the
-difference of the two lengths says how much of it only the toxic dictionary knows. Both share the ordinary words, so
-a window without toxic words comes out (almost) alike, whatever its language.
-
-Mean, maximum, mean of the three largest and the shares of windows beyond two lengths go through a logistic
-calibration, whose intercept is that of the labels' own class ratio. Dictionaries and calibration are fitted on a bounded sample of labelled rows: at most ``max_rows``
-per class, texts of at most ``max_bytes`` (parameters); one half makes the dictionaries, the other calibrates. All
-windows of every whole text are scored. Ids are used only to choose rows to learn from.
-
-Null and empty texts have one empty window. Without rows of both classes nothing can be learnt: every score is 0.
+Each class's dictionary is trained on that class's own texts: 5-byte strings that more of its texts hold (or hold repeatedly)
+than the other class's do, by the log-likelihood ratio of the two shares, are extended to the longest strings that nearly all of
+their places agree on, until none is left that is telling beyond those taken (``telling``). So stems count as well as whole
+words, and each language's strings are judged by their own evidence. Behind them both dictionaries hold the words that cover
+most of the ordinary texts: a window without telling strings comes out alike under both, whatever its language.
+
+A text, in lower case, is cut at spaces into windows of at most ``WINDOW`` bytes; each is compressed with either dictionary, and the
+difference of the two lengths says how much of it only the toxic dictionary knows. The largest differences, their mean, and the
+numbers and shares of windows beyond four differences go through a logistic calibration, whose intercept is that of the
+labels' own class ratio; shares tell in long texts, numbers in short ones. Everything is fitted on a bounded sample of labelled
+rows: at most ``max_rows`` per class, texts of at most ``max_bytes`` (parameters). The calibration is fitted crosswise, each half of
+the sample under dictionaries of the other half; the final dictionaries come from all of it. All windows of every whole text are
+scored. Ids are used only to choose rows to learn from.
+
+Null and empty texts have one empty window. Without two rows of both classes nothing can be learnt: every score is 0, and
+``drop_toxic`` keeps every row. Repeated rows are scored alike; other columns are ignored by the scores and kept by
+``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +34,14 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.buffers import text_column
 
-WINDOW, STRIDE, LEVEL = 128, 96, 6
-MAX_ROWS, MAX_BYTES = 2000, 16384
-ORDINARY_WORDS, SHARE_OF_BEST = 1000, 0.25
+WINDOW, LEVEL = 48, 6
+MAX_ROWS, MAX_BYTES = 2000, 8192
+ORDINARY_WORDS = 1000
+GRAM, LONGEST, MOST = 5, 24, 200
+EVIDENCE = 24.0         # twice the log-likelihood ratio: about one chance in a million for each string
+AGREE = 0.9             # share of its places that an extended string has to keep
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_TRIM = b".,;:!?()[]\"'"
+_SPACES = bytes.maketrans(b"\x00\t\n\x0b\x0c\r", b"      ")
 
 
 @dataclass
@@ -45,26 +53,105 @@ class Model:
     scale: np.ndarray
 
 
+def plain(text: bytes) -> bytes:
+    """Lower case, every white space a space."""
+    return text.decode("utf-8", "replace").lower().encode().translate(_SPACES)
+
+
+class _Places:
+    """Where every string of ``GRAM`` bytes stands in some texts, and how many texts hold it once, or more than once."""
+
+    def __init__(self, texts: list[bytes]):
+        self.bytes = np.frombuffer(b"\0".join(texts) + b"\0" * GRAM, np.uint8)
+        self.ends = np.cumsum([len(t) + 1 for t in texts])
+        n = len(self.bytes) - GRAM + 1
+        codes, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+        for i in range(GRAM):
+            codes = (codes << np.uint64(8)) | self.bytes[i:n + i]
+            whole &= self.bytes[i:n + i] != 0
+        at = np.flatnonzero(whole)
+        order = np.argsort(codes[at], kind="stable")
+        self.at = at[order]
+        sorted_codes = codes[self.at]
+        self.codes, self.first = np.unique(sorted_codes, return_index=True)
+        self.last = np.append(self.first[1:], len(self.at))
+        text = np.searchsorted(self.ends, self.at, "right")
+        new = np.append(True, (sorted_codes[1:] != sorted_codes[:-1]) | (text[1:] != text[:-1]))[:len(self.at)]
+        runs = np.flatnonzero(new)
+        again = np.diff(np.append(runs, len(self.at))) > 1
+        of = np.searchsorted(self.codes, sorted_codes[runs])
+        self.once = np.bincount(of, minlength=len(self.codes))
+        self.twice = np.bincount(of[again], minlength=len(self.codes))
+
+    def counts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts with the string, texts with it more than once) of other codes."""
+        if not len(self.codes):
+            return np.zeros(len(codes), int), np.zeros(len(codes), int)
+        i = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        here = self.codes[i] == codes
+        return np.where(here, self.once[i], 0), np.where(here, self.twice[i], 0)
+
+
+def evidence(a, n: int, b, m: int) -> np.ndarray:
+    """Signed likelihood ratio statistic of a of n texts against b of m: positive where the first share is larger."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    p = (a + b) / (n + m)
+    part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0)
+    g = 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p)))
+    return np.where(a * m > b * n, g, -g)
+
+
+def telling(own: list[bytes], other: list[bytes], least: float = EVIDENCE) -> list[bytes]:
+    """Strings that set the ``own`` texts apart from the ``other`` ones, the most telling first."""
+    mine, theirs = _Places(own), _Places(other)
+    n, m = len(own), len(other)
+    once, twice = theirs.counts(mine.codes)
+    strength = np.maximum(evidence(mine.once, n, once, m), evidence(mine.twice, n, twice, m))
+    taken = np.zeros(len(mine.bytes) + LONGEST, bool)
+    out: list[bytes] = []
+    for i in np.argsort(-strength, kind="stable"):
+        if strength[i] < least or len(out) == MOST:
+            break
+        at = mine.at[mine.first[i]:mine.last[i]]
+        at = at[~(taken[at + 1] | taken[at + 2] | taken[at + 3])]       # what strings taken before do not explain
+        per = np.bincount(np.searchsorted(mine.ends, at, "right"), minlength=1)
+        if max(evidence((per > 0).sum(), n, once[i], m), evidence((per > 1).sum(), n, twice[i], m)) < least:
+            continue
+        start, end, kept = 0, GRAM, at
+        for step in (1, -1):
+            while end - start < LONGEST:
+                where = kept + (end if step == 1 else start - 1)
+                byte = np.bincount(mine.bytes[np.maximum(where, 0)] * (where >= 0), minlength=1)
+                best = int(byte.argmax())
+                if best == 0 or byte[best] < AGREE * len(kept):
+                    break
+                kept = kept[(where >= 0) & (mine.bytes[np.maximum(where, 0)] == best)]
+                start, end = (start, end + 1) if step == 1 else (start - 1, end)
+        out.append(mine.bytes[kept[0] + start:kept[0] + end].tobytes())
+        for places, a, b in ((at, 0, GRAM), (kept, start, end)):
+            taken[(places[:, None] + np.arange(a, b)).ravel()] = True
+    return out
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the (toxic, ordinary) dictionaries; the most telling words stand last within their part."""
-    def shares(texts):
-        c = Counter()
-        for t in texts:
-            c.update({w.lower().strip(_TRIM) for w in _WORD.findall(t)})
-        return c
-
-    ct, co = shares(toxic), shares(ordinary)
-    gain = {w: n * np.log((n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (co[w] + 0.5))
-            for w, n in ct.items() if n >= 3 and len(w) >= 3}
-    gain = {w: g for w, g in gain.items() if g > ct[w]}     # at least e times the share
-    best = max(gain.values(), default=0.0)
-    own = sorted((w for w, g in gain.items() if g >= SHARE_OF_BEST * best), key=lambda w: (gain[w], w))
-    whole = Counter()
+    """Contents of the (toxic, ordinary) dictionaries, of ``plain`` texts; the most telling strings stand last in their part."""
+    words = Counter()
     for t in ordinary:
-        whole.update(set(_WORD.findall(t)))
-    common = sorted(whole, key=lambda w: (-whole[w] * len(w), w))[:ORDINARY_WORDS]
+        words.update(set(_WORD.findall(t)))
+    common = sorted(words, key=lambda w: (-words[w] * len(w), w))[:ORDINARY_WORDS]
     base = b"".join(b" " + w for w in reversed(common)) + b" "
-    return b"".join(b" " + w + b" " + w.capitalize() for w in own) + base, base
+    return tuple(b"".join(reversed(telling(a, b))) + base for a, b in ((toxic, ordinary), (ordinary, toxic)))
+
+
+def windows(text: bytes) -> Iterator[bytes]:
+    """``text`` in order in pieces of at most ``WINDOW`` bytes, cut before a space where there is one."""
+    i, n = 0, len(text)
+    while n - i > WINDOW:
+        j = text.rfind(b" ", i + 1, i + WINDOW + 1)
+        j = i + WINDOW if j < 0 else j
+        yield text[i:j]
+        i = j
+    yield text[i:]
 
 
 class Scorer:
@@ -78,27 +165,21 @@ class Scorer:
 
     def features(self, text: bytes) -> list[float]:
         toxic, ordinary = self.press
-        view = memoryview(text)
-        n = len(text)
-        d = [len(ordinary(view[i:i + WINDOW])) - len(toxic(view[i:i + WINDOW]))
-             for i in range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)]
-        a = np.sort(np.array(d, float))[::-1]
-        return [a.mean(), a[0], a[:3].mean(), (a >= 2).mean(), (a >= 3).mean()]
+        a = np.sort(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(plain(text))], float))[::-1]
+        n = len(a)
+        out = [a[0], a[:3].sum() / 3, a.mean()]
+        for least in (1, 2, 3, 4):
+            number = int(np.searchsorted(-a, -least, "right"))
+            out += [np.log1p(number), np.sqrt(number / n), np.log1p(number) * np.sqrt(number / n)]
+        return out
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], offset: float = 0.0) -> Model | None:
-    """Half of each class makes the dictionaries, the other half the calibration. ``offset`` is added to the intercept: the
-    log of the ordinary class's share in the sample over the toxic one's."""
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return None
-    td, od = dictionaries(toxic[::2], ordinary[::2])
-    scorer = Scorer(td, od)
-    x = np.array([scorer.features(t) for t in toxic[1::2] + ordinary[1::2]])
-    y = np.repeat([1.0, 0.0], [len(toxic[1::2]), len(ordinary[1::2])])
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, centre, scale) of a penalised logistic fit by Newton steps."""
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
     w = np.zeros(z.shape[1])
-    for _ in range(30):     # Newton steps of the penalised logistic likelihood
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         penalty = np.full(w.size, 1.0)
         penalty[0] = 1e-6
@@ -106,8 +187,24 @@ def fit(toxic: list[bytes], ordinary: list[bytes], offset: float = 0.0) -> Model
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    return w, centre, scale
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], offset: float = 0.0) -> Model | None:
+    """Model of the texts of either class. ``offset`` is added to the intercept: the log of the ordinary class's share in the
+    sample over the toxic one's."""
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return None
+    t, o = [plain(x) for x in toxic], [plain(x) for x in ordinary]
+    x, y = [], []
+    for half in (0, 1):
+        scorer = Scorer(*dictionaries(t[half::2], o[half::2]))
+        for label, rest in ((1.0, t[1 - half::2]), (0.0, o[1 - half::2])):
+            x += [scorer.features(text) for text in rest]
+            y += [label] * len(rest)
+    w, centre, scale = calibrate(np.array(x), np.array(y))
     w[0] += offset
-    return Model(td, od, w, centre, scale)
+    return Model(*dictionaries(t, o), w, centre, scale)
 
 
 def score_texts(model: Model, scorer: Scorer, texts: list[bytes]) -> np.ndarray:

@@ -6,7 +6,8 @@ import zlib
 
 import pytest
 
-from sitelens.llm.toxicity import held_out, toxicity_scores, train
+from sitelens.llm import toxicity as T
+from sitelens.llm.toxicity import drop_toxic, held_out, toxicity_scores, train
 
 SF = "/root/testdata/sf0.1"
 BAD = ["stupid", "idiot", "worthless", "pathetic", "moron", "scum"]
@@ -61,21 +62,81 @@ def test_nulls_empty_long_and_repeated(spark):
     assert empty[0] == empty[1] < 0.5
     none = toxicity_scores(df, train(df, lab.where("toxic = 0"))).collect()
     assert {r.score for r in none} == {0.0}
+    clash = df.selectExpr("*", "'x' AS i", "1 AS t", "2.0 AS score")
+    kept = drop_toxic(clash, train(clash, lab))
+    assert kept.columns == clash.columns and kept.count() == sum(not r.predicted for r in got)
     assert toxicity_scores(df.limit(0), train(df.limit(0), lab)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-def test_insults_are_found_in_the_test_tables(spark):
-    import re
+def test_held_out_labels_of_the_test_tables(spark):
+    """Every held-out row of ``labels.toxic``, whatever its language or words."""
     df, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    scores = toxicity_scores(df, train(df, lab)).join(df.select("doc_id", "text"), "doc_id").where(held_out("doc_id")).collect()
-    rx = re.compile(r"stupid|clown|moron|scum|disgusting|idiot|loser|worthless|pathetic|trash", re.I)
-    pairs = [(r.score, int(len(rx.findall(r.text)) >= 2)) for r in scores]
-    assert auc(pairs) > 0.97
-    clean = [s >= 0.5 for s, y in zip((r.score for r in scores), (rx.search(r.text) for r in scores)) if not y]
-    caught = [p[0] >= 0.5 for p in pairs if p[1]]
-    print("caught", sum(caught) / len(caught), "clean flagged", sum(clean) / len(clean), "auc", auc(pairs))
-    assert sum(caught) / len(caught) > 0.85 and sum(clean) / len(clean) < 0.02
+    scores = toxicity_scores(df, train(df, lab)).join(lab, "doc_id").where(held_out("doc_id") & lab.toxic.isNotNull()).collect()
+    pairs = [(r.score, r.toxic) for r in scores]
+    caught = sum(s >= 0.5 for s, y in pairs if y) / sum(y for _, y in pairs)
+    flagged = sum(s >= 0.5 for s, y in pairs if not y) / sum(1 - y for _, y in pairs)
+    print(f"{len(pairs)} rows, auc {auc(pairs):.3f}, caught {caught:.3f}, clean flagged {flagged:.4f}")
+    assert auc(pairs) > 0.93 and caught > 0.8 and flagged < 0.01
+
+
+def plain_telling(own, other):
+    """``telling``'s first strings by counting in plain Python: grams by evidence, without extension."""
+    import math
+
+    def shares(texts):
+        once, twice = {}, {}
+        for t in texts:
+            seen = {}
+            for i in range(len(t) - T.GRAM + 1):
+                seen[t[i:i + T.GRAM]] = seen.get(t[i:i + T.GRAM], 0) + 1
+            for g, c in seen.items():
+                once[g] = once.get(g, 0) + 1
+                twice[g] = twice.get(g, 0) + (c > 1)
+        return once, twice
+
+    def g2(a, n, b, m):
+        p = (a + b) / (n + m)
+        g = 2 * sum(x * math.log(x / e) for x, e in ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p))) if x)
+        return g if a * m > b * n else -g
+    (o1, o2), (t1, t2) = shares(own), shares(other)
+    return {g: max(g2(o1[g], len(own), t1.get(g, 0), len(other)), g2(o2[g], len(own), t2.get(g, 0), len(other))) for g in o1}
+
+
+def test_telling_strings_equal_plain_counts():
+    rows = made(240, 4)
+    toxic = [T.plain(t.encode()) for _, t, y in rows if y]
+    ordinary = [T.plain(t.encode()) for _, t, y in rows if not y]
+    strength = plain_telling(toxic, ordinary)
+    mine, theirs = T._Places(toxic), T._Places(ordinary)
+    got = [int(c).to_bytes(T.GRAM, "big") for c in mine.codes]
+    once, twice = theirs.counts(mine.codes)
+    value = [max(a, b) for a, b in zip(T.evidence(mine.once, len(toxic), once, len(ordinary)),
+                                       T.evidence(mine.twice, len(toxic), twice, len(ordinary)))]
+    assert dict(zip(got, [round(v, 6) for v in value])) == {g: round(v, 6) for g, v in strength.items()}
+    found = T.telling(toxic, ordinary)
+    assert all(any(w.strip().decode() in f.decode() or f.decode().strip() in w.decode() for f in found) for w in (b.encode() for b in BAD))
+    assert all(max(strength[f[i:i + T.GRAM]] for i in range(len(f) - T.GRAM + 1)) >= T.EVIDENCE for f in found)
+    assert T.telling([], ordinary) == [] and T.telling([b"", b"a"], [b""]) == []
+
+
+def test_a_stem_within_words_is_learnt():
+    """Toxic texts that share no whole word, only the beginning of words."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice(["an", "the", "er", "ing", "on", "re", "sta", "ble", "ou", "ti"]) for _ in range(rnd.randint(1, 3)))
+    text = lambda bad: " ".join("qrstem" + word() if bad and rnd.random() < 0.05 else word() for _ in range(150))
+    toxic, ordinary = [[text(bad).encode() for _ in range(80)] for bad in (True, False)]
+    model = T.fit(toxic[:60], ordinary[:60])
+    scorer = T.Scorer(model.toxic, model.ordinary)
+    assert (T.score_texts(model, scorer, toxic[60:]) > 0.5).mean() > 0.9 and (T.score_texts(model, scorer, ordinary[60:]) < 0.5).mean() > 0.9
+
+
+def test_windows_cover_the_text():
+    rnd = random.Random(9)
+    for n in (0, 1, 47, 48, 49, 300, 5000):
+        t = bytes(rnd.choice(b"abc  ") for _ in range(n)) + b"x" * rnd.choice([0, 100])
+        w = list(T.windows(t))
+        assert b"".join(w) == t and all(0 < len(x) <= T.WINDOW for x in w if t) and len(w) >= 1
 
 
 def test_scores_do_not_depend_on_the_cap(spark):
