@@ -34,7 +34,17 @@ NULL_ID = np.iinfo(np.int64).min   # sorts before every id; returned as null
 PACKED = "chunk long, n_bytes long, ids binary, lens binary, z binary, rest binary"
 _PACKED_ARROW = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()),
                            ("lens", pa.binary()), ("z", pa.binary()), ("rest", pa.binary())])
-_NO_TEXT = "__text_is_null"
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column has (compared as Spark does, without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -42,8 +52,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Chunk rows of ``df``, checkpointed and hash-partitioned by chunk. With ``carry`` the other columns travel in
     the chunk too, for ``keep_rows``."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"),
-                     *([F.col(c) for c in df.columns if c != text_col] + [F.col(text_col).isNull().alias(_NO_TEXT)] if carry else []))
+    i, t, no_text = fresh(df.columns, "id", "text", "text_is_null")
+    rows = df.select(F.col(id_col).cast("long").alias(i), F.col(text_col).cast("string").alias(t),
+                     *([F.col(f"`{c}`") for c in df.columns if c != text_col] + [F.col(text_col).isNull().alias(no_text)] if carry else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -209,7 +220,7 @@ def keep_rows(packed: DataFrame, dropped: DataFrame, like: DataFrame, text_col:
         keep[[int(b) for b in got.get("drop", ())]] = False
         rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(got["rest"][0])).read_all()
         text = pa.LargeStringArray.from_buffers(ids.size, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(buf.tobytes()))
-        null = rest.column(_NO_TEXT).combine_chunks()
+        null = rest.column(rest.num_columns - 1).combine_chunks()      # the last one that pack adds
         text = pc.if_else(null, pa.scalar(None, pa.large_string()), text).cast(pa.string())
         cols = [text if c == text_col else rest.column(c) for c in names]
         return pa.table(cols, names=names).filter(pa.array(keep))

@@ -21,6 +21,7 @@ posteriors are equal.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.llm import chunks as C
 from sitelens.llm.buffers import blocks, is_space, span_hashes, text_column, word_bounds
 
 #: domains: (name, target weight) for the values 0 and 1 of the quality label
@@ -101,17 +103,18 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, k: int, id_col: st
            .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
            .orderBy(F.xxhash64("i"), "i").limit(max_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).where(F.octet_length("t") <= max_bytes)
-    got = sorted(rows.join(F.broadcast(lab), "i").limit(2 * max_rows).collect(), key=lambda r: (r.i, r.t))   # bounded twice
+    one = rows.join(F.broadcast(lab), "i").groupBy("i", "y").agg(F.min("t").alias("t"))    # repeated rows of one id count once
+    got = sorted(one.collect(), key=lambda r: r.i)      # at most max_rows
     y = np.array([r.y for r in got], np.int64)
     if np.unique(y).size < 2:
         return Posterior(np.zeros((11 + SLOTS, k)))
     return fit_posterior([bytes(r.t) for r in got], y, k)
 
 
-def _posteriors(docs: DataFrame, model: Posterior, text_col: str) -> DataFrame:
-    """``docs`` with columns __n (words) and __p (posterior) added, in one narrow pass."""
+def _posteriors(docs: DataFrame, model: Posterior, text_col: str, n_col: str = "__n", p_col: str = "__p") -> DataFrame:
+    """``docs`` with columns for words and posterior added, in one narrow pass."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_col, T.LongType()), T.StructField(p_col, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,18 +129,18 @@ def _posteriors(docs: DataFrame, model: Posterior, text_col: str) -> DataFrame:
             p = np.concatenate(ps)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(ns), pa.int64()), lists],
-                                             [*b.schema.names, "__n", "__p"])
+                                             [*b.schema.names, n_col, p_col])
 
     return docs.mapInArrow(run, schema)
 
 
-def _rate(start: float, steps: list[np.ndarray]) -> Column:
+def _rate(start: float, steps: list[np.ndarray], p_col: str = "__p") -> Column:
     """A document's rate: a fold of the projected steps over its posterior."""
     if not steps:
         return F.lit(start)
     k = len(steps[0])
     flat = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    p = F.col("__p")
+    p = F.col(p_col)
     dot = lambda g: sum((p[i] * g[i] for i in range(1, k)), p[0] * g[0])
     return F.aggregate(flat, F.lit(float(start)), lambda x, g: F.greatest(F.lit(0.0), x - dot(g)))
 
@@ -176,18 +179,25 @@ def fit_rates(slim: DataFrame, targets: Sequence[float], total: float, tolerance
         mf = np.zeros((k, k))
         for (i, j), v in zip(pairs, got[k:]):
             mf[i, j] = mf[j, i] = v
+        if before is not None and value > before[0] * (1 - 1e-9):
+            break       # the closest totals that rates of at least 0 allow
         before = (value, r)
         steps.append(np.linalg.pinv(mf + small) @ r)
+    else:
+        warnings.warn(f"rates after {max_steps} steps: totals still differ from their targets by up to {np.abs(r).max() / tokens:.2e} of all tokens", stacklevel=2)
     return total, steps
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, domain: Column, domains, total: float, id_col: str, text_col: str) -> DataFrame:
+def _fitted(docs: DataFrame, labels: DataFrame, domain: Column, domains, total: float, id_col: str, text_col: str,
+            names: list[str]) -> DataFrame:
+    """``docs`` with four columns added, called ``names``: words, posterior, rate, copies."""
+    n, p, rate, copies = names
     model = train(docs, labels, domain, len(domains), id_col, text_col)
-    full = _posteriors(docs, model, text_col)
+    full = _posteriors(docs, model, text_col, n, p)
     slim = _posteriors(docs.select(text_col), model, text_col).select("__n", "__p").checkpoint(True)
     start, steps = fit_rates(slim, [w for _, w in domains], total)
     u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return full.withColumn("__rate", _rate(start, steps)).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
+    return full.withColumn(rate, _rate(start, steps, p)).withColumn(copies, F.floor(F.col(rate) + u).cast("int"))
 
 
 def quality_domain() -> Column:
@@ -200,7 +210,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domains: Sequence[tuple[str
     """(id, n_tokens, p_<domain>..., rate, copies) of every row. ``domain`` gives a labelled row's domain number."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     labels = labels.withColumnRenamed(id_col, "__id")
-    out = _fitted(rows, labels, quality_domain() if domain is None else domain, domains, total, "__id", "__text")
+    out = _fitted(rows, labels, quality_domain() if domain is None else domain, domains, total, "__id", "__text",
+                  ["__n", "__p", "__rate", "__copies"])
     return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_tokens"),
                       *[F.col("__p")[i].alias(f"p_{name}") for i, (name, _) in enumerate(domains)],
                       F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
@@ -209,7 +220,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domains: Sequence[tuple[str
 def mix(docs: DataFrame, labels: DataFrame, domains: Sequence[tuple[str, float]] = DOMAINS, total: float = TOTAL,
         domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
-    out = _fitted(docs, labels, quality_domain() if domain is None else domain, domains, total, id_col, text_col) \
-        .where("__copies > 0")
-    once = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return once.select(*docs.columns)
+    *names, i = C.fresh(docs.columns, "n_words", "posterior", "rate", "copies", "i")
+    out = _fitted(docs, labels, quality_domain() if domain is None else domain, domains, total, id_col, text_col, names)
+    once = out.where(F.col(names[3]) > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(names[3]))))
+    return once.select(*[f"`{c}`" for c in docs.columns])
