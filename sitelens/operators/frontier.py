@@ -55,6 +55,21 @@ def skip_reason(url: Column, target_host: Column, mimes: Sequence[str] = (),
     return r
 
 
+def skip_reason_by(url: Column, target_host: Column, mimes: Column, include: Column, exclude: Column) -> Column:
+    """F5 with filters from columns: ``mimes`` an array (null or empty: all), the patterns strings (null or empty: none)."""
+    m = M.mime_for_path(U.url_path(url))
+    given = lambda c: F.coalesce(c != "", F.lit(False))     # noqa: E731
+    return (F.when(F.coalesce((F.size(mimes) > 0) & m.isNotNull() & ~F.array_contains(mimes, m), F.lit(False)), F.lit("mime"))
+            .when(F.coalesce(U.url_host(url) != target_host, F.lit(True)), F.lit("host"))
+            .when(given(include) & ~F.rlike(url, include), F.lit("include"))
+            .when(given(exclude) & F.rlike(url, exclude), F.lit("exclude")))
+
+
+def filter_asset_mime_by(assets: DataFrame, mimes: Column) -> DataFrame:
+    """F10 with the list from a column (null or empty: all)."""
+    return assets.where(F.coalesce((F.size(mimes) <= 0) | F.col("data_mime").isNull() | F.array_contains(mimes, F.col("data_mime")), F.lit(True)))
+
+
 def enqueue_decisions(edges: DataFrame, url_col: str, host_col: str, mimes: Sequence[str] = (),
                       include: str | None = None, exclude: str | None = None) -> DataFrame:
     """F5 on a table: adds ``skip_reason`` and ``keep``."""

@@ -160,6 +160,32 @@ edges AS (SELECT src, dst FROM cands UNION ALL SELECT src, dst FROM own),
 seeds AS (SELECT url AS crawl_id, host FROM ranked WHERE rn = 1),
 {_reach("reach")}"""
 
+def _fifo(name: str, extra: str = "TRUE") -> str:
+    """The same closure in the order of a FIFO queue: a level's urls are numbered by (rank of the first discoverer, place of the
+    link on its page)."""
+    return f"""{name} AS (WITH RECURSIVE r(crawl_id, host, url, depth, rank) USING KEY (crawl_id, url) AS (
+    SELECT crawl_id, host, crawl_id, 0, CAST(1 AS BIGINT) FROM seeds
+    UNION
+    SELECT crawl_id, host, url, depth, row_number() OVER (PARTITION BY crawl_id ORDER BY place) FROM (
+      SELECT r.crawl_id, r.host, e.dst AS url, r.depth + 1 AS depth, min(r.rank * 100000000 + e.place) AS place
+      FROM r JOIN placed e ON e.src = r.url
+        LEFT JOIN recurring.r AS k ON k.crawl_id = r.crawl_id AND k.url = e.dst
+      WHERE {host('e.dst')} = r.host AND k.url IS NULL AND {extra} GROUP BY ALL) AS d)
+  SELECT crawl_id, url, depth, rank FROM r)"""
+
+
+# links with their place: those of the page's own html first (of the last response for a url), then the added anchors
+PLACED = GRAPH + f""",
+lastpage AS (SELECT url, arg_max(html, page_id) AS html FROM hosted GROUP BY url),
+owned AS (SELECT url AS src, {resolved('url', 'html')} AS l FROM lastpage),
+placed AS (SELECT src, l[i] AS dst, i AS place FROM (SELECT src, l, unnest(generate_series(1, len(l))) AS i FROM owned)
+           UNION ALL SELECT src, dst, 1000000 + pos FROM cands),
+seeds AS (SELECT url AS crawl_id, host FROM ranked WHERE rn = 1)"""
+# filters of a crawl by the length of its host, as the stored reports' settings give them
+HOST_RULES = """CASE length(r.host) % 4
+  WHEN 0 THEN NOT regexp_matches(e.dst, '[?]') WHEN 1 THEN regexp_matches(e.dst, '/(en|es|de)/')
+  WHEN 2 THEN {mime} IS NULL OR {mime} IN ('text/html', 'image/png') ELSE TRUE END"""
+
 ROBOTS = f"""robots AS (
   SELECT page_id, {origin('url')} || '/robots.txt' AS robots_url,
     'User-agent: *' || chr(10) ||
@@ -378,19 +404,44 @@ SQL["p2_crawl_state"] = f"""WITH {CLOSURE},
 s AS (SELECT crawl_id, CAST(sum(CASE WHEN depth = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_queue,
              CAST(count(*) AS BIGINT) AS n_seen FROM reach WHERE depth <= 2 GROUP BY 1)
 SELECT crawl_id, n_queue = 0 AS finished, n_queue, n_seen FROM s"""
-SQL["p3_resume_crawl"] = f"""WITH {CLOSURE}
-SELECT r.crawl_id, r.url FROM reach r WHERE r.url IN (SELECT url FROM hosted)"""
-SQL["p4_merge_settings"] = f"""WITH {RANKED}
-SELECT page_id, CASE WHEN rn % 4 = 0
-  THEN 'autosave=60' || chr(10) || 'delay=500' || chr(10) || 'mimeFilter='
-  ELSE 'autosave=60' || chr(10) || 'delay=' || CAST(rn * 100 AS VARCHAR) || chr(10) || 'mimeFilter=' || chr(10)
-       || 'output=' || host END AS settings
-FROM ranked"""
+SQL["f8_log_rank"] = f"""WITH {PLACED}, {_fifo("fifo")}
+SELECT crawl_id, url, CAST(depth AS INTEGER) AS depth, rank FROM fifo"""
+_STORED = "'2024-01-01T00:00:00.000Z'"
+SQL["p3_resume_crawl"] = f"""WITH {PLACED}, {_fifo("fifo")},
+f AS (SELECT crawl_id, url, depth, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, rank) - 1 AS ord FROM fifo
+      WHERE url IN (SELECT url FROM hosted)),
+deep AS (SELECT crawl_id, max(depth) AS deepest FROM fifo GROUP BY 1)
+SELECT f.crawl_id, CAST(f.ord AS BIGINT) AS ord, f.url, {_STORED} AS started, f.crawl_id AS target, 'delay=500' AS settings
+FROM f JOIN deep USING (crawl_id) WHERE deepest >= 2"""
+_P4_SETTINGS = """CASE length(host) % 4 WHEN 0 THEN 'excludeUrls=[?]' WHEN 1 THEN 'includeUrls=/(en|es|de)/'
+  WHEN 2 THEN 'mimeFilter=text/html, image/png' ELSE '' END"""
+SQL["p4_merge_settings"] = f"""WITH {RANKED}, s AS (SELECT url AS crawl_id, host FROM ranked WHERE rn = 1)
+SELECT crawl_id, CASE WHEN ascii(right(host, 1)) % 5 = 0 THEN 'autosave=60' || chr(10) || 'delay=750' || chr(10) || 'mimeFilter='
+  ELSE 'autosave=60' || chr(10) || 'delay=' || CAST(length(host) * 100 AS VARCHAR)
+    || CASE length(host) % 4 WHEN 0 THEN chr(10) || 'excludeUrls=[?]' WHEN 1 THEN chr(10) || 'includeUrls=/(en|es|de)/' ELSE '' END
+    || chr(10) || 'mimeFilter=' || CASE length(host) % 4 WHEN 2 THEN 'text/html, image/png' ELSE '' END END AS settings
+FROM s"""
+_RULES = HOST_RULES.replace("{mime}", mime_of(path("e.dst")))
+SQL["p4_settings_closure"] = f"""WITH {PLACED}, {_fifo("fifo", f"(ascii(right(r.host, 1)) % 5 = 0 OR ({_RULES}))")}
+SELECT crawl_id, url, CAST(depth AS INTEGER) AS depth, rank FROM fifo"""
+SQL["s1_damaged_reports"] = f"""WITH {RANKED}, h AS (SELECT host, count(*) AS n FROM ranked GROUP BY host)
+SELECT CASE length(host) % 3 WHEN 1 THEN 'not a JSON document' WHEN 2 THEN 'no assets' ELSE 'sound' END AS state,
+  CAST(count(*) AS BIGINT) AS n_documents, CAST(sum(CASE WHEN length(host) % 3 = 0 THEN n ELSE 0 END) AS BIGINT) AS n_assets
+FROM h GROUP BY 1"""
+SQL["s2_write_report"] = f"""WITH {PLACED}, {_fifo("fifo")},
+deep AS (SELECT crawl_id, max(depth) AS deepest FROM fifo GROUP BY 1),
+a AS (SELECT crawl_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, rank) - 1 AS place FROM fifo
+      WHERE depth < 2 AND url IN (SELECT url FROM hosted)),
+p AS (SELECT crawl_id, url FROM fifo JOIN deep USING (crawl_id) WHERE depth <= 2 AND deepest >= 2)
+SELECT crawl_id, 'asset' AS part, CAST(place AS BIGINT) AS place, url FROM a
+UNION ALL SELECT crawl_id, 'queue', rank, url FROM fifo WHERE depth = 2
+UNION ALL SELECT crawl_id, 'processed', 0, url FROM p
+UNION ALL SELECT crawl_id, CASE WHEN deepest >= 2 THEN 'open' ELSE 'finished' END, 0, crawl_id FROM deep"""
 SQL["t1_stream_assets"] = (f"WITH {ASSETS} SELECT ord, url, data_mime, charset, hash, "
                            "CAST(len(refs_l) AS INTEGER) AS n_refs FROM assets3")
 SQL["s1_read_report"] = (f"WITH {ASSETS} SELECT ord, url, last_modified, data_mime, charset, hash, "
                          "CAST(len(refs_l) AS INTEGER) AS n_refs FROM assets3")
-SQL["s2_write_report"] = f"""WITH {RANKED}
+SQL["s2_read_documents"] = f"""WITH {RANKED}
 SELECT 'https://' || host AS crawl_id, CAST(rn - 1 AS BIGINT) AS ord, url,
   CASE WHEN rn % 3 <> 0 THEN sha256(html) END AS hash,
   CASE WHEN length(host) % 2 = 0 AND rn <= 2 THEN CAST(rn AS BIGINT) END AS queue_rank

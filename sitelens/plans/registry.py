@@ -361,33 +361,76 @@ def q_p2(spark, sf):
     return CR.crawl_state(spark, state).select("crawl_id", "finished", "n_queue", "n_seen")
 
 
+STARTED = "2024-01-01T00:00:00.000Z"
+
+
+def _stored_seeds(spark, sf, settings=None):
+    """One crawl per host with what a stored report says of it."""
+    s = FX.seeds(spark, sf).select(F.col("crawl_id").alias("host"), "seed")
+    default = F.create_map(F.lit("delay"), F.lit("500"))
+    return s.select(F.col("seed").alias("crawl_id"), "seed", "host", F.lit(STARTED).alias("started"),
+                    (default if settings is None else settings).alias("settings"))
+
+
+def q_f8_log(spark, sf):
+    """The FIFO rank of every url of whole crawls."""
+    log, _, _ = _closure(spark, sf)
+    return CR.ranked_log(log).select("crawl_id", "url", F.col("depth").cast("int").alias("depth"), "rank")
+
+
 def q_p3(spark, sf):
+    """Crawls cut after two levels, reported, stored, read back and resumed: the merged reports of those that were unfinished."""
     from sitelens.session import scratch_dir
-    from sitelens.sources.report import export_report_documents, read_report
+    from sitelens.sources.report import read_report, write_report
     fetched = CR.fetched_table(FX.crawl_responses(spark, sf))
-    seeds = FX.seeds(spark, sf).select(F.col("seed").alias("crawl_id"), "seed")
-    log, state, finished = CR.crawl_closure(fetched, seeds, max_levels=1)
-    assets = CR.crawl_assets(log, fetched, through_depth=0)
-    path = scratch_dir(spark, "report")
-    export_report_documents(spark, assets, state, path)
-    meta, rep_assets, queue, processed = read_report(spark, path, layout="documents")
-    hosts = CR.canonical_seeds(seeds).select("crawl_id", "target_host")
-    more, _, _ = CR.resume_crawl(spark, queue, processed, fetched, hosts)
-    new_assets = CR.crawl_assets(more, fetched)
-    done = rep_assets.select("crawl_id", "url").unionByName(new_assets.select("crawl_id", "url"))
-    return done
+    _, state, _ = CR.crawl_closure(fetched, _stored_seeds(spark, sf), max_levels=2)
+    cut, path = CR.crawl_report(spark, state, fetched), scratch_dir(spark, "report")
+    write_report(cut.assets, path, cut.meta, cut.queue, cut.processed)
+    meta, assets, queue, processed = read_report(spark, path)
+    whole, _ = CR.resume_reports(CR.Report(meta, assets, queue, processed), fetched)
+    about = whole.meta.where("finished is not null").select(
+        "crawl_id", "started", F.col("url").alias("target"), F.array_join(F.transform(
+            F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), NL).alias("settings"))
+    return whole.assets.join(about, "crawl_id").select("crawl_id", "ord", "url", "started", "target", "settings")
+
+
+def _settings_reports(spark, sf):
+    """Stored report documents, one per host, whose settings differ by host; read back as meta rows."""
+    from sitelens.session import scratch_dir
+    from sitelens.sources.report import read_report
+    k = F.length("host") % 4
+    settings = F.map_filter(F.create_map(
+        F.lit("delay"), (F.length("host") * 100).cast("string"), F.lit("excludeUrls"), F.when(k == 0, EXCLUDE_RX),
+        F.lit("includeUrls"), F.when(k == 1, INCLUDE_RX), F.lit("mimeFilter"), F.when(k == 2, ", ".join(REPORT_MIMES))),
+        lambda _, v: v.isNotNull())
+    docs = _stored_seeds(spark, sf, settings).select(F.array().cast("array<string>").alias("assets"), F.struct(
+        F.col("seed").alias("url"), "started", "settings").alias("meta"))
+    path = scratch_dir(spark, "settings-reports")
+    docs.write.json(path)
+    return read_report(spark, path, layout="documents")[0]
+
+
+def _merged(meta):
+    """The settings that each stored report is resumed under; reports of some hosts are overridden."""
+    current = F.create_map(F.lit("delay"), F.lit("750"), F.lit("autosave"), F.lit("60"), F.lit("mimeFilter"), F.lit(""))
+    override = F.ascii(F.right(U.url_host(F.col("url")), F.lit(1))) % 5 == 0
+    return CR.merge_settings(F.col("settings"), current, override)
 
 
 def q_p4(spark, sf):
-    h = FX.hosted_pages(spark, sf)
-    stored = F.create_map(F.lit("delay"), (F.col("rn") * 100).cast("string"),
-                          F.lit("output"), F.col("host"))
-    current = F.create_map(F.lit("delay"), F.lit("500"), F.lit("autosave"), F.lit("60"),
-                           F.lit("mimeFilter"), F.lit(""))
-    merged = CR.merge_settings(stored, current, F.col("rn") % 4 == 0)
-    flat = F.array_join(F.transform(F.array_sort(F.map_entries(merged)),
+    meta = _settings_reports(spark, sf)
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries(_merged(meta))),
                                     lambda e: F.concat(e["key"], F.lit("="), e["value"])), NL)
-    return h.select("page_id", flat.alias("settings"))
+    return meta.select("crawl_id", flat.alias("settings"))
+
+
+def q_p4_closure(spark, sf):
+    """All crawls in one closure, each under the filters of its merged settings."""
+    meta = _settings_reports(spark, sf)
+    seeds = meta.select("crawl_id", F.col("url").alias("seed"), "started", _merged(meta).alias("settings"))
+    fetched = CR.fetched_table(FX.crawl_responses(spark, sf))
+    log, _, _ = CR.crawl_closure(fetched, seeds)
+    return CR.ranked_log(log).select("crawl_id", "url", F.col("depth").cast("int").alias("depth"), "rank")
 
 
 def q_t1(spark, sf):
@@ -427,6 +470,42 @@ def _report_documents(spark, sf):
     return docs.select(F.transform("l", lambda x: x["a"]).alias("assets"), meta.alias("meta"))
 
 
+def q_s1_damaged(spark, sf):
+    """Report documents of which some are cut off or hold no assets: sound ones are read, the others are set apart."""
+    from sitelens.session import scratch_dir
+    from sitelens.sources.report import damaged_documents, read_report
+    path, k = scratch_dir(spark, "report-damaged"), F.length(F.regexp_extract("meta.url", FX.HOST_RX, 1)) % 3
+    docs = _report_documents(spark, sf)
+    whole = F.to_json(F.struct("assets", "meta"))
+    cut = F.expr("left(whole, cast(length(whole) / 2 as int))")
+    text = docs.withColumn("whole", whole).select(
+        F.when(k == 1, cut).when(k == 2, F.to_json(F.struct("meta"))).otherwise(F.col("whole")).alias("value"))
+    text.write.text(path)
+    meta, assets, _, _ = read_report(spark, path, layout="documents")
+    sound = meta.agg(F.count(F.lit(1)).alias("n_documents")).crossJoin(assets.agg(F.count(F.lit(1)).alias("n_assets"))) \
+        .select(F.lit("sound").alias("state"), "n_documents", "n_assets")
+    lost = damaged_documents(spark, path).groupBy(F.col("reason").alias("state")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.lit(0).cast("long").alias("n_assets"))
+    return sound.unionByName(lost)
+
+
+def q_s2_write(spark, sf):
+    """Reports of crawls cut after two levels, exported as one JSON document a crawl and read back."""
+    from sitelens.session import scratch_dir
+    from sitelens.sources.report import export_report_documents, read_report
+    fetched = CR.fetched_table(FX.crawl_responses(spark, sf))
+    _, state, _ = CR.crawl_closure(fetched, _stored_seeds(spark, sf), max_levels=2)
+    path = scratch_dir(spark, "report-documents")
+    export_report_documents(CR.crawl_report(spark, state, fetched), path)
+    meta, assets, queue, processed = read_report(spark, path, layout="documents", multi_line=True)
+    zero = F.lit(0).cast("long").alias("place")
+    return (assets.select("crawl_id", F.lit("asset").alias("part"), F.col("ord").alias("place"), "url")
+            .unionByName(queue.select("crawl_id", F.lit("queue").alias("part"), F.col("rank").alias("place"), "url"))
+            .unionByName(processed.select("crawl_id", F.lit("processed").alias("part"), zero, "url"))
+            .unionByName(meta.where(F.col("started") == STARTED).select(
+                "crawl_id", F.when(F.col("finished").isNull(), "open").otherwise("finished").alias("part"), zero, "url")))
+
+
 def q_s2(spark, sf):
     """Pretty-printed report documents, one per file, read back as multi-line JSON: assets in array order."""
     from sitelens.session import scratch_dir
@@ -518,7 +597,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r7_decode_text": q_r7,
     "r8_asset_kind": q_r8,
     "s1_read_report": q_s1,
-    "s2_write_report": q_s2,
+    "s1_damaged_reports": q_s1_damaged,
+    "s2_read_documents": q_s2,
+    "s2_write_report": q_s2_write,
     "c1_crawl_report_diff": q_c1,
     "s3_save_content": q_s3,
     "s4_load_content": q_s4,
@@ -557,6 +638,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_crawl_state": q_p2,
     "p3_resume_crawl": q_p3,
     "p4_merge_settings": q_p4,
+    "p4_settings_closure": q_p4_closure,
+    "f8_log_rank": q_f8_log,
     "t1_stream_assets": q_t1,
     "v1_path_index": q_v1,
     "v2_resolve_requests": q_v2,

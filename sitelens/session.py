@@ -114,6 +114,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of this library's own, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def modified_at(spark: SparkSession, path: str) -> int:
+    """When a file was last written, in milliseconds."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime())
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly under ``path``."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,14 +5,13 @@ Canonical layout (splittable, any size): a folder with JSON-lines tables
 ``queue`` (crawl_id, url, rank) and ``processed`` (crawl_id, url).
 
 Document layout (the reference's interchange format): one JSON document per
-crawl, ``{"assets": [...], "meta": {...}}``. A document is one record by
-definition, so writing one puts a crawl into one row; nothing else here does.
+crawl, ``{"assets": [...], "meta": {...}}``, a file each. Documents are written
+line by line from sorted rows, so no crawl is ever one row on the way out.
+Documents that do not parse are set apart with their file and a reason.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +19,6 @@ from pyspark.sql import types as T
 from sitelens.schemas import ASSET, ASSET_COLUMNS, META, REPORT
 from sitelens.session import path_exists
 
-VERSION = "sitelens-0.1"
-
 _ASSET_LINE = T.StructType([T.StructField("crawl_id", T.StringType()), T.StructField("ord", T.LongType()),
                             *ASSET.fields])
 _META_LINE = T.StructType([T.StructField("crawl_id", T.StringType()), *META.fields])
@@ -73,7 +70,7 @@ def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_lin
         queue = optional("crawl_id string, url string, rank long", "queue")
         processed = optional("crawl_id string, url string", "processed")
         return meta, assets, queue, processed
-    docs = spark.read.schema(REPORT).option("multiLine", multi_line).json(path)
+    docs = _documents(spark, path, multi_line).where(F.col("reason").isNull())
     docs = docs.withColumn("crawl_id", F.col("meta.url"))
     meta = docs.select("crawl_id", "meta.*")
     assets = docs.select("crawl_id", F.posexplode("assets").alias("ord", "a")).select(
@@ -84,38 +81,61 @@ def read_report(spark: SparkSession, path: str, layout: str = "lines", multi_lin
     return meta, assets, queue, processed
 
 
-def export_report_documents(spark: SparkSession, assets: DataFrame, state: str, path: str,
-                            settings: dict[str, str] | None = None) -> None:
-    """S2 (document layout) for every crawl in the crawl ``state`` folder, whether or not it reported an asset.
+def _documents(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """meta, assets, file, text (of a record that did not parse), reason (null: a sound document)."""
+    schema = T.StructType([*REPORT.fields, T.StructField("_damaged", T.StringType())])
+    docs = (spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", "true").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_damaged").json(path))
+    reason = (F.when(F.col("_damaged").isNotNull(), "not a JSON document").when(F.col("assets").isNull(), "no assets")
+              .when(F.col("meta").isNull(), "no meta"))
+    return docs.select("meta", "assets", F.col("_metadata.file_path").alias("file"), F.col("_damaged").alias("text"), reason.alias("reason"))
+
+
+def damaged_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """S1's quarantine: file, reason, n_chars and beginning of every record under ``path`` that is no report document."""
+    return _documents(spark, path, multi_line).where(F.col("reason").isNotNull()).select(
+        "file", "reason", F.length("text").cast("long").alias("n_chars"), F.substring("text", 1, 200).alias("beginning"))
+
+
+def export_report_documents(report, path: str) -> None:
+    """S2 (document layout): one JSON document, in a file of its own, for every crawl in ``report.meta`` (a ``plans.crawl.Report``).
 
-    Assets are ordered by (depth, key). An unfinished crawl gets ``queue``
-    (pending urls in order) and ``processed`` (all seen urls, pending ones
-    included); a finished one gets ``finished`` only. The interchange format is one
-    JSON document per crawl, so each crawl is one row; ``write_report`` stores
-    crawls of any size in splittable tables.
+    Assets are in the order of ``ord``. A finished crawl has ``finished``; an unfinished one ``queue`` (pending urls in order) and
+    ``processed`` (all seen urls). A document is many rows of text, one an asset or url, sorted within the task that writes its
+    file: the sort spills, so a crawl may be larger than a task's memory.
     """
-    from sitelens.plans.crawl import _levels, last_level
-    now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + "000Z"
-    last = last_level(spark, state)
-    lv = _levels(spark, state).where(F.col("level") >= 0)
-    q = (lv.where(F.col("level") == last).groupBy("crawl_id")
-         .agg(F.array_sort(F.collect_list(F.struct("key", "url"))).alias("q"))
-         .select("crawl_id", F.transform("q", lambda s: s["url"]).alias("queue")))
-    seen = lv.groupBy("crawl_id").agg(F.array_sort(F.collect_list(
-        F.struct("level", "key", "url"))).alias("s")).select(
-        "crawl_id", F.transform("s", lambda s: s["url"]).alias("processed"))
-    a = (assets.groupBy("crawl_id")
-         .agg(F.array_sort(F.collect_list(F.struct("depth", "key", *[F.col(c) for c in ASSET_COLUMNS])))
-              .alias("a"))
-         .select("crawl_id", F.transform("a", lambda s: F.struct(*[s[c].alias(c) for c in ASSET_COLUMNS]))
-                 .alias("assets")))
-    st = settings or {}
-    settings_col = F.create_map(*[x for k, v in st.items() for x in (F.lit(k), F.lit(v))]) if st \
-        else F.create_map().cast("map<string,string>")
-    doc = (seen.join(q, "crawl_id", "left").join(a, "crawl_id", "left")
-           .select(F.coalesce("assets", F.array()).alias("assets"), F.struct(
-               F.col("crawl_id").alias("url"), F.lit(now).alias("started"),
-               F.when(F.col("queue").isNull(), F.lit(now)).alias("finished"),
-               F.col("queue"), F.when(F.col("queue").isNotNull(), F.col("processed")).alias("processed"),
-               F.lit(VERSION).alias("version"), settings_col.alias("settings")).alias("meta")))
-    doc.write.mode("overwrite").json(path)
+    meta = report.meta
+    text = lambda c: F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})      # noqa: E731
+    value = lambda c: F.regexp_extract(text(c), r'(?s)^\{"v":(.*)\}$', 1)                    # noqa: E731
+
+    def lines(rows: DataFrame, section: int, order, item) -> DataFrame:
+        """Items of an array; all but a crawl's first begin with a comma."""
+        rows = rows.select("crawl_id", order.alias("ord"), item.alias("item"))
+        place = F.struct("ord", "item")
+        first = rows.groupBy("crawl_id").agg(F.min(place).alias("first"))
+        comma = F.when(place == F.col("first"), F.lit(" ")).otherwise(F.lit(","))
+        return rows.join(first, "crawl_id").select("crawl_id", F.lit(section).alias("section"), "ord", F.concat(comma, "item").alias("value"))
+
+    def fixed(section: int, value, rows: DataFrame = meta) -> DataFrame:
+        return rows.select("crawl_id", F.lit(section).alias("section"), F.lit(0).cast("long").alias("ord"), value.alias("value"))
+
+    finished = F.when(F.col("finished").isNotNull(), F.concat(F.lit(',"finished":'), value(F.col("finished")))).otherwise(F.lit(""))
+    settings = F.coalesce(F.col("settings"), F.create_map().cast("map<string,string>"))
+    head = F.concat(F.lit('],"meta":{"url":'), value(F.col("url")), F.lit(',"started":'), value(F.col("started")), finished,
+                    F.lit(',"version":'), value(F.col("version")), F.lit(',"settings":'), F.to_json(settings))
+    asset = F.to_json(F.struct(*ASSET_COLUMNS), {"ignoreNullFields": "false"})
+    open_ = meta.where("finished is null")
+    unfinished = open_.select("crawl_id")
+    queue, processed = (d.join(unfinished, "crawl_id", "left_semi").dropDuplicates(["crawl_id", "url"]) for d in (report.queue, report.processed))
+    rank = F.col("rank") if "rank" in processed.columns else F.monotonically_increasing_id()
+    parts = [fixed(0, F.lit('{"assets":[')), lines(report.assets.join(meta.select("crawl_id"), "crawl_id", "left_semi"), 1, F.col("ord"), asset),
+             fixed(2, head), fixed(3, F.lit(',"queue":['), open_), lines(queue, 4, F.col("rank"), value(F.col("url"))),
+             fixed(5, F.lit('],"processed":['), open_), lines(processed.withColumn("_r", rank), 6, F.col("_r"), value(F.col("url"))),
+             fixed(7, F.lit("]"), open_), fixed(8, F.lit("}}"))]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    n = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("document", F.sha2(F.col("crawl_id").cast("binary"), 256))
+    (rows.repartition(n, "document").sortWithinPartitions("document", "section", "ord", F.substring("value", 2, 1 << 30)).select("document", "value")
+     .write.mode("overwrite").partitionBy("document").text(path))

@@ -1,5 +1,8 @@
 """Redirects, enqueue rules, closure vs brute force, resume equality."""
 
+import glob
+import json
+import os
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from sitelens.operators import frontier as FR
 from sitelens.operators import robots as B
 from sitelens.operators.responses import resolve_redirects
 from sitelens.plans import crawl as CR
-from sitelens.sources.report import export_report_documents, read_report
+from sitelens.sources.report import damaged_documents, export_report_documents, read_report, write_report
 
 RESP = "snapshot_id int, ord long, request_url string, status int, location string, content_type string, last_modified_hdr string, body binary"
 
@@ -104,24 +107,94 @@ def test_closure_matches_fifo_queue(spark):
     assert only_pdf == set()
 
 
-def test_resume_equals_uninterrupted(spark, tmp_dir):
+SETTINGS = {"delay": "250", "excludeUrls": "p9$"}
+STARTED = "2024-02-03T04:05:06.789Z"
+TYPED = "crawl_id string, seed string, started string, settings map<string,string>"
+
+
+def _report_rows(report):
+    assets = sorted((r.crawl_id, r.ord, r.url, r.data_mime, r.hash, tuple(r.references)) for r in report.assets.collect())
+    meta = sorted((r.crawl_id, r.url, r.started, r.finished is not None, sorted(r.settings.items())) for r in report.meta.collect())
+    return assets, meta
+
+
+def _stored(spark, report, path):
+    write_report(report.assets, path, report.meta, report.queue, report.processed)
+    return CR.Report(*read_report(spark, path))
+
+
+def test_resume_equals_uninterrupted_at_every_level(spark, tmp_dir):
+    """Assets with their ordinals, target, start time and settings of a resumed crawl are those of one that was never cut."""
     fetched = CR.fetched_table(_site(spark))
-    seeds = spark.createDataFrame([("https://h.com/", "https://h.com/")], "crawl_id string, seed string")
-    full, _, _ = CR.crawl_closure(fetched, seeds)
-    want = {r.url for r in CR.crawl_assets(full, fetched).collect()}
-    for cut in (1, 2):
-        log, state, finished = CR.crawl_closure(fetched, seeds, max_levels=cut)
+    seeds = spark.createDataFrame([("c", "https://h.com/", STARTED, SETTINGS)], TYPED)
+    _, state, _ = CR.crawl_closure(fetched, seeds)
+    want = _report_rows(CR.crawl_report(spark, state, fetched))
+    assert [a[1] for a in want[0]] == list(range(len(want[0]))) and want[1][0][1:4] == ("https://h.com/", STARTED, True)
+    assert not any(a[2].endswith("p9") for a in want[0])
+    for cut in range(CR.last_level(spark, state)):
+        _, part, finished = CR.crawl_closure(fetched, seeds, max_levels=cut)
         assert not finished
-        st = CR.crawl_state(spark, state).first()
+        st = CR.crawl_state(spark, part).first()
         assert not st.finished and st.n_queue > 0
-        done = CR.crawl_assets(log, fetched, through_depth=cut - 1)
-        export_report_documents(spark, done, state, f"{tmp_dir}/r{cut}")
-        meta, rep, queue, processed = read_report(spark, f"{tmp_dir}/r{cut}", layout="documents")
-        assert meta.first().finished is None and meta.first().queue
-        hosts = CR.canonical_seeds(seeds).select("crawl_id", "target_host")
-        more, _, fin = CR.resume_crawl(spark, queue, processed, fetched, hosts)
-        got = {r.url for r in rep.collect()} | {r.url for r in CR.crawl_assets(more, fetched).collect()}
-        assert fin and got == want
+        stored = _stored(spark, CR.crawl_report(spark, part, fetched), f"{tmp_dir}/r{cut}")
+        assert stored.meta.first().finished is None
+        whole, _ = CR.resume_reports(stored, fetched)
+        assert _report_rows(whole) == want and whole.refused.count() == 0
+
+
+def test_resume_twice_and_by_documents(spark, tmp_dir):
+    """A resumed crawl that is stopped again reports a queue, and goes on from there; documents serve as well as tables."""
+    fetched = CR.fetched_table(_site(spark))
+    seeds = spark.createDataFrame([("https://h.com/", "https://h.com/", STARTED, SETTINGS)], TYPED)
+    _, state, _ = CR.crawl_closure(fetched, seeds)
+    want = _report_rows(CR.crawl_report(spark, state, fetched))
+    _, part, _ = CR.crawl_closure(fetched, seeds, max_levels=1)
+    export_report_documents(CR.crawl_report(spark, part, fetched), f"{tmp_dir}/d0")
+    for i in (1, 2):
+        report = CR.Report(*read_report(spark, f"{tmp_dir}/d{i - 1}", layout="documents", multi_line=True))
+        more, _ = CR.resume_reports(report, fetched, max_levels=1 if i == 1 else None)
+        export_report_documents(more, f"{tmp_dir}/d{i}")
+    got = CR.Report(*read_report(spark, f"{tmp_dir}/d2", layout="documents", multi_line=True))
+    assert _report_rows(got) == want
+
+
+def test_only_crawls_that_cannot_go_on_are_refused(spark):
+    fetched = CR.fetched_table(_site(spark))
+    seeds = spark.createDataFrame([(c, "https://h.com/", STARTED, SETTINGS) for c in ("open", "done", "empty", "lost")], TYPED)
+    _, state, _ = CR.crawl_closure(fetched, seeds, max_levels=1)
+    cut = CR.crawl_report(spark, state, fetched)
+    meta = cut.meta.withColumn("finished", F.when(F.col("crawl_id") == "done", STARTED)) \
+        .withColumn("url", F.when(F.col("crawl_id") != "lost", F.col("url")))
+    report = CR.Report(meta, cut.assets, cut.queue.where("crawl_id <> 'empty'"), cut.processed)
+    whole, _ = CR.resume_reports(report, fetched)
+    assert dict(map(tuple, whole.refused.collect())) == {"done": "finished", "empty": "empty queue", "lost": "no target url"}
+    assert {r.crawl_id for r in whole.meta.collect()} == {"open"} == {r.crawl_id for r in whole.assets.collect()}
+    none, _ = CR.resume_reports(CR.Report(meta.where("crawl_id = 'done'"), cut.assets, cut.queue, cut.processed), fetched)
+    assert none.assets.count() == 0 and none.refused.count() == 1
+
+
+def test_settings_hold_for_their_own_crawl(spark):
+    """Stored settings win unless overridden; each crawl of one closure has its own filters, in crawling and in the report."""
+    fetched = CR.fetched_table(_site(spark))
+    seeds = spark.createDataFrame([
+        ("all", "https://h.com/", STARTED, {}), ("no2", "https://h.com/", STARTED, {"excludeUrls": "p2"}),
+        ("in1", "https://h.com/", STARTED, {"includeUrls": "p[13]"}), ("png", "https://h.com/", STARTED, {"mimeFilter": " image/png , text/css", "excludeUrls": ""})],
+        TYPED)
+    log, state, _ = CR.crawl_closure(fetched, seeds)
+    got = {}
+    for r in log.collect():
+        got.setdefault(r.crawl_id, set()).add(r.url.removeprefix("https://h.com/"))
+    assert got["all"] == {"", "p1", "p2", "p3", "p5", "p6", "p7", "p8", "p9"} - ({"p7"} - got["all"])
+    assert "p2" not in got["no2"] and "p6" not in got["no2"] and "p1" in got["no2"]
+    assert got["in1"] == {"", "p1", "p3"}
+    listed = {r.crawl_id: r.n for r in CR.crawl_report(spark, state, fetched).assets.groupBy("crawl_id").agg(F.count("*").alias("n")).collect()}
+    assert "png" not in listed and listed["all"] > listed["no2"] > listed["in1"]
+    cut = CR.crawl_closure(fetched, seeds.where("crawl_id = 'no2'"), max_levels=0)[1]
+    report = CR.crawl_report(spark, cut, fetched)
+    now = lambda over: spark.createDataFrame([("no2", {"excludeUrls": "p1"}, over)], "crawl_id string, current map<string,string>, override boolean")
+    urls = lambda over: {r.url for r in CR.resume_reports(report, fetched, now(over))[0].assets.collect()}
+    assert "https://h.com/p1" in urls(False) and "https://h.com/p2" not in urls(False)
+    assert "https://h.com/p1" not in urls(True) and "https://h.com/p2" in urls(True)
 
 
 def test_robots(spark):
@@ -167,34 +240,70 @@ def test_crawl_filters_and_robots_seeds(spark):
     assert fin
 
 
-def test_seen_parts_are_not_reshuffled(spark):
-    """Scale property of the crawl loop: anti joins against the co-partitioned
-    seen parts exchange only the new frontier, never the seen-set."""
-    from sitelens.plans.crawl import _first_discovery, _seen_part, _static_plan
+def _exchanges(df):
+    """(exchanges of the plan, scans that keep their buckets)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Bucketed: true")
+
+
+def test_the_seen_set_is_never_exchanged(spark, tmp_dir):
+    """Anti joins exchange the new frontier only, whatever the number of tables, adaptive plans included; merging exchanges nothing."""
+    from sitelens.sources.bucketed import SeenSet, write_bucketed
+    keys = lambda a, b: spark.range(a, b).select((F.col("id") % 7).cast("string").alias("crawl_id"), F.col("id").cast("string").alias("url"))
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        seen = spark.range(2000).select((F.col("id") % 7).cast("string").alias("crawl_id"),
-                                        F.col("id").cast("string").alias("url"))
-        parts = [_seen_part(seen, n), _seen_part(seen.limit(50), n)]
-        cand = spark.range(1000).select((F.col("id") % 7).cast("string").alias("crawl_id"),
-                                        (F.col("id") * 3).cast("string").alias("url"),
-                                        F.lit("h").alias("target_host"), F.array(F.lit(1)).alias("key"))
-        nf = _first_discovery(cand)
-        for p in parts:
-            nf = nf.join(p, ["crawl_id", "url"], "left_anti")
-        with _static_plan(spark):
-            plan = nf._jdf.queryExecution().executedPlan().toString()
-            assert plan.count("Exchange") == 1, plan
-            want = {(str(i % 7), str(i * 3)) for i in range(1000)} - {(str(i % 7), str(i)) for i in range(2000)}
-            assert nf.count() == len(want)
+        seen = SeenSet(spark, f"{tmp_dir}/seen", CR.KEYS, 4)
+        for i in range(3):
+            seen.add(*write_bucketed(keys(i * 700, i * 700 + 700).repartition(4, *CR.KEYS), f"{tmp_dir}/t{i}", CR.KEYS, 4))
+        assert len(seen.runs) == 3
+        cand = spark.range(3000).select((F.col("id") % 7).cast("string").alias("crawl_id"), (F.col("id") * 3).cast("string").alias("url"),
+                                        F.col("id").alias("parent_rank"), F.lit(0).alias("pos"))
+        cand = cand.withColumn("crawl_id", (F.col("url").cast("long") % 7).cast("string"))
+        left = seen.without(CR._first_discovery(cand))
+        assert _exchanges(left) == (1, 3)
+        assert {int(r.url) for r in left.collect()} == {3 * i for i in range(3000)} - set(range(2100))
+        both = seen.runs[0][2].unionByName(seen.runs[1][2]).dropDuplicates(CR.KEYS)
+        assert _exchanges(both) == (0, 2)
+        seen.add(*write_bucketed(keys(2100, 2800).repartition(4, *CR.KEYS), f"{tmp_dir}/t3", CR.KEYS, 4))
+        assert [(n, t.count()) for _, n, t in seen.runs] == [(2800, 2800)]
+        assert {int(r.url) for r in seen.without(CR._first_discovery(cand)).collect()} == {3 * i for i in range(3000)} - set(range(2800))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
-def test_going_on_from_a_state_folder_equals_an_uninterrupted_crawl(spark):
-    import os
+def test_a_deep_seen_set_keeps_few_tables(spark, tmp_dir):
+    """What a chain of many levels rewrites grows as n log n, its tables as log n."""
+    from sitelens.sources import bucketed
+    written, write = [], bucketed.write_bucketed
+    seen = bucketed.SeenSet(spark, f"{tmp_dir}/seen", CR.KEYS, 2)
+    try:
+        bucketed.write_bucketed = lambda *a: written.append(write(*a)) or written[-1]
+        for i in range(66):
+            one = spark.range(i, i + 1).select(F.lit("c").alias("crawl_id"), F.col("id").cast("string").alias("url"))
+            seen.add(*write(one, f"{tmp_dir}/l{i}", CR.KEYS, 2))
+            assert len(seen.runs) <= 9
+    finally:
+        bucketed.write_bucketed = write
+    assert sum(n for _, n in written) <= 66 * 3 and sum(n for _, n, _ in seen.runs) == 66
+    assert seen.without(spark.range(100).select(F.lit("c").alias("crawl_id"), F.col("id").cast("string").alias("url"))).count() == 34
+
+
+def _chain(spark, n):
+    rows = [(f"https://h.com/{i}", 200, None, "text/html", f'<a href="/{i + 1}">n</a><a href="/{i // 2}">b</a>'.encode()) for i in range(n)]
+    return _responses(spark, rows)
+
+
+def test_a_deep_chain_keeps_rows_of_one_size(spark):
+    fetched = CR.fetched_table(_chain(spark, 24))
+    seeds = spark.createDataFrame([("c", "https://h.com/0")], "crawl_id string, seed string")
+    log, state, finished = CR.crawl_closure(fetched, seeds)
+    rows = log.collect()
+    assert finished and {(r.url, r.depth) for r in rows} == {(f"https://h.com/{i}", i) for i in range(25)}
+    assert dict(log.dtypes) == {"crawl_id": "string", "url": "string", "depth": "int", "parent_rank": "bigint", "pos": "int"}
+
+
+def test_going_on_from_a_state_folder_equals_an_uninterrupted_crawl(spark, tmp_dir):
     fetched = CR.fetched_table(_site(spark))
     seeds = spark.createDataFrame([("https://h.com/", "https://h.com/")], "crawl_id string, seed string")
     full, _, _ = CR.crawl_closure(fetched, seeds)
@@ -203,43 +312,84 @@ def test_going_on_from_a_state_folder_equals_an_uninterrupted_crawl(spark):
         _, state, _ = CR.crawl_closure(fetched, seeds, max_levels=cut)
         last = CR.last_level(spark, state)
         assert last == cut
-        # a level whose write was not committed does not count
-        os.makedirs(f"{state.removeprefix('file:')}/levels/level={last + 1}")
+        before = {(r.url, r.depth) for r in CR.frontier_log(spark, state).collect()}
+        # a level whose write was not committed does not count, and is written anew
+        folder = f"{state.removeprefix('file:')}/levels/level={last + 1}"
+        os.makedirs(folder)
+        part = glob.glob(f"{state.removeprefix('file:')}/levels/level={last}/part-*")[0]
+        with open(part, "rb") as f, open(f"{folder}/{os.path.basename(part)}", "wb") as g:
+            g.write(f.read())
         assert CR.last_level(spark, state) == last
+        assert {(r.url, r.depth) for r in CR.frontier_log(spark, state).collect()} == before
+        assert CR.crawl_report(spark, state, fetched).queue.count() == sum(d == last for _, d in before)
         log, finished = CR.continue_crawl(spark, state, fetched)
         assert finished and {(r.url, r.depth) for r in log.collect()} == want
         assert CR.crawl_state(spark, state).first().finished
 
 
-def test_nothing_to_resume_is_refused(spark):
-    import pytest
-    queue = spark.createDataFrame([], "crawl_id string, url string, rank long")
-    seen = spark.createDataFrame([("c", "https://h.com/")], "crawl_id string, url string")
-    hosts = spark.createDataFrame([("c", "h.com")], "crawl_id string, target_host string")
-    with pytest.raises(ValueError):
-        CR.resume_crawl(spark, queue, seen, CR.fetched_table(_site(spark)), hosts)
-
-
 def test_a_crawl_without_a_reported_asset_is_exported(spark, tmp_dir):
     rows = [("https://a.com/", 200, None, "text/html", b"x"), ("https://b.com/", 404, None, None, None)]
     fetched = CR.fetched_table(_responses(spark, rows))
     seeds = spark.createDataFrame([(u, u) for u in ("https://a.com/", "https://b.com/")], "crawl_id string, seed string")
     log, state, _ = CR.crawl_closure(fetched, seeds)
-    export_report_documents(spark, CR.crawl_assets(log, fetched), state, f"{tmp_dir}/docs")
-    meta, assets, _, _ = read_report(spark, f"{tmp_dir}/docs", layout="documents")
+    export_report_documents(CR.crawl_report(spark, state, fetched), f"{tmp_dir}/docs")
+    meta, assets, _, _ = read_report(spark, f"{tmp_dir}/docs", layout="documents", multi_line=True)
     assert {r.url for r in meta.collect()} == {"https://a.com/", "https://b.com/"} and assets.count() == 1
 
 
 def test_crawl_assets_go_into_a_report_and_a_diff(spark, tmp_dir):
     from sitelens.operators.diff import diff_snapshots
     from sitelens.operators.lookup import path_index
-    from sitelens.sources.report import write_report
     fetched = CR.fetched_table(_site(spark))
     seeds = spark.createDataFrame([("https://h.com/", "https://h.com/")], "crawl_id string, seed string")
     log, _, _ = CR.crawl_closure(fetched, seeds)
     a = CR.crawl_assets(log, fetched, snapshot_id=3)
-    order = [r.url for r in a.orderBy("depth", "key").collect()]
+    order = [r.url for r in a.orderBy("depth", "parent_rank", "pos").collect()]
     assert [(r.ord, r.url) for r in a.orderBy("ord").collect()] == list(enumerate(order))
     write_report(a, f"{tmp_dir}/rep", fmt="parquet")
     back = read_report(spark, f"{tmp_dir}/rep", fmt="parquet")[1]
     assert diff_snapshots(a, back).count() == 0 and path_index(back).count() == len(order)
+
+
+def test_documents_are_valid_json_whatever_the_size(spark, tmp_dir):
+    """Documents as a JSON reader sees them: finished and open crawls, no assets, texts that need escapes, a large crawl."""
+    n = 30_000
+    names = ["crawl_id", "ord", "url", "last_modified", "data_mime", "charset", "hash", "references"]
+    big = spark.range(n).select(F.lit("big").alias("crawl_id"), F.col("id").alias("ord"), F.concat(F.lit('https://h/"\\é\n'), "id").alias("url"),
+                                F.lit(None).cast("string").alias("last_modified"), F.lit("text/html").alias("data_mime"), F.lit(None).cast("string").alias("charset"),
+                                F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.array(F.lit("https://h/a")).alias("references")).select(*names)
+    small = big.where("ord in (0, 1)").withColumn("crawl_id", F.lit("open"))
+    meta = spark.createDataFrame([("big", "https://h", STARTED, STARTED, "v", {"a": 'x"y'}), ("open", "https://o", STARTED, None, "v", {}),
+                                  ("none", "https://n", STARTED, STARTED, "v", None)],
+                                 "crawl_id string, url string, started string, finished string, version string, settings map<string,string>")
+    queue = spark.createDataFrame([("open", f"q{i}", i) for i in range(12, 0, -1)] + [("big", "never", 1)], "crawl_id string, url string, rank long")
+    seen = queue.unionByName(spark.createDataFrame([("open", "z", 0), ("open", "y", 0), ("open", "z", 0)], "crawl_id string, url string, rank long"))
+    export_report_documents(CR.Report(meta, big.unionByName(small).repartition(7), queue, seen), f"{tmp_dir}/docs")
+    docs = {}
+    for f in glob.glob(f"{tmp_dir}/docs/*/*.txt"):
+        with open(f, encoding="utf-8") as fh:
+            d = json.load(fh)
+        assert d["meta"]["url"] not in docs
+        docs[d["meta"]["url"]] = d
+    assert set(docs) == {"https://h", "https://o", "https://n"}
+    assert [a["url"] for a in docs["https://h"]["assets"]] == [f'https://h/"\\é\n{i}' for i in range(n)]
+    assert docs["https://h"]["meta"] == {"url": "https://h", "started": STARTED, "finished": STARTED, "version": "v", "settings": {"a": 'x"y'}}
+    assert list(docs["https://h"]["assets"][0]) == names[2:] and docs["https://h"]["assets"][0]["charset"] is None
+    assert docs["https://n"]["assets"] == [] and docs["https://n"]["meta"]["settings"] == {}
+    o = docs["https://o"]["meta"]
+    assert "finished" not in o and o["queue"] == [f"q{i}" for i in range(1, 13)] and o["processed"] == ["y", "z", *o["queue"]]
+    back = read_report(spark, f"{tmp_dir}/docs", layout="documents", multi_line=True)
+    assert back[0].count() == 3 and back[1].count() == n + 2 and back[2].count() == 12 and back[3].count() == 14
+
+
+def test_damaged_documents_are_set_apart(spark, tmp_dir):
+    good = json.dumps({"assets": [], "meta": {"url": "https://g", "started": STARTED, "version": "v", "settings": {}}})
+    os.makedirs(f"{tmp_dir}/many")
+    for name, text in (("good", good), ("cut", good[:30]), ("list", "[1, 2"), ("bare", '{"meta": {"url": "x"}}'), ("anon", '{"assets": []}')):
+        with open(f"{tmp_dir}/many/{name}.json", "w") as f:
+            f.write(text)
+    for multi in (True, False):
+        meta, assets, _, _ = read_report(spark, f"{tmp_dir}/many", layout="documents", multi_line=multi)
+        assert [r.crawl_id for r in meta.collect()] == ["https://g"]
+        lost = {os.path.basename(r.file): r.reason for r in damaged_documents(spark, f"{tmp_dir}/many", multi).collect()}
+        assert lost == {"cut.json": "not a JSON document", "list.json": "not a JSON document", "bare.json": "no assets", "anon.json": "no meta"}
