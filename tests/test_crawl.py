@@ -263,10 +263,10 @@ def test_the_seen_set_is_never_exchanged(spark, tmp_dir):
         left = seen.without(CR._first_discovery(cand))
         assert _exchanges(left) == (1, 3)
         assert {int(r.url) for r in left.collect()} == {3 * i for i in range(3000)} - set(range(2100))
-        both = seen.runs[0][2].unionByName(seen.runs[1][2]).dropDuplicates(CR.KEYS)
+        both = seen.runs[0].table.unionByName(seen.runs[1].table).dropDuplicates(CR.KEYS)
         assert _exchanges(both) == (0, 2)
         seen.add(*write_bucketed(keys(2100, 2800).repartition(4, *CR.KEYS), f"{tmp_dir}/t3", CR.KEYS, 4))
-        assert [(n, t.count()) for _, n, t in seen.runs] == [(2800, 2800)]
+        assert [(r.rows, r.table.count()) for r in seen.runs] == [(2800, 2800)]
         assert {int(r.url) for r in seen.without(CR._first_discovery(cand)).collect()} == {3 * i for i in range(3000)} - set(range(2800))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
@@ -285,7 +285,7 @@ def test_a_deep_seen_set_keeps_few_tables(spark, tmp_dir):
             assert len(seen.runs) <= 9
     finally:
         bucketed.write_bucketed = write
-    assert sum(n for _, n in written) <= 66 * 3 and sum(n for _, n, _ in seen.runs) == 66
+    assert sum(n for _, n in written) <= 66 * 3 and sum(r.rows for r in seen.runs) == 66
     assert seen.without(spark.range(100).select(F.lit("c").alias("crawl_id"), F.col("id").cast("string").alias("url"))).count() == 34
 
 
