@@ -1,7 +1,8 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
 Each class's dictionary is trained on that class's own texts: 5-byte strings that more of its texts hold (or hold repeatedly)
-than the other class's do, by the log-likelihood ratio of the two shares, are extended to the longest strings that nearly all of
+than the other class's do, by the log-likelihood ratio of the two shares and a multiple
+of the other's share, are extended to the longest strings that nearly all of
 their places agree on, until none is left that is telling beyond those taken (``telling``). So stems count as well as whole
 words, and each language's strings are judged by their own evidence. Behind them both dictionaries hold the words that cover
 most of the ordinary texts: a window without telling strings comes out alike under both, whatever its language.
@@ -10,11 +11,11 @@ A text, in lower case, is cut at spaces into windows of at most ``WINDOW`` bytes
 difference of the two lengths says how much of it only the toxic dictionary knows. The largest differences, their mean, and the
 numbers and shares of windows beyond four differences go through a logistic calibration, whose intercept is that of the
 labels' own class ratio; shares tell in long texts, numbers in short ones. Everything is fitted on a bounded sample of labelled
-rows: at most ``max_rows`` per class, texts of at most ``max_bytes`` (parameters). The calibration is fitted crosswise, each half of
+rows: at most ``max_rows`` per class, texts of at most ``max_bytes`` (parameters). Of near copies one counts. The calibration is fitted crosswise, each half of
 the sample under dictionaries of the other half; the final dictionaries come from all of it. All windows of every whole text are
 scored. Ids are used only to choose rows to learn from.
 
-Null and empty texts have one empty window. Without two rows of both classes nothing can be learnt: every score is 0, and
+Null and empty texts have one empty window. Without two different texts of both classes nothing can be learnt: every score is 0, and
 ``drop_toxic`` keeps every row. Repeated rows are scored alike; other columns are ignored by the scores and kept by
 ``drop_toxic``, whatever their names.
 """
@@ -39,6 +40,8 @@ MAX_ROWS, MAX_BYTES = 2000, 8192
 ORDINARY_WORDS = 1000
 GRAM, LONGEST, MOST = 5, 24, 200
 EVIDENCE = 24.0         # twice the log-likelihood ratio: about one chance in a million for each string
+TIMES = 6.0             # and so many times the other class's share: evidence alone grows with the sample, also for a mere
+#                         difference in languages or topics between the classes
 AGREE = 0.9             # share of its places that an extended string has to keep
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACES = bytes.maketrans(b"\x00\t\n\x0b\x0c\r", b"      ")
@@ -58,6 +61,18 @@ def plain(text: bytes) -> bytes:
     return text.decode("utf-8", "replace").lower().encode().translate(_SPACES)
 
 
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """The texts less those of which half the five-word runs or more stand in earlier ones: copies are no evidence of their own."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        runs = {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+        if 2 * len(runs & seen) < len(runs):
+            out.append(t)
+            seen |= runs
+    return out
+
+
 class _Places:
     """Where every string of ``GRAM`` bytes stands in some texts, and how many texts hold it once, or more than once."""
 
@@ -93,12 +108,12 @@ class _Places:
 
 
 def evidence(a, n: int, b, m: int) -> np.ndarray:
-    """Signed likelihood ratio statistic of a of n texts against b of m: positive where the first share is larger."""
+    """Likelihood ratio statistic of a of n texts against b of m; 0 unless the first share is ``TIMES`` the second."""
     a, b = np.asarray(a, float), np.asarray(b, float)
     p = (a + b) / (n + m)
     part = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0)
     g = 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p)))
-    return np.where(a * m > b * n, g, -g)
+    return np.where(a * m >= TIMES * b * n, g, 0.0)
 
 
 def telling(own: list[bytes], other: list[bytes], least: float = EVIDENCE) -> list[bytes]:
@@ -195,7 +210,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes], offset: float = 0.0) -> Model
     sample over the toxic one's."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
-    t, o = [plain(x) for x in toxic], [plain(x) for x in ordinary]
+    t, o = (without_copies([plain(x) for x in texts]) for texts in (toxic, ordinary))
+    if len(t) < 2 or len(o) < 2:
+        return None
     x, y = [], []
     for half in (0, 1):
         scorer = Scorer(*dictionaries(t[half::2], o[half::2]))

@@ -98,7 +98,7 @@ def plain_telling(own, other):
     def g2(a, n, b, m):
         p = (a + b) / (n + m)
         g = 2 * sum(x * math.log(x / e) for x, e in ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p))) if x)
-        return g if a * m > b * n else -g
+        return g if a * m >= T.TIMES * b * n else 0.0
     (o1, o2), (t1, t2) = shares(own), shares(other)
     return {g: max(g2(o1[g], len(own), t1.get(g, 0), len(other)), g2(o2[g], len(own), t2.get(g, 0), len(other))) for g in o1}
 
@@ -131,6 +131,20 @@ def test_a_stem_within_words_is_learnt():
     assert (T.score_texts(model, scorer, toxic[60:]) > 0.5).mean() > 0.9 and (T.score_texts(model, scorer, ordinary[60:]) < 0.5).mean() > 0.9
 
 
+def test_copies_and_languages_are_no_evidence():
+    """A text copied many times within one class, or a language that one class uses more, makes no telling strings."""
+    rnd = random.Random(10)
+    text = lambda syl: " ".join("".join(rnd.choice(syl) for _ in range(rnd.randint(1, 3))) for _ in range(80)).encode()     # noqa: E731
+    one, two = ["an", "the", "er", "ing"], ["que", "ado", "cion", "el"]
+    copied = text(one)
+    toxic = [copied.replace(b"the", b"the ", 1 + i % 3) for i in range(60)] + [text(two if i % 2 else one) for i in range(120)]
+    ordinary = [text(two if i % 4 == 0 else one) for i in range(300)]
+    assert T.telling(toxic, ordinary) != []
+    kept = T.without_copies(toxic)
+    assert len(kept) == 121 and T.telling(kept, T.without_copies(ordinary)) == []
+    assert T.without_copies([b"", b"", b"a", b"a", b"a b"]) == [b"", b"a", b"a b"]
+
+
 def test_windows_cover_the_text():
     rnd = random.Random(9)
     for n in (0, 1, 47, 48, 49, 300, 5000):
