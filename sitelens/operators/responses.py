@@ -39,18 +39,39 @@ def _last_by_request(responses: DataFrame) -> DataFrame:
             .select("request_url", "r.*"))
 
 
+ABSOLUTE_RX = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def _jumps(redirects: DataFrame, most: int, checkpoint: bool) -> list[tuple[int, DataFrame]]:
+    """[(2**i, table at -> to)]: where exactly 2**i redirects lead, as far as ``most`` needs it and such chains are there.
+
+    Each table is the one before, joined with itself: a chain of any allowed length takes log2 joins, not one a hop. A
+    relative Location is where a chain ends, so nothing is joined behind it.
+    """
+    out, size, table = [], 1, redirects
+    while True:
+        if checkpoint:
+            table = table.checkpoint(eager=True)
+            if table.isEmpty():
+                return out
+        out.append((size, table))
+        if 2 * size > most:
+            return out
+        second = table.where(F.col("at").rlike(ABSOLUTE_RX)).select(F.col("at").alias("to"), F.col("to").alias("end"))
+        table, size = table.join(second, "to").select("at", F.col("end").alias("to")), 2 * size
+
+
 def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
-                      limit: int = REDIRECT_LIMIT, statuses: tuple[int, ...] = (301,),
-                      checkpoint: bool = True) -> DataFrame:
+                      limit: int | str = REDIRECT_LIMIT, statuses: tuple[int, ...] = (301,),
+                      checkpoint: bool = True, relative: bool = False) -> DataFrame:
     """Follow redirects for every request, at most ``limit`` requests each.
 
-    ``requests`` (default: every request url of ``responses``) has
-    ``request_url``; other columns are carried. Works on slim columns only:
-    the hop loop joins the still-active chains (of the redirecting urls) with the
-    redirect slice, checkpoints each hop once and splits it afterwards, and stops
-    early when no chain is active (one ``isEmpty`` per hop). A relative Location is requested as is
-    and fails (``bad_location``); after ``limit`` requests the chain ends
-    without data (``redirect_limit``), whatever the last Location says.
+    ``requests`` (default: every request url of ``responses``) has ``request_url``; other columns are carried. ``limit`` may name
+    one of them, a limit for each request. Works on slim columns only, by path doubling: tables of where 1, 2, 4, 8, ...
+    redirects lead are joined to the requests, the longest first, wherever the hops so far leave room for it. So the
+    hop count is exact at the limit, and a limit of 10 takes 4 rounds. A relative Location is requested as
+    is and fails (``bad_location``); with ``relative`` it is resolved against the url that sent it. After ``limit``
+    requests the chain ends without data (``redirect_limit``), whatever the last Location says.
 
     Output: request columns + final_url (raw value of the last Location
     followed), hops, outcome in {ok, status, redirect_limit, bad_location,
@@ -61,44 +82,36 @@ def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
     resp = _last_by_request(responses)
     is_redirect = F.col("status").isin(*statuses) & F.col("location").isNotNull() & (F.col("location") != "")
     if checkpoint:
-        # materialized once: otherwise every hop would re-scan and re-shuffle the log
+        # materialized once: otherwise every round would re-scan and re-shuffle the log
         resp = resp.checkpoint(eager=True)
-    redirects = resp.where(is_redirect).select(F.col("request_url").alias("cur"), F.col("location").alias("next"))
+    redirects = resp.where(is_redirect).select(F.col("request_url").alias("at"), F.col("location").alias("to"))
+    if relative:
+        redirects = U.with_resolved(redirects, "to", "at", "_to").select("at", F.coalesce("_to", "to").alias("to"))
     known = F.coalesce(is_redirect, F.lit(False))
     if requests is None:
-        # a request's own response says whether it redirects: only redirecting ones enter the loop
+        # a request's own response says whether it redirects: only redirecting ones are joined
         requests = resp.select("request_url")
-        first = resp.where(~known).select(
-            "request_url", F.col("request_url").alias("cur"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("flag"),
-            F.col("ord").alias("response_ord"), "status")
-        step = resp.where(known).select("request_url", F.col("request_url").alias("cur"), F.lit(0).alias("hops"),
-                                        F.col("location").alias("next"))
+        first = resp.where(~known).select("request_url", F.col("request_url").alias("at"), F.lit(0).alias("hops"),
+                                          F.col("ord").alias("response_ord"), "status")
+        step = resp.where(known).select("request_url", F.col("request_url").alias("at"), F.lit(0).alias("hops"))
     else:
         first = None
-        step = requests.withColumn("cur", F.col("request_url")).withColumn("hops", F.lit(0)).join(redirects, "cur", "left")
-    ended = []
-    for i in range(limit):
-        if checkpoint and (i or first is None):
-            step = step.checkpoint(eager=True)      # split below without planning the hop's join again
-        ended.append(step.where(F.col("next").isNull()).drop("next").withColumn("flag", F.lit(None).cast("string")))
-        moved = (step.where(F.col("next").isNotNull()).withColumn("cur", F.col("next")).drop("next")
-                 .withColumn("hops", F.lit(i + 1)))
-        absolute = F.col("cur").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-        if i + 1 == limit:
-            ended.append(moved.withColumn("flag", F.lit("redirect_limit")))
-            break
-        ended.append(moved.where(~absolute).withColumn("flag", F.lit("bad_location")))
-        active = moved.where(absolute)
-        if checkpoint and active.isEmpty():
-            break
-        step = active.join(redirects, "cur", "left")
-    finals = ended[0]
-    for part in ended[1:]:
-        finals = finals.unionByName(part)
-    final_resp = resp.select(F.col("request_url").alias("cur"), F.col("ord").alias("response_ord"), "status")
-    out = finals.join(final_resp, "cur", "left")
+        step = requests.withColumns({"at": F.col("request_url"), "hops": F.lit(0)})
+    by_row = isinstance(limit, str)
+    most = int(requests.agg(F.max(limit)).first()[0] or 0) if by_row else limit
+    cap = F.col(limit) if by_row else F.lit(limit)
+    for size, table in reversed(_jumps(redirects, most, checkpoint)):
+        step = step.join(table, "at", "left")
+        go = F.col("to").isNotNull() & (F.col("hops") + size <= cap)
+        if size < most:     # after the first jump, a chain goes on from an absolute Location only
+            go = go & ((F.col("hops") == 0) | F.col("at").rlike(ABSOLUTE_RX))
+        step = step.withColumns({"at": F.when(go, F.col("to")).otherwise(F.col("at")), "hops": F.when(go, F.col("hops") + size).otherwise(F.col("hops"))}).drop("to")
+    flag = (F.when((F.col("hops") > 0) & (F.col("hops") >= cap), "redirect_limit")
+            .when((F.col("hops") > 0) & ~F.col("at").rlike(ABSOLUTE_RX), "bad_location"))
+    final_resp = resp.select(F.col("request_url").alias("at"), F.col("ord").alias("response_ord"), "status")
+    out = step.withColumn("flag", flag).join(final_resp, "at", "left")
     if first is not None:
-        out = out.unionByName(first)
+        out = out.unionByName(first.withColumn("flag", F.lit(None).cast("string")))
     outcome = (F.when(F.col("flag").isNotNull(), F.col("flag"))
                .when(F.col("status").isNull(), F.lit("missing"))
                .when(F.col("status").between(200, 299), F.lit("ok"))
@@ -106,6 +119,6 @@ def resolve_redirects(responses: DataFrame, requests: DataFrame | None = None,
     keep_resp = F.col("flag").isNull()
     return out.select(
         *requests.columns,
-        F.col("cur").alias("final_url"), F.col("hops").cast("int").alias("hops"), outcome.alias("outcome"),
+        F.col("at").alias("final_url"), F.col("hops").cast("int").alias("hops"), outcome.alias("outcome"),
         F.when(keep_resp, F.col("status")).alias("status"),
         F.when(keep_resp, F.col("response_ord")).alias("response_ord"))

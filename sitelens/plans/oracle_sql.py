@@ -277,6 +277,24 @@ SELECT fin.request_url, fin.cur AS final_url, CAST(fin.hops AS INTEGER) AS hops,
   CASE WHEN fin.hops < 10 AND fin.flag IS NULL THEN rr.status END AS status
 FROM fin LEFT JOIN rr ON rr.request_url = fin.cur"""
 
+_ABS = "'^[A-Za-z][A-Za-z0-9+.\\-]*:'"
+SQL["r1_redirect_limits"] = f"""WITH {REDIR},
+redir AS (SELECT request_url AS cur, location AS nxt FROM rr WHERE status = 301 AND location IS NOT NULL AND location <> ''),
+ch AS (
+  WITH RECURSIVE c(rel, request_url, cur, hops) AS (
+    SELECT rel, request_url, request_url, 0 FROM rr, (VALUES (FALSE), (TRUE)) AS o(rel)
+    UNION ALL
+    SELECT c.rel, c.request_url,
+      CASE WHEN c.rel AND starts_with(x.nxt, '/') THEN regexp_extract(c.cur, '^(https?://[^/?#]+)', 1) || x.nxt ELSE x.nxt END, c.hops + 1
+    FROM c JOIN redir x ON x.cur = c.cur WHERE c.hops < 10 AND (c.hops = 0 OR regexp_matches(c.cur, {_ABS})))
+  SELECT * FROM c),
+fin AS (SELECT rel, request_url, l.most, arg_max(cur, hops) AS cur, max(hops) AS hops
+        FROM ch JOIN (SELECT unnest(generate_series(1, 10)) AS most) l ON hops <= l.most GROUP BY ALL)
+SELECT fin.request_url, CAST(fin.most AS INTEGER) AS most, fin.rel AS relative, fin.cur AS final_url, CAST(fin.hops AS INTEGER) AS hops,
+  CASE WHEN fin.hops = fin.most THEN 'redirect_limit' WHEN fin.hops > 0 AND NOT regexp_matches(fin.cur, {_ABS}) THEN 'bad_location'
+       WHEN rr.status IS NULL THEN 'missing' WHEN rr.status BETWEEN 200 AND 299 THEN 'ok' ELSE 'status' END AS outcome,
+  CASE WHEN fin.hops < fin.most AND (fin.hops = 0 OR regexp_matches(fin.cur, {_ABS})) THEN rr.status END AS status
+FROM fin LEFT JOIN rr ON rr.request_url = fin.cur"""
 SQL["s5_read_responses"] = (f"WITH {RESP} SELECT snapshot_id, ord, request_url, status, content_type, "
                             "sha256(body) AS hash FROM resp")
 
@@ -424,6 +442,9 @@ FROM s"""
 _RULES = HOST_RULES.replace("{mime}", mime_of(path("e.dst")))
 SQL["p4_settings_closure"] = f"""WITH {PLACED}, {_fifo("fifo", f"(ascii(right(r.host, 1)) % 5 = 0 OR ({_RULES}))")}
 SELECT crawl_id, url, CAST(depth AS INTEGER) AS depth, rank FROM fifo"""
+SQL["t1_stream_crawl"] = f"""WITH {PLACED}, {_fifo("fifo")}
+SELECT crawl_id, 'seen' AS part, url FROM fifo
+UNION ALL SELECT crawl_id, CASE WHEN url IN (SELECT url FROM hosted) THEN 'asset' ELSE 'frontier' END, url FROM fifo"""
 SQL["s1_damaged_reports"] = f"""WITH {RANKED}, h AS (SELECT host, count(*) AS n FROM ranked GROUP BY host)
 SELECT CASE length(host) % 3 WHEN 1 THEN 'not a JSON document' WHEN 2 THEN 'no assets' ELSE 'sound' END AS state,
   CAST(count(*) AS BIGINT) AS n_documents, CAST(sum(CASE WHEN length(host) % 3 = 0 THEN n ELSE 0 END) AS BIGINT) AS n_assets

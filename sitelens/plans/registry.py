@@ -83,6 +83,15 @@ def q_r1(spark, sf):
     return r.select("request_url", "final_url", "hops", "outcome", "status")
 
 
+def q_r1_limits(spark, sf):
+    """Every request under limits 1 to 10, with relative Locations failing and resolved."""
+    r = FX.redirect_responses(spark, sf).checkpoint(eager=True)
+    asked = r.select("request_url").distinct().withColumn("most", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    out = [resolve_redirects(r, asked, limit="most", relative=rel).select(
+        "request_url", F.col("most").alias("most"), F.lit(rel).alias("relative"), "final_url", "hops", "outcome", "status") for rel in (False, True)]
+    return out[0].unionByName(out[1])
+
+
 def q_r2(spark, sf):
     resp = FX.redirect_responses(spark, sf)
     return ok_responses(resp).select("request_url", "status")
@@ -440,6 +449,22 @@ def q_t1(spark, sf):
                       F.size("references").cast("int").alias("n_refs"))
 
 
+def q_t1_crawl(spark, sf):
+    """Crawls of all hosts over responses that arrive in three batches, in no order of their links."""
+    from sitelens.session import scratch_dir
+    from sitelens.sources.responses import write_responses
+    from sitelens.streaming.crawl_stream import stream_crawl
+    base, responses = scratch_dir(spark, "crawl-stream"), FX.crawl_responses(spark, sf).checkpoint(eager=True)
+    seeds = FX.seeds(spark, sf).select(F.col("seed").alias("crawl_id"), "seed")
+    arrival = F.pmod(F.xxhash64("request_url"), F.lit(3))       # answers of one url arrive together
+    for i in (2, 0, 1):
+        write_responses(responses.where(arrival == i), f"{base}/in")
+        crawl = stream_crawl(spark, f"{base}/in", f"{base}/state", f"{base}/checkpoint", seeds)
+    part = lambda df, name, url="url": df.select("crawl_id", F.lit(name).alias("part"), F.col(url).alias("url"))     # noqa: E731
+    return part(crawl.seen(), "seen").unionByName(part(crawl.frontier(), "frontier")) \
+        .unionByName(part(crawl.report_assets(), "asset", "request_url"))
+
+
 def q_s1(spark, sf):
     from sitelens.session import scratch_dir
     from sitelens.sources.report import read_report, write_report
@@ -589,6 +614,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d7_change_summary": q_d7,
     "d9_line_changes": q_d9,
     "r1_resolve_redirects": q_r1,
+    "r1_redirect_limits": q_r1_limits,
     "r2_ok_responses": q_r2,
     "r3_content_type": q_r3,
     "r4_guess_mime": q_r4,
@@ -641,6 +667,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_settings_closure": q_p4_closure,
     "f8_log_rank": q_f8_log,
     "t1_stream_assets": q_t1,
+    "t1_stream_crawl": q_t1_crawl,
     "v1_path_index": q_v1,
     "v2_resolve_requests": q_v2,
 }

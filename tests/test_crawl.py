@@ -43,6 +43,43 @@ def test_redirect_rules(spark):
     assert got["https://h/m"] == ("https://h/missing", 1, "missing")
 
 
+def _hops(table, url, limit, relative):
+    """One request at a time, as a fetcher follows it: (final url, hops, outcome)."""
+    at, hops = url, 0
+    while True:
+        status, loc = table.get(at, (None, None))
+        if status != 301 or not loc:
+            return at, hops, "missing" if status is None else "ok" if 200 <= status < 300 else "status"
+        at, hops = (whatwg.resolve(loc, at) if relative else loc), hops + 1
+        if hops >= limit:
+            return at, hops, "redirect_limit"
+        if "://" not in at:
+            return at, hops, "bad_location"
+
+
+def test_redirects_by_doubling_equal_one_request_at_a_time(spark):
+    import random
+    rnd = random.Random(4)
+    urls = [f"https://h{i % 3}/a{i}" for i in range(120)]
+    rows = []
+    for i, u in enumerate(urls):
+        kind = rnd.random()
+        if kind < 0.75:
+            loc = urls[i + 1] if kind < 0.6 and i + 1 < len(urls) else rnd.choice([*urls, "/a7", "/none", "https://h0/gone", "", None])
+            rows.append((u, 301, loc, None, None))
+        else:
+            rows.append((u, rnd.choice([200, 204, 404, 302]), None, None, b"x"))
+    table = {u: (s, loc) for u, s, loc, _, _ in rows}
+    df = _responses(spark, rows)
+    asked = df.select("request_url").withColumn("most", F.explode(F.sequence(F.lit(1), F.lit(17))))
+    for relative in (False, True):
+        got = {(r.request_url, r.most): (r.final_url, r.hops, r.outcome)
+               for r in resolve_redirects(df, asked, limit="most", relative=relative).collect()}
+        assert got == {(u, n): _hops(table, u, n, relative) for u in table for n in range(1, 18)}
+    one = {r.request_url: (r.final_url, r.hops, r.outcome) for r in resolve_redirects(df, limit=3).collect()}
+    assert one == {u: _hops(table, u, 3, False) for u in table}
+
+
 def test_enqueue_reasons(spark):
     rows = [("https://h.com/a.pdf",), ("https://h.com/a",), ("https://o.com/a",), ("https://h.com/x/a",),
             ("https://h.com/en/a?q",), ("https://h.com/en/a.unknownext",)]

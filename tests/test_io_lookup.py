@@ -21,6 +21,90 @@ def test_store_dedup_and_anti(spark, tmp_dir):
     assert bytes(got["x"]) == b"c" and got["y"] is None
 
 
+def _bodies(spark, a, b, status=200):
+    return spark.range(a, b).select(F.lit(status).alias("status"), F.concat(F.lit("body "), F.col("id")).cast("binary").alias("body"))
+
+
+def test_saving_reads_and_moves_no_stored_body(spark, tmp_dir):
+    """Winners are decided on hashes alone; bodies are exchanged once, on their way to the files."""
+    import re
+
+    from sitelens.sources import store as S
+    from sitelens.functions.content import content_hash
+    save_content(_bodies(spark, 0, 500), f"{tmp_dir}/s")
+    r = _bodies(spark, 400, 900).withColumn("hash", content_hash(F.col("body")))
+    plan = S.winners(r, f"{tmp_dir}/s")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "body" not in re.search(r"ReadSchema: (.*)", scans[0])[1]
+    assert all("body" not in x for x in plan.splitlines() if "Exchange" in x)
+    stored = {x.hash for x in S.read_store(spark, f"{tmp_dir}/s").collect()}
+    assert {x.hash for x in S.winners(r, f"{tmp_dir}/s").collect()} == {x.hash for x in r.collect()} - stored
+    added = save_content(r, f"{tmp_dir}/s")
+    assert added.count() == 400 and S.read_store(spark, f"{tmp_dir}/s").count() == 900
+
+
+def test_a_save_leaves_few_files(spark, tmp_dir):
+    import glob
+
+    from sitelens.sources import store as S
+    rows = _bodies(spark, 0, 3000).repartition(16)
+    save_content(rows, f"{tmp_dir}/s")
+    assert len(glob.glob(f"{tmp_dir}/s/*/*/*.parquet")) <= 256       # 16 tasks, one file a prefix
+    before, S.FILE_BYTES = S.FILE_BYTES, 40
+    try:
+        save_content(rows, f"{tmp_dir}/t")
+    finally:
+        S.FILE_BYTES = before
+    big = glob.glob(f"{tmp_dir}/t/*/*/*.parquet")
+    assert 256 < len(big) <= 3 * 256 and spark.read.parquet(f"{tmp_dir}/t").count() == 3000
+
+
+def test_loading_reads_only_the_prefixes_asked_for(spark, tmp_dir):
+    from sitelens.sources import store as S
+    save_content(_bodies(spark, 0, 4000), f"{tmp_dir}/s")
+    held = {r.hash: bytes(r.body) for r in S.read_store(spark, f"{tmp_dir}/s").collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = {}
+        for n in (2, 20, 4000):
+            keys = spark.createDataFrame([(h,) for h in sorted(held)[:: len(held) // n][:n]] + [(None,), ("ff" * 32,)], "hash string")
+            got = load_content(keys, f"{tmp_dir}/s")
+            plan = got._jdf.queryExecution().executedPlan()
+            assert {r.hash: r.body and bytes(r.body) for r in got.collect()} == {r.hash: held.get(r.hash) for r in keys.collect()}
+            leaves = [plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size())]
+            read[n] = sum(x.metrics().apply("filesSize").value() for x in leaves if x.nodeName().startswith("Scan parquet"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < read[2] * 20 < read[4000] and read[2] < read[20] < read[4000] / 5
+
+
+def test_compaction_keeps_the_rows_and_can_be_stopped(spark, tmp_dir):
+    import glob
+
+    from sitelens.sources import store as S
+    path = f"{tmp_dir}/s"
+    for i in range(4):
+        save_content(_bodies(spark, i * 300, i * 300 + 300), path)
+    want = sorted((r.hash, bytes(r.body)) for r in S.read_store(spark, path).collect())
+    rows = lambda: sorted((r.hash, bytes(r.body)) for r in S.read_store(spark, path).collect())
+    finish, S._finish_compaction = S._finish_compaction, lambda *a: None
+    try:
+        S.compact_store(spark, path, most=2)        # stopped after the commit: nothing cleared up yet
+        assert rows() == want and len(want) == 1200
+        moved = f"{path}/_replaced/_SUCCESS"
+        import os
+        os.rename(moved, moved + "-later")
+        assert rows() == want                       # stopped before the commit
+        os.rename(moved + "-later", moved)
+    finally:
+        S._finish_compaction = finish
+    files = len(glob.glob(f"{path}/*/*/*.parquet"))
+    S.compact_store(spark, path, most=2)
+    assert rows() == want and len(glob.glob(f"{path}/*/*/*.parquet")) < files and not glob.glob(f"{path}/_*/*.parquet")
+    assert S.compact_store(spark, path, most=2) == 0 and S.compact_store(spark, f"{tmp_dir}/none") == 0
+    assert save_content(_bodies(spark, 1190, 1210), path).count() == 10
+
+
 def test_path_lookup(spark):
     assets = spark.createDataFrame([
         (1, "https://a.com/p?x=1", "h1", "text/html"),
