@@ -44,14 +44,17 @@ def _iso(ts: Column) -> Column:
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-_TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
-_ZONE = r"(z|(?:gmt|utc|ut)(?:[+-]\d{2}:?\d{2})?|[+-]\d{2}:?\d{2})"
+_TIME = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?[ap]m)?)"
+# Zone names of mail headers and their offsets.
+_ZONES = {"est": "-05:00", "edt": "-04:00", "cst": "-06:00", "cdt": "-05:00", "mst": "-07:00", "mdt": "-06:00", "pst": "-08:00", "pdt": "-07:00"}
+_ZONE = rf"(z|(?:gmt|utc|ut)(?:[+-]\d{{2}}:?\d{{2}})?|[+-]\d{{2}}:?\d{{2}}|{'|'.join(_ZONES)})"
 # Forms of a date text after the weekday, rewritten to year|month|day|time|zone.
 _DATE_FORMS = [
     (rf"^(\d{{1,2}})[ -]{_MON}[ -](\d{{4}}|\d{{2}})(?: {_TIME})?(?: ?{_ZONE})?$", "$3|$2|$1|$4|$5"),   # 06 Nov 1994 08:49:37 GMT
     (rf"^{_MON} (\d{{1,2}}) {_TIME} (\d{{4}})$", "$4|$1|$2|$3|"),                                       # Nov 6 08:49:37 1994
     (rf"^{_MON} (\d{{1,2}}) (\d{{4}})(?: {_TIME})?(?: ?{_ZONE})?$", "$3|$1|$2|$4|$5"),                  # Nov 06 1994 08:49:37 GMT+0000
-    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?: {_TIME})?(?: ?{_ZONE})?$", "$1|$2|$3|$4|$5"),              # 2024/05/06
+    (rf"^{_MON} (\d{{4}})$", "$2|$1|1||"),                                                             # May 2024
+    (rf"^(\d{{4}})[/-](\d{{1,2}})[/-](\d{{1,2}})(?: {_TIME})?(?: ?{_ZONE})?$", "$1|$2|$3|$4|$5"),        # 2024/05/06, 2024-5-6
     (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: {_TIME})?(?: ?{_ZONE})?$", "$3|$1|$2|$4|$5"),              # 5/6/2024
 ]
 
@@ -76,9 +79,15 @@ def _canonical_date(s: Column) -> Column:
         year = F.when(F.length(year) == 2, F.concat(F.when(year >= "50", F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
         named = ((F.instr(F.lit(_MONTHS), F.substring(month, 1, 3)) + 2) / 3).cast("int").cast("string")
         month = F.when(month.rlike("^[0-9]"), month).otherwise(named)
+        half, rest = F.regexp_extract(time, "([ap])m$", 1), F.regexp_replace(time, " ?[ap]m$", "")
+        hour = F.regexp_extract(rest, r"^(\d+)", 1)
+        twelve = hour.try_cast("int") % 12 + F.when(half == "p", 12).otherwise(0)
+        hour = F.when(half == "", hour).when(hour.try_cast("int") <= 12, twelve.cast("string"))     # 13:00 pm is no time
         time = F.when(time == "", F.lit("00:00:00")).otherwise(F.concat(
-            F.lpad(F.regexp_extract(time, r"^(\d+)", 1), 2, "0"), F.regexp_extract(time, r"^\d+(:.*)$", 1),
-            F.when(time.rlike(r"^\d+:\d+$"), F.lit(":00")).otherwise(F.lit(""))))
+            F.lpad(hour, 2, "0"), F.regexp_extract(rest, r"^\d+(:.*)$", 1),
+            F.when(rest.rlike(r"^\d+:\d+$"), F.lit(":00")).otherwise(F.lit(""))))
+        for name, offset in _ZONES.items():
+            zone = F.when(zone == name, F.lit(offset)).otherwise(zone)
         zone = F.when(zone == "", F.lit("Z")).otherwise(F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
         return F.when(F.size(p) == 5, F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"),
                                                F.lit("T"), time, zone))
@@ -90,11 +99,13 @@ def parse_date(text: Column) -> Column:
     """A date string as ``new Date(s).toISOString()`` writes it, else null.
 
     Accepted: the three HTTP date forms, JS date strings, month-name dates
-    (``May 5, 2024``), slash dates, and ISO-8601 dates (also year or year and
+    (``May 5, 2024``, ``May 2024``), slash and loose dashed dates (``2024-5-6``), times of twelve hours, the zone names
+    of mail headers, and ISO-8601 dates (also year or year and
     month alone) and date-times. A text without a zone is read as UTC
     (documented narrowing of the JS parser, which reads some forms as local time).
     """
     def iso(s):
+        s = F.regexp_replace(s, r"(?i)([t ]\d{2}:\d{2})(z|[+-]\d{2}:?\d{2})?$", "$1:00$2")     # hours and minutes alone
         v = F.regexp_replace(s, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
         # zone-less input is made explicitly UTC, so the session time zone never matters
         return (F.when(F.length(s) == 4, F.concat(s, F.lit("-01-01T00:00:00Z")))

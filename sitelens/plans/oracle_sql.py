@@ -233,7 +233,14 @@ FROM l GROUP BY url, ord, line HAVING sum(o) <> sum(n)"""
 # --- responses ------------------------------------------------------------------------------
 SQL["r3_content_type"] = f"WITH {RESP} SELECT page_id, {MEDIA} AS media_type, {CHARSET} AS charset FROM resp"
 SQL["r4_guess_mime"] = f"WITH {RESP} SELECT page_id, {guessed('request_url')} AS data_mime FROM resp"
-SQL["r5_http_date"] = f"WITH {RESP} SELECT page_id, last_modified_hdr, lm_expected AS last_modified FROM resp"
+SQL["r5_http_date"] = (f"WITH {RESP} SELECT page_id, last_modified_hdr, strftime(try_strptime(last_modified_hdr, "
+                       "'%a, %d %b %Y %H:%M:%S GMT'), '%Y-%m-%dT%H:%M:%S.000Z') AS last_modified FROM resp")
+_T = "(TIMESTAMP '2001-01-01 00:00:00' + to_seconds(page_id * 86461 + page_id % 7 * 3600))"
+_FORMS = [("%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M", 0), ("%a, %-d %b %Y %H:%M:%S EST", "%a, %d %b %Y %H:%M:%S EST", 5), ("%-d %b %Y %I:%M %p", "%d %b %Y %I:%M %p", 0),
+          ("%B %Y", "%B %Y", 0), ("%Y-%-m-%-d", "%Y-%m-%d", 0), ("%b %-d, %Y", "%b %d, %Y", 0), ("%Y/%m/%d %H:%M:%S -0700", "%Y/%m/%d %H:%M:%S -0700", 7)]
+SQL["r5_date_forms"] = " UNION ALL ".join(
+    f"SELECT page_id, {i} AS form, strftime({_T}, '{w}') AS text, strftime(try_strptime(strftime({_T}, '{w}'), '{r}') + to_hours({h}), "
+    f"'%Y-%m-%dT%H:%M:%S.000Z') AS last_modified FROM pages" for i, (w, r, h) in enumerate(_FORMS))
 SQL["r6_content_hash"] = "SELECT page_id, sha256(html) AS hash FROM pages"
 SQL["r7_decode_text"] = "SELECT page_id, html AS text FROM pages"
 SQL["r8_asset_kind"] = f"""WITH {RESP},

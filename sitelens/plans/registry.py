@@ -114,6 +114,16 @@ def q_r5(spark, sf):
     return r.select("page_id", "last_modified_hdr", C.parse_date(F.col("last_modified_hdr")).alias("last_modified"))
 
 
+def q_r5_forms(spark, sf):
+    """Seven date forms that pages use, each made from a time of the page's own."""
+    t = F.expr("TIMESTAMP_NTZ '2001-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id * 86461 + page_id % 7 * 3600)")
+    forms = ["yyyy-MM-dd'T'HH:mm", "EEE, d MMM yyyy HH:mm:ss 'EST'", "d MMM yyyy hh:mm a", "MMMM yyyy", "yyyy-M-d", "MMM d, yyyy",
+             "yyyy/MM/dd HH:mm:ss '-0700'"]
+    texts = F.array(*[F.date_format(t, f) for f in forms])
+    p = FX.pages(spark, sf).select("page_id", F.posexplode(texts).alias("form", "text"))
+    return p.select("page_id", F.col("form").cast("int").alias("form"), "text", C.parse_date(F.col("text")).alias("last_modified"))
+
+
 def q_r6(spark, sf):
     p = FX.pages(spark, sf)
     return p.select("page_id", C.content_hash(F.col("html").cast("binary")).alias("hash"))
@@ -619,6 +629,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r3_content_type": q_r3,
     "r4_guess_mime": q_r4,
     "r5_http_date": q_r5,
+    "r5_date_forms": q_r5_forms,
     "r6_content_hash": q_r6,
     "r7_decode_text": q_r7,
     "r8_asset_kind": q_r8,

@@ -32,7 +32,11 @@ def test_date_forms_of_the_js_parser(spark):
              "2024/05/06": "2024-05-06T00:00:00.000Z", "Sun Nov 06 1994 08:49:37 GMT+0000": "1994-11-06T08:49:37.000Z",
              "Sun Nov 06 1994 08:49:37 GMT+0200 (Central European Time)": "1994-11-06T06:49:37.000Z", "5/6/2024 7:08": "2024-05-06T07:08:00.000Z",
              "6 November 1994 08:49 +0100": "1994-11-06T07:49:00.000Z", "Thu, 31 Feb 2020 00:00:00 GMT": None, "Nov 1994 x": None, "May": None,
-             "2024-13": None, "Mon, 06 Nov 49 08:49:37 UTC": "2049-11-06T08:49:37.000Z"}
+             "2024-13": None, "Mon, 06 Nov 49 08:49:37 UTC": "2049-11-06T08:49:37.000Z",
+             "2024-05-06T10:00": "2024-05-06T10:00:00.000Z", "2024-05-06T10:00+02:00": "2024-05-06T08:00:00.000Z", "2024-05-06 10:00Z": "2024-05-06T10:00:00.000Z",
+             "Tue, 6 May 2024 10:00:00 EST": "2024-05-06T15:00:00.000Z", "6 May 2024 10:00 PDT": "2024-05-06T17:00:00.000Z",
+             "6 May 2024 10:00 PM": "2024-05-06T22:00:00.000Z", "6 May 2024 12:30:05 am": "2024-05-06T00:30:05.000Z", "6 May 2024 12:30 PM GMT": "2024-05-06T12:30:00.000Z",
+             "6 May 2024 13:00 PM": None, "May 2024": "2024-05-01T00:00:00.000Z", "2024-5-6": "2024-05-06T00:00:00.000Z", "2024-5-6 7:08": "2024-05-06T07:08:00.000Z"}
     got = spark.createDataFrame([(r,) for r in cases], "d string").select("d", C.parse_date("d").alias("x")).collect()
     assert {g.d: g.x for g in got} == cases
 
