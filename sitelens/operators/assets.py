@@ -34,12 +34,12 @@ _SLOW = T.StructType([
 ])
 
 
-def _py_mime_for_path(path: str | None) -> str | None:
+def _py_mime_for_path(path: str | None, table: dict[str, str]) -> str | None:
     if path is None:
         return None
     p = path.strip(" ").lower()
     key = p if "." not in p else p.rsplit(".", 1)[1]
-    return M.EXTENSION_MIME.get(key)
+    return table.get(key)
 
 
 def _py_kind(mime: str, url: str) -> str:
@@ -50,32 +50,36 @@ def _py_kind(mime: str, url: str) -> str:
     return "other"
 
 
-@F.pandas_udf(_SLOW)
-def _finish_slow_rows(final_url: pd.Series, media: pd.Series, html_refs: pd.Series, sitemap_refs: pd.Series,
-                      rest: pd.Series, base: pd.Series, unescape: pd.Series) -> pd.DataFrame:
-    """Rows whose url needs the full parser are finished here (first four arguments); of the others only the single
-    references that do (last three), answered in their order. All arguments are null where nothing is to be done."""
-    urls, mimes, kinds, refs = [], [], [], []
-    for fu, med, hr, sr, rs, b, un in zip(final_url, media, html_refs, sitemap_refs, rest, base, unescape):
-        if fu is None:
-            urls.append(None), mimes.append(None), kinds.append(None)
-            refs.append(None if rs is None else [whatwg.resolve(E.unescape_attribute(r) if un else r, b) for r in rs])
-            continue
-        url = whatwg.report_key(fu)
-        href = whatwg.resolve(fu)
-        mime = med if med else (_py_mime_for_path(whatwg.pathname(href)) or M.DEFAULT_MIME)
-        kind = _py_kind(mime, url) if url is not None else "other"
-        raw = list(hr) if kind == "html" and hr is not None else \
-            list(sr) if kind == "sitemap" and sr is not None else []
-        out, seen = [], set()
-        if url is not None:
-            for r in raw:
-                v = whatwg.resolve(E.unescape_attribute(r) if kind == "html" else r, url)
-                if v is not None and v not in seen:
-                    seen.add(v)
-                    out.append(v)
-        urls.append(url), mimes.append(mime), kinds.append(kind), refs.append(out)
-    return pd.DataFrame({"url": urls, "data_mime": mimes, "kind": kinds, "references": refs})
+def _slow_rows_udf(table: dict[str, str]):
+    """The slow path, with the driver's extension table sent along: workers may have another one."""
+    @F.pandas_udf(_SLOW)
+    def _finish_slow_rows(final_url: pd.Series, media: pd.Series, html_refs: pd.Series, sitemap_refs: pd.Series,
+                          rest: pd.Series, base: pd.Series, unescape: pd.Series) -> pd.DataFrame:
+        """Rows whose url needs the full parser are finished here (first four arguments); of the others only the single
+        references that do (last three), answered in their order. All arguments are null where nothing is to be done."""
+        urls, mimes, kinds, refs = [], [], [], []
+        for fu, med, hr, sr, rs, b, un in zip(final_url, media, html_refs, sitemap_refs, rest, base, unescape):
+            if fu is None:
+                urls.append(None), mimes.append(None), kinds.append(None)
+                refs.append(None if rs is None else [whatwg.resolve(E.unescape_attribute(r) if un else r, b) for r in rs])
+                continue
+            url = whatwg.report_key(fu)
+            href = whatwg.resolve(fu)
+            mime = med if med else (_py_mime_for_path(whatwg.pathname(href), table) or M.DEFAULT_MIME)
+            kind = _py_kind(mime, url) if url is not None else "other"
+            raw = list(hr) if kind == "html" and hr is not None else \
+                list(sr) if kind == "sitemap" and sr is not None else []
+            out, seen = [], set()
+            if url is not None:
+                for r in raw:
+                    v = whatwg.resolve(E.unescape_attribute(r) if kind == "html" else r, url)
+                    if v is not None and v not in seen:
+                        seen.add(v)
+                        out.append(v)
+            urls.append(url), mimes.append(mime), kinds.append(kind), refs.append(out)
+        return pd.DataFrame({"url": urls, "data_mime": mimes, "kind": kinds, "references": refs})
+
+    return _finish_slow_rows
 
 
 def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[str] | None = None,
@@ -88,7 +92,7 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
     resolved are skipped instead of dropping the page.
     """
     keep = keep or []
-    x = _exprs()
+    x = _exprs(frozenset(M.EXTENSION_MIME.items()))
     ok = ok_responses(responses)
     # stage 1: response columns and the natively canonical url
     a = ok.select(*keep, F.col(url_col).alias("_fu"), "body", "last_modified_hdr", x["ct"], x["hash"])
@@ -110,9 +114,9 @@ def build_assets(responses: DataFrame, url_col: str = "final_url", keep: list[st
 
 
 @lru_cache(maxsize=1)
-def _exprs() -> dict:
-    """The pipeline's column expressions. They refer only to the pipeline's own
-    column names, so they are built once per process: building them costs
+def _exprs(table: frozenset) -> dict:
+    """The pipeline's column expressions under an extension table. They refer only to the pipeline's own
+    column names, so they are built once per process and table: building them costs
     thousands of calls into the JVM, analysing them costs nothing extra."""
     x = {}
     fu = F.col("_fu")
@@ -140,7 +144,7 @@ def _exprs() -> dict:
     x["prep"] = F.when(nat, E.prepared_references(F.col("_raw"), base, is_html)).alias("_prep")
     x["rest"] = E.rest_of(F.col("_prep")).alias("_rest")
     has = F.col("_rest").isNotNull()
-    x["slow"] = _finish_slow_rows(F.when(~nat, fu), F.when(~nat, F.col("_media")), F.when(~nat, F.col("_html_refs")),
+    x["slow"] = _slow_rows_udf(dict(table))(F.when(~nat, fu), F.when(~nat, F.col("_media")), F.when(~nat, F.col("_html_refs")),
                                   F.when(~nat, F.col("_sm_refs")), F.col("_rest"), F.when(has, base),
                                   F.when(has, is_html)).alias("_slow")
     fast_refs = E.merged_references(F.col("_prep"), F.col("_rest"), F.col("_slow.references"))

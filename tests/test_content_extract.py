@@ -189,3 +189,19 @@ def test_dates_ignore_session_time_zone(spark):
                                       "2024-01-02T01:04:05.000Z", "1994-11-06T08:49:37.000Z"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_one_extension_table_for_native_and_slow_rows(spark):
+    """An extension added on the driver counts for rows whose url needs the full parser, too."""
+    from sitelens.functions import mime as M
+    from sitelens.operators.assets import build_assets
+    before = dict(M.EXTENSION_MIME)
+    M.EXTENSION_MIME["own9"] = "application/x-own9"
+    try:
+        rows = [(u, 200, None, None, b"x") for u in ("https://h.com/a.own9", "https://h.com:8443/a.own9", "https://b\u00fccher.de/a.own9", "https://h.com/a.own8")]
+        df = spark.createDataFrame(rows, "final_url string, status int, content_type string, last_modified_hdr string, body binary")
+        got = [r.data_mime for r in build_assets(df, keep=["final_url"]).collect()]
+        assert got == ["application/x-own9"] * 3 + [M.DEFAULT_MIME]
+    finally:
+        M.EXTENSION_MIME.clear()
+        M.EXTENSION_MIME.update(before)
