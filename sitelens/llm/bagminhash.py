@@ -260,6 +260,17 @@ def _pair_table(chunk, row, node) -> pa.Table:
     return C.reply_table([(chunk, "pair", np.unique(e).tobytes())] if e.size else [])
 
 
+def _visitors(node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> bytes:
+    """Some rows' nodes, classes and sketches in one value."""
+    return np.int64(node.size).tobytes() + node.astype(np.int64).tobytes() + label.astype(np.int64).tobytes() + np.ascontiguousarray(sketch).tobytes()
+
+
+def _read_visitors(blob: bytes, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    ids = np.frombuffer(blob, np.int64, 2 * n, 8)
+    return ids[:n], ids[n:], np.frombuffer(blob, np.uint8, n * m, 8 + 16 * n).reshape(n, m)
+
+
 # --- the operator ---------------------------------------------------------------------------------------
 
 def _little_endian(col: str):
@@ -422,31 +433,46 @@ def _decide(packed: DataFrame, threshold: float, bands: int, band_rows: int) ->
         def outsiders(chunk, got):
             """Who goes visiting where. Open buckets whose leaders are of one class (``head``) are visited as one: a group of
             near copies shares dozens. Rows outside some leader's class post themselves to the heads of all their open
-            buckets (their sketch follows once per row). Node -1 says that this chunk has members under a head, worth a visit
-            by nodes above ``low``: all, if one of them goes nowhere itself, else those above its smallest."""
+            buckets, as one list a head; the chunk's sketches of them follow once. ``low`` says that this chunk has members under a head,
+            worth a visit by nodes above it: all, if one of them goes nowhere itself, else those above its smallest."""
             h, row, label, head = open_places(chunk, got)
             _, sketch = _read_parts(got["bands"][0], bands, band_rows)
             out = np.isin(row, row[label != head])
             posts = np.unique(np.column_stack([head[out], row[out]]), axis=0).reshape(-1, 2)
             rows, held = np.unique(row[out]), np.unique(head)
-            n = len(posts)
             low = np.full(held.size, np.iinfo(np.int64).max)
             np.minimum.at(low, np.searchsorted(held, head), np.where(out, _node(chunk, row), -1))
             mine = dict(zip(row.tolist(), label.tolist()))
+            goes, first = np.unique(posts[:, 0], return_index=True)
+            lists = [_node(chunk, part) for part in np.split(posts[:, 1], first[1:])] if goes.size else []
+            n, k, one = goes.size, held.size, int(rows.size > 0)
             return pa.table({
-                "head": pa.array(np.concatenate([posts[:, 0], held, np.zeros(rows.size, np.int64)]), pa.int64()),
-                "node": pa.array(np.concatenate([_node(chunk, posts[:, 1]), np.full(held.size, -1), _node(chunk, rows)]), pa.int64()),
-                "chunk": pa.array(np.full(n + held.size + rows.size, chunk), pa.int64()),
-                "low": pa.array(np.concatenate([np.zeros(n, np.int64), low, np.zeros(rows.size, np.int64)]), pa.int64()),
-                "sketch": pa.array([None] * (n + held.size) + [np.int64(mine[r]).tobytes() + sketch[r].tobytes()
-                                                               for r in rows.tolist()], pa.binary())})
-
-        places = by_chunk(outsiders, "head long, node long, chunk long, low long, sketch binary")(facts).checkpoint(True)
-        posts, held = places.where("node >= 0 and sketch is null"), places.where("node < 0")
-        visits = (posts.select("head", "node").join(held.select("head", "chunk", "low"), "head")
-                  .where("low < node").select("node", "chunk").distinct())
-        sketches = visits.join(places.where("sketch is not null").select("node", "sketch"), "node") \
-            .select("chunk", F.lit("sketch").alias("kind"), F.concat(_little_endian("node"), "sketch").alias("blob"))
+                "head": pa.array([*goes.tolist(), *held.tolist()] + [None] * one, pa.int64()),
+                "chunk": pa.array([chunk] * (n + k + one), pa.int64()),
+                "low": pa.array([None] * n + low.tolist() + [None] * one, pa.int64()),
+                "most": pa.array([int(x[-1]) for x in lists] + [None] * (k + one), pa.int64()),
+                "nodes": pa.array([x.astype(np.int64).tobytes() for x in lists] + [None] * (k + one), pa.binary()),
+                "sketch": pa.array([None] * (n + k) + [_visitors(_node(chunk, rows), np.array([mine[r] for r in rows.tolist()], np.int64),
+                                                                 sketch[rows])] * one, pa.binary())})
+
+        places = by_chunk(outsiders, "head long, chunk long, low long, most long, nodes binary, sketch binary")(facts).checkpoint(True)
+        # a chunk's visitors under one head travel together: rows are pairs of chunks, not of rows and chunks
+        posts = places.where("nodes is not null").select("head", F.col("chunk").alias("src"), "most", "nodes")
+        held = places.where("low is not null").select("head", "chunk", "low")
+        visits = (posts.join(held, "head").where("low < most").groupBy("src", "chunk")
+                  .agg(F.collect_list(F.struct("low", "nodes")).alias("under")))
+        carried = places.where("sketch is not null").select(F.col("chunk").alias("src"), "sketch")
+
+        def those_who_go(batches):
+            for batch in batches:
+                for chunk, under, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "under", "sketch"))):
+                    go = np.unique(np.concatenate([(x := np.frombuffer(u["nodes"], np.int64))[x > u["low"]] for u in under]))
+                    node, own, sk = _read_visitors(blob, m)
+                    k = np.isin(node, go)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array(["sketch"]), pa.array(
+                        [_visitors(node[k], own[k], sk[k])], pa.binary())], schema=C.REPLY_ARROW)
+
+        sketches = visits.join(carried, "src").select("chunk", "under", "sketch").mapInArrow(those_who_go, C.REPLY)
 
         def sketch_pairs(chunk, got):
             """Own rows of open buckets that agree with a visiting sketch of another class in enough components."""
@@ -458,11 +484,11 @@ def _decide(packed: DataFrame, threshold: float, bands: int, band_rows: int) ->
             mine, node = sketch[row], _node(chunk, row)
             out_r, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for b in got.get("sketch", ()):
-                y, other = (int(v) for v in np.frombuffer(b, "<i8", 2))
-                same = (mine == np.frombuffer(b, np.uint8, m, 16)).sum(axis=1)
-                k = np.flatnonzero((same >= agree) & (label != other) & (node != y) & ~(visits & (node > y)))
-                out_r.append(row[k])
-                out_n.append(np.full(k.size, y))
+                for y, other, sk in zip(*_read_visitors(b, m)):
+                    same = (mine == sk).sum(axis=1)
+                    k = np.flatnonzero((same >= agree) & (label != other) & (node != y) & ~(visits & (node > y)))
+                    out_r.append(row[k])
+                    out_n.append(np.full(k.size, y))
             return _pair_table(chunk, np.concatenate(out_r), np.concatenate(out_n))
 
         more = verified(by_chunk(sketch_pairs, C.REPLY)(facts.unionByName(sketches)).checkpoint(True))
