@@ -86,9 +86,9 @@ def _canonical_date(s: Column) -> Column:
         time = F.when(time == "", F.lit("00:00:00")).otherwise(F.concat(
             F.lpad(hour, 2, "0"), F.regexp_extract(rest, r"^\d+(:.*)$", 1),
             F.when(rest.rlike(r"^\d+:\d+$"), F.lit(":00")).otherwise(F.lit(""))))
-        for name, offset in _ZONES.items():
-            zone = F.when(zone == name, F.lit(offset)).otherwise(zone)
-        zone = F.when(zone == "", F.lit("Z")).otherwise(F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
+        named_zone = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
+        zone = F.coalesce(F.try_element_at(named_zone, p[4]), F.when(zone == "", F.lit("Z")).otherwise(
+            F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")))
         return F.when(F.size(p) == 5, F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"),
                                                F.lit("T"), time, zone))
 

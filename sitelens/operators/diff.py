@@ -14,6 +14,8 @@ can be reused; AQE splits skewed partitions of the streamed side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,37 +25,45 @@ _NULL_URL = "\u0000"
 CHANGE_TYPES = ("added", "modified", "removed")
 
 
-def _key(url: Column) -> Column:
-    return F.coalesce(url, F.lit(_NULL_URL))
+def _key(url: Column, by: Sequence[str] = ()) -> Column:
+    """Join key of a url, within the report that the ``by`` columns name."""
+    key = F.coalesce(url, F.lit(_NULL_URL))
+    # lengths keep (ab, c) and (a, bc) apart
+    return key if not by else F.concat(*[x for c in by for x in (
+        F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"),
+        F.coalesce(F.col(c).cast("string"), F.lit(_NULL_URL)))], key)
 
 
-def _side(df: DataFrame) -> DataFrame:
-    cols = ["ord", "url", "hash"]
+def _side(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    cols = [*by, "ord", "url", "hash"]
     lm = F.col("last_modified") if "last_modified" in df.columns else F.lit(None).cast("string")
-    return df.select(*cols, lm.alias("last_modified")).withColumn("ukey", _key(F.col("url")))
+    return df.select(*cols, lm.alias("last_modified")).withColumn("ukey", _key(F.col("url"), by))
 
 
-def last_by_url(assets: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per url (null url is one group), the row with the largest ``ord``."""
+def last_by_url(assets: DataFrame, columns: list[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row per url (null url is one group), the row with the largest ``ord``; with ``by`` (such as crawl_id), per url
+    and report."""
     columns = columns or [c for c in assets.columns if c not in ("ord",)]
     payload = F.struct(F.col("ord"), *[F.col(c) for c in columns if c != "ord"])
-    return (assets.groupBy(_key(F.col("url")).alias("ukey"))
+    return (assets.groupBy(_key(F.col("url"), by).alias("ukey"))
             .agg(F.max_by(payload, F.col("ord")).alias("last"))
             .select("ukey", "last.*"))
 
 
-def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+def diff_snapshots(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Change set with one row per added/modified new row and per removed old row.
 
+    With ``by`` (such as crawl_id) both sides hold many reports: each is compared with the one of the same name, and the
+    columns are returned first; ``ord`` need only be a position within its own report.
+
     Columns: change_type, url, section (0 = walk of new, 1 = walk of old), ord
     (position in the walked snapshot), old_url, old_ord, old_hash,
     old_last_modified, new_url, new_ord, new_hash, new_last_modified.
     Sorting by (section, ord) gives the reference's output order.
     """
-    o = _side(old)
-    n = _side(new)
-    last_old = last_by_url(o.select("ukey", "ord", "url", "hash", "last_modified"),
-                           ["url", "hash", "last_modified"])
+    o = _side(old, by)
+    n = _side(new, by)
+    last_old = last_by_url(o, ["url", "hash", "last_modified"], by)
     last_old = last_old.select(
         "ukey",
         F.col("ord").alias("old_ord"), F.col("url").alias("old_url"),
@@ -64,7 +74,7 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     new_side = (joined
                 .where(~matched | ~F.col("hash").eqNullSafe(F.col("old_hash")))
                 .select(
-                    F.when(matched, F.lit("modified")).otherwise(F.lit("added")).alias("change_type"),
+                    *by, F.when(matched, F.lit("modified")).otherwise(F.lit("added")).alias("change_type"),
                     F.col("url"),
                     F.lit(0).alias("section"),
                     F.col("ord"),
@@ -77,7 +87,7 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     new_keys = n.select("ukey").distinct()
     removed = (o.join(new_keys, "ukey", "left_anti")
                .select(
-                   F.lit("removed").alias("change_type"),
+                   *by, F.lit("removed").alias("change_type"),
                    F.col("url"),
                    F.lit(1).alias("section"),
                    F.col("ord"),

@@ -136,6 +136,7 @@ def merge_settings(stored, current, override=None):
 
 KEYS = ["crawl_id", "url"]
 LEVEL = "crawl_id string, url string, parent_rank long, pos int"
+ROWS_A_TASK = 100_000
 BLOCKED = -1        # the level of urls that are seen but never processed (resume)
 
 
@@ -170,21 +171,21 @@ def _first_discovery(cand: DataFrame) -> DataFrame:
             .select(*KEYS, F.col("k.parent_rank").alias("parent_rank"), F.col("k.pos").alias("pos")))
 
 
-def _with_rank(level: DataFrame) -> DataFrame:
-    """A level's rows with ``rank``, a long that orders them as a FIFO queue would.
+def _with_rank(level: DataFrame, rows: int) -> DataFrame:
+    """A level's rows (``rows`` of them) with ``rank``, a long that orders them as a FIFO queue would.
 
     Rows are range-partitioned on (crawl, key) and numbered in place, so a crawl that holds most of a level is spread over
     many tasks. Ranks are not dense, but ordered, and only compared within the next level, which one job writes.
     """
-    n = _partitions(level.sparkSession)
+    n = min(_partitions(level.sparkSession), 1 + rows // ROWS_A_TASK)      # a small level is sorted by one task, without sampling
     order = ["crawl_id", "parent_rank", "pos", "url"]
     return (level.repartitionByRange(n, *order).sortWithinPartitions(*order)
             .withColumn("rank", F.monotonically_increasing_id()))
 
 
-def next_frontier(level: DataFrame, edges: DataFrame, crawls: DataFrame) -> DataFrame:
+def next_frontier(level: DataFrame, rows: int, edges: DataFrame, crawls: DataFrame) -> DataFrame:
     """What the urls of ``level`` discover: crawl_id, url, parent_rank, pos of each url that passes its crawl's filters."""
-    cand = (_with_rank(level).select("crawl_id", F.col("url").alias("request_url"), "rank").join(edges, "request_url")
+    cand = (_with_rank(level, rows).select("crawl_id", F.col("url").alias("request_url"), "rank").join(edges, "request_url")
             .select("crawl_id", F.col("dst_queue").alias("url"), F.col("rank").alias("parent_rank"), "pos"))
     # the filters are those of the row's crawl; the hosts of a level are few rows against its links
     rules = crawls.select("crawl_id", "target_host", "mimes", "include", "exclude")
@@ -208,8 +209,9 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
         seen.load(_levels(spark, state).where(F.col("level") <= level))
     else:
         seen.add(cur, cur.count())
+    count = sum(r.rows for r in seen.runs)      # at least the rows of this level
     while max_levels is None or level - start_level < max_levels:
-        found = seen.without(next_frontier(cur, edges, crawls))
+        found = seen.without(next_frontier(cur, count, edges, crawls))
         cur, count = _write_level(found, state, level + 1, n)
         level += 1
         if count == 0:
@@ -283,13 +285,20 @@ def crawl_assets(frontier: DataFrame, fetched: DataFrame, report_mimes: Sequence
                  through_depth: int | None = None, snapshot_id: int | None = None, crawls: DataFrame | None = None) -> DataFrame:
     """Report rows of processed urls (ok fetches passing F10), ordered by (depth, parent_rank, pos).
 
-    F10 takes ``report_mimes``, or with ``crawls`` each crawl's own list. With ``snapshot_id`` or ``crawls`` the rows also get
+    F10 takes ``report_mimes``, or with ``crawls`` each crawl's own list; a crawl whose settings say ``reportOnly`` stores no
+    bodies, so urls that ran into the redirect limit are reported too, without hash. With ``snapshot_id`` or ``crawls`` the rows also get
     ``ord``, their 0-based place in that order within the crawl: what ``write_report``, the diff and the archive lookup take.
     """
     f = frontier if through_depth is None else frontier.where(F.col("depth") <= through_depth)
     a = f.join(fetched.where(F.col("outcome") == "ok"), f.url == fetched.request_url).drop("request_url")
     a = a.select("crawl_id", "depth", "parent_rank", "pos", fetched.url.alias("url"), "last_modified", "data_mime",
                  "charset", "hash", "references")
+    if crawls is not None:
+        only = crawls.where(setting(F.col("settings"), "reportOnly") == "true").select("crawl_id")
+        limited = f.join(only, "crawl_id", "left_semi").join(fetched.where(F.col("outcome") == "redirect_limit"), f.url == fetched.request_url)
+        limited = U.with_report_key(limited.select("crawl_id", "depth", "parent_rank", "pos", "final_url"), "final_url", "url")
+        none = {c: F.lit(None).cast("string") for c in ("last_modified", "data_mime", "charset", "hash")}
+        a = a.unionByName(limited.withColumns({**none, "references": F.array().cast("array<string>")}).select(*a.columns))
     a = filter_asset_mime(a, report_mimes)
     if crawls is not None:
         a = filter_asset_mime_by(a.join(crawls.select("crawl_id", "mimes"), "crawl_id"), F.col("mimes")).drop("mimes")

@@ -477,10 +477,10 @@ FROM ranked"""
 SQL["c1_crawl_report_diff"] = f"""WITH {CLOSURE},
 {_reach("reach2", f"NOT regexp_matches(e.dst, '{EXCLUDE_RX}')")},
 page AS (SELECT url, max(page_id) AS page_id FROM hosted GROUP BY url),
-a AS (SELECT r.url, p.page_id FROM reach r JOIN page p ON p.url = r.url),
-b AS (SELECT r.url, p.page_id FROM reach2 r JOIN page p ON p.url = r.url)
-SELECT 'modified' AS change_type, url FROM b WHERE page_id % 7 = 0
-UNION ALL SELECT 'removed', url FROM a WHERE url NOT IN (SELECT url FROM b)"""
+a AS (SELECT r.crawl_id, r.url, p.page_id FROM reach r JOIN page p ON p.url = r.url),
+b AS (SELECT r.crawl_id, r.url, p.page_id FROM reach2 r JOIN page p ON p.url = r.url)
+SELECT crawl_id, 'modified' AS change_type, url FROM b WHERE page_id % 7 = 0
+UNION ALL SELECT crawl_id, 'removed', url FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.crawl_id = a.crawl_id AND b.url = a.url)"""
 SQL["s3_save_content"] = f"""WITH {SNAPS}
 SELECT DISTINCT hash, CAST(strlen(body) AS BIGINT) AS n_bytes FROM sb WHERE hash NOT IN (SELECT hash FROM sa)"""
 SQL["s4_load_content"] = f"""WITH {SNAPS}, ha AS (SELECT DISTINCT hash, body FROM sa)

@@ -566,8 +566,8 @@ def q_c1(spark, sf):
         path = scratch_dir(spark, f"report-{snap}")
         write_report(CR.crawl_assets(log, fetched, snapshot_id=snap), path, fmt="parquet")
         sides.append(read_report(spark, path, fmt="parquet")[1])
-    d = D.diff_snapshots(*[s.select("ord", "url", "hash", "last_modified") for s in sides])
-    return d.select("change_type", "url")
+    d = D.diff_snapshots(*[s.select("crawl_id", "ord", "url", "hash", "last_modified") for s in sides], by=["crawl_id"])
+    return d.select("crawl_id", "change_type", "url")
 
 
 def q_s3(spark, sf):

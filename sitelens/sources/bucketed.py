@@ -91,16 +91,17 @@ class TieredTable:
         self.write(df.select(*self.columns).dropDuplicates(self.unique))
 
     def without(self, df: DataFrame) -> DataFrame:
-        """The rows of ``df`` whose keys are not here: only ``df`` is exchanged."""
+        """The rows of ``df`` whose keys are not here: only ``df`` is exchanged. Merge joins read the buckets in place; to
+        broadcast each of several small tables would cost a job each."""
         for r in self.runs:
-            df = df.join(r.table, self.keys, "left_anti")
+            df = df.join(r.table.hint("merge"), self.keys, "left_anti")
         return df
 
     def lookup(self, df: DataFrame) -> DataFrame:
         """``df`` joined with the rows of the same keys: only ``df`` is exchanged."""
         out = None
         for r in self.runs:
-            part = df.join(r.table, self.keys)
+            part = df.join(r.table.hint("merge"), self.keys)
             out = part if out is None else out.unionByName(part)
         return df.join(self.spark.createDataFrame([], self.schema), self.keys) if out is None else out
 

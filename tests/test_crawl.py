@@ -210,6 +210,20 @@ def test_only_crawls_that_cannot_go_on_are_refused(spark):
     assert none.assets.count() == 0 and none.refused.count() == 1
 
 
+def test_a_report_only_crawl_reports_urls_that_redirect_forever(spark):
+    def page(*links):
+        return "".join(f'<a href="{x}">l</a>' for x in links).encode()
+    rows = [("https://h.com/", 200, None, "text/html", page("/l0", "/x")), ("https://h.com/x", 301, "https://h.com/y", None, None),
+            ("https://h.com/y", 301, "https://h.com/x", None, None), ("https://h.com/l0", 200, None, "text/css", b"")]
+    fetched = CR.fetched_table(_responses(spark, rows))
+    seeds = spark.createDataFrame([("both", "https://h.com/", STARTED, {}), ("only", "https://h.com/", STARTED, {"reportOnly": "true"})], TYPED)
+    _, state, _ = CR.crawl_closure(fetched, seeds)
+    got = sorted((r.crawl_id, r.ord, r.url, r.hash is None, r.references) for r in CR.crawl_report(spark, state, fetched).assets.collect())
+    assert [g[:4] for g in got] == [("both", 0, "https://h.com/", False), ("both", 1, "https://h.com/l0", False),
+                                    ("only", 0, "https://h.com/", False), ("only", 1, "https://h.com/l0", False), ("only", 2, "https://h.com/x", True)]
+    assert got[-1][4] == []
+
+
 def test_settings_hold_for_their_own_crawl(spark):
     """Stored settings win unless overridden; each crawl of one closure has its own filters, in crawling and in the report."""
     fetched = CR.fetched_table(_site(spark))

@@ -48,7 +48,7 @@ def one_run(spark):
     return seen, [s for s in seen if s[1] not in ended], assets
 
 
-@pytest.mark.parametrize("batches,seed", [(1, 0), (2, 1), (5, 2)])
+@pytest.mark.parametrize("batches,seed", [(2, 1), (5, 2)])
 def test_any_order_of_arrival_equals_one_run(spark, one_run, tmp_dir, batches, seed):
     rows = _rows()
     random.Random(seed).shuffle(rows)
@@ -62,7 +62,8 @@ def test_a_replayed_batch_and_late_answers_change_nothing(spark, one_run, tmp_di
     rows = _rows()[::-1]
     crawl = CrawlStream(spark, f"{tmp_dir}/state", _seeds(spark))
     parts = [spark.createDataFrame(rows[:7], RESP), spark.createDataFrame(rows[7:], RESP)]
-    assert _state(crawl)[0] == _state(crawl)[1] and len(_state(crawl)[0]) == 3        # only the seeds are queued
+    start = _state(crawl)
+    assert start[0] == start[1] and len(start[0]) == 3        # only the seeds are queued
     crawl.process(parts[0], 0)
     half = _state(crawl)
     crawl.process(parts[0], 0)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitelens.operators import diff as D
+from sitelens.operators.diff import diff_snapshots
 
 SCHEMA = "ord long, url string, hash string, last_modified string"
 
@@ -75,3 +76,12 @@ def test_summary_and_lines(spark):
     content = spark.createDataFrame([("h1", b"a\nb\nb\n"), ("h2", b"a\nb\nc\n")], "hash string, body binary")
     lines = {(r.line, r.n_old, r.n_new) for r in D.line_changes(ch, content).collect()}
     assert lines == {("b", 2, 1), ("c", 0, 1)}
+
+
+def test_many_reports_are_compared_by_crawl(spark):
+    """Equal urls and ordinals in different reports do not mix; without ``by`` they would."""
+    cols = "crawl_id string, ord long, url string, hash string"
+    old = spark.createDataFrame([("a", 0, "u", "1"), ("b", 0, "u", "2"), ("b", 1, "v", "3"), (None, 0, "u", "9"), ("ab", 0, "c", "1")], cols)
+    new = spark.createDataFrame([("a", 0, "u", "2"), ("b", 0, "u", "2"), ("a", 1, "v", "3"), (None, 0, "u", "9"), ("a", 2, "bc", "1")], cols)
+    got = {(r.crawl_id, r.change_type, r.url) for r in diff_snapshots(old, new, by=["crawl_id"]).collect()}
+    assert got == {("a", "modified", "u"), ("b", "removed", "v"), ("a", "added", "v"), ("ab", "removed", "c"), ("a", "added", "bc")}
