@@ -11,10 +11,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+_PARTITIONS_KEY = "spark.sql.shuffle.partitions"
 
 
 def _default_driver_memory() -> str:
@@ -108,6 +111,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/sitelens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs started inside are planned with ``n`` shuffle partitions (such as the buckets of the tables they join)."""
+    before = spark.conf.get(_PARTITIONS_KEY)
+    spark.conf.set(_PARTITIONS_KEY, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(_PARTITIONS_KEY, before)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, by the file system that Spark uses for it (other errors are raised)."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from sitelens.session import delete_path
 
 
+ROWS_A_BUCKET = 100_000
+
+
+def buckets_for(spark: SparkSession, rows: int = 0) -> int:
+    """Buckets of tables that will hold ``rows`` rows: a task for every core, more only where a bucket would get large. Each of many
+    small jobs starts a task and opens a file a bucket, so their number follows the rows; the shuffle partitions are its limit."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, 1 + rows // ROWS_A_BUCKET))
+
+
 def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> tuple[DataFrame, int]:
     """Write ``df`` to ``path``; returns the table and its number of rows, counted while it was written."""
     spark = df.sparkSession

@@ -22,6 +22,8 @@ ones are ignored. Which link was first depends on the order of arrival, so no FI
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from sitelens.operators.frontier import filter_asset_mime_by, skip_reason_by
 from sitelens.operators.responses import REDIRECT_LIMIT, resolve_redirects
 from sitelens.plans.crawl import KEYS, _crawls
 from sitelens.schemas import ASSET_COLUMNS
-from sitelens.session import delete_path, list_folders, path_exists
-from sitelens.sources.bucketed import TieredTable
+from sitelens.session import delete_path, list_folders, path_exists, shuffle_partitions
+from sitelens.sources.bucketed import TieredTable, buckets_for
 from sitelens.sources.responses import stream_responses
 
 #: name: (schema, bucket columns, unique columns)
@@ -51,12 +53,13 @@ MANIFEST = "name string, size int, rows long, path string"
 
 class CrawlStream:
     """Crawls over a stream, in a state folder. ``seeds`` (crawl_id, seed, optionally settings) starts a new folder; without it an
-    existing one is taken up."""
+    existing one is taken up. ``buckets`` are those of a new folder's tables (default: one a core, whatever the shuffle partitions:
+    a batch is many small jobs)."""
 
-    def __init__(self, spark: SparkSession, state: str, seeds: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, state: str, seeds: DataFrame | None = None, buckets: int | None = None):
         self.spark, self.state = spark, state.rstrip("/")
         if seeds is not None and not path_exists(spark, f"{self.state}/layout/_SUCCESS"):
-            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            n = buckets or buckets_for(spark)
             _crawls(seeds, (), None, None).write.mode("overwrite").parquet(f"{self.state}/crawls")
             spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/layout")
         self.buckets = int(spark.read.parquet(f"{self.state}/layout").first()["buckets"])
@@ -113,7 +116,12 @@ class CrawlStream:
     # --- writing ----------------------------------------------------------------------------------------------------
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in one batch of responses (what ``foreachBatch`` calls)."""
+        """Take in one batch of responses (what ``foreachBatch`` calls). Its jobs have as many shuffle partitions as the tables have
+        buckets, in the session of the batch, which is the stream's own, too."""
+        with shuffle_partitions(self.spark, self.buckets), shuffle_partitions(batch.sparkSession, self.buckets):
+            self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark, folder = self.spark, f"{self.state}/batches/batch={batch_id}"
         delete_path(spark, folder)
         before = [b for b in self.batches() if b < batch_id]
@@ -151,14 +159,17 @@ class CrawlStream:
         done = t["crawls_at"].lookup(ended.select(F.col("request_url").alias("url")))
         found = done.select("crawl_id", F.col("url").alias("request_url")).join(edges, "request_url")
         rules = self.crawls.select("crawl_id", "target_host", "mimes", "include", "exclude")
+        news = []
         while True:
             cand = found.select("crawl_id", F.col("dst_queue").alias("url")).distinct().join(rules, "crawl_id")
             reason = skip_reason_by(F.col("url"), F.col("target_host"), F.col("mimes"), F.col("include"), F.col("exclude"))
             new, count = t["seen"].write(t["seen"].without(cand.where(reason.isNull()).select(*KEYS)))
             if count == 0:
                 break
-            t["crawls_at"].write(new.repartition(self.buckets, "url"))
+            news.append(new)
             found = t["edges"].lookup(new.withColumnRenamed("url", "request_url"))
+        if news:        # only the next batch looks them up by url
+            t["crawls_at"].write(reduce(DataFrame.unionByName, news).repartition(self.buckets, "url"))
 
         rows = [(name, *m) for name, table in t.items() for m in table.manifest()]
         spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")

@@ -83,3 +83,19 @@ def test_files_of_a_stream(spark, one_run, tmp_dir):
         write_responses(spark.createDataFrame(rows[i::2], RESP).coalesce(1), f"{tmp_dir}/in")
         crawl = stream_crawl(spark, f"{tmp_dir}/in", f"{tmp_dir}/state", f"{tmp_dir}/ck", _seeds(spark) if i == 0 else None)
     assert _state(crawl) == one_run
+
+
+def test_a_batch_of_many_levels_writes_few_tables_of_few_buckets(spark, one_run, tmp_dir):
+    """One table a batch by url, a bucket a core, whatever the shuffle partitions: each costs a job, and a job a task a bucket."""
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        crawl = CrawlStream(spark, f"{tmp_dir}/state", _seeds(spark))
+        assert crawl.buckets == spark.sparkContext.defaultParallelism
+        crawl.process(spark.createDataFrame(_rows(), RESP), 0)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert _state(crawl) == one_run
+    tables = crawl.tables(0, f"{tmp_dir}/x")
+    assert len(tables["crawls_at"].runs) == 2 and CrawlStream(spark, f"{tmp_dir}/other", _seeds(spark), buckets=7).buckets == 7
