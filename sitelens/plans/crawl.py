@@ -28,8 +28,8 @@ from sitelens.operators.extract import link_edges
 from sitelens.operators.frontier import filter_asset_mime, filter_asset_mime_by, skip_reason_by
 from sitelens.operators.ranking import ordinal_within
 from sitelens.operators.responses import resolve_redirects
-from sitelens.session import list_folders, modified_at, path_exists, scratch_dir
-from sitelens.sources.bucketed import SeenSet, open_bucketed, write_bucketed
+from sitelens.session import list_folders, modified_at, path_exists, scratch_dir, shuffle_partitions
+from sitelens.sources.bucketed import SeenSet, buckets_for, open_bucketed, write_bucketed
 
 VERSION = "sitelens-0.1"
 
@@ -60,7 +60,13 @@ def fetched_table(responses: DataFrame, persist: bool = True) -> DataFrame:
     return out.checkpoint(eager=True) if persist else out
 
 
-def fetched_edges(fetched: DataFrame, persist: bool = True) -> DataFrame:
+def _buckets_of(fetched: DataFrame) -> int:
+    """Buckets of a crawl's tables, by the number of its links."""
+    links = fetched.where(F.col("outcome") == "ok").agg(F.sum(F.size("references"))).first()[0]
+    return buckets_for(fetched.sparkSession, links or 0)
+
+
+def fetched_edges(fetched: DataFrame, persist: bool = True, buckets: int | None = None) -> DataFrame:
     """request_url, pos, dst_queue for every reference of every fetched asset.
 
     ``persist`` writes them bucketed by ``request_url``, the key that every level
@@ -71,7 +77,7 @@ def fetched_edges(fetched: DataFrame, persist: bool = True) -> DataFrame:
     e = e.select("request_url", "pos", "dst_queue")
     if not persist:
         return e
-    n = _partitions(spark)
+    n = buckets or _buckets_of(fetched)
     return write_bucketed(e.repartition(n, "request_url"), scratch_dir(spark, "edges"), ["request_url"], n)[0]
 
 
@@ -201,6 +207,11 @@ def run_levels(spark: SparkSession, edges: DataFrame, state: str, start_level: i
     and a part of the seen-set. The seen-set is only read; the work per level is proportional to the new frontier.
     """
     n = _buckets(spark, state)
+    with shuffle_partitions(spark, n):      # exchanges then meet the buckets, and a small level starts no more tasks than a table has
+        return _advance(spark, edges, state, start_level, max_levels, n)
+
+
+def _advance(spark: SparkSession, edges: DataFrame, state: str, start_level: int, max_levels: int | None, n: int) -> bool:
     crawls = crawls_of(spark, state)
     seen = SeenSet(spark, f"{state}/seen", KEYS, n)
     level = start_level
@@ -224,14 +235,14 @@ def _buckets(spark: SparkSession, state: str) -> int:
     return int(spark.read.parquet(f"{state}/layout").first()["buckets"])
 
 
-def _start(spark: SparkSession, state: str, crawls: DataFrame, level0: DataFrame, blocked: DataFrame | None = None) -> None:
-    """Write a state folder: the layout, the crawls, level 0 and what is blocked."""
-    n = _partitions(spark)
+def _start(spark: SparkSession, state: str, n: int, crawls: DataFrame, level0: DataFrame, blocked: DataFrame | None = None) -> None:
+    """Write a state folder: the layout (``n`` buckets), the crawls, level 0 and what is blocked."""
     spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{state}/layout")
     crawls.write.mode("overwrite").parquet(f"{state}/crawls")
-    if blocked is not None:
-        _write_level(blocked.withColumns({"parent_rank": F.lit(0), "pos": F.lit(0)}), state, BLOCKED, n)
-    _write_level(level0, state, 0, n)
+    with shuffle_partitions(spark, n):
+        if blocked is not None:
+            _write_level(blocked.withColumns({"parent_rank": F.lit(0), "pos": F.lit(0)}), state, BLOCKED, n)
+        _write_level(level0, state, 0, n)
 
 
 def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (),
@@ -248,8 +259,9 @@ def crawl_closure(fetched: DataFrame, seeds: DataFrame, mimes: Sequence[str] = (
     spark = fetched.sparkSession
     state = state or scratch_dir(spark, "crawl")
     crawls = _crawls(seeds, mimes, include, exclude).checkpoint(eager=True)
-    _start(spark, state, crawls, _first_discovery(_entry_points(crawls, robots)))
-    finished = run_levels(spark, fetched_edges(fetched), state, 0, max_levels)
+    n = _buckets_of(fetched)
+    _start(spark, state, n, crawls, _first_discovery(_entry_points(crawls, robots)))
+    finished = run_levels(spark, fetched_edges(fetched, buckets=n), state, 0, max_levels)
     return frontier_log(spark, state), state, finished
 
 
@@ -267,7 +279,7 @@ def _entry_points(crawls: DataFrame, robots: DataFrame | None) -> DataFrame:
 def continue_crawl(spark: SparkSession, state: str, fetched: DataFrame, max_levels: int | None = None) -> tuple[DataFrame, bool]:
     """Go on from a state folder (of a run that was stopped, or whose driver died) at its last committed level, under the
     settings stored there."""
-    finished = run_levels(spark, fetched_edges(fetched), state, last_level(spark, state), max_levels)
+    finished = run_levels(spark, fetched_edges(fetched, buckets=_buckets(spark, state)), state, last_level(spark, state), max_levels)
     return frontier_log(spark, state), finished
 
 
@@ -395,8 +407,9 @@ def resume_reports(report: Report, fetched: DataFrame, settings: DataFrame | Non
         level0 = level0.unionByName(named)
     blocked = report.processed.select(*KEYS).join(ids, "crawl_id", "left_semi").distinct().join(
         report.queue.select(*KEYS), KEYS, "left_anti")
-    _start(spark, state, crawls, _first_discovery(level0), blocked)
-    run_levels(spark, fetched_edges(fetched), state, 0, max_levels)
+    buckets = _buckets_of(fetched)
+    _start(spark, state, buckets, crawls, _first_discovery(level0), blocked)
+    run_levels(spark, fetched_edges(fetched, buckets=buckets), state, 0, max_levels)
     new = crawl_report(spark, state, fetched)
     n = report.assets.groupBy("crawl_id").agg((F.max("ord") + 1).alias("n"))
     columns = ["crawl_id", "ord", "url", "last_modified", "data_mime", "charset", "hash", "references"]

@@ -445,3 +445,26 @@ def test_damaged_documents_are_set_apart(spark, tmp_dir):
         assert [r.crawl_id for r in meta.collect()] == ["https://g"]
         lost = {os.path.basename(r.file): r.reason for r in damaged_documents(spark, f"{tmp_dir}/many", multi).collect()}
         assert lost == {"cut.json": "not a JSON document", "list.json": "not a JSON document", "bare.json": "no assets", "anon.json": "no meta"}
+
+
+def test_buckets_follow_the_links_not_the_shuffle_partitions(spark, tmp_dir):
+    """Each of a crawl's many small jobs starts a task a bucket: 64 shuffle partitions give no more buckets than cores here."""
+    from sitelens.sources import bucketed
+    h = "https://h.com"
+    rows = [(1, i, f"{h}/{i or ''}", 200, None, "text/html", None, f'<a href="/{i + 1}">n</a><a href="/">s</a>'.encode()) for i in range(4)]
+    fetched = CR.fetched_table(spark.createDataFrame(rows, RESP))
+    seeds = spark.createDataFrame([("c", f"{h}/")], "crawl_id string, seed string")
+    prev, limit = spark.conf.get("spark.sql.shuffle.partitions"), bucketed.ROWS_A_BUCKET
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        log, _, finished = CR.crawl_closure(fetched, seeds, state=f"{tmp_dir}/s")
+        bucketed.ROWS_A_BUCKET = 1
+        more, _, _ = CR.crawl_closure(fetched, seeds, state=f"{tmp_dir}/m")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        bucketed.ROWS_A_BUCKET = limit
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    cores = spark.sparkContext.defaultParallelism
+    assert [CR._buckets(spark, f"{tmp_dir}/{d}") for d in "sm"] == [cores, max(cores, 9)] and finished
+    want = [(f"{h}/{i or ''}", i) for i in range(5)]
+    assert sorted((r.url, r.depth) for r in log.collect()) == want == sorted((r.url, r.depth) for r in more.collect())
