@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sitelens.llm.pii_boost import Model, find_pii, train
 
 RX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -147,3 +149,27 @@ def test_entropy_of_a_value(spark):
     for v, got in df.select("v", _entropy(df.v)).collect():
         want = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
         assert abs(got - want) < 1e-6
+
+
+def test_thresholds_count_the_candidates_of_all_texts(spark):
+    """61 addresses in 16,000 texts: half of them calibrate, more than MIN_CALIBRATION. A sample of texts held too few."""
+    from sitelens.llm.pii_boost import GENERATORS, MIN_CALIBRATION
+    n = spark.range(16_000)
+    no = F.col("id") / 266
+    tail = F.substring(F.sha2(no.cast("int").cast("string"), 256), 1, 6)
+    word = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz" * 3), F.lit(1), (no + 1).cast("int"))
+    address = F.concat(word, F.when(no.cast("int") % 3 == 0, F.lit(" at[at]")).otherwise(F.lit("@")), F.lit("h"), tail, F.lit(".com"))
+    sums = F.concat(F.lit("order "), (F.col("id") * 7919 + 100000).cast("string"), F.lit(" - "), (F.col("id") % 97).cast("string"), F.lit(" 77"))
+    df = n.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 266 == 0, F.concat(F.lit("to "), address, F.lit(" now"))).otherwise(sums).alias("text"))
+    assert df.where("text like 'to %'").count() > 2 * MIN_CALIBRATION
+    assert list(GENERATORS).index("contact") in train(df).thresholds
+
+
+def test_thresholds_by_running_counts(spark):
+    from sitelens.llm.pii_boost import _thresholds
+    rows = [(0, float(i % 10 != 0 if i > 40 else i % 2), 1.0, float(i)) for i in range(100)] + [(1, 1.0, 30.0, 2.5)] + [(2, 1.0, 19.0, 1.0)] + [(3, 0.0, 50.0, 1.0)]
+    want, good = None, 0.0
+    for i, (_, y, _, m) in enumerate(sorted(rows[:100], key=lambda r: -r[3])):
+        good += y
+        want = m if good >= 0.9 * (i + 1) else want
+    assert _thresholds(spark.createDataFrame(rows, "g int, y double, w double, m double"), 0.9) == {0: want, 1: 2.5}
