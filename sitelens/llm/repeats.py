@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from sitelens.llm import chunks as C
-from sitelens.llm.buffers import blocks, code_span_hashes, sliding_argmin, spread_ranges, window_hashes
+from sitelens.llm.buffers import blocks, code_span_hashes, mix, sliding_argmin, spread_ranges, window_hashes
 
 _U = np.uint64
 
@@ -45,7 +45,8 @@ def token_blocks(first: np.ndarray):
 
 
 def find_anchors(codes: np.ndarray, first: np.ndarray, T: int, g: int) -> Anchors:
-    """Anchors of all windows of all rows; ``first`` holds each row's first token."""
+    """Anchors of all windows of all rows; ``first`` holds each row's first token. Their gram hashes are mixed anew: being
+    the smallest of their windows, they would nearly all fall into the first slices of the hash space, to few owners."""
     out = [[], [], [], [], []]
     for a, b in token_blocks(first):
         base, end = first[a], first[b]
@@ -63,7 +64,7 @@ def find_anchors(codes: np.ndarray, first: np.ndarray, T: int, g: int) -> Anchor
         new[1:] = (p[1:] != p[:-1]) | (ok[1:] != ok[:-1] + 1)
         s = np.flatnonzero(new)
         e = np.append(s[1:], p.size) - 1
-        for k, v in enumerate((p[s] + base, row[ok[s]], ok[s] + base, ok[e] + base, grams[p[s]])):
+        for k, v in enumerate((p[s] + base, row[ok[s]], ok[s] + base, ok[e] + base, mix(grams[p[s]]))):
             out[k].append(v)
     return Anchors(*(np.concatenate(v) if v else np.zeros(0, np.int64 if k < 4 else _U) for k, v in enumerate(out)))
 

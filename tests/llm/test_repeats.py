@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from sitelens.llm.relative_lz import relative_lz_dedup
+from sitelens.llm.buffers import byte_codes
+from sitelens.llm.relative_lz import relative_lz_dedup, word_codes
+from sitelens.llm.repeats import ask_grams, ask_spread, contexts, find_anchors
 from sitelens.llm.suffix_radix import repeated_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,6 +90,20 @@ def test_suffix_radix_equals_brute_force(spark, T, g, seed):
                   for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("tokenise,T,g", [(lambda buf, offs: (byte_codes(buf), offs), 100, 36), (word_codes, 20, 8)])
+def test_owners_get_equal_shares_of_anchors(tokenise, T, g):
+    """An anchor's gram has the smallest hash of its windows; its owner is still any of them."""
+    rnd = random.Random(4)
+    buf = np.frombuffer(" ".join("%x" % rnd.getrandbits(rnd.randrange(4, 40)) for _ in range(100_000)).encode(), np.uint8)
+    codes, first = tokenise(buf, np.array([0, buf.size // 3, buf.size]))
+    an = find_anchors(codes, first, T, g)
+    assert an.gram.size > 10_000
+    owners = 51
+    for asked in (ask_grams(0, an.gram, owners), ask_spread(0, an.gram, contexts(codes, first, an, T, g), owners)):
+        sizes = [len(blob) for _, _, _, blob in asked]
+        assert len(sizes) == owners and max(sizes) < 2 * sum(sizes) / owners
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert relative_lz_dedup(df).count() == 0
