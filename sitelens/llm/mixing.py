@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from sitelens.llm import chunks as C
 from sitelens.llm.buffers import blocks, is_space, span_hashes, text_column, word_bounds
+from sitelens.llm.samples import fit_in_task
 
 #: domains: (name, target weight) for the values 0 and 1 of the quality label
 DOMAINS = (("low", 0.1), ("high", 0.9))
@@ -104,11 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, k: int, id_col: st
            .orderBy(F.xxhash64("i"), "i").limit(max_rows))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).where(F.octet_length("t") <= max_bytes)
     one = rows.join(F.broadcast(lab), "i").groupBy("i", "y").agg(F.min("t").alias("t"))    # repeated rows of one id count once
-    got = sorted(one.collect(), key=lambda r: r.i)      # at most max_rows
-    y = np.array([r.y for r in got], np.int64)
-    if np.unique(y).size < 2:
-        return Posterior(np.zeros((11 + SLOTS, k)))
-    return fit_posterior([bytes(r.t) for r in got], y, k)
+
+    def learn(got: list[tuple[int, int, bytes]]) -> Posterior:
+        got = sorted(got, key=lambda r: r[0])
+        y = np.array([r[1] for r in got], np.int64)
+        if np.unique(y).size < 2:
+            return Posterior(np.zeros((11 + SLOTS, k)))
+        return fit_posterior([r[2] for r in got], y, k)
+
+    return fit_in_task(one.select("i", "y", "t"), learn)    # at most max_rows
 
 
 def _posteriors(docs: DataFrame, model: Posterior, text_col: str, n_col: str = "__n", p_col: str = "__p") -> DataFrame:

@@ -39,6 +39,8 @@ WINDOW, LEVEL = 48, 6
 MAX_ROWS, MAX_BYTES = 2000, 8192
 ORDINARY_WORDS = 1000
 GRAM, LONGEST, MOST = 5, 24, 200
+HEADS = 1 << 16         # values of a string's first two bytes
+PART = 1 << 18          # places sorted at once while telling strings are looked for; more if more of them start with the same two bytes
 EVIDENCE = 24.0         # twice the log-likelihood ratio: about one chance in a million for each string
 TIMES = 6.0             # and so many times the other class's share: evidence alone grows with the sample, also for a mere
 #                         difference in languages or topics between the classes
@@ -73,30 +75,48 @@ def without_copies(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-class _Places:
-    """Where every string of ``GRAM`` bytes stands in some texts, and how many texts hold it once, or more than once."""
+class _Joined:
+    """Texts in one array, and the first two bytes of the string of ``GRAM`` bytes that starts at each place (0: none does)."""
 
     def __init__(self, texts: list[bytes]):
         self.bytes = np.frombuffer(b"\0".join(texts) + b"\0" * GRAM, np.uint8)
         self.ends = np.cumsum([len(t) + 1 for t in texts])
         n = len(self.bytes) - GRAM + 1
-        codes, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+        self.head = (self.bytes[:n].astype(np.uint16) << 8) | self.bytes[1:n + 1]
         for i in range(GRAM):
-            codes = (codes << np.uint64(8)) | self.bytes[i:n + i]
-            whole &= self.bytes[i:n + i] != 0
-        at = np.flatnonzero(whole)
-        order = np.argsort(codes[at], kind="stable")
+            self.head[self.bytes[i:n + i] == 0] = 0
+
+    def heads(self) -> np.ndarray:
+        """How many strings start with each two bytes."""
+        out = np.zeros(HEADS, np.int64)
+        for i in range(0, len(self.head), PART):
+            out += np.bincount(self.head[i:i + PART], minlength=HEADS)
+        out[0] = 0
+        return out
+
+
+class _Places:
+    """Where every string of ``GRAM`` bytes stands in some texts, and how many texts hold it once, or more than once.
+    ``low``, ``high``: only strings with these first two bytes, as the places of all take many times the memory of the texts."""
+
+    def __init__(self, texts: list[bytes] | _Joined, low: int = 1, high: int = HEADS - 1):
+        of = texts if isinstance(texts, _Joined) else _Joined(texts)
+        at = np.flatnonzero((of.head >= low) & (of.head <= high))
+        codes = np.zeros(len(at), np.uint64)
+        for i in range(GRAM):
+            codes = (codes << np.uint64(8)) | of.bytes[at + i]
+        order = np.argsort(codes, kind="stable")
         self.at = at[order]
-        sorted_codes = codes[self.at]
-        self.codes, self.first = np.unique(sorted_codes, return_index=True)
-        self.last = np.append(self.first[1:], len(self.at))
-        text = np.searchsorted(self.ends, self.at, "right")
+        sorted_codes = codes[order]
+        self.codes, first = np.unique(sorted_codes, return_index=True)
+        self.size = np.diff(np.append(first, len(self.at)))
+        text = np.searchsorted(of.ends, self.at, "right")
         new = np.append(True, (sorted_codes[1:] != sorted_codes[:-1]) | (text[1:] != text[:-1]))[:len(self.at)]
         runs = np.flatnonzero(new)
         again = np.diff(np.append(runs, len(self.at))) > 1
-        of = np.searchsorted(self.codes, sorted_codes[runs])
-        self.once = np.bincount(of, minlength=len(self.codes))
-        self.twice = np.bincount(of[again], minlength=len(self.codes))
+        which = np.searchsorted(self.codes, sorted_codes[runs])
+        self.once = np.bincount(which, minlength=len(self.codes))
+        self.twice = np.bincount(which[again], minlength=len(self.codes))
 
     def counts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(texts with the string, texts with it more than once) of other codes."""
@@ -118,16 +138,25 @@ def evidence(a, n: int, b, m: int) -> np.ndarray:
 
 def telling(own: list[bytes], other: list[bytes], least: float = EVIDENCE) -> list[bytes]:
     """Strings that set the ``own`` texts apart from the ``other`` ones, the most telling first."""
-    mine, theirs = _Places(own), _Places(other)
+    mine, theirs = _Joined(own), _Joined(other)
     n, m = len(own), len(other)
-    once, twice = theirs.counts(mine.codes)
-    strength = np.maximum(evidence(mine.once, n, once, m), evidence(mine.twice, n, twice, m))
+    part = np.cumsum(mine.heads() + theirs.heads()) // PART
+    edges = np.flatnonzero(np.diff(part)) + 1
+    found = []      # of the strings with enough evidence, by code: strength, places, counts in the other texts
+    for low, high in zip([1, *edges], [*(edges - 1), len(part) - 1]):
+        p = _Places(mine, low, high)
+        once, twice = _Places(theirs, low, high).counts(p.codes)
+        strength = np.maximum(evidence(p.once, n, once, m), evidence(p.twice, n, twice, m))
+        k = strength >= least
+        found.append((strength[k], p.size[k], p.at[np.repeat(k, p.size)], once[k], twice[k]))
+    strength, size, places, once, twice = (np.concatenate(x) for x in zip(*found))
+    last = np.cumsum(size)
     taken = np.zeros(len(mine.bytes) + LONGEST, bool)
     out: list[bytes] = []
     for i in np.argsort(-strength, kind="stable"):
-        if strength[i] < least or len(out) == MOST:
+        if len(out) == MOST:
             break
-        at = mine.at[mine.first[i]:mine.last[i]]
+        at = places[last[i] - size[i]:last[i]]
         at = at[~(taken[at + 1] | taken[at + 2] | taken[at + 3])]       # what strings taken before do not explain
         per = np.bincount(np.searchsorted(mine.ends, at, "right"), minlength=1)
         if max(evidence((per > 0).sum(), n, once[i], m), evidence((per > 1).sum(), n, twice[i], m)) < least:
@@ -143,8 +172,8 @@ def telling(own: list[bytes], other: list[bytes], least: float = EVIDENCE) -> li
                 kept = kept[(where >= 0) & (mine.bytes[np.maximum(where, 0)] == best)]
                 start, end = (start, end + 1) if step == 1 else (start - 1, end)
         out.append(mine.bytes[kept[0] + start:kept[0] + end].tobytes())
-        for places, a, b in ((at, 0, GRAM), (kept, start, end)):
-            taken[(places[:, None] + np.arange(a, b)).ravel()] = True
+        for x, a, b in ((at, 0, GRAM), (kept, start, end)):
+            taken[(x[:, None] + np.arange(a, b)).ravel()] = True
     return out
 
 
@@ -242,17 +271,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Model from at most ``max_rows`` labelled rows per class that are not held out (chosen by a hash of the id)."""
     lab = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i"))
            .agg(F.max(label_col).alias("y")).where(~held_out("i")))
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")) \
         .where(F.octet_length("t") <= max_bytes)
     picks = [lab.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(max_rows) for y in (0, 1)]
     chosen = picks[0].unionByName(picks[1])     # at most 2 * max_rows ids: small enough to broadcast
     one = rows.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))   # repeated rows of one id count once
-    got = sorted(one.collect(), key=lambda r: (r.y, r.i))   # bounded likewise
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(one.collect(), key=lambda r: (r.y, r.i)):   # bounded likewise
+        texts[r.y].append(bytes(r.t))
     # the calibration holds for the classes as they are labelled, not as they were capped
     share = {r.y: min(1.0, max_rows / r["count"]) for r in lab.groupBy("y").count().collect()}
-    for r in got:
-        texts[r.y].append(bytes(r.t))
     return fit(texts[1], texts[0], float(np.log(share.get(0, 1.0) / share.get(1, 1.0))))
 
 

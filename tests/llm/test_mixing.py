@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.llm import mixing
 from sitelens.llm.mixing import _rate, fit_rates, mix, mixing_rates
 
 SF = "/root/testdata/sf0.1"
@@ -63,3 +64,12 @@ def test_mix_repeats_and_drops_rows_with_all_columns(spark):
     assert mix(df.limit(0), lab).count() == 0
     none = mixing_rates(df, lab.limit(0)).collect()
     assert len(none) == 202 and len({r.rate for r in none}) == 1
+
+
+def test_the_fit_is_not_the_drivers(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    monkeypatch.setattr(mixing, "fit_posterior", lambda texts, domain, k: (os.getpid(), texts, domain.tolist()))
+    pid, texts, domain = mixing.train(df, lab, mixing.quality_domain(), 2)
+    assert pid != os.getpid()
+    assert texts == [b"text %d" % i for i in range(30)] and domain == [i % 2 for i in range(30)]

@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 import zlib
 
 import pytest
@@ -120,6 +121,20 @@ def test_telling_strings_equal_plain_counts():
     assert T.telling([], ordinary) == [] and T.telling([b"", b"a"], [b""]) == []
 
 
+def test_telling_by_parts_is_the_same_in_little_memory(monkeypatch):
+    """Of few bytes at once: the same strings, and no array with many bytes for each byte of the texts."""
+    texts = [T.plain(t.encode()) for _, t, _ in made(1200, 5)]
+    toxic = [t.replace(b"the", b"moron scum") if i % 3 == 0 else t for i, t in enumerate(texts[:600])]
+    whole = T.telling(toxic, texts[600:])
+    monkeypatch.setattr(T, "PART", 1 << 14, raising=False)
+    tracemalloc.start()
+    found = T.telling(toxic, texts[600:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == whole and any(b"scum" in f for f in found)
+    assert peak < 20 * sum(map(len, toxic + texts[600:]))
+
+
 def test_a_stem_within_words_is_learnt():
     """Toxic texts that share no whole word, only the beginning of words."""
     rnd = random.Random(8)
